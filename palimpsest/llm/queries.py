@@ -17,8 +17,8 @@ OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l,
-         list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D.,;:!?"''()]+'), x -> x <> '') AS bare
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l,
+         list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D.,;:!?"''()]+'), lambda x: x <> '') AS bare
   FROM documents),
 win AS (
   SELECT doc_id, i, w[i:i+4] AS x FROM d, unnest(range(1, len(w) - 3)) AS r(i) WHERE len(w) >= 5),
@@ -28,12 +28,12 @@ rep AS (
   WHERE c > 1 GROUP BY doc_id),
 m AS (
   SELECT d.doc_id, len(w)::BIGINT AS n_words,
-         coalesce(list_sum(list_transform(w, x -> length(x))), 0)::BIGINT AS word_chars,
+         coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
          (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
          (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
          coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
          length(text) - length(replace(text, '!', '')) AS shouts, len(l) AS n_lines,
-         len(list_filter(bare, x -> list_contains([{stops}], x))) AS stops
+         len(list_filter(bare, lambda x: list_contains([{stops}], x))) AS stops
   FROM d LEFT JOIN rep ON rep.doc_id = d.doc_id),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
