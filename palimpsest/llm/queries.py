@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import packing, quality
 from .common import table
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return quality.apply_rules(table(spark, sf_dir, "documents")).select("doc_id", *counts, "base_failed", "kept")
@@ -45,7 +49,7 @@ FROM b
 
 
 def queries() -> dict:
-    return {"op4_quality_rules": op4_quality_rules}
+    return {"op2_packing": op2_packing, "op4_quality_rules": op4_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
