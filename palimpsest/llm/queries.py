@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, quality
+from . import packing, quality, simhash
 from .common import table
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -49,7 +55,7 @@ FROM b
 
 
 def queries() -> dict:
-    return {"op2_packing": op2_packing, "op4_quality_rules": op4_quality_rules}
+    return {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op4_quality_rules": op4_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
