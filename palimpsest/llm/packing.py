@@ -21,6 +21,7 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,7 @@ class SegmentIds(dict):
 _LOOSE = re.compile(r"\s[ \n]|[ \n]\s|^\s|\s\Z")
 
 
+@lru_cache(maxsize=2)
 def byte_encoder(ranks_path: str):
     """text -> ids as little-endian bytes; the vocabulary's end marker is a token if a text has it."""
     import public_tokenizers

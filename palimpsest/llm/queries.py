@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, simhash
+from . import packing, pieces, quality, simhash, urls
 from .common import table
 
 
@@ -23,6 +23,18 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_rules(table(spark, sf_dir, "documents")).select("doc_id", *counts, "base_failed", "kept")
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.code(table(spark, sf_dir, "documents"))
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's label is the quality label of the document with its number; low quality is bad."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
+    outcomes = pages.join(labels, "page_id").select("url", "bad")
+    return urls.judge(pages, outcomes).select("page_id", "host", "path", "rule", "verdict")
+
+
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text,
@@ -54,9 +66,54 @@ FROM b
 """.replace("{stops}", ", ".join(f"'{w}'" for w in sorted({w for s in quality.STOP_WORDS.values() for w in s.split()})))
 
 
+def _weight_sql(level: str) -> str:
+    """Moments of a beta-binomial over the groups of ``level``: what a prior is worth, and the overall rate."""
+    return f"""
+w_{level} AS (
+  SELECT CASE WHEN k < 2 OR r <= 0 OR r >= 1 OR e <= 0 THEN 200.0::DOUBLE
+              WHEN between_ > 0 THEN greatest(2.0::DOUBLE, least(200.0::DOUBLE, 1 / (between_ / (r * (1 - r) * e)) - 1)) ELSE 200.0::DOUBLE END AS weight,
+         coalesce(r, 0)::DOUBLE AS rate
+  FROM (SELECT *, (spread - bad * r) - (k - 1) * r * (1 - r) AS between_ FROM (
+    SELECT count(*) AS k, sum(bad) AS bad, sum(bad)::DOUBLE / sum(n) AS r, sum(n) - sum(n * n)::DOUBLE / sum(n) AS e,
+           sum(bad::DOUBLE * bad / n) AS spread FROM {level})))"""
+
+
+OP7_SQL = (
+    r"""
+WITH p AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+q AS (
+  SELECT *, list_filter(['example.net/en/', 'example.com/de/', 'org/fr/', 'net/'], lambda r:
+      (host = split_part(r, '/', 1) OR ends_with(host, '.' || split_part(r, '/', 1))) AND starts_with(path, r[length(split_part(r, '/', 1)) + 1:]))[1] AS rule,
+    CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.in', 'com.tr') THEN 1 ELSE 0 END AS long
+  FROM p),
+h AS (SELECT *, array_to_string(string_split(host, '.')[-2 - long:], '.') AS domain, array_to_string(string_split(host, '.')[-1 - long:], '.') AS suffix FROM q),
+by_host AS (SELECT suffix, domain, host, count(*) AS n, sum(1 - quality) AS bad FROM h JOIN labels ON labels.doc_id = h.page_id GROUP BY ALL),
+by_domain AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM by_host GROUP BY ALL),
+by_suffix AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM by_host GROUP BY ALL),
+"""
+    + ",".join(_weight_sql(f"by_{x}") for x in ("suffix", "domain", "host"))
+    + """,
+s AS (SELECT x.suffix, (w.rate * w.weight + coalesce(c.bad, 0)) / (w.weight + coalesce(c.n, 0)) AS p
+      FROM (SELECT DISTINCT suffix FROM h) x LEFT JOIN by_suffix c ON c.suffix = x.suffix, w_by_suffix w),
+d AS (SELECT x.suffix, x.domain, (s.p * w.weight + coalesce(c.bad, 0)) / (w.weight + coalesce(c.n, 0)) AS p
+      FROM (SELECT DISTINCT suffix, domain FROM h) x JOIN s ON s.suffix = x.suffix
+      LEFT JOIN by_domain c ON c.suffix = x.suffix AND c.domain = x.domain, w_by_domain w),
+b AS (SELECT host, p - 1.6449 * sqrt(p * (1 - p) / (m + 1)) AS bound FROM (
+      SELECT x.host, w.weight + coalesce(c.n, 0) AS m, (d.p * w.weight + coalesce(c.bad, 0)) / (w.weight + coalesce(c.n, 0)) AS p
+      FROM (SELECT DISTINCT suffix, domain, host FROM h) x JOIN d ON d.suffix = x.suffix AND d.domain = x.domain
+      LEFT JOIN by_host c ON c.host = x.host, w_by_host w))
+SELECT page_id, h.host, path, rule,
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN b.bound > 0.5 THEN 'block' ELSE 'allow' END AS verdict
+FROM h JOIN b ON b.host = h.host
+"""
+)
+
+
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op4_quality_rules": op4_quality_rules}
+    return {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op4_quality_rules": op4_quality_rules, "op6_sentencepiece": op6_sentencepiece, "op7_url_filters": op7_url_filters}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": OP4_SQL}
+    return {"op4_quality_rules": OP4_SQL, "op7_url_filters": OP7_SQL}
