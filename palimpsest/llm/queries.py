@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pieces, quality, simhash, urls
+from . import packing, pieces, quality, simhash, urls, warc
 from .common import table
 
 
@@ -18,6 +18,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.encode("html", "UTF-8").alias("payload"))
+    return warc.round_trip(pages)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return quality.apply_rules(table(spark, sf_dir, "documents")).select("doc_id", *counts, "base_failed", "kept")
@@ -35,6 +40,17 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, outcomes).select("page_id", "host", "path", "rule", "verdict")
 
 
+_DIGIT = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(('0x' || substr(sha1(html), {at} * 10 + 1, 10))::BIGINT >> {shift}) % 32 + 1]"
+OP3_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+       {" || ".join(_DIGIT.format(at=k // 8, shift=35 - 5 * (k % 8)) for k in range(32))} AS payload_digest,
+       CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM f
+"""
+
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text,
@@ -112,8 +128,8 @@ FROM h JOIN b ON b.host = h.host
 
 
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op4_quality_rules": op4_quality_rules, "op6_sentencepiece": op6_sentencepiece, "op7_url_filters": op7_url_filters}
+    return {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op3_warc": op3_warc, "op4_quality_rules": op4_quality_rules, "op6_sentencepiece": op6_sentencepiece, "op7_url_filters": op7_url_filters}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": OP4_SQL, "op7_url_filters": OP7_SQL}
+    return {"op3_warc": OP3_SQL, "op4_quality_rules": OP4_SQL, "op7_url_filters": OP7_SQL}
