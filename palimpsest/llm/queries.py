@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pieces, pii, quality, simhash, urls, warc
+from . import edits, packing, pieces, pii, quality, simhash, urls, warc
 from .common import table
 
 
@@ -40,6 +40,10 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, outcomes).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edits.against_next(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
@@ -133,7 +137,7 @@ FROM h JOIN b ON b.host = h.host
 
 
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op3_warc": op3_warc, "op4_quality_rules": op4_quality_rules, "op6_sentencepiece": op6_sentencepiece, "op7_url_filters": op7_url_filters, "op10_pii": op10_pii}
+    return {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op3_warc": op3_warc, "op4_quality_rules": op4_quality_rules, "op6_sentencepiece": op6_sentencepiece, "op7_url_filters": op7_url_filters, "op8_fingerprints": op8_fingerprints, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
