@@ -1,23 +1,62 @@
-"""The corpus pipeline: quality rules, line dedup, near-duplicate removal, personal data, packing."""
+"""The corpus pipeline: quality rules, line dedup, near-duplicate removal, personal data, packing.
+
+Each stage takes all that its predecessor kept and returns the columns of ``documents``; the last
+returns the pieces of the packed sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import quality
+from palimpsest.llm import lines, packing, pii, quality, simhash
 from palimpsest.llm.common import persist
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Near duplicates are judged on shingles of five words.
+SHINGLE = 5
+
+
+def _shaped(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
-def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep."""
     return quality.apply_rules(docs).where("kept").select(*COLUMNS)
 
 
-STAGES = [("quality_rules", keep_good)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier line equals or resembles are gone; so are documents left without words."""
+    found = lines.dedup(docs.select(*COLUMNS))
+    return _shaped(found.where((F.col("n_lines") == 0) | (F.col("n_removed") < F.col("n_lines"))))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id of each group of near duplicates."""
+    groups = simhash.near_duplicates(docs, SHINGLE)
+    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    return docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every span of personal data is masked by its kind."""
+    return _shaped(pii.redact(docs.select(*COLUMNS)))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
+    ("packing", packed),
+]
 
-#: Line dedup, packing and the rest have no SQL form.
+#: Line dedup, bootstrapped patterns and packing have no SQL form; see tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
 

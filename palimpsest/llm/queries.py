@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import edits, packing, pieces, pii, quality, simhash, urls, warc
+from . import edits, lines, packing, pieces, pii, quality, simhash, substrings, urls, warc
 from .common import table
 
 
@@ -28,6 +28,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_rules(table(spark, sf_dir, "documents")).select("doc_id", *counts, "base_failed", "kept")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.code(table(spark, sf_dir, "documents"))
 
@@ -44,6 +49,11 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.against_next(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
@@ -137,8 +147,29 @@ FROM h JOIN b ON b.host = h.host
 
 
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op3_warc": op3_warc, "op4_quality_rules": op4_quality_rules, "op6_sentencepiece": op6_sentencepiece, "op7_url_filters": op7_url_filters, "op8_fingerprints": op8_fingerprints, "op10_pii": op10_pii}
+    return {
+        "op1_simhash": op1_simhash,
+        "op2_packing": op2_packing,
+        "op3_warc": op3_warc,
+        "op4_quality_rules": op4_quality_rules,
+        "op5_substring_dedup": op5_substring_dedup,
+        "op6_sentencepiece": op6_sentencepiece,
+        "op7_url_filters": op7_url_filters,
+        "op8_fingerprints": op8_fingerprints,
+        "op9_line_dedup": op9_line_dedup,
+        "op10_pii": op10_pii,
+    }
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM d, unnest(range(1, len(w) - 33)) AS r(i) WHERE len(w) >= 35),
+t AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS c FROM s) WHERE c > 1),
+gone AS (SELECT doc_id, list(DISTINCT i + k) AS g FROM t, unnest(range(0, 35)) AS q(k) GROUP BY doc_id),
+k AS (SELECT d.doc_id, w, list_filter(w, lambda x, j: g IS NULL OR NOT list_contains(g, j)) AS kept FROM d LEFT JOIN gone ON gone.doc_id = d.doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - len(kept))::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op4_quality_rules": OP4_SQL, "op7_url_filters": OP7_SQL}
+    return {"op3_warc": OP3_SQL, "op4_quality_rules": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op7_url_filters": OP7_SQL}
