@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_dir
+from .common import persist, scratch_dir
 
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -112,7 +112,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found[k : k + 256], strict=True), schema, strict=True)], schema=schema)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(run, RECORD)
+    return files.mapInArrow(run, RECORD).withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": base32_sha1(F.col("payload"))})
 
 
 def captures(found: DataFrame) -> DataFrame:
@@ -124,21 +124,24 @@ def captures(found: DataFrame) -> DataFrame:
     side = found.where(F.col("concurrent_to").isNotNull()).select("type", "id", "uri", "http", "concurrent_to")
     pick = lambda kind: F.max(F.when(F.col("type") == kind, F.struct("id", "uri", "http"))).alias(kind)
     sides = side.groupBy("concurrent_to").agg(pick("request"), pick("metadata"))
-    answer = F.struct("id", "type", "uri", "digest", "refers_to", "http", "payload").alias("response")
+    answer = F.struct("id", "type", "uri", "digest", "refers_to", "http", "payload", "payload_bytes", "payload_digest").alias("response")
     return main.select(answer, F.col("id").alias("concurrent_to")).join(sides, "concurrent_to", "left").drop("concurrent_to")
 
 
 def summary(found: DataFrame) -> DataFrame:
-    """Digests of the payload of every capture; a revisit's are those of the record it refers to."""
-    payload = F.col("response.payload")
+    """Digests of the payload of every capture; a revisit's are those of the record it refers to.
+
+    Only the digests pass the joins: the optimizer prunes the payloads below them.
+    """
     rows = found.select(
         F.regexp_extract("metadata.http", r"page-id: (-?\d+)", 1).cast("long").alias("page_id"),
         F.col("response.id").alias("id"),
         F.col("response.type").alias("record_type"),
         F.col("response.refers_to").alias("target"),
-        F.octet_length(payload).cast("long").alias("payload_bytes"),
-        base32_sha1(payload).alias("payload_digest"),
+        F.col("response.payload_bytes").alias("payload_bytes"),
+        F.col("response.payload_digest").alias("payload_digest"),
     )
+    rows = persist(rows, "captures")  # read twice below, and far smaller than the archives
     originals = rows.where("record_type = 'response'").select(F.col("id").alias("target"), F.col("page_id").alias("original"), F.col("payload_bytes").alias("b"), F.col("payload_digest").alias("d"))
     joined = rows.join(originals, "target", "left")
     return joined.select("page_id", F.coalesce("payload_bytes", "b").alias("payload_bytes"), F.coalesce("payload_digest", "d").alias("payload_digest"), "record_type", F.col("original").alias("refers_to"))
