@@ -1,11 +1,428 @@
-"""Every query of the library by name, with its SQL."""
+"""Every query of the library by name, with its SQL for DuckDB.
+
+The tables of the test data stand in for the captured ones: events are frames, conversations are typed
+events, documents are chunks (kind: language) and embeddings their vectors (paired by number, which is
+artificial). The same views are built here for Spark and, as SQL, for DuckDB.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import embedding, text
+from ..operators import attribution, blocks, dedup, health, index, search
+from ..sources import capture
+from ..streaming import ingest
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+SEARCH = "thorreou hedth onwhst"
+PHRASES = "the-oredat of, rereltition"
+
+
+def query(name: str, sql: str | None = None):
+    def put(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- views ------------------------------------------------------------------------------------------
+
+FRAMES_SQL = """
+frames AS (
+  SELECT event_id AS id, ts AS timestamp, user_id AS stream_key,
+         CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 17 = 0 THEN '' ELSE event_type END AS app_name,
+         'w' || (event_id % 50 // 25) AS window_name, 'https://' || event_type || '/' || (event_id % 5) AS browser_url,
+         CASE WHEN event_id % 11 <> 0 THEN (event_id * 7919) % 4000 END AS content_hash,
+         CASE WHEN event_id % 3 = 0 THEN '  ' || substr(d.text, 1, 5)
+              ELSE chr(10) || chr(9) || substr(d.text, 1, 100 + event_id % 900) || '  ' END AS accessibility_text
+  FROM events JOIN documents d ON d.doc_id = (event_id // 3) % 150),
+ocr AS (
+  SELECT event_id AS frame_id, substr(d.text, 40, 200) AS text FROM events JOIN documents d ON d.doc_id = event_id % 97 WHERE event_id % 2 = 0
+  UNION ALL SELECT event_id, 'second ' || event_type FROM events WHERE event_id % 10 = 0)"""
+TYPED_SQL = """
+ui AS (
+  SELECT conv_id * 1000 + turn AS id, TIMESTAMP '2024-01-01' + to_seconds(conv_id * 611 + turn * 17) AS timestamp,
+         CASE role WHEN 'user' THEN 'text' WHEN 'assistant' THEN 'clipboard' ELSE 'key' END AS event_type,
+         CASE WHEN turn % 5 = 4 THEN '      ' || substr(text, 1, 8) || '   ' ELSE text END AS text_content,
+         CASE conv_id % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE role END AS app_name,
+         CASE WHEN turn % 2 = 0 THEN 'win' ELSE '' END AS window_title, CAST(NULL AS VARCHAR) AS browser_url,
+         CASE WHEN conv_id % 2 = 0 THEN conv_id * 7 + turn END AS frame_id, conv_id AS stream_key
+  FROM conversations)"""
+_WS = text.WHITE_SPACE
+STRIP = lambda c: f"regexp_replace({c}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, d = table(spark, sf_dir, "events"), table(spark, sf_dir, "documents").select("doc_id", "text")
+    j = e.join(d, F.expr("doc_id = (event_id div 3) % 150"))
+    return j.select(
+        F.col("event_id").alias("id"), F.col("ts").alias("timestamp"), F.col("user_id").alias("stream_key"),
+        F.expr("CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 17 = 0 THEN '' ELSE event_type END").alias("app_name"),
+        F.expr("concat('w', (event_id % 50) div 25)").alias("window_name"), F.expr("concat('https://', event_type, '/', event_id % 5)").alias("browser_url"),
+        F.expr("CASE WHEN event_id % 11 <> 0 THEN (event_id * 7919) % 4000 END").alias("content_hash"),
+        F.expr("CASE WHEN event_id % 3 = 0 THEN concat('  ', substr(text, 1, 5)) ELSE concat('\\n\\t', substr(text, 1, cast(100 + event_id % 900 AS int)), '  ') END").alias("accessibility_text"),
+    )
+
+
+def ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, d = table(spark, sf_dir, "events"), table(spark, sf_dir, "documents").select("doc_id", "text")
+    first = e.where("event_id % 2 = 0").join(d, F.expr("doc_id = event_id % 97")).select(F.col("event_id").alias("frame_id"), F.substring("text", 40, 200).alias("text"))
+    return first.unionByName(e.where("event_id % 10 = 0").select(F.col("event_id").alias("frame_id"), F.concat(F.lit("second "), "event_type").alias("text")))
+
+
+def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select(
+        F.expr("conv_id * 1000 + turn").alias("id"), F.expr("TIMESTAMP_NTZ '2024-01-01' + make_dt_interval(0, 0, 0, conv_id * 611 + turn * 17)").alias("timestamp"),
+        F.expr("CASE role WHEN 'user' THEN 'text' WHEN 'assistant' THEN 'clipboard' ELSE 'key' END").alias("event_type"),
+        F.expr("CASE WHEN turn % 5 = 4 THEN concat('      ', substr(text, 1, 8), '   ') ELSE text END").alias("text_content"),
+        F.expr("CASE conv_id % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE role END").alias("app_name"),
+        F.expr("CASE WHEN turn % 2 = 0 THEN 'win' ELSE '' END").alias("window_title"), F.lit(None).cast("string").alias("browser_url"),
+        F.expr("CASE WHEN conv_id % 2 = 0 THEN conv_id * 7 + turn END").alias("frame_id"), F.col("conv_id").alias("stream_key"),
+    )
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select(
+        F.col("doc_id").alias("id"), F.col("lang").alias("kind"), F.lit(None).cast("string").alias("ts_start"), F.col("source").alias("app"),
+        F.lit(None).cast("string").alias("window"), F.lit(None).cast("string").alias("url"), F.lit(1).alias("n_frames"), "text",
+    )
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+
+def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    return [float(x) for x in table(spark, sf_dir, "embeddings").where("vec_id = 7").first()["embedding"]]
+
+
+# ---- search (C7 D4 D8-D10 E9 E10 G4-G8 H8-H11 A8 C12) -------------------------------------------------
+
+TOKENS = f"""list_filter(regexp_split_to_array(lower(regexp_replace(translate(coalesce(text, ''), '{text.LATIN_FROM}', '{text.LATIN_TO}'), '\\p{{Mn}}', '', 'g')), '{text.TOKEN_GAP}'), lambda t: t <> '')"""
+
+
+def _bm25_sql(phrases: list[list[str]], kind: str | None = None) -> str:
+    def tf(p: list[str]) -> str:
+        fits = " AND ".join(f"w[i + {k}] = '{t}'" for k, t in enumerate(p))
+        return f"len(list_filter(range(1, len(w) + {2 - len(p)}), lambda i: {fits}))::DOUBLE"
+
+    def part(k: int) -> str:
+        idf = f"greatest(ln((n - df{k} + 0.5::DOUBLE) / (df{k} + 0.5::DOUBLE)), 1e-6::DOUBLE)"
+        return f"{idf} * tf{k} * 2.2::DOUBLE / (tf{k} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / avg_size))"
+
+    ks = range(len(phrases))
+    return f"""
+w AS (SELECT doc_id AS id, lang AS kind, {TOKENS} AS w FROM documents),
+c AS (SELECT id, kind, len(w)::DOUBLE AS size, {", ".join(f"{tf(p)} AS tf{k}" for k, p in enumerate(phrases))} FROM w),
+s AS (SELECT count(*)::DOUBLE AS n, sum(size) / count(*)::DOUBLE AS avg_size, {", ".join(f"sum(CASE WHEN tf{k} > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS df{k}" for k in ks)} FROM c),
+bm AS (SELECT id, -({" + ".join(map(part, ks))}) AS bm25 FROM c, s WHERE ({" OR ".join(f"tf{k} > 0" for k in ks)}){f" AND kind = '{kind}'" if kind else ""})"""
+
+
+def _knn_sql(kind: str | None = None) -> str:
+    keep = f"WHERE vec_id IN (SELECT doc_id FROM documents WHERE lang = '{kind}')" if kind else ""
+    return f"""
+q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 7),
+nn AS (SELECT vec_id AS id, sqrt(list_sum(list_transform(list_zip(embedding, q), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)))) AS distance
+       FROM embeddings, q {keep} ORDER BY distance, id LIMIT 50)"""
+
+
+def _hybrid_sql(kind: str | None = None) -> str:
+    return f"""
+WITH {_bm25_sql(text.query_phrases(SEARCH), kind)},{_knn_sql(kind)},
+t AS (SELECT id, row_number() OVER (ORDER BY bm25, id) AS t FROM (SELECT * FROM bm ORDER BY bm25, id LIMIT 50)),
+v AS (SELECT id, row_number() OVER (ORDER BY distance, id) AS v FROM nn),
+f AS (SELECT coalesce(v.id, t.id) AS id, coalesce(1.0::DOUBLE / (60 + v), 0) + coalesce(1.0::DOUBLE / (60 + t), 0) AS score, v, t FROM v FULL JOIN t ON v.id = t.id)
+SELECT f.id, round(score, 4) AS score, lang AS kind, CAST(NULL AS VARCHAR) AS ts, source AS app, CAST(NULL AS VARCHAR) AS "window", CAST(NULL AS VARCHAR) AS url, 1 AS n_frames,
+       CASE WHEN length(text) > 280 THEN substr(text, 1, 280) || '…' ELSE text END AS snippet
+FROM f JOIN documents d ON d.doc_id = f.id ORDER BY f.score DESC, v NULLS LAST, t NULLS LAST, f.id LIMIT 8"""
+
+
+@query("hybrid_search", _hybrid_sql())
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.hybrid(chunks(spark, sf_dir), vectors(spark, sf_dir), SEARCH, query_vector(spark, sf_dir))
+
+
+@query("hybrid_search_kind", _hybrid_sql("en"))
+def hybrid_search_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.hybrid(chunks(spark, sf_dir), vectors(spark, sf_dir), SEARCH, query_vector(spark, sf_dir), kind="en")
+
+
+@query("g6_bm25", f"WITH {_bm25_sql(text.query_phrases(SEARCH))} SELECT id, round(bm25, 6) AS bm25 FROM bm ORDER BY bm.bm25, id LIMIT 50")
+def g6_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.bm25(chunks(spark, sf_dir), SEARCH).orderBy("bm25", "id").limit(50).select("id", F.round("bm25", 6).alias("bm25"))
+
+
+@query("g6_bm25_kind", f"WITH {_bm25_sql(text.query_phrases(SEARCH), 'en')} SELECT id, round(bm25, 6) AS bm25 FROM bm ORDER BY bm.bm25, id LIMIT 50")
+def g6_bm25_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.bm25(chunks(spark, sf_dir), SEARCH, "en").orderBy("bm25", "id").limit(50).select("id", F.round("bm25", 6).alias("bm25"))
+
+
+@query("h8_phrase_search", f"WITH {_bm25_sql(text.query_phrases(PHRASES))} SELECT id, round(bm25, 6) AS bm25 FROM bm")
+def h8_phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.bm25(chunks(spark, sf_dir), PHRASES).select("id", F.round("bm25", 6).alias("bm25"))
+
+
+@query("g4_knn", f"WITH {_knn_sql()} SELECT id, round(distance, 6) AS distance FROM nn")
+def g4_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.knn(vectors(spark, sf_dir), query_vector(spark, sf_dir)).select("id", F.round("distance", 6).alias("distance"))
+
+
+@query("g5_knn_kind", f"WITH {_knn_sql('de')} SELECT id, round(distance, 6) AS distance FROM nn")
+def g5_knn_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    german = chunks(spark, sf_dir).where("kind = 'de'").select("id")
+    near = search.knn(vectors(spark, sf_dir).join(german, "id", "left_semi"), query_vector(spark, sf_dir))
+    return near.select("id", F.round("distance", 6).alias("distance"))
+
+
+@query("g7_rank_fusion", f"""WITH {_bm25_sql(text.query_phrases(SEARCH))},{_knn_sql()},
+t AS (SELECT id, row_number() OVER (ORDER BY bm25, id) AS t FROM (SELECT * FROM bm ORDER BY bm25, id LIMIT 50)),
+v AS (SELECT id, row_number() OVER (ORDER BY distance, id) AS v FROM nn)
+SELECT coalesce(v.id, t.id) AS id, round(coalesce(1.0::DOUBLE / (60 + v), 0) + coalesce(1.0::DOUBLE / (60 + t), 0), 9) AS score, coalesce(v, 0) AS vector_rank, coalesce(t, 0) AS text_rank FROM v FULL JOIN t ON v.id = t.id""")
+def g7_rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = search.ranked(search.knn(vectors(spark, sf_dir), query_vector(spark, sf_dir)), "distance")
+    said = search.ranked(search.bm25(chunks(spark, sf_dir), SEARCH).orderBy("bm25", "id").limit(50), "bm25")
+    return search.fuse(near, said).select("id", F.round("score", 9).alias("score"), *(F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in ("vector_rank", "text_rank")))
+
+
+@query("h9_tokens", f"SELECT token, count(*) AS n FROM (SELECT unnest({TOKENS}) AS token FROM documents) GROUP BY token")
+def h9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.explode(text.tokens("text")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+
+@query("h10_snippet", "SELECT doc_id, CASE WHEN length(text) > 280 THEN substr(text, 1, 280) || '…' ELSE text END AS snippet FROM documents")
+def h10_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.snippet("text").alias("snippet"))
+
+
+@query("a8_lookup", "SELECT doc_id AS id, lang AS kind, length(text) AS n FROM documents WHERE doc_id IN (3, 5, 8, 13, 21, 999999)")
+def a8_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = spark.createDataFrame([(x,) for x in (3, 5, 8, 13, 21, 999999)], "id long")
+    return chunks(spark, sf_dir).join(F.broadcast(wanted), "id").select("id", "kind", F.char_length("text").cast("long").alias("n"))
+
+
+# ---- scans and predicates (A2 A3 A7 C1-C6 C10 D1 D2 G1 G2 H3-H5) ------------------------------------------
+
+
+@query("a2_frame_scan", f"""WITH {FRAMES_SQL} SELECT f.id, f.timestamp, f.app_name, f.window_name, f.browser_url, coalesce(f.content_hash, -1) AS content_hash, f.accessibility_text, o.text AS ocr
+FROM (SELECT * FROM frames WHERE id > 500 ORDER BY id LIMIT 300) f LEFT JOIN ocr o ON o.frame_id = f.id""")
+def a2_frame_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capture.new_frames(frames(spark, sf_dir), ocr(spark, sf_dir), 500, 300).withColumn("content_hash", F.coalesce("content_hash", F.lit(-1)))
+
+
+@query("a3_typed_scan", f"WITH {TYPED_SQL} SELECT id, event_type, text_content FROM ui WHERE id > 2000 AND event_type IN ('text', 'clipboard') AND text_content IS NOT NULL AND length(trim(text_content, ' ')) >= 12")
+def a3_typed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capture.new_typed(typed(spark, sf_dir), 2000).select("id", "event_type", "text_content")
+
+
+@query("a7_oversized", "SELECT doc_id AS id, length(text) AS n FROM documents WHERE length(text) > 8000")
+def a7_oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks(spark, sf_dir).where(F.char_length("text") > 8000).select("id", F.char_length("text").cast("long").alias("n"))
+
+
+_PICKED = f"""
+x AS (SELECT f.*, {STRIP("f.accessibility_text")} AS a, {STRIP("o.text")} AS o FROM frames f LEFT JOIN ocr o ON o.frame_id = f.id),
+usable AS (SELECT *, CASE WHEN length(a) >= 12 THEN a WHEN length(o) >= 12 THEN o END AS text FROM x)"""
+
+
+def _usable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = frames(spark, sf_dir).join(ocr(spark, sf_dir).select(F.col("frame_id").alias("id"), F.col("text").alias("ocr")), "id", "left")
+    return rows.withColumn("text", blocks.usable_text(F.col("accessibility_text"), F.col("ocr")))
+
+
+@query("c5_text_priority", f"WITH {FRAMES_SQL},{_PICKED} SELECT id, text FROM usable WHERE text IS NOT NULL")
+def c5_text_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _usable(spark, sf_dir).where("text IS NOT NULL").select("id", "text")
+
+
+@query("h4_layout_remap", f"WITH {TYPED_SQL} SELECT id, translate({STRIP('text_content')}, '{text.LAYOUT_FROM}', '{text.LAYOUT_TO}') AS text FROM ui WHERE length({STRIP('text_content')}) >= 12")
+def h4_layout_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plain = text.strip("text_content")
+    return typed(spark, sf_dir).where(F.char_length(plain) >= text.MIN_TEXT).select("id", text.remap_layout(plain).alias("text"))
+
+
+_CONTEXT = """
+ctx AS (SELECT u.id, u.timestamp, u.event_type, u.text_content, u.stream_key, coalesce(nullif(u.app_name, ''), f.app_name) AS app,
+        coalesce(nullif(u.window_title, ''), f.window_name) AS win, coalesce(nullif(u.browser_url, ''), f.browser_url) AS url
+        FROM ui u LEFT JOIN frames f ON f.id = u.frame_id)"""
+
+
+@query("d2_event_context", f'WITH {FRAMES_SQL},{TYPED_SQL},{_CONTEXT} SELECT id, app, win AS "window", url FROM ctx')
+def d2_event_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.with_frame_context(typed(spark, sf_dir), frames(spark, sf_dir)).select("id", "app", "window", "url")
+
+
+@query("d3_nearest_frame", f"""WITH {FRAMES_SQL},{TYPED_SQL},
+m AS (SELECT u.id, f.id AS frame, abs(epoch_us(u.timestamp) - epoch_us(f.timestamp)) AS apart_us, f.timestamp AS ft
+      FROM ui u JOIN frames f ON f.timestamp BETWEEN u.timestamp - INTERVAL 5 MINUTE AND u.timestamp + INTERVAL 5 MINUTE)
+SELECT id, frame, apart_us FROM m QUALIFY row_number() OVER (PARTITION BY id ORDER BY apart_us, ft, frame) = 1""")
+def d3_nearest_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.nearest(typed(spark, sf_dir), frames(spark, sf_dir))
+
+
+@query("d3_attribution", f"""WITH {FRAMES_SQL},{TYPED_SQL},{_CONTEXT},
+m AS (SELECT u.id, f.app_name, f.window_name, f.browser_url FROM ctx u JOIN frames f ON f.timestamp BETWEEN u.timestamp - INTERVAL 5 MINUTE AND u.timestamp + INTERVAL 5 MINUTE
+      WHERE coalesce(u.app, '') = ''
+      QUALIFY row_number() OVER (PARTITION BY u.id ORDER BY abs(epoch_us(u.timestamp) - epoch_us(f.timestamp)), f.timestamp, f.id) = 1)
+SELECT c.id, CASE WHEN m.id IS NULL THEN app ELSE coalesce(nullif(app, ''), app_name) END AS app,
+       CASE WHEN m.id IS NULL THEN win ELSE coalesce(nullif(win, ''), window_name) END AS "window",
+       CASE WHEN m.id IS NULL THEN url ELSE coalesce(nullif(url, ''), browser_url) END AS url FROM ctx c LEFT JOIN m ON m.id = c.id""")
+def d3_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = frames(spark, sf_dir)
+    return attribution.attribute(attribution.with_frame_context(typed(spark, sf_dir), f), f).select("id", "app", "window", "url")
+
+
+# ---- dedup, blocks and chunks (D6 D7 F1-F6 E8 H1 H2 B3 B8) -------------------------------------------------
+
+@query("f1_first_occurrence", f"WITH {FRAMES_SQL} SELECT id FROM frames WHERE content_hash IS NULL UNION ALL SELECT min(id) FROM frames WHERE content_hash IS NOT NULL GROUP BY content_hash")
+def f1_first_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.first_occurrence(frames(spark, sf_dir)).select("id")
+
+
+_KEPT = f"""
+t AS (SELECT id, stream_key, timestamp, app_name AS app, window_name AS win, browser_url AS url, content_hash, {STRIP("accessibility_text")} AS text FROM frames WHERE length({STRIP("accessibility_text")}) >= 12),
+k AS (SELECT * FROM (SELECT *, lag(text) OVER w IS NOT DISTINCT FROM text AND row_number() OVER w > 1 AS same FROM t WINDOW w AS (PARTITION BY stream_key ORDER BY id)) WHERE NOT same),
+n AS (SELECT *, row_number() OVER w AS rn, row_number() OVER w = 1 OR lag(app) OVER w IS DISTINCT FROM app OR lag(win) OVER w IS DISTINCT FROM win AS changed FROM k WINDOW w AS (PARTITION BY stream_key ORDER BY id))"""
+
+
+def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = frames(spark, sf_dir).withColumn("text", text.strip("accessibility_text")).where(F.char_length("text") >= text.MIN_TEXT)
+    return dedup.drop_consecutive(rows.withColumnsRenamed({"app_name": "app", "window_name": "window", "browser_url": "url"}))
+
+
+@query("f2_drop_consecutive", f"WITH {FRAMES_SQL},{_KEPT} SELECT id, stream_key FROM k")
+def f2_drop_consecutive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept(spark, sf_dir).select("id", "stream_key")
+
+
+@query("f3_islands", f"WITH {FRAMES_SQL},{_KEPT} SELECT id, stream_key, sum(changed::INT) OVER (PARTITION BY stream_key ORDER BY id)::BIGINT AS island FROM n")
+def f3_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.islands(_kept(spark, sf_dir)).select("id", "stream_key", F.col("island").cast("long").alias("island"))
+
+
+_BLOCKS = f"""{FRAMES_SQL},{_KEPT},
+r AS (SELECT stream_key, rn, id, length(text) AS len, 1 AS block FROM n WHERE rn = 1
+      UNION ALL SELECT n.stream_key, n.rn, n.id, CASE WHEN changed OR len >= 2200 THEN length(n.text) ELSE len + 1 + length(n.text) END,
+                       block + CASE WHEN changed OR len >= 2200 THEN 1 ELSE 0 END FROM r JOIN n ON n.stream_key = r.stream_key AND n.rn = r.rn + 1),
+b AS (SELECT n.stream_key, arg_min(app, n.id) AS app, arg_min(win, n.id) AS win, min(n.id) AS frame_start, max(n.id) AS frame_end, count(*)::INT AS n_frames,
+             string_agg(n.text, chr(10) ORDER BY n.id) AS text, arg_min(n.url, n.id) AS url FROM r JOIN n ON n.id = r.id GROUP BY n.stream_key, block)"""
+
+
+@query("f4_session_blocks", f'WITH RECURSIVE {_BLOCKS} SELECT stream_key, app, win AS "window", url, frame_start, frame_end, n_frames, sha256(text) AS text_sha FROM b')
+def f4_session_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _kept(spark, sf_dir).withColumn("timestamp", F.col("timestamp").cast("string"))
+    return blocks.session_blocks(rows).select("stream_key", "app", "window", "url", "frame_start", "frame_end", "n_frames", F.sha2("text", 256).alias("text_sha"))
+
+
+@query("f6_chunks")
+def f6_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _kept(spark, sf_dir).withColumn("timestamp", F.col("timestamp").cast("string"))
+    return blocks.chunks_of(blocks.session_blocks(rows), "screen").select("chunk_hash", "kind", "stream_key", "frame_start", "frame_end", "n_frames", "piece_no", F.char_length("text").cast("long").alias("n"))
+
+
+@query("h1_chunk_hash", "SELECT doc_id, substr(sha256(coalesce(lang, 'screen') || chr(0) || coalesce(text, '')), 1, 24) AS chunk_hash FROM documents")
+def h1_chunk_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.chunk_hash("lang", "text").alias("chunk_hash"))
+
+
+@query("h2_split_text")
+def h2_split_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.split_text("text")).alias("piece_no", "piece"))
+
+
+@query("b8_hash_backfill", "SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'kept' ELSE substr(sha256(coalesce(CASE WHEN doc_id % 4 <> 1 THEN lang END, 'screen') || chr(0) || text), 1, 24) END AS chunk_hash, coalesce(CASE WHEN doc_id % 4 <> 1 THEN lang END, 'screen') AS kind FROM documents")
+def b8_hash_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = chunks(spark, sf_dir).withColumns({"kind": F.expr("CASE WHEN id % 4 <> 1 THEN kind END"), "chunk_hash": F.expr("CASE WHEN id % 2 = 0 THEN 'kept' END")})
+    return index.migrated(old).select("id", "chunk_hash", "kind")
+
+
+@query("d6_not_seen", f"WITH {FRAMES_SQL} SELECT id FROM frames WHERE content_hash IS NULL OR content_hash NOT IN (SELECT content_hash FROM frames WHERE id < 700 AND content_hash IS NOT NULL)")
+def d6_not_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = frames(spark, sf_dir)
+    return dedup.not_seen(f, f.where("id < 700 AND content_hash IS NOT NULL"), "content_hash").select("id")
+
+
+@query("d7_fresh_chunks", "SELECT DISTINCT substr(sha256(lang || chr(0) || text), 1, 24) AS chunk_hash FROM documents WHERE doc_id >= 100 AND substr(sha256(lang || chr(0) || text), 1, 24) NOT IN (SELECT substr(sha256(lang || chr(0) || text), 1, 24) FROM documents WHERE doc_id < 100)")
+def d7_fresh_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hashed = chunks(spark, sf_dir).withColumn("chunk_hash", text.chunk_hash("kind", "text"))
+    return dedup.not_seen(hashed.where("id >= 100"), hashed.where("id < 100"), "chunk_hash").select("chunk_hash").distinct()
+
+
+@query("e6_allocated_ids", "SELECT h AS chunk_hash, 41 + row_number() OVER (ORDER BY h) AS id FROM (SELECT DISTINCT substr(sha256(lang || chr(0) || text), 1, 24) AS h FROM documents)")
+def e6_allocated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = table(spark, sf_dir, "documents").select(text.chunk_hash("lang", "text").alias("chunk_hash")).distinct()
+    return index.allocate_ids(new, spark.range(42)).select("chunk_hash", F.col("id").cast("long").alias("id"))
+
+
+@query("b5_resplit_pieces")
+def b5_resplit_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    large = chunks(spark, sf_dir).where(F.char_length("text") > 8000)
+    return index.resplit_pieces(large).select("id", "piece_no", "chunk_hash", F.char_length("text").cast("long").alias("n"))
+
+
+@query("a10_embedded")
+def a10_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = embedding.embed(chunks(spark, sf_dir).select("id", "text"), embedding.HashingEmbedder(64))
+    return rows.select("id", F.size("embedding").alias("dim"))
+
+
+# ---- health (C9 D5 E1-E5 E11 H6 H17 H18 B11) ------------------------------------------------------------
+
+NOW = "2024-01-20 12:00:00"
+
+
+@query("e3_count_by_kind", "SELECT lang AS kind, count(*) AS n FROM documents GROUP BY lang")
+def e3_count_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("health_snapshot", f"""WITH {FRAMES_SQL},{TYPED_SQL},
+f AS (SELECT count(*) AS total, count(*) FILTER (timestamp > TIMESTAMP '{NOW}' - INTERVAL 1 DAY AND timestamp <= TIMESTAMP '{NOW}') AS d,
+             floor((epoch_us(TIMESTAMP '{NOW}') - epoch_us(max(timestamp)))::DOUBLE / 1000000)::BIGINT AS age, max(id) AS top FROM frames),
+o AS (SELECT coalesce(sum(length(text)), 0)::BIGINT AS chars FROM ocr JOIN frames ON frames.id = ocr.frame_id WHERE timestamp > TIMESTAMP '{NOW}' - INTERVAL 1 DAY AND timestamp <= TIMESTAMP '{NOW}'),
+u AS (SELECT count(*) FILTER (event_type = 'text') AS t, count(*) FILTER (event_type = 'clipboard') AS c FROM ui WHERE timestamp > TIMESTAMP '{NOW}' - INTERVAL 1 DAY AND timestamp <= TIMESTAMP '{NOW}')
+SELECT '2024-01-20' AS date, CASE WHEN age > 600 THEN 'stale' ELSE 'ok' END AS status, age AS frame_age_s, 0 AS db_mb, 0 AS data_mb, 0 AS disk_free_gb, d AS frames_24h, total AS frames_total,
+       chars AS text_chars_24h, t AS ui_text_24h, c AS clipboard_24h, (SELECT count(*) FROM documents) AS rag_chunks, 500::BIGINT AS rag_watermark, top - 500 AS true_lag,
+       'capture=up; frame_age=' || age || 's; chunks=' || (SELECT count(*) FROM documents) || ' (watermark=500, lag=' || (total - 500) || ' frames)' AS actions
+FROM f, o, u""")
+def health_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return health.snapshot(frames(spark, sf_dir), ocr(spark, sf_dir), typed(spark, sf_dir), chunks(spark, sf_dir), NOW, 500)
+
+
+# ---- whole passes (I1-I7) ---------------------------------------------------------------------------------
+
+
+@query("screen_pass")
+def screen_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = capture.new_frames(frames(spark, sf_dir), ocr(spark, sf_dir)).withColumns({"stream_key": F.lit(0).cast("long"), "timestamp": F.col("timestamp").cast("string")})
+    none = spark.createDataFrame([], "content_hash long")
+    return ingest.screen_chunks(rows, none).select("chunk_hash", "frame_start", "frame_end", "n_frames", "piece_no")
+
+
+@query("typed_pass")
+def typed_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = frames(spark, sf_dir)
+    events = attribution.attribute(attribution.with_frame_context(capture.new_typed(typed(spark, sf_dir)), f), f).withColumn("timestamp", F.col("timestamp").cast("string"))
+    return ingest.typed_chunks(events).select("chunk_hash", "app", "window", "frame_start", "frame_end", "n_frames", "piece_no")
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
