@@ -6,8 +6,9 @@ line separator is the end mark of a WARC record, so Spark's own writer commits t
 store. The reader cuts files by Content-Length, and the records of a capture meet in one join.
 
 Edge cases: a null payload counts as an empty one and is still a capture; equal payloads below
-``least`` bytes are all responses; repeated ids are repeated captures of one record id and are
-returned as one row; an empty table writes an archive without records; further columns are ignored.
+``least`` bytes are all responses; rows that repeat an id and its payload are one capture, of rows
+that repeat an id alone the greatest payload is read; a null id is an id of its own; an empty table
+writes no archive that holds a record; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ def base32_sha1(payload: Column) -> Column:
 
 def record_id(kind: str, page_id: Column) -> Column:
     """A stable identifier in the form of a UUID."""
-    h = F.md5(F.concat(F.lit(kind + ":"), page_id.cast("string")))
+    h = F.md5(F.concat(F.lit(kind + ":"), F.coalesce(page_id.cast("string"), F.lit(""))))
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))), F.lit(">"))
 
 
@@ -70,7 +71,7 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
     again = _record([("WARC-Type", F.lit("revisit")), *common, ("WARC-Profile", F.lit(PROFILE)), ("WARC-Refers-To", record_id("response", F.col("first")))], http)
     side = lambda kind, content: [("WARC-Type", F.lit(kind)), ("WARC-Record-ID", record_id(kind, page)), date, target, ("WARC-Concurrent-To", response), ("Content-Type", F.lit(content))]
     request = _record(side("request", "application/http;msgtype=request"), F.encode(F.concat(F.lit("GET "), url, F.lit(" HTTP/1.1\r\n\r\n")), "UTF-8"))
-    metadata = _record(side("metadata", "application/warc-fields"), F.encode(F.concat(F.lit("page-id: "), page.cast("string"), F.lit("\r\n")), "UTF-8"))
+    metadata = _record(side("metadata", "application/warc-fields"), F.encode(F.concat(F.lit("page-id: "), F.coalesce(page.cast("string"), F.lit("")), F.lit("\r\n")), "UTF-8"))
     rows = F.array(request, F.when(revisit, again).otherwise(full), metadata)
     return found.select("page_id", F.explode(rows).alias("record"))
 
@@ -134,14 +135,16 @@ def summary(found: DataFrame) -> DataFrame:
     Only the digests pass the joins: the optimizer prunes the payloads below them.
     """
     rows = found.select(
-        F.regexp_extract("metadata.http", r"page-id: (-?\d+)", 1).cast("long").alias("page_id"),
+        F.regexp_extract("metadata.http", r"page-id: (-?\d+)", 1).try_cast("long").alias("page_id"),
         F.col("response.id").alias("id"),
         F.col("response.type").alias("record_type"),
         F.col("response.refers_to").alias("target"),
         F.col("response.payload_bytes").alias("payload_bytes"),
         F.col("response.payload_digest").alias("payload_digest"),
     )
-    rows = persist(rows, "captures")  # read twice below, and far smaller than the archives
+    # Read twice below, and far smaller than the archives; rows that repeat an id are one capture.
+    one = rows.groupBy("id").agg(F.max(F.struct("payload_bytes", "payload_digest", "page_id", "record_type", "target")).alias("r"))
+    rows = persist(one.select("id", "r.*"), "captures")
     originals = rows.where("record_type = 'response'").select(F.col("id").alias("target"), F.col("page_id").alias("original"), F.col("payload_bytes").alias("b"), F.col("payload_digest").alias("d"))
     joined = rows.join(originals, "target", "left")
     return joined.select("page_id", F.coalesce("payload_bytes", "b").alias("payload_bytes"), F.coalesce("payload_digest", "d").alias("payload_digest"), "record_type", F.col("original").alias("refers_to"))
