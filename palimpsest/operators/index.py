@@ -69,8 +69,9 @@ class Index:
         named = embed(fresh.withColumn("id", F.xxhash64("chunk_hash")), embedder)
         named.select(*(F.col(c).cast(t) for c, t in ((f.name, f.dataType) for f in CHUNKS.fields))).write.mode("overwrite").parquet(f"{self.root}/{version}/batch={batch}")
 
-    def seen_hashes(self) -> DataFrame:
-        return self.chunks().select(F.explode("src_hashes").alias("content_hash")).distinct()
+    def seen_hashes(self, but: str = "") -> DataFrame:
+        """Content hashes of all batches but one: a batch that is replayed must not know itself."""
+        return self.chunks().where(F.col("batch") != but).select(F.explode("src_hashes").alias("content_hash")).distinct()
 
     def resplit(self, embedder: Embedder, threshold: int = 8000, limit: int = 2200) -> str:
         """A new version in which texts above the threshold are cut to the limit; the old one stays until then."""

@@ -40,11 +40,12 @@ def typed_chunks(rows: DataFrame, remapped: tuple[str, ...] = ("text", "clipboar
     return chunks_of(session_blocks(drop_consecutive(usable)), "typed")
 
 
-def run_once(spark: SparkSession, source: str, schema: StructType, index: Index, checkpoint: str, kind: str, to_chunks: Callable[[DataFrame], DataFrame], embedder: Embedder, files_per_batch: int = 1000) -> StreamingQuery:
+def run_once(spark: SparkSession, source: str, schema: StructType, index: Index, checkpoint: str, kind: str, to_chunks: Callable[[DataFrame, str], DataFrame], embedder: Embedder, files_per_batch: int = 1000) -> StreamingQuery:
     """Takes the files that have come since the last run."""
 
     def write(batch: DataFrame, number: int) -> None:
-        index.write_batch(f"{kind}-{number}", to_chunks(batch), embedder)
+        name = f"{kind}-{number}"
+        index.write_batch(name, to_chunks(batch, name), embedder)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -53,8 +54,8 @@ def run_once(spark: SparkSession, source: str, schema: StructType, index: Index,
 
 
 def ingest_frames(spark: SparkSession, source: str, index: Index, checkpoint: str, embedder: Embedder, **options) -> StreamingQuery:
-    return run_once(spark, source, FRAMES, index, checkpoint, "screen", lambda rows: screen_chunks(rows, index.seen_hashes()), embedder, **options)
+    return run_once(spark, source, FRAMES, index, checkpoint, "screen", lambda rows, batch: screen_chunks(rows, index.seen_hashes(batch)), embedder, **options)
 
 
 def ingest_typed(spark: SparkSession, source: str, index: Index, checkpoint: str, embedder: Embedder, **options) -> StreamingQuery:
-    return run_once(spark, source, TYPED, index, checkpoint, "typed", typed_chunks, embedder, **options)
+    return run_once(spark, source, TYPED, index, checkpoint, "typed", lambda rows, _: typed_chunks(rows), embedder, **options)
