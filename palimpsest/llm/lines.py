@@ -6,13 +6,15 @@ either, so lines meet at those words. Length, position and a parity bitmap of th
 that meet; the rest are verified on their whole word sets. A line is removed if an earlier line (by
 document, then by place) has the same set or a similar one, whether that line is removed or not.
 
-Edge cases: a null text has no lines and stays null; lines without words are never removed; equal
-lines, also in one document or in repeated rows, keep the first only (rows with one id count as one
-document whose texts follow each other in text order); an empty table gives an empty result; other columns stay.
+Edge cases: a null text has no lines and stays null; lines without words are never removed; a null id
+comes first; equal lines, also in one document or in repeated rows, keep the first only (rows with one
+id are ordered line by line, then by the lines' hashes); an empty table gives an empty result; other
+columns stay.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, mix64, partitions_for, persist
-from .words import HASHES, split
+from .common import drop_scratch, mix64, partitions_for, persist, release
+from .words import HASHES, encoded, split
 
 SIMILAR = 0.8
 #: Cells of the frequency sketch; a cell is one byte, an eighth of a binary logarithm a step.
@@ -34,15 +36,13 @@ WITNESSES = 12
 WORDS = 200_000
 
 
-def _chunks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, line number, words) per line with words, a bounded number of words at a time.
-
-    Yields flat arrays: row and number of each line, the line of each word, and the word hashes.
-    """
-    rows, numbers, sizes, hashes = [], [], [], []
+def _chunks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Lines that hold words, a bounded number of words at a time: the row and the number of each line,
+    where its words begin, and the hashes of its distinct words."""
+    rows, numbers, sizes, hashes = [], [], [], array("Q")
     for row, text in enumerate(texts):
-        for number, line in enumerate((text or "").split("\n")):
-            words = split(line)
+        for number, line in enumerate(encoded(text).split(b"\n")):
+            words = set(split(line))
             if words:
                 rows.append(row)
                 numbers.append(number)
@@ -50,21 +50,23 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, n
                 hashes.extend(map(HASHES.__getitem__, words))
                 if len(hashes) > WORDS:
                     yield _flat(rows, numbers, sizes, hashes)
-                    rows, numbers, sizes, hashes = [], [], [], []
+                    rows, numbers, sizes, hashes = [], [], [], array("Q")
     if rows:
         yield _flat(rows, numbers, sizes, hashes)
 
 
-def _flat(rows: list, numbers: list, sizes: list, hashes: list) -> tuple:
-    return np.array(rows), np.array(numbers), np.repeat(np.arange(len(sizes)), sizes), np.array(hashes, np.uint64)
+def _flat(rows: list, numbers: list, sizes: list, hashes: array) -> tuple:
+    return np.array(rows), np.array(numbers), np.cumsum([0, *sizes[:-1]]), np.frombuffer(hashes, np.uint64)
+
 
+def _keys(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """128 bits that name each line's set, whatever the order of its words; and the mixed words."""
+    mixed = mix64(words)
+    return np.add.reduceat(mixed, first), np.add.reduceat(mix64(mixed + np.uint64(0x9E3779B97F4A7C15)), first), mixed
 
-def _unique(line: np.ndarray, words: np.ndarray, *order: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Sorted by line, then ``order``, then word; each word of a line once."""
-    at = np.lexsort((words, *order, line))
-    line, words = line[at], words[at]
-    new = np.r_[True, (line[1:] != line[:-1]) | (words[1:] != words[:-1])]
-    return line[new], words[new]
+
+def _cell(words: np.ndarray) -> np.ndarray:
+    return (words & np.uint64(CELLS - 1)).astype(np.int64)
 
 
 def frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -77,9 +79,8 @@ def frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
         cells = np.zeros(CELLS, np.uint32)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
-                for _, _, line, words in _chunks(batch.column(0).slice(k, 256).to_pylist()):
-                    _, words = _unique(line, words)
-                    np.add.at(cells, (words % np.uint64(CELLS)).astype(np.int64), 1)
+                for _, _, _, words in _chunks(batch.column(0).slice(k, 256).to_pylist()):
+                    np.add.at(cells, _cell(words), 1)
         for k in range(0, CELLS, PART):
             used = np.flatnonzero(cells[k : k + PART])
             if len(used):
@@ -119,23 +120,21 @@ def prepare(docs: DataFrame, sketch: np.ndarray, text: str = "text") -> DataFram
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 ids, marks = part.column(0).to_pylist(), part.column(1).to_numpy()
-                for rows, numbers, line, words in _chunks(part.column(2).to_pylist()):
-                    line, words = _unique(line, words, rarity[(words % np.uint64(CELLS)).astype(np.int64)])
-                    first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
-                    size = np.diff(np.r_[first, len(line)])
-                    place = np.arange(len(line)) - np.repeat(first, size)
-                    prefix = size - -(-4 * size // 5) + 1
-                    seen = rarity[(words % np.uint64(CELLS)).astype(np.int64)]
-                    # A word that the sketch saw once is in no other line.
-                    use = (place < np.repeat(prefix, size)) & (seen > 1)
-                    mixed = mix64(words)
-                    key = np.add.reduceat(mixed, first)
-                    key2 = np.add.reduceat(mix64(mixed + np.uint64(0x9E3779B97F4A7C15)), first)
+                for rows, numbers, first, words in _chunks(part.column(2).to_pylist()):
+                    size = np.diff(np.r_[first, len(words)])
+                    line = np.repeat(np.arange(len(size)), size)
+                    key, key2, mixed = _keys(words, first)
                     bit = np.uint64(1) << (mixed & np.uint64(63))
                     side = (mixed >> np.uint64(6) & np.uint64(1)).astype(bool)
                     low = np.bitwise_xor.reduceat(np.where(side, np.uint64(0), bit), first)
                     high = np.bitwise_xor.reduceat(np.where(side, bit, np.uint64(0)), first)
-                    packed = np.stack([words[use].view(np.int64), place[use]], axis=1)
+                    seen = rarity[_cell(words)]
+                    at = np.lexsort((words, line.astype(np.int64) << 8 | seen))
+                    place = np.arange(len(words)) - np.repeat(first, size)
+                    prefix = size - -(-4 * size // 5) + 1
+                    # A word that the sketch saw once is in no other line.
+                    use = (place < np.repeat(prefix, size)) & (seen[at] > 1)
+                    packed = np.stack([(words[at][use] >> np.uint64(32)).astype(np.uint32).view(np.int32), place[use].astype(np.int32)], axis=1)
                     ends = np.cumsum(np.add.reduceat(use.astype(np.int64), first))
                     blobs = [packed[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays(
@@ -146,7 +145,9 @@ def prepare(docs: DataFrame, sketch: np.ndarray, text: str = "text") -> DataFram
     return docs.select("doc_id", "row", text).mapInArrow(run, LINES)
 
 
-PREFIX = "word long, place int, key long, key2 long, doc_id long, row long, number int, size int, low long, high long"
+#: A word is 32 bits of its hash here: others with the same bits are ruled out by the verification. A line is
+#: named by its document, its number and its key.
+PREFIX = "word int, place int, key long, doc_id long, number int, size int, low long, high long"
 
 
 def _prefixes(lines: DataFrame) -> DataFrame:
@@ -157,10 +158,10 @@ def _prefixes(lines: DataFrame) -> DataFrame:
             for k in range(0, batch.num_rows, 4096):
                 part = batch.slice(k, 4096)
                 blobs = [b.as_py() for b in part.column("words")]
-                pairs = np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 2)
-                owner = np.repeat(np.arange(len(blobs)), [len(b) // 16 for b in blobs])
-                rest = part.select(["key", "key2", "doc_id", "row", "number", "size", "low", "high"]).take(pa.array(owner))
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1].astype(np.int32)), *rest.columns], names=["word", "place", *rest.schema.names])
+                pairs = np.frombuffer(b"".join(blobs), np.int32).reshape(-1, 2)
+                owner = np.repeat(np.arange(len(blobs)), [len(b) // 8 for b in blobs])
+                rest = part.select(["key", "doc_id", "number", "size", "low", "high"]).take(pa.array(owner))
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *rest.columns], names=["word", "place", *rest.schema.names])
 
     return lines.where(F.length("words") > 0).mapInArrow(run, PREFIX)
 
@@ -174,7 +175,7 @@ def _may_match(size: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.nd
     return (np.minimum(size[i], size[j]) >= need) & (room + np.minimum(place[i], place[j]) >= need) & (apart <= total - 2 * need)
 
 
-PAIRS = "key long, key2 long, other long, other2 long, more boolean"
+PAIRS = "key long, doc_id long, number int, other long, other_doc long, other_number int, more boolean"
 
 
 def _candidates(prefixes: DataFrame) -> DataFrame:
@@ -185,7 +186,7 @@ def _candidates(prefixes: DataFrame) -> DataFrame:
     """
 
     def search(c: dict[str, np.ndarray]) -> Iterator[np.ndarray]:
-        order = np.lexsort((c["number"], c["row"], c["doc_id"], c["word"]))
+        order = np.lexsort((c["key"], c["number"], c["doc_id"], c["word"]))
         c = {k: v[order] for k, v in c.items()}
         word, n = c["word"], len(order)
         first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
@@ -217,7 +218,7 @@ def _candidates(prefixes: DataFrame) -> DataFrame:
             if hits:
                 found = np.concatenate(hits)
                 i, jj = found[:, 0], found[:, 1]
-                yield np.stack([c["key"][jj], c["key2"][jj], c["key"][i], c["key2"][i], more[jj - a].astype(np.int64)], axis=1)
+                yield np.stack([c["key"][jj], c["doc_id"][jj], c["number"][jj], c["key"][i], c["doc_id"][i], c["number"][i], more[jj - a].astype(np.int64)], axis=1)
 
     names = [x.split()[0] for x in PREFIX.split(", ")]
 
@@ -229,7 +230,8 @@ def _candidates(prefixes: DataFrame) -> DataFrame:
             t = pa.Table.from_batches(parts)
             for found in search({c: t.column(c).to_numpy() for c in names}):
                 found = np.unique(found, axis=0)
-                yield pa.RecordBatch.from_arrays([*(pa.array(found[:, k]) for k in range(4)), pa.array(found[:, 4].astype(bool))], names=[x.split()[0] for x in PAIRS.split(", ")])
+                kinds = [np.int64, np.int64, np.int32, np.int64, np.int64, np.int32, bool]
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, k].astype(t)) for k, t in enumerate(kinds)], names=[x.split()[0] for x in PAIRS.split(", ")])
 
         for batch in batches:
             if not batch.num_rows:
@@ -251,10 +253,11 @@ def _candidates(prefixes: DataFrame) -> DataFrame:
     return prefixes.repartition(n, "word").sortWithinPartitions("word").mapInArrow(meet, PAIRS)
 
 
-def _word_sets(docs: DataFrame, keys: DataFrame, text: str = "text") -> DataFrame:
-    """(key, key2, words) of the lines with one of ``keys``, and of a few others.
+def _word_sets(docs: DataFrame, lines: DataFrame, text: str = "text") -> DataFrame:
+    """(key, words) of the first lines with the keys of ``lines``, and of a few others.
 
-    The keys go to the tasks as a bitmap of fixed size; the join that follows is exact.
+    The keys go to the tasks as a bitmap of fixed size; the join that follows is exact. One line stands for
+    all with its set.
     """
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,46 +278,44 @@ def _word_sets(docs: DataFrame, keys: DataFrame, text: str = "text") -> DataFram
 
     schema = "part int, bits binary"
     wanted = np.zeros(FILTER // 8, np.uint8)
-    for r in keys.select("key").mapInArrow(fill, schema).groupBy("part").applyInArrow(merge, schema).collect():
+    for r in lines.select("key").mapInArrow(fill, schema).groupBy("part").applyInArrow(merge, schema).collect():
         wanted[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["bits"], np.uint8)
     broadcast = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = broadcast.value
-        done: set[int] = set()
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
-                for _, _, line, words in _chunks(batch.column(0).slice(k, 256).to_pylist()):
-                    line, words = _unique(line, words)
-                    first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
-                    mixed = mix64(words)
-                    key = np.add.reduceat(mixed, first)
-                    key2 = np.add.reduceat(mix64(mixed + np.uint64(0x9E3779B97F4A7C15)), first)
+                part = batch.slice(k, 256)
+                ids = part.column(0).to_pylist()
+                for rows, numbers, first, words in _chunks(part.column(1).to_pylist()):
+                    key = _keys(words, first)[0]
                     at = (key % np.uint64(FILTER)).astype(np.int64)
-                    pick = np.flatnonzero(bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
-                    ends = np.r_[first, len(line)]
-                    pick = [p for p in pick.tolist() if int(key[p]) not in done]
-                    if len(done) < 1_000_000:
-                        done.update(int(key[p]) for p in pick)
-                    values = words.view(np.int64)
+                    pick = np.flatnonzero(bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).tolist()
+                    ends, values = np.r_[first, len(words)], words.view(np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(key[pick].view(np.int64)), pa.array(key2[pick].view(np.int64)), pa.array([values[ends[p] : ends[p + 1]] for p in pick], pa.list_(pa.int64()))],
-                        names=["key", "key2", "words"],
+                        [pa.array(key[pick].view(np.int64)), pa.array([ids[rows[p]] for p in pick], pa.int64()), pa.array(numbers[pick].astype(np.int32)), pa.array([values[ends[p] : ends[p + 1]] for p in pick], pa.list_(pa.int64()))],
+                        names=["key", "doc_id", "number", "words"],
                     )
 
-    sets = docs.select(text).mapInArrow(run, "key long, key2 long, words array<long>")
-    return sets.join(keys, ["key", "key2"], "left_semi").dropDuplicates(["key", "key2"])
+    sets = docs.select("doc_id", text).mapInArrow(run, "key long, doc_id long, number int, words array<long>")
+    # The first line of a set alone is asked for: its copies end here.
+    return sets.join(lines, NAME, "left_semi").dropDuplicates(NAME)
+
+
+NAME = ["key", "doc_id", "number"]
+OTHER = ["other", "other_doc", "other_number"]
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The (key, key2) of pairs whose word sets have the similarity."""
-    keys = pairs.select("key", "key2").unionByName(pairs.select(F.col("other").alias("key"), F.col("other2").alias("key2"))).distinct()
-    sets = persist(_word_sets(docs, persist(keys, "keys")), "sets")
+def _verified(docs: DataFrame, pairs: DataFrame, text: str) -> DataFrame:
+    """The lines of the pairs whose word sets have the similarity."""
+    lines = pairs.select(*NAME).unionByName(pairs.select(*(F.col(o).alias(n) for n, o in zip(NAME, OTHER, strict=True)))).distinct()
+    sets = persist(_word_sets(docs, persist(lines, "asked"), text), "sets")
     a = sets.withColumnRenamed("words", "a")
-    b = sets.select(F.col("key").alias("other"), F.col("key2").alias("other2"), F.col("words").alias("b"))
+    b = sets.select(*(F.col(n).alias(o) for n, o in zip(NAME, OTHER, strict=True)), F.col("words").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
-    found = pairs.join(a, ["key", "key2"]).join(b, ["other", "other2"])
-    return found.where(9 * both >= 4 * (F.size("a") + F.size("b"))).select("key", "key2").distinct()
+    found = pairs.join(a, NAME).join(b, OTHER)
+    return found.where(9 * both >= 4 * (F.size("a") + F.size("b"))).select(*NAME).distinct()
 
 
 def _with_rows(docs: DataFrame, text: str) -> DataFrame:
@@ -324,36 +325,40 @@ def _with_rows(docs: DataFrame, text: str) -> DataFrame:
 
 def removals(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, row, number) of every line to remove; see ``_with_rows`` for ``row``."""
-    base = _with_rows(docs.select("doc_id", text), text)
-    lines = persist(prepare(base, frequencies(base, text), text), "lines")
-    place = F.struct("doc_id", "row", "number", "size", "words", "low", "high")
-    distinct = lines.groupBy("key", "key2").agg(F.min(place).alias("first")).select("key", "key2", "first.*")
-    distinct = persist(distinct, "distinct")
+    spark = docs.sparkSession
+    order = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    base = _with_rows(docs.select(order.alias("doc_id"), text), text)
+    wide = persist(prepare(base, frequencies(base, text), text), "wide")
+    place = F.struct("doc_id", "number", "row", "size", "words", "low", "high")
+    distinct = persist(wide.groupBy("key", "key2").agg(F.min(place).alias("first")).select("key", "key2", "first.*"), "distinct")
+    lines = persist(wide.select("key", "key2", "doc_id", "row", "number"), "lines")
+    drop_scratch(spark, wide)
+    release(spark)
     pairs = persist(_candidates(_prefixes(distinct)), "pairs")
-    similar = _verified(base, pairs.select("key", "key2", "other", "other2").distinct())
-    similar = persist(similar, "similar")
-    left = persist(pairs.where("more").select("key", "key2").distinct().join(similar, ["key", "key2"], "left_anti"), "left")
+    release(spark)
+    similar = persist(_verified(base, pairs.select(*NAME, *OTHER).distinct(), text), "similar")
+    left = persist(pairs.where("more").select(*NAME).distinct().join(similar, NAME, "left_anti"), "left")
     if not left.isEmpty():
-        similar = similar.unionByName(_verified(base, persist(_all_candidates(distinct, left), "rest")))
-    drop_scratch(docs.sparkSession, pairs)
+        similar = similar.unionByName(_verified(base, persist(_all_candidates(distinct, left), "rest"), text))
     firsts = distinct.select("key", "key2", F.col("doc_id").alias("d"), F.col("row").alias("r"), F.col("number").alias("k"))
-    later = lines.join(firsts, ["key", "key2"]).where(~((F.col("doc_id").eqNullSafe(F.col("d"))) & (F.col("row") == F.col("r")) & (F.col("number") == F.col("k")))).select("doc_id", "row", "number")
-    alike = distinct.join(similar, ["key", "key2"], "left_semi").select("doc_id", "row", "number")
-    return later.unionByName(alike)
+    later = lines.join(firsts, ["key", "key2"]).where((F.col("doc_id") != F.col("d")) | (F.col("row") != F.col("r")) | (F.col("number") != F.col("k"))).select("doc_id", "row", "number")
+    alike = distinct.join(similar, NAME, "left_semi").select("doc_id", "row", "number")
+    gone = persist(later.unionByName(alike), "gone")
+    for done in (pairs, lines, distinct):
+        drop_scratch(spark, done)
+    release(spark)
+    return gone
 
 
 def _all_candidates(distinct: DataFrame, left: DataFrame) -> DataFrame:
     """Every earlier line that may match one of ``left``: the exact way for lines with many candidates."""
-    rows = _prefixes(distinct)
-    own = _prefixes(distinct.join(left, ["key", "key2"], "left_semi"))
-    mine, theirs = own.alias("m"), rows.alias("t")
-    c = lambda x: F.col(x)
-    total = c("m.size") + c("t.size")
+    mine, theirs = _prefixes(distinct.join(left, NAME, "left_semi")).alias("m"), _prefixes(distinct).alias("t")
+    total = F.col("m.size") + F.col("t.size")
     need = F.ceil(4 * total / 9)
-    before = F.struct("t.doc_id", "t.row", "t.number") < F.struct("m.doc_id", "m.row", "m.number")
-    apart = F.bit_count(c("m.low").bitwiseXOR(c("t.low"))) + F.bit_count(c("m.high").bitwiseXOR(c("t.high")))
-    met = mine.join(theirs, c("m.word") == c("t.word")).where(before & (F.least("m.size", "t.size") >= need) & (apart <= total - 2 * need))
-    return met.select(c("m.key").alias("key"), c("m.key2").alias("key2"), c("t.key").alias("other"), c("t.key2").alias("other2")).distinct()
+    before = F.struct("t.doc_id", "t.number", "t.key") < F.struct("m.doc_id", "m.number", "m.key")
+    apart = F.bit_count(F.col("m.low").bitwiseXOR(F.col("t.low"))) + F.bit_count(F.col("m.high").bitwiseXOR(F.col("t.high")))
+    met = mine.join(theirs, F.col("m.word") == F.col("t.word")).where(before & (F.least("m.size", "t.size") >= need) & (apart <= total - 2 * need))
+    return met.select(*(F.col(f"m.{n}").alias(n) for n in NAME), *(F.col(f"t.{n}").alias(o) for n, o in zip(NAME, OTHER, strict=True))).distinct()
 
 
 def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -362,7 +367,8 @@ def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     own = docs.withColumnRenamed("row", "__row") if "row" in docs.columns else docs
     marked = _with_rows(own, text)
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("row").alias("__r"), "__gone")
-    joined = marked.join(gone, marked["doc_id"].eqNullSafe(F.col("__id")) & (marked["row"] == F.col("__r")), "left").drop("__id", "__r", "row")
+    order = F.coalesce(marked["doc_id"].cast("long"), F.lit(-(1 << 63)))
+    joined = marked.join(gone, (order == F.col("__id")) & (marked["row"] == F.col("__r")), "left").drop("__id", "__r", "row")
     kept = [c for c in joined.columns if c not in ("__gone", "n_lines", "n_removed")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.select(kept).schema), "n_lines long", "n_removed long"])
 
@@ -373,7 +379,7 @@ def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
                 value, out = value.as_py(), set(gone_.as_py() or ())
                 parts = [] if value is None else value.split("\n")
                 texts.append(value if not out else "\n".join(x for k, x in enumerate(parts) if k not in out))
-                counts.append(sum(1 for x in parts if split(x)))
+                counts.append(sum(1 for x in parts if x.strip(" \t\n\v\f\r")))
                 drops.append(len(out))
             new = {text: pa.array(texts, pa.string()), "n_lines": pa.array(counts, pa.int64()), "n_removed": pa.array(drops, pa.int64())}
             names = [*kept, "n_lines", "n_removed"]

@@ -13,6 +13,7 @@ other and lose every window; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64, partitions_for, persist
-from .words import HASHES, split
+from .words import HASHES, encoded, split
 
 WINDOW, GRAM = 35, 8
 #: Cells of a sketch row (a power of two) and rows; only "once" and "more" are told apart.
@@ -34,16 +35,16 @@ _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 def _chunks(texts: Iterator[str | None]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
     """(rows, the row of each word, word hashes) of whole texts, about ``WORDS`` words at a time."""
-    sizes, hashes, first = [], [], 0
+    sizes, hashes, first = [], array("Q"), 0
     for row, text in enumerate(texts):
-        words = split(text) if text else []
+        words = split(encoded(text))
         sizes.append(len(words))
         hashes.extend(map(HASHES.__getitem__, words))
         if len(hashes) >= WORDS:
-            yield first, np.repeat(np.arange(len(sizes)), sizes), np.array(hashes, np.uint64)
-            sizes, hashes, first = [], [], row + 1
+            yield first, np.repeat(np.arange(len(sizes)), sizes), np.frombuffer(hashes, np.uint64)
+            sizes, hashes, first = [], array("Q"), row + 1
     if hashes:
-        yield first, np.repeat(np.arange(len(sizes)), sizes), np.array(hashes, np.uint64)
+        yield first, np.repeat(np.arange(len(sizes)), sizes), np.frombuffer(hashes, np.uint64)
 
 
 def _rolling(words: np.ndarray, width: int, base: np.uint64) -> np.ndarray:
@@ -249,7 +250,7 @@ def repeated_ranges(docs: DataFrame, text: str = "text") -> DataFrame:
     return _repeated(_segments(marked, sketch(docs, text), text))
 
 
-def remove(words: list[str], ranges: list[tuple[int, int]]) -> list[str]:
+def remove(words: list[bytes], ranges: list[tuple[int, int]]) -> list[bytes]:
     """``words`` without those in a window that starts in one of ``ranges`` (start, number)."""
     gone = np.zeros(len(words) + 1, np.int32)
     for start, n in ranges:
@@ -272,11 +273,11 @@ def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
                 part = batch.slice(k, 256)
                 totals, kepts = [], []
                 for value, found in zip(part.column(1), part.column(2).to_pylist(), strict=True):
-                    words = split(value.as_py() or "")
+                    words = split(encoded(value.as_py()))
                     totals.append(len(words))
                     kepts.append(remove(words, [(r["start"], r["n"]) for r in found]) if found else words)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(totals, pa.int64()), pa.array([t - len(x) for t, x in zip(totals, kepts, strict=True)], pa.int64()), pa.array([" ".join(x) for x in kepts], pa.string())],
+                    [part.column(0), pa.array(totals, pa.int64()), pa.array([t - len(x) for t, x in zip(totals, kepts, strict=True)], pa.int64()), pa.array([b" ".join(x).decode("utf-8", "surrogatepass") for x in kepts], pa.string())],
                     names=["doc_id", "n_words", "n_removed", "kept"],
                 )
 
