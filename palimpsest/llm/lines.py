@@ -29,7 +29,7 @@ SIMILAR = 0.8
 #: Cells of the frequency sketch; a cell is one byte, an eighth of a binary logarithm a step.
 CELLS = 1 << 22
 PART = 1 << 16
-#: Bits of the filter that selects lines for verification; it lets a few others through.
+#: Bits of the filters that select lines for verification, or words; they let a few others through.
 FILTER = 1 << 25
 #: Earliest candidates of a line that one word's run passes on; lines with more are looked at again if none of them holds.
 WITNESSES = 12
@@ -150,8 +150,9 @@ def prepare(docs: DataFrame, sketch: np.ndarray, text: str = "text") -> DataFram
 PREFIX = "word int, place int, key long, doc_id long, number int, size int, low long, high long"
 
 
-def _prefixes(lines: DataFrame) -> DataFrame:
-    """One row per line and usable prefix word."""
+def _prefixes(lines: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
+    """One row per line and usable prefix word; with a bitmap, of its words and a few others only."""
+    broadcast = lines.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,6 +161,9 @@ def _prefixes(lines: DataFrame) -> DataFrame:
                 blobs = [b.as_py() for b in part.column("words")]
                 pairs = np.frombuffer(b"".join(blobs), np.int32).reshape(-1, 2)
                 owner = np.repeat(np.arange(len(blobs)), [len(b) // 8 for b in blobs])
+                if broadcast.value is not None:
+                    asked = _in_bitmap(broadcast.value, pairs[:, 0])
+                    pairs, owner = pairs[asked], owner[asked]
                 rest = part.select(["key", "doc_id", "number", "size", "low", "high"]).take(pa.array(owner))
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *rest.columns], names=["word", "place", *rest.schema.names])
 
@@ -253,20 +257,16 @@ def _candidates(prefixes: DataFrame) -> DataFrame:
     return prefixes.repartition(n, "word").sortWithinPartitions("word").mapInArrow(meet, PAIRS)
 
 
-def _word_sets(docs: DataFrame, lines: DataFrame, text: str = "text") -> DataFrame:
-    """(key, words) of the first lines with the keys of ``lines``, and of a few others.
-
-    The keys go to the tasks as a bitmap of fixed size; the join that follows is exact. One line stands for
-    all with its set.
-    """
+def _bitmap(values: DataFrame) -> np.ndarray:
+    """The values of one column of integers as set bits, modulo a fixed size; merged by bit ranges."""
+    schema = "part int, bits binary"
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.unique(batch.column(0).to_numpy().view(np.uint64) % np.uint64(FILTER)).astype(np.int64)
+            at = np.unique(batch.column(0).to_numpy().astype(np.int64).view(np.uint64) % np.uint64(FILTER)).astype(np.int64)
             for part in np.unique(at // (8 * PART)):
-                inside = at[at // (8 * PART) == part] - part * 8 * PART
                 bits = np.zeros(8 * PART, bool)
-                bits[inside] = True
+                bits[at[at // (8 * PART) == part] - part * 8 * PART] = True
                 yield pa.RecordBatch.from_arrays([pa.array([int(part)], pa.int32()), pa.array([np.packbits(bits).tobytes()])], names=["part", "bits"])
 
     def merge(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,10 +276,25 @@ def _word_sets(docs: DataFrame, lines: DataFrame, text: str = "text") -> DataFra
                 total |= np.frombuffer(bits.as_py(), np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()])], names=["part", "bits"])
 
-    schema = "part int, bits binary"
-    wanted = np.zeros(FILTER // 8, np.uint8)
-    for r in lines.select("key").mapInArrow(fill, schema).groupBy("part").applyInArrow(merge, schema).collect():
-        wanted[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["bits"], np.uint8)
+    out = np.zeros(FILTER // 8, np.uint8)
+    for r in values.mapInArrow(fill, schema).groupBy("part").applyInArrow(merge, schema).collect():
+        out[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = (values.astype(np.int64).view(np.uint64) % np.uint64(FILTER)).astype(np.int64)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _word_sets(docs: DataFrame, lines: DataFrame, text: str = "text") -> DataFrame:
+    """(key, words) of the first lines with the keys of ``lines``, and of a few others.
+
+    The keys go to the tasks as a bitmap of fixed size; the join that follows is exact. One line stands for
+    all with its set.
+    """
+
+    wanted = _bitmap(lines.select("key"))
     broadcast = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,8 +305,7 @@ def _word_sets(docs: DataFrame, lines: DataFrame, text: str = "text") -> DataFra
                 ids = part.column(0).to_pylist()
                 for rows, numbers, first, words in _chunks(part.column(1).to_pylist()):
                     key = _keys(words, first)[0]
-                    at = (key % np.uint64(FILTER)).astype(np.int64)
-                    pick = np.flatnonzero(bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).tolist()
+                    pick = np.flatnonzero(_in_bitmap(bits, key.view(np.int64))).tolist()
                     ends, values = np.r_[first, len(words)], words.view(np.int64)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(key[pick].view(np.int64)), pa.array([ids[rows[p]] for p in pick], pa.int64()), pa.array(numbers[pick].astype(np.int32)), pa.array([values[ends[p] : ends[p + 1]] for p in pick], pa.list_(pa.int64()))],
@@ -352,7 +366,8 @@ def removals(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def _all_candidates(distinct: DataFrame, left: DataFrame) -> DataFrame:
     """Every earlier line that may match one of ``left``: the exact way for lines with many candidates."""
-    mine, theirs = _prefixes(distinct.join(left, NAME, "left_semi")).alias("m"), _prefixes(distinct).alias("t")
+    own = persist(_prefixes(distinct.join(left, NAME, "left_semi")), "own")
+    mine, theirs = own.alias("m"), _prefixes(distinct, _bitmap(own.select("word"))).alias("t")
     total = F.col("m.size") + F.col("t.size")
     need = F.ceil(4 * total / 9)
     before = F.struct("t.doc_id", "t.number", "t.key") < F.struct("m.doc_id", "m.number", "m.key")
