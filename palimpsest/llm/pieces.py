@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-#: Distinct words that a task remembers; longer words are not remembered.
-CACHED, LONGEST = 400_000, 64
+#: Distinct words that a worker remembers; longer words are not remembered.
+CACHED, LONGEST = 800_000, 64
 CODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -134,14 +134,22 @@ def merge_words(model: PieceModel, words: list[str]) -> list[list[int]]:
         symbols, word, at = symbols[alive], word[alive], at[alive]
     symbols, word, at = (np.concatenate([*done, rest]) for done, rest in ((done_symbols, symbols), (done_word, word), (done_at, at)))
     order = np.argsort(at, kind="stable")
-    out: list[list[int]] = [[] for _ in words]
+    symbols, word, at = symbols[order], word[order], at[order]
     limit = len(model.pieces)
-    for s, w, a in zip(symbols[order].tolist(), word[order].tolist(), at[order].tolist(), strict=True):
-        if s < limit:
-            out[w].append(s)
-        else:
-            out[w].extend(model.byte_ids[list(flat[a].encode("utf-8", "surrogatepass"))].tolist())
-    return out
+    if (odd := np.flatnonzero(symbols >= limit)).size:
+        # Characters that are no pieces become the pieces of their bytes.
+        raw = {c: model.byte_ids[list(c.encode("utf-8", "surrogatepass"))].tolist() for c in {flat[k] for k in at[odd].tolist()}}
+        spelt = {k: raw[flat[a]] for k, a in zip(odd.tolist(), at[odd].tolist(), strict=True)}
+        ids, owner = [], []
+        for k, (i, w) in enumerate(zip(symbols.tolist(), word.tolist(), strict=True)):
+            new = spelt.get(k) or [i]
+            ids.extend(new)
+            owner.extend([w] * len(new))
+        word = np.array(owner)
+    else:
+        ids = symbols.tolist()
+    ends = np.searchsorted(word, np.arange(len(words)), "right").tolist()
+    return [ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 class Codec:
@@ -150,18 +158,38 @@ class Codec:
     def __init__(self, path: str | None = None) -> None:
         self.model = PieceModel(path or model_path())
         self.known: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
         word = f"{SPACE}*[^{SPACE}\n]+|\n|{SPACE}+" if self.model.newline_alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+"
         self.cut = (lambda t: [t] if t else []) if self.model.crossed else re.compile(word).findall
+        self.simple = self.model.newline_alone and not self.model.crossed
 
     def words(self, text: str) -> list[str]:
-        """Spaces become the model's space mark, and one is put in front."""
-        return self.cut(SPACE + text.replace(" ", SPACE)) if text else []
+        """Words that no piece crosses. One that begins with neither mark nor line end follows a space.
+
+        Spaces become the model's space mark, and one is put in front.
+        """
+        if not text:
+            return []
+        if not self.simple or SPACE in text or "\0" in text or "  " in text or "\n " in text or " \n" in text or text[0] == " " or text[-1] == " ":
+            return [w if w[0] == SPACE or w[0] == "\n" else f"\0{w}" for w in self.cut(SPACE + text.replace(" ", SPACE))]
+        # Single spaces only: each word is remembered without its mark, and line starts with their line end.
+        return text.replace("\n", " \n").split(" ")
+
+    @staticmethod
+    def spelling(word: str) -> str:
+        if word[:1] == "\0":
+            return word[1:]
+        return word if word[:1] in (SPACE, "\n") else SPACE + word
 
     def learn(self, texts: list[list[str]]) -> None:
-        if len(self.known) > CACHED:
-            self.known.clear()
-        new = list({w for words in texts for w in words if w not in self.known})
-        self.known.update(zip(new, merge_words(self.model, new), strict=True))
+        """Makes all words known. What has not been met since the memory last filled up is forgotten."""
+        if len(self.known) > CACHED // 2:
+            self.known, self.older = {}, self.known
+        missing = {w for words in texts for w in words if w not in self.known}
+        again = missing & self.older.keys()
+        self.known.update((w, self.older[w]) for w in again)
+        new = list(missing - again)
+        self.known.update(zip(new, merge_words(self.model, list(map(self.spelling, new))), strict=True))
         self.long = [w for w in new if len(w) > LONGEST]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
