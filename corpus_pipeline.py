@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import lines, packing, pii, quality, simhash
+from palimpsest.llm import lines, packing, pii, quality, resemblance
 from palimpsest.llm.common import persist
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Near duplicates are judged on shingles of five words.
+#: Near duplicates are judged on sets of shingles of five words: a Jaccard similarity of 0.8 or more.
 SHINGLE = 5
 
 
@@ -34,7 +34,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each group of near duplicates."""
-    groups = simhash.near_duplicates(docs, SHINGLE)
+    groups = resemblance.near_duplicates(docs, SHINGLE)
     first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     return docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
 

@@ -15,7 +15,7 @@ columns stay.
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,8 +69,12 @@ def _cell(words: np.ndarray) -> np.ndarray:
     return (words & np.uint64(CELLS - 1)).astype(np.int64)
 
 
-def frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """The sketch of how many lines a word is in, as logarithmic bytes; its size is fixed.
+def _line_words(texts: list[str | None]) -> Iterator[np.ndarray]:
+    return (words for _, _, _, words in _chunks(texts))
+
+
+def frequencies(docs: DataFrame, text: str = "text", sets: Callable[[list[str | None]], Iterator[np.ndarray]] = _line_words) -> np.ndarray:
+    """The sketch of how many sets (lines, unless told otherwise) a word is in, as logarithmic bytes; its size is fixed.
 
     Partition sketches are merged by cell ranges, so that each reducer holds one range.
     """
@@ -79,7 +83,7 @@ def frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
         cells = np.zeros(CELLS, np.uint32)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
-                for _, _, _, words in _chunks(batch.column(0).slice(k, 256).to_pylist()):
+                for words in sets(batch.column(0).slice(k, 256).to_pylist()):
                     np.add.at(cells, _cell(words), 1)
         for k in range(0, CELLS, PART):
             used = np.flatnonzero(cells[k : k + PART])

@@ -38,20 +38,26 @@ BLOCK = 1024
 SMALL_RUN = 8
 
 
-def fingerprint(text: str, width: int = SHINGLE) -> int:
-    """The SimHash of a text's word shingles; equal shingles count as often as they occur."""
+def shingles(text: str, width: int = SHINGLE) -> np.ndarray:
+    """Hashes of a text's word shingles in their order; a shorter text is one shingle, one without words has none."""
     from xxhash import xxh64_intdigest
 
     flat = b" ".join(text.encode().lower().split())
     if not flat:
-        return 0
+        return np.zeros(0, np.uint64)
     spaces = np.flatnonzero(np.frombuffer(flat, np.uint8) == 32)
     if len(spaces) < width:
-        hashes = np.array([xxh64_intdigest(flat, SEED)], np.uint64)
-    else:
-        starts = [0, *(spaces + 1).tolist()]
-        ends = [*spaces.tolist(), len(flat)][width - 1 :]
-        hashes = np.array([xxh64_intdigest(flat[a:b], SEED) for a, b in zip(starts, ends, strict=False)], np.uint64)
+        return np.array([xxh64_intdigest(flat, SEED)], np.uint64)
+    starts = [0, *(spaces + 1).tolist()]
+    ends = [*spaces.tolist(), len(flat)][width - 1 :]
+    return np.array([xxh64_intdigest(flat[a:b], SEED) for a, b in zip(starts, ends, strict=False)], np.uint64)
+
+
+def fingerprint(text: str, width: int = SHINGLE) -> int:
+    """The SimHash of a text's word shingles; equal shingles count as often as they occur."""
+    hashes = shingles(text, width)
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 255):
         bits = np.unpackbits(hashes[k : k + 255].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
