@@ -196,26 +196,122 @@ def against_next(docs: DataFrame) -> DataFrame:
 
 
 #: Bits of a band, bands, and the likeness that makes a link.
-BAND_BITS, BANDS, LIKE = 28, 48, 0.8
+BAND_BITS, BANDS, LIKE = 28, 128, 0.8
+#: Buckets of up to so many fingerprints give all their pairs; larger ones are searched with the fingerprints at hand.
+SMALL_BUCKET = 8
 
 
-def classes(prints: DataFrame, least: float = LIKE) -> DataFrame:
-    """(doc_id, class_id) from (doc_id, fingerprint): bit-sampled bands, verification, components.
+def bands() -> np.ndarray:
+    """The places of each band's bits."""
+    rng = np.random.RandomState(SEED % (1 << 32))
+    return np.array([sorted(rng.choice(BITS, BAND_BITS, replace=False).tolist()) for _ in range(BANDS)])
+
 
-    Equal fingerprints are one node. Each member of a band's bucket is compared with the bucket's least
-    and greatest fingerprint, so a bucket of n makes 2n candidates; what two buckets share joins them.
+def _keys(nodes: DataFrame) -> DataFrame:
+    """(key, node) for each band of each fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = bands()
+        weight = np.int64(1) << np.arange(BAND_BITS, dtype=np.int64)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                raw = np.frombuffer(bytes.fromhex("".join(part.column(1).to_pylist())), np.uint8).reshape(-1, BITS // 8)
+                bits = np.unpackbits(raw, axis=1)
+                keys = [bits[:, at].astype(np.int64) @ weight | band << BAND_BITS for band, at in enumerate(places)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(part.column(0).to_numpy(), BANDS))], names=["key", "node"])
+
+    return nodes.select("node", "fingerprint").mapInArrow(run, "key long, node long")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by ``key`` in tables that hold whole runs."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column("key").to_numpy()
+        if held and held[-1].column("key")[-1].as_py() != key[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        cut = int(np.searchsorted(key, key[-1]))
+        if cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, key): all pairs of small buckets, and nulls with the key of a larger one."""
+    for table in _runs(batches):
+        key, node = table.column("key").to_numpy(), table.column("node").to_numpy()
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[first, len(key)])
+        left = np.repeat(np.where(size > SMALL_BUCKET, 0, size), size) - (np.arange(len(key)) - np.repeat(first, size))
+        for step in range(1, SMALL_BUCKET):
+            at = np.flatnonzero(left > step)
+            found = np.sort(np.stack([node[at], node[at + step]], axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.nulls(len(at), pa.int64())], names=["a", "b", "key"])
+        large = key[first[size > SMALL_BUCKET]]
+        none = pa.nulls(len(large), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, pa.array(large)], names=["a", "b", "key"])
+
+
+def _spans(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) that span what is alike in each bucket: each found member is searched from once."""
+    for table in _runs(batches):
+        key, node = table.column("key").to_numpy(), table.column("node").to_numpy()
+        bits = np.frombuffer(bytes.fromhex("".join(table.column("fingerprint").to_pylist())), np.uint64).reshape(-1, BITS // 64)
+        cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            rest, a, b = np.arange(lo, hi), [], []
+            while len(rest):
+                queue, rest = [rest[0]], rest[1:]
+                while queue and len(rest):
+                    at = queue.pop()
+                    close = np.bitwise_count(bits[rest] ^ bits[at]).sum(axis=1, dtype=np.int64) <= most
+                    found, rest = rest[close], rest[~close]
+                    a += [node[at]] * len(found)
+                    b += node[found].tolist()
+                    queue.extend(found)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def labels(prints: DataFrame, least: float = LIKE) -> DataFrame:
+    """(fingerprint, class_id) of the distinct fingerprints: bit-sampled bands, verification, components.
+
+    Each bucket of a band is searched completely: a small one by all its pairs, a large one by a search
+    that spans what is alike in it, so that large groups of near copies make few links.
     """
-    nodes = persist(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "prints")
-    rng = np.random.RandomState(SEED % (1 << 32))
-    bands = [sorted(rng.choice(BITS, BAND_BITS, replace=False).tolist()) for _ in range(BANDS)]
-    digit = lambda b: F.substring("fingerprint", b // 4 + 1, 1)
-    bit = lambda b: F.shiftright(F.conv(digit(b), 16, 10).cast("int"), 3 - b % 4).bitwiseAND(1).cast("string")
-    keys = nodes.select("fingerprint", F.posexplode(F.array(*(F.concat(*map(bit, band)) for band in bands))).alias("band", "key"))
-    ends = keys.groupBy("band", "key").agg(F.min("fingerprint").alias("lo"), F.max("fingerprint").alias("hi")).where("lo <> hi")
-    pairs = keys.join(ends, ["band", "key"]).select("fingerprint", F.explode(F.array("lo", "hi")).alias("other")).where("fingerprint <> other").distinct()
+    n = partitions_for(prints.sparkSession)
+    distinct = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
+    nodes = persist(distinct.withColumn("node", F.monotonically_increasing_id()), "prints")
+    most = int(np.floor(BITS * (1 - least) / 2 + 1e-9))
+    met = persist(_keys(nodes).repartition(n, "key").sortWithinPartitions("key").mapInArrow(_pairs, "a long, b long, key long").distinct(), "pairs")
     part = lambda c, k: F.conv(F.substring(c, 16 * k + 1, 16), 16, -10).cast("long")
-    apart = sum((F.bit_count(part("fingerprint", k).bitwiseXOR(part("other", k))) for k in range(BITS // 64)), F.lit(0))
-    linked = pairs.where(1 - 2 * apart / BITS >= least)
-    roots = nodes.join(components(linked), nodes.fingerprint == F.col("node"), "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
+    apart = sum((F.bit_count(part("x", k).bitwiseXOR(part("y", k))) for k in range(BITS // 64)), F.lit(0))
+    pairs = met.where("key IS NULL").select("a", "b")
+    sides = nodes.select("node", "fingerprint")
+    links = pairs.join(sides.toDF("a", "x"), "a").join(sides.toDF("b", "y"), "b").where(apart <= most).select("a", "b")
+    large = met.where("key IS NOT NULL").select("key")
+    if not large.isEmpty():
+        rows = _keys(nodes).join(large, "key", "left_semi").join(sides, "node").select("key", "node", "fingerprint")
+        spans = rows.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(lambda batches: _spans(batches, most), "a long, b long")
+        links = links.unionByName(spans.distinct())
+    found = components(links)
+    roots = nodes.join(found, "node", "left").select("fingerprint", "least", F.coalesce("root", "node").alias("root"))
     named = roots.groupBy("root").agg(F.min("least").alias("class_id"))
-    return prints.join(roots.join(named, "root").select("fingerprint", "class_id"), "fingerprint").select("doc_id", "class_id")
+    return roots.join(named, "root").select("fingerprint", "class_id")
+
+
+def classes(prints: DataFrame, least: float = LIKE) -> DataFrame:
+    """(doc_id, class_id) from (doc_id, fingerprint); the class is its least id."""
+    return prints.join(labels(prints, least), "fingerprint").select("doc_id", "class_id")
+
+
+def classified(docs: DataFrame) -> DataFrame:
+    """``against_next`` with the class of each document's fingerprint."""
+    prints = persist(against_next(docs), "fingerprinted")
+    return prints.join(labels(prints), "fingerprint").select(*prints.columns, "class_id")
