@@ -2,19 +2,20 @@
 
 Lines are sets of words. Words are ordered by rarity (a fixed-size sketch of their frequencies, then
 their hash); two lines with a Jaccard similarity of 0.8 or more share a word among the first few of
-either, so lines meet at those words. Length, position and a parity bitmap of the words rule out most
-that meet; the rest are verified on their whole word sets. A line is removed if an earlier line (by
-document, then by place) has the same set or a similar one, whether that line is removed or not.
+either, so lines meet at those words. Their first shared word may be a frequent one: then they share
+two, and lines meet at pairs of frequent words, so that runs of such words stay short. Length, position
+and a parity bitmap of the words rule out most that meet; the rest are verified on their whole word
+sets. A line is removed if an earlier line (by document, then by place) has the same set or a similar
+one, whether that line is removed or not.
 
 Edge cases: a null text has no lines and stays null; lines without words are never removed; a null id
 comes first; equal lines, also in one document or in repeated rows, keep the first only (rows with one
-id are ordered line by line, then by the lines' hashes); an empty table gives an empty result; other
-columns stay.
+id are ordered line by line, then by the text's hash; of rows with one id and one text all but one lose
+every line that holds words); an empty table gives an empty result; other columns stay.
 """
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,41 +23,78 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, mix64, partitions_for, persist, release
-from .words import HASHES, encoded, split
+from .common import drop_scratch, mix64, persist, release
+from .parcels import PARCEL, binary, deal, delivered, each, opened, parcels_for
+from .words import encoded, hashed
 
 SIMILAR = 0.8
 #: Cells of the frequency sketch; a cell is one byte, an eighth of a binary logarithm a step.
 CELLS = 1 << 22
 PART = 1 << 16
-#: Bits of the filters that select lines for verification, or words; they let a few others through.
-FILTER = 1 << 25
-#: Earliest candidates of a line that one word's run passes on; lines with more are looked at again if none of them holds.
+#: Bits of a filter that selects lines for verification, or keys: sixteen a value, within these bounds. It lets a few others through.
+FILTER = (1 << 20, 1 << 28)
+#: Earliest candidates of a line that one run passes on; lines with more are looked at again if none of them holds.
 WITNESSES = 12
-WORDS = 200_000
-
-
-def _chunks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Lines that hold words, a bounded number of words at a time: the row and the number of each line,
-    where its words begin, and the hashes of its distinct words."""
-    rows, numbers, sizes, hashes = [], [], [], array("Q")
+#: Bytes of text that are read at once, but for longer lines; lines that a map task holds before it deals them out.
+BYTES, LINES = 1 << 20, 100_000
+#: Words in more sets than this are frequent; lines of up to so many words meet at pairs of them.
+FREQUENT, PAIRED = 20_000, 128
+#: Runs of up to so many rows compare all their pairs at once.
+SMALL_RUN = 16
+#: Sets of fewer words resemble none but equal ones.
+LEAST = 4
+
+
+def _pieces(texts: list[str | None]) -> Iterator[list[tuple[int, int, bytes]]]:
+    """(row, number of its first line, whole lines), about ``BYTES`` at a time."""
+    out, total = [], 0
     for row, text in enumerate(texts):
-        for number, line in enumerate(encoded(text).split(b"\n")):
-            words = set(split(line))
-            if words:
-                rows.append(row)
-                numbers.append(number)
-                sizes.append(len(words))
-                hashes.extend(map(HASHES.__getitem__, words))
-                if len(hashes) > WORDS:
-                    yield _flat(rows, numbers, sizes, hashes)
-                    rows, numbers, sizes, hashes = [], [], [], array("Q")
-    if rows:
-        yield _flat(rows, numbers, sizes, hashes)
+        raw, at, number = encoded(text), 0, 0
+        while True:
+            end = len(raw)
+            if end - at > BYTES:
+                cut = raw.rfind(b"\n", at, at + BYTES)
+                cut = cut if cut >= 0 else raw.find(b"\n", at + BYTES)
+                end = cut if cut >= 0 else end
+            piece = raw[at:end]
+            out.append((row, number, piece))
+            total += len(piece)
+            if total >= BYTES:
+                yield out
+                out, total = [], 0
+            if end == len(raw):
+                break
+            at, number = end + 1, number + piece.count(b"\n") + 1
+    if out:
+        yield out
+
+
+def _distinct(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lines of ``text`` that hold words: their numbers, where their words begin, and hashes of their distinct words."""
+    words, starts = hashed(text)
+    line = np.searchsorted(np.flatnonzero(np.frombuffer(text, np.uint8) == 10), starts).astype(np.uint64)
+    order = np.argsort(line << np.uint64(42) | words >> np.uint64(22))
+    words, line = words[order], line[order]
+    short = words >> np.uint64(22)
+    if np.any((short[1:] == short[:-1]) & (line[1:] == line[:-1]) & (words[1:] != words[:-1])):
+        order = np.lexsort((words, line))
+        words, line = words[order], line[order]
+    new = np.r_[True, (words[1:] != words[:-1]) | (line[1:] != line[:-1])][: len(words)]
+    words, line = words[new], line[new]
+    first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]][: len(line)])
+    return line[first].astype(np.int64), first, words
 
 
-def _flat(rows: list, numbers: list, sizes: list, hashes: array) -> tuple:
-    return np.array(rows), np.array(numbers), np.cumsum([0, *sizes[:-1]]), np.frombuffer(hashes, np.uint64)
+def _chunks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Lines that hold words, a bounded number at a time: the row and the number of each line, where its
+    words begin, and the hashes of its distinct words."""
+    for pieces in _pieces(texts):
+        line, first, words = _distinct(b"\n".join(p for _, _, p in pieces))
+        if not len(line):
+            continue
+        begins = np.cumsum([0, *(p.count(b"\n") + 1 for _, _, p in pieces)])
+        piece = np.searchsorted(begins, line, "right") - 1
+        yield np.array([r for r, _, _ in pieces])[piece], line - begins[piece] + np.array([k for _, k, _ in pieces])[piece], first, words
 
 
 def _keys(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,24 +104,26 @@ def _keys(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _cell(words: np.ndarray) -> np.ndarray:
-    return (words & np.uint64(CELLS - 1)).astype(np.int64)
+    """The sketch's cell of 64-bit hashes, of which only the upper half is looked at."""
+    return (words >> np.uint64(32) & np.uint64(CELLS - 1)).astype(np.int64)
 
 
 def _line_words(texts: list[str | None]) -> Iterator[np.ndarray]:
     return (words for _, _, _, words in _chunks(texts))
 
 
-def frequencies(docs: DataFrame, text: str = "text", sets: Callable[[list[str | None]], Iterator[np.ndarray]] = _line_words) -> np.ndarray:
+def frequencies(docs: DataFrame, text: str = "text", sets: Callable[[list[str | None]], Iterator[np.ndarray]] = _line_words) -> tuple[np.ndarray, int]:
     """The sketch of how many sets (lines, unless told otherwise) a word is in, as logarithmic bytes; its size is fixed.
 
-    Partition sketches are merged by cell ranges, so that each reducer holds one range.
+    Partition sketches are merged by cell ranges, so that each reducer holds one range. The number is
+    the sum of all sets' sizes.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.uint32)
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                for words in sets(batch.column(0).slice(k, 256).to_pylist()):
+            for k in range(0, batch.num_rows, 1024):
+                for words in sets(batch.column(0).slice(k, 1024).to_pylist()):
                     np.add.at(cells, _cell(words), 1)
         for k in range(0, CELLS, PART):
             used = np.flatnonzero(cells[k : k + PART])
@@ -95,15 +135,18 @@ def frequencies(docs: DataFrame, text: str = "text", sets: Callable[[list[str |
         for batch in tables:
             for at, n in zip(batch.column("at"), batch.column("n"), strict=True):
                 total[np.frombuffer(at.as_py(), np.uint16)] += np.frombuffer(n.as_py(), np.uint32)
-        steps = np.where(total > 0, np.minimum(1 + 8 * np.log2(np.maximum(total, 1)), 255), 0).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([steps.tobytes()])], names=["part", "steps"])
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([_steps(total).tobytes()]), pa.array([int(total.sum())])], names=["part", "steps", "n"])
 
     parts = docs.select(text).mapInArrow(count, "part int, at binary, n binary")
-    merged = parts.groupBy("part").applyInArrow(merge, "part int, steps binary").collect()
+    merged = parts.groupBy("part").applyInArrow(merge, "part int, steps binary, n long").collect()
     sketch = np.zeros(CELLS, np.uint8)
     for r in merged:
         sketch[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["steps"], np.uint8)
-    return sketch
+    return sketch, sum(r["n"] for r in merged)
+
+
+def _steps(total: np.ndarray) -> np.ndarray:
+    return np.where(total > 0, np.minimum(1 + 8 * np.log2(np.maximum(total, 1)), 255), 0).astype(np.uint8)
 
 
 def _least_overlap(total: np.ndarray | int) -> np.ndarray:
@@ -111,163 +154,267 @@ def _least_overlap(total: np.ndarray | int) -> np.ndarray:
     return -(-4 * total // 9)
 
 
-LINES = "key long, key2 long, doc_id long, row long, number int, size int, words binary, low long, high long"
+def _prefix(size: np.ndarray, shared: int = 1) -> np.ndarray:
+    """Of similar sets, so many first words hold the first ``shared`` that they share."""
+    return np.minimum(size - -(-4 * size // 5) + shared, size)
 
 
-def prepare(docs: DataFrame, sketch: np.ndarray, text: str = "text") -> DataFrame:
-    """One row per line: its set's key, its place, and the words of its prefix that other lines may have."""
-    broadcast = docs.sparkSession.sparkContext.broadcast(sketch)
+#: A line as packed: its set's key, its document, its row's mark, its number, size and bitmap; then the first words by rarity.
+PACKED = [np.uint64, np.uint64, np.int64, np.int64, np.int32, np.int32, np.uint64]
+#: What becomes of lines: the first of each set, with its id; the others, which go; and rows that repeat.
+FIRST, GONE, COPY = 0, 1, 2
+SETS = "kind int, id long, doc_id long, row long, number int, size int, bitmap long, words binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarity = broadcast.value
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                ids, marks = part.column(0).to_pylist(), part.column(1).to_numpy()
-                for rows, numbers, first, words in _chunks(part.column(2).to_pylist()):
-                    size = np.diff(np.r_[first, len(words)])
-                    line = np.repeat(np.arange(len(size)), size)
-                    key, key2, mixed = _keys(words, first)
-                    bit = np.uint64(1) << (mixed & np.uint64(63))
-                    side = (mixed >> np.uint64(6) & np.uint64(1)).astype(bool)
-                    low = np.bitwise_xor.reduceat(np.where(side, np.uint64(0), bit), first)
-                    high = np.bitwise_xor.reduceat(np.where(side, bit, np.uint64(0)), first)
-                    seen = rarity[_cell(words)]
-                    at = np.lexsort((words, line.astype(np.int64) << 8 | seen))
-                    place = np.arange(len(words)) - np.repeat(first, size)
-                    prefix = size - -(-4 * size // 5) + 1
-                    # A word that the sketch saw once is in no other line.
-                    use = (place < np.repeat(prefix, size)) & (seen[at] > 1)
-                    packed = np.stack([(words[at][use] >> np.uint64(32)).astype(np.uint32).view(np.int32), place[use].astype(np.int32)], axis=1)
-                    ends = np.cumsum(np.add.reduceat(use.astype(np.int64), first))
-                    blobs = [packed[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key.view(np.int64)), pa.array(key2.view(np.int64)), pa.array([ids[r] for r in rows.tolist()], pa.int64()), pa.array(marks[rows]), pa.array(numbers.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(blobs, pa.binary()), pa.array(low.view(np.int64)), pa.array(high.view(np.int64))],
-                        names=[c.split()[0] for c in LINES.split(", ")],
-                    )
-
-    return docs.select("doc_id", "row", text).mapInArrow(run, LINES)
-
-
-#: A word is 32 bits of its hash here: others with the same bits are ruled out by the verification. A line is
-#: named by its document, its number and its key.
-PREFIX = "word int, place int, key long, doc_id long, number int, size int, low long, high long"
-
-
-def _prefixes(lines: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
-    """One row per line and usable prefix word; with a bitmap, of its words and a few others only."""
-    broadcast = lines.sparkSession.sparkContext.broadcast(wanted)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 4096):
-                part = batch.slice(k, 4096)
-                blobs = [b.as_py() for b in part.column("words")]
-                pairs = np.frombuffer(b"".join(blobs), np.int32).reshape(-1, 2)
-                owner = np.repeat(np.arange(len(blobs)), [len(b) // 8 for b in blobs])
-                if broadcast.value is not None:
-                    asked = _in_bitmap(broadcast.value, pairs[:, 0])
-                    pairs, owner = pairs[asked], owner[asked]
-                rest = part.select(["key", "doc_id", "number", "size", "low", "high"]).take(pa.array(owner))
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *rest.columns], names=["word", "place", *rest.schema.names])
+def _found(kind: int, n: int, **columns: np.ndarray) -> pa.RecordBatch:
+    names = [c.split()[0] for c in SETS.split(", ")]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+    values = {"kind": pa.array(np.full(n, kind, np.int32))} | {k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()}
+    return pa.RecordBatch.from_arrays([values.get(k, pa.nulls(n, t)) for k, t in zip(names, kinds, strict=True)], names=names)
 
-    return lines.where(F.length("words") > 0).mapInArrow(run, PREFIX)
 
+def _first_of_set(c: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indices of the first line of each set, of the other lines, and of lines that repeat with their row."""
+    order = np.lexsort((c[3], c[4], c[2], c[1], c[0]))
+    key, key2, doc, row, number = (x[order] for x in c[:5])
+    same = (key[1:] == key[:-1]) & (key2[1:] == key2[:-1])
+    new = np.r_[True, ~same][: len(order)]
+    copy = np.r_[False, same & (doc[1:] == doc[:-1]) & (row[1:] == row[:-1]) & (number[1:] == number[:-1])][: len(order)]
+    return order[new], order[~new & ~copy], order[copy]
 
-def _may_match(size: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Length, positional and bitmap filters on pairs of rows of one word."""
-    total = size[i] + size[j]
-    need = _least_overlap(total)
-    room = 1 + np.minimum(size[i] - place[i], size[j] - place[j]) - 1
-    apart = np.bitwise_count((low[i] ^ low[j]).view(np.uint64)).astype(np.int64) + np.bitwise_count((high[i] ^ high[j]).view(np.uint64))
-    return (np.minimum(size[i], size[j]) >= need) & (room + np.minimum(place[i], place[j]) >= need) & (apart <= total - 2 * need)
 
+def line_sets(docs: DataFrame, sketch: np.ndarray, parcels: int, text: str = "text") -> DataFrame:
+    """The first line of each set with the words of its prefix, later lines of the same set, and repeated rows.
+
+    Map tasks keep the first of equal lines that they hold, so that a line of a third of all documents is
+    a few rows of the shuffle.
+    """
+    broadcast = docs.sparkSession.sparkContext.broadcast(sketch)
+
+    def shape(ids: np.ndarray, marks: np.ndarray, rarity: np.ndarray, chunk: tuple) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        rows, numbers, first, words = chunk
+        size = np.diff(np.r_[first, len(words)])
+        line = np.repeat(np.arange(len(size), dtype=np.uint64), size)
+        key, key2, mixed = _keys(words, first)
+        bitmap = np.bitwise_xor.reduceat(np.uint64(1) << (mixed & np.uint64(63)), first)
+        ordered = np.sort(line << np.uint64(40) | rarity[_cell(words)].astype(np.uint64) << np.uint64(32) | words >> np.uint64(32))
+        taken = _prefix(size, 2)
+        use = np.arange(len(words)) - np.repeat(first, size) < np.repeat(taken, size)
+        columns = [key, key2, ids[rows], marks[rows], numbers.astype(np.int32), size.astype(np.int32), bitmap]
+        return columns, ordered[use].astype(np.uint32), taken
+
+    def deal_out(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        c = [np.concatenate(x) for x in zip(*(h[0] for h in held), strict=True)]
+        words, taken = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
+        first, later, _ = _first_of_set(c)
+        begin = (np.cumsum(taken) - taken)[first]
+        taken = taken[first]
+        at = np.repeat(begin - (np.cumsum(taken) - taken), taken) + np.arange(int(taken.sum()))
+        yield deal((c[0][first] % np.uint64(parcels)).astype(np.int32), [x[first] for x in c], words[at], taken)
+        if len(later):
+            gone = np.concatenate([np.array([len(later)], np.int64), c[2][later], c[3][later]]).tobytes() + c[4][later].tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - int(c[0][later[0]] % np.uint64(parcels))], pa.int32()), pa.array([gone], pa.binary())], names=["parcel", "data"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                ids, marks = part.column(0).to_numpy(), part.column(1).to_numpy()
+                for chunk in _chunks(part.column(2).to_pylist()):
+                    held.append(shape(ids, marks, broadcast.value, chunk))
+                    n += len(chunk[0])
+                    if n > LINES:
+                        yield from deal_out(held)
+                        held, n = [], 0
+        if held:
+            yield from deal_out(held)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parcel, blobs in each(batches):
+            if parcel < 0:
+                for blob in blobs:
+                    doc, row, number = opened([blob], [np.int64, np.int64, np.int32])
+                    yield _found(GONE, len(doc), doc_id=doc, row=row, number=number)
+                continue
+            *c, words = opened(blobs, PACKED, np.uint32)
+            first, later, copy = _first_of_set(c)
+            yield _found(GONE, len(later), doc_id=c[2][later], row=c[3][later], number=c[4][later])
+            if len(copy):
+                rows = np.unique(np.stack([c[2][copy], c[3][copy]], axis=1), axis=0)
+                yield _found(COPY, len(rows), doc_id=rows[:, 0], row=rows[:, 1])
+            taken = _prefix(c[5].astype(np.int64), 2)
+            begin = np.cumsum(taken) - taken
+            for k in range(0, len(first), 20_000):
+                pick = first[k : k + 20_000]
+                size = taken[pick]
+                at = np.repeat(begin[pick] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+                yield _found(FIRST, len(pick), id=np.arange(k, k + len(pick)) | parcel << 32, doc_id=c[2][pick], row=c[3][pick], number=c[4][pick], size=c[5][pick], bitmap=c[6][pick].view(np.int64), words=binary(words[at], size))
+
+    return delivered(docs.select("doc_id", "row", text).mapInArrow(read, PARCEL)).mapInArrow(gather, SETS)
+
+
+#: A prefix word (or pair of words) of a line: ``room`` is how many words it can share from there on.
+ENTRY = "key long, room int, size int, bitmap long, doc_id long, number int, id long"
+ENTRIES = [np.uint64, np.int32, np.int32, np.uint64, np.int64, np.int32, np.int64]
+
+
+def _entries(batch: pa.RecordBatch, rarity: np.ndarray, frequent: int) -> list[np.ndarray]:
+    """The keys at which lines meet, with what the filters need, in the columns of ``ENTRY``."""
+    words = np.frombuffer(b"".join(b.as_py() for b in batch.column("words")), np.uint32)
+    size = batch.column("size").to_numpy().astype(np.int64)
+    taken = _prefix(size, 2)
+    owner, begin = np.repeat(np.arange(len(size)), taken), np.cumsum(taken) - taken
+    place = np.arange(len(words)) - begin[owner]
+    seen = rarity[words & np.uint32(CELLS - 1)]
+    often = seen > _steps(np.array([frequent]))[0]
+    # A word that the sketch saw once is in no other line.
+    single = (place < _prefix(size)[owner]) & (seen > 1) & (~often | (size[owner] > PAIRED))
+    keys, owners, rooms = [words[single].astype(np.uint64)], [owner[single]], [(size[owner] - place)[single]]
+    paired = np.flatnonzero(often & (size[owner] <= PAIRED * 5 // 4))
+    if len(paired):
+        # Frequent words are the last of a prefix; lines with equally many of them are taken at once.
+        line, first, n = np.unique(owner[paired], return_index=True, return_counts=True)
+        for m in np.unique(n[n > 1]).tolist():
+            of = n == m
+            at = paired[first[of]][:, None]
+            x, y = np.triu_indices(int(m), 1)
+            a, b = words[at + x].astype(np.uint64), words[at + y].astype(np.uint64)
+            keys.append((mix64((a << np.uint64(32) | b).ravel()) | np.uint64(1 << 63)))
+            owners.append(np.repeat(line[of], len(x)))
+            rooms.append(1 + (size[owner] - place)[(at + y).ravel()])
+    owner = np.concatenate(owners)
+    rest = [batch.column(k).to_numpy()[owner] for k in ("size", "bitmap", "doc_id", "number", "id")]
+    return [np.concatenate(keys), np.concatenate(rooms).astype(np.int32), rest[0], rest[1].view(np.uint64), *rest[2:]]
+
+
+def _expanded(lines: DataFrame, sketch: np.ndarray, frequent: int, wanted: np.ndarray | None = None) -> DataFrame:
+    """One row a line and key; with a bitmap, of its keys and a few others only."""
+    broadcast = lines.sparkSession.sparkContext.broadcast((sketch, wanted))
 
-PAIRS = "key long, doc_id long, number int, other long, other_doc long, other_number int, more boolean"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rarity, asked = broadcast.value
+        for batch in batches:
+            for k in range(0, batch.num_rows, 4096):
+                c = _entries(batch.slice(k, 4096), rarity, frequent)
+                if asked is not None:
+                    use = _in_bitmap(asked, c[0].view(np.int64))
+                    c = [x[use] for x in c]
+                c = [x.view(np.int64) if x.dtype == np.uint64 else x for x in c]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, c)), names=[x.split()[0] for x in ENTRY.split(", ")])
+
+    return lines.where(F.col("size") >= LEAST).mapInArrow(run, ENTRY)
+
+
+class _Rows:
+    """Rows sorted by key and place, and which pairs of them may be similar."""
+
+    def __init__(self, c: list[np.ndarray]) -> None:
+        order = np.lexsort((c[6], c[5], c[4], c[0]))
+        self.key, self.id = c[0][order], c[6][order]
+        self.room, self.size, self.bitmap = c[1][order].astype(np.int64), c[2][order].astype(np.int64), c[3][order]
+
+    def may_match(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        total = self.size[i] + self.size[j]
+        need = _least_overlap(total)
+        near = (np.minimum(self.size[i], self.size[j]) >= need) & (np.minimum(self.room[i], self.room[j]) >= need)
+        return near & (np.bitwise_count(self.bitmap[i] ^ self.bitmap[j]) <= total - 2 * need)
+
+    def small(self, first: np.ndarray, runs: np.ndarray) -> Iterator[np.ndarray]:
+        """All pairs (earlier, later) of small runs."""
+        left = np.repeat(np.where(runs > SMALL_RUN, 0, runs), runs) - (np.arange(len(self.key)) - np.repeat(first, runs))
+        at = np.arange(len(self.key))
+        for step in range(1, SMALL_RUN):
+            at = at[left[at] > step]
+            keep = at[self.may_match(at, at + step)]
+            yield np.stack([keep, keep + step], axis=1)
+
+    def large(self, a: int, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(pairs, later rows that have more) of one run: each row meets earlier rows of about its size."""
+        by_size = a + np.argsort(self.size[a : a + n], kind="stable")
+        size = self.size[by_size]
+        low, high = np.searchsorted(size, -(-4 * size // 5)), np.searchsorted(size, 5 * size // 4, "right")
+        for b in range(0, n, 512):
+            own = by_size[b : b + 512]
+            lo, hi, got = low[b : b + 512], high[b : b + 512], np.zeros(len(own), np.int64)
+            live, found, more = np.arange(len(own)), [], []
+            for k in range(int(lo.min()), int(hi.max()), 1024):
+                if not len(live):
+                    break
+                i = by_size[k : k + 1024]
+                ok = (i[None, :] < own[live][:, None]) & self.may_match(i[None, :], own[live][:, None])
+                rank = got[live][:, None] + np.cumsum(ok, axis=1)
+                y, x = np.nonzero(ok & (rank <= WITNESSES))
+                found.append(np.stack([i[x], own[live][y]], axis=1))
+                got[live] += ok.sum(axis=1)
+                full = got[live] > WITNESSES
+                more.append(own[live[full]])
+                live = live[~full & (hi[live] > k + 1024)]
+            yield np.concatenate(found), np.concatenate(more)
+
+
+PAIRS = "id long, other long, more boolean"
+
+
+def _candidates(entries: DataFrame) -> DataFrame:
+    """(id, other, more): for each line and key earlier lines that may match it; ``more`` and no other line if there are others."""
+
+    def out(pairs: np.ndarray, more: bool = False) -> pa.RecordBatch:
+        other = pa.array(pairs[:, 0]) if not more else pa.nulls(len(pairs), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 1]), other, pa.array(np.full(len(pairs), more))], names=["id", "other", "more"])
 
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, blobs in each(batches):
+            rows = _Rows(opened(blobs, ENTRIES))
+            first = np.flatnonzero(np.r_[True, rows.key[1:] != rows.key[:-1]])
+            runs = np.diff(np.r_[first, len(rows.key)])
+            yield out(np.unique(rows.id[np.concatenate(list(rows.small(first, runs)))], axis=0))
+            for a, n in zip(first[runs > SMALL_RUN].tolist(), runs[runs > SMALL_RUN].tolist(), strict=True):
+                for pairs, more in rows.large(a, n):
+                    yield out(rows.id[pairs])
+                    yield out(np.stack([rows.id[more], rows.id[more]], axis=1), True)
 
-def _candidates(prefixes: DataFrame) -> DataFrame:
-    """For each line and prefix word the earliest lines that may match it; ``more`` if there are others.
+    return delivered(entries).mapInArrow(meet, PAIRS)
 
-    A run of n lines costs n times the lines of about its length in numpy; it makes n times
-    ``WITNESSES`` rows at most, however many lines resemble each other.
-    """
 
-    def search(c: dict[str, np.ndarray]) -> Iterator[np.ndarray]:
-        order = np.lexsort((c["key"], c["number"], c["doc_id"], c["word"]))
-        c = {k: v[order] for k, v in c.items()}
-        word, n = c["word"], len(order)
-        first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-        runs = np.diff(np.r_[first, n])
-        begins = np.repeat(first, runs)
-        size, place, low, high = c["size"].astype(np.int64), c["place"].astype(np.int64), c["low"], c["high"]
-        for a in range(0, n, 2048):  # in blocks of later lines, so that pairs stay few in memory
-            j = np.arange(a, min(a + 2048, n))
-            span = j - begins[j]
-            hits: list[np.ndarray] = []
-            done, got = 0, np.zeros(len(j), np.int64)
-            more = np.zeros(len(j), bool)
-            while (live := np.flatnonzero((span > done) & ~more)).size:
-                width = min(256, int(span[live].max()) - done)
-                i = begins[j[live]][:, None] + done + np.arange(width)
-                ok = np.arange(width) + done < span[live][:, None]
-                jj = np.broadcast_to(j[live][:, None], i.shape)
-                i, jj = i[ok], jj[ok]
-                keep = _may_match(size, place, low, high, i, jj)
-                i, jj = i[keep], jj[keep]
-                if len(i):
-                    own = jj - a
-                    start = np.searchsorted(own, own)
-                    rank = got[own] + np.arange(len(own)) - start
-                    more[own[rank >= WITNESSES]] = True
-                    hits.append(np.stack([i, jj], axis=1)[rank < WITNESSES])
-                    np.add.at(got, own, 1)
-                done += width
-            if hits:
-                found = np.concatenate(hits)
-                i, jj = found[:, 0], found[:, 1]
-                yield np.stack([c["key"][jj], c["doc_id"][jj], c["number"][jj], c["key"][i], c["doc_id"][i], c["number"][i], more[jj - a].astype(np.int64)], axis=1)
-
-    names = [x.split()[0] for x in PREFIX.split(", ")]
+def _packed(lines: DataFrame, sketch: np.ndarray, frequent: int, parcels: int) -> DataFrame:
+    """The entries of ``_expanded``, dealt to parcels by key."""
+    broadcast = lines.sparkSession.sparkContext.broadcast(sketch)
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
 
-        def flush(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(parts)
-            for found in search({c: t.column(c).to_numpy() for c in names}):
-                found = np.unique(found, axis=0)
-                kinds = [np.int64, np.int64, np.int32, np.int64, np.int64, np.int32, bool]
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, k].astype(t)) for k, t in enumerate(kinds)], names=[x.split()[0] for x in PAIRS.split(", ")])
+        def dealt() -> pa.RecordBatch:
+            c = [np.concatenate(x) for x in zip(*held, strict=True)]
+            return deal((mix64(c[0]) % np.uint64(parcels)).astype(np.int32), c)
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            word = batch.column("word").to_numpy()
-            cut = int(np.flatnonzero(word == word[-1])[0]) if word[0] != word[-1] else 0
-            held.append(batch.slice(0, cut) if cut else batch)
-            rows += held[-1].num_rows
-            if cut and rows > 200_000:
-                yield from flush(held)
-                held, rows = [], 0
-            if cut:
-                held.append(batch.slice(cut))
-                rows += held[-1].num_rows
+            for k in range(0, batch.num_rows, 20_000):
+                held.append(_entries(batch.slice(k, 20_000), broadcast.value, frequent))
+                n += len(held[-1][0])
+                if n > 8 * LINES:
+                    yield dealt()
+                    held, n = [], 0
         if held:
-            yield from flush(held)
+            yield dealt()
 
-    n = partitions_for(prefixes.sparkSession)
-    return prefixes.repartition(n, "word").sortWithinPartitions("word").mapInArrow(meet, PAIRS)
+    return lines.where(F.col("size") >= LEAST).mapInArrow(run, PARCEL)
 
 
-def _bitmap(values: DataFrame) -> np.ndarray:
-    """The values of one column of integers as set bits, modulo a fixed size; merged by bit ranges."""
+def _named(doc: np.ndarray, row: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """One number for a line's place."""
+    at = mix64(row.view(np.uint64)) + number.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
+    return mix64(mix64(doc.view(np.uint64)) ^ at).view(np.int64)
+
+
+def _bitmap(values: DataFrame, of: Callable[..., np.ndarray] = lambda x: x) -> np.ndarray:
+    """Numbers made from the rows as set bits, modulo a bounded size; merged by bit ranges."""
     schema = "part int, bits binary"
+    size = min(max(FILTER[0], 1 << int(16 * values.count()).bit_length()), FILTER[1])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.unique(batch.column(0).to_numpy().astype(np.int64).view(np.uint64) % np.uint64(FILTER)).astype(np.int64)
+            at = np.unique(of(*(c.to_numpy() for c in batch.columns)).astype(np.int64).view(np.uint64) % np.uint64(size)).astype(np.int64)
             for part in np.unique(at // (8 * PART)):
                 bits = np.zeros(8 * PART, bool)
                 bits[at[at // (8 * PART) == part] - part * 8 * PART] = True
@@ -280,60 +427,66 @@ def _bitmap(values: DataFrame) -> np.ndarray:
                 total |= np.frombuffer(bits.as_py(), np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()])], names=["part", "bits"])
 
-    out = np.zeros(FILTER // 8, np.uint8)
-    for r in values.mapInArrow(fill, schema).groupBy("part").applyInArrow(merge, schema).collect():
+    out = np.zeros(size // 8, np.uint8)
+    for r in values.mapInArrow(fill, schema).groupBy("part").applyInArrow(merge, schema).toLocalIterator():
         out[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
 def _in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    at = (values.astype(np.int64).view(np.uint64) % np.uint64(FILTER)).astype(np.int64)
+    at = (values.astype(np.int64).view(np.uint64) % np.uint64(8 * len(bits))).astype(np.int64)
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _word_sets(docs: DataFrame, lines: DataFrame, text: str = "text") -> DataFrame:
-    """(key, words) of the first lines with the keys of ``lines``, and of a few others.
+PLACE = ["doc_id", "row", "number"]
 
-    The keys go to the tasks as a bitmap of fixed size; the join that follows is exact. One line stands for
-    all with its set.
-    """
 
-    wanted = _bitmap(lines.select("key"))
-    broadcast = docs.sparkSession.sparkContext.broadcast(wanted)
+def _word_sets(docs: DataFrame, asked: DataFrame, text: str) -> DataFrame:
+    """(id, words) of the lines asked for (id and place).
+
+    Their places go to the tasks as a bitmap, so that only those lines and a few others are hashed; the
+    join that follows is exact.
+    """
+    broadcast = docs.sparkSession.sparkContext.broadcast(_bitmap(asked.select(*PLACE), _named))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = broadcast.value
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                ids = part.column(0).to_pylist()
-                for rows, numbers, first, words in _chunks(part.column(1).to_pylist()):
-                    key = _keys(words, first)[0]
-                    pick = np.flatnonzero(_in_bitmap(bits, key.view(np.int64))).tolist()
-                    ends, values = np.r_[first, len(words)], words.view(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key[pick].view(np.int64)), pa.array([ids[rows[p]] for p in pick], pa.int64()), pa.array(numbers[pick].astype(np.int32)), pa.array([values[ends[p] : ends[p + 1]] for p in pick], pa.list_(pa.int64()))],
-                        names=["key", "doc_id", "number", "words"],
-                    )
-
-    sets = docs.select("doc_id", text).mapInArrow(run, "key long, doc_id long, number int, words array<long>")
-    # The first line of a set alone is asked for: its copies end here.
-    return sets.join(lines, NAME, "left_semi").dropDuplicates(NAME)
-
-
-NAME = ["key", "doc_id", "number"]
-OTHER = ["other", "other_doc", "other_number"]
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, text: str) -> DataFrame:
-    """The lines of the pairs whose word sets have the similarity."""
-    lines = pairs.select(*NAME).unionByName(pairs.select(*(F.col(o).alias(n) for n, o in zip(NAME, OTHER, strict=True)))).distinct()
-    sets = persist(_word_sets(docs, persist(lines, "asked"), text), "sets")
-    a = sets.withColumnRenamed("words", "a")
-    b = sets.select(*(F.col(n).alias(o) for n, o in zip(NAME, OTHER, strict=True)), F.col("words").alias("b"))
+            ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            held, size = [], 0
+
+            def sets() -> pa.RecordBatch:
+                line, first, words = _distinct(b"\n".join(x for _, _, x in held))  # noqa: B023
+                rows, numbers = np.array([r for r, _, _ in held], np.int64)[line], np.array([k for _, k, _ in held], np.int32)[line]  # noqa: B023
+                ends = pa.array(np.r_[first, len(words)].astype(np.int32))
+                return pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(marks[rows]), pa.array(numbers), pa.ListArray.from_arrays(ends, pa.array(words.view(np.int64)))], names=[*PLACE, "words"])  # noqa: B023
+
+            for r, value in enumerate(batch.column(2)):
+                raw = encoded(value.as_py())
+                number = np.arange(raw.count(b"\n") + 1)
+                picked = np.flatnonzero(_in_bitmap(bits, _named(np.full(len(number), ids[r]), np.full(len(number), marks[r]), number))).tolist()
+                if picked:
+                    parts = raw.split(b"\n")
+                    held += [(r, k, parts[k]) for k in picked]
+                    size += sum(len(parts[k]) for k in picked)
+                if size > BYTES:
+                    yield sets()
+                    held, size = [], 0
+            if held:
+                yield sets()
+
+    found = docs.select("doc_id", "row", text).mapInArrow(run, "doc_id long, row long, number int, words array<long>")
+    return found.join(asked, PLACE).select("id", "words").dropDuplicates(["id"])
+
+
+def _verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame, text: str) -> DataFrame:
+    """The ids of the pairs (id, other) whose word sets have the similarity."""
+    ids = pairs.select("id").unionByName(pairs.select(F.col("other").alias("id"))).distinct()
+    asked = persist(lines.select("id", *PLACE).join(ids, "id", "left_semi"), "asked")
+    sets = persist(_word_sets(docs, asked, text), "sets")
     both = F.size(F.array_intersect("a", "b"))
-    found = pairs.join(a, NAME).join(b, OTHER)
-    return found.where(9 * both >= 4 * (F.size("a") + F.size("b"))).select(*NAME).distinct()
+    found = pairs.join(sets.toDF("id", "a"), "id").join(sets.toDF("other", "b"), "other")
+    return found.where(9 * both >= 4 * (F.size("a") + F.size("b"))).select("id").distinct()
 
 
 def _with_rows(docs: DataFrame, text: str) -> DataFrame:
@@ -341,68 +494,81 @@ def _with_rows(docs: DataFrame, text: str) -> DataFrame:
     return docs.withColumn("row", F.xxhash64(F.col(text)))
 
 
-def removals(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, row, number) of every line to remove; see ``_with_rows`` for ``row``."""
+def removals(docs: DataFrame, text: str = "text", frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
+    """Lines to remove as (doc_id, row, number), and rows that repeat as (doc_id, row); see ``_with_rows`` for ``row``."""
     spark = docs.sparkSession
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     base = _with_rows(docs.select(order.alias("doc_id"), text), text)
-    wide = persist(prepare(base, frequencies(base, text), text), "wide")
-    place = F.struct("doc_id", "number", "row", "size", "words", "low", "high")
-    distinct = persist(wide.groupBy("key", "key2").agg(F.min(place).alias("first")).select("key", "key2", "first.*"), "distinct")
-    lines = persist(wide.select("key", "key2", "doc_id", "row", "number"), "lines")
-    drop_scratch(spark, wide)
+    sketch, words = frequencies(base, text)
+    sets = persist(line_sets(base, sketch, parcels_for(spark, words // 16), text), "sets")
+    lines = sets.where(F.col("kind") == FIRST)
     release(spark)
-    pairs = persist(_candidates(_prefixes(distinct)), "pairs")
+    pairs = persist(_candidates(_packed(lines, sketch, frequent, parcels_for(spark, words // 8))), "pairs")
     release(spark)
-    similar = persist(_verified(base, pairs.select(*NAME, *OTHER).distinct(), text), "similar")
-    left = persist(pairs.where("more").select(*NAME).distinct().join(similar, NAME, "left_anti"), "left")
+    similar = persist(_verified(base, lines, pairs.where("NOT more").select("id", "other").distinct(), text), "similar")
+    left = persist(pairs.where("more").select("id").distinct().join(similar, "id", "left_anti"), "left")
     if not left.isEmpty():
-        similar = similar.unionByName(_verified(base, persist(_all_candidates(distinct, left), "rest"), text))
-    firsts = distinct.select("key", "key2", F.col("doc_id").alias("d"), F.col("row").alias("r"), F.col("number").alias("k"))
-    later = lines.join(firsts, ["key", "key2"]).where((F.col("doc_id") != F.col("d")) | (F.col("row") != F.col("r")) | (F.col("number") != F.col("k"))).select("doc_id", "row", "number")
-    alike = distinct.join(similar, NAME, "left_semi").select("doc_id", "row", "number")
-    gone = persist(later.unionByName(alike), "gone")
-    for done in (pairs, lines, distinct):
+        rest = persist(_all_candidates(lines, left, sketch, frequent), "rest")
+        similar = similar.unionByName(_verified(base, lines, rest, text)).distinct()
+    alike = lines.select("id", *PLACE).join(similar, "id", "left_semi").select(*PLACE)
+    gone = persist(sets.where(F.col("kind") == GONE).select(*PLACE).unionByName(alike), "gone")
+    copies = persist(sets.where(F.col("kind") == COPY).select("doc_id", "row").distinct(), "copies")
+    for done in (pairs, sets):
         drop_scratch(spark, done)
     release(spark)
-    return gone
+    return gone, copies
 
 
-def _all_candidates(distinct: DataFrame, left: DataFrame) -> DataFrame:
+def _all_candidates(lines: DataFrame, left: DataFrame, sketch: np.ndarray, frequent: int) -> DataFrame:
     """Every earlier line that may match one of ``left``: the exact way for lines with many candidates."""
-    own = persist(_prefixes(distinct.join(left, NAME, "left_semi")), "own")
-    mine, theirs = own.alias("m"), _prefixes(distinct, _bitmap(own.select("word"))).alias("t")
+    own = persist(_expanded(lines.join(left, "id", "left_semi"), sketch, frequent), "own")
+    mine, theirs = own.alias("m"), _expanded(lines, sketch, frequent, _bitmap(own.select("key"))).alias("t")
     total = F.col("m.size") + F.col("t.size")
     need = F.ceil(4 * total / 9)
-    before = F.struct("t.doc_id", "t.number", "t.key") < F.struct("m.doc_id", "m.number", "m.key")
-    apart = F.bit_count(F.col("m.low").bitwiseXOR(F.col("t.low"))) + F.bit_count(F.col("m.high").bitwiseXOR(F.col("t.high")))
-    met = mine.join(theirs, F.col("m.word") == F.col("t.word")).where(before & (F.least("m.size", "t.size") >= need) & (apart <= total - 2 * need))
-    return met.select(*(F.col(f"m.{n}").alias(n) for n in NAME), *(F.col(f"t.{n}").alias(o) for n, o in zip(NAME, OTHER, strict=True))).distinct()
+    before = F.struct("t.doc_id", "t.number", "t.id") < F.struct("m.doc_id", "m.number", "m.id")
+    near = (F.least("m.size", "t.size") >= need) & (F.least("m.room", "t.room") >= need) & (F.bit_count(F.col("m.bitmap").bitwiseXOR(F.col("t.bitmap"))) <= total - 2 * need)
+    met = mine.join(theirs, F.col("m.key") == F.col("t.key")).where(before & near)
+    return met.select(F.col("m.id").alias("id"), F.col("t.id").alias("other")).distinct()
+
+
+def _copies_told(marked: DataFrame, copies: DataFrame) -> DataFrame:
+    """Adds ``__copy``: true for all but one of the rows with one id and text.
+
+    Such rows alone are written out first, with a number that then stays, so that exactly one of them is chosen
+    whatever is recomputed.
+    """
+    if copies.isEmpty():
+        return marked.withColumn("__copy", F.lit(False))
+    same = (marked["__id"] == copies["doc_id"]) & (marked["__row"] == copies["row"])
+    repeated = persist(marked.join(copies.select(F.col("doc_id").alias("__d"), F.col("row").alias("__r")), (F.col("__id") == F.col("__d")) & (F.col("__row") == F.col("__r"))).drop("__d", "__r").withColumn("__n", F.monotonically_increasing_id()), "repeated")
+    least = repeated.groupBy("__id", "__row").agg(F.min("__n").alias("__least"))
+    told = repeated.join(least, ["__id", "__row"]).withColumn("__copy", F.col("__n") != F.col("__least"))
+    return marked.join(copies, same, "left_anti").withColumn("__copy", F.lit(False)).unionByName(told.drop("__n", "__least").select(*marked.columns, "__copy"))
 
 
-def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """``docs`` without the removed lines, with ``n_lines`` and ``n_removed`` (of lines that hold words)."""
-    gone = removals(docs, text).groupBy("doc_id", "row").agg(F.collect_set("number").alias("__gone"))  # no more than the document has lines
-    own = docs.withColumnRenamed("row", "__row") if "row" in docs.columns else docs
-    marked = _with_rows(own, text)
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("row").alias("__r"), "__gone")
-    order = F.coalesce(marked["doc_id"].cast("long"), F.lit(-(1 << 63)))
-    joined = marked.join(gone, (order == F.col("__id")) & (marked["row"] == F.col("__r")), "left").drop("__id", "__r", "row")
-    kept = [c for c in joined.columns if c not in ("__gone", "n_lines", "n_removed")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.select(kept).schema), "n_lines long", "n_removed long"])
+    found, copies = removals(docs, text, frequent)
+    # No more numbers than the document has lines.
+    gone = found.groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).agg(F.collect_set("number").alias("__gone"))
+    marked = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__row": F.xxhash64(F.col(text))})
+    joined = _copies_told(marked, copies).join(gone, ["__id", "__row"], "left")
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema), "n_lines long", "n_removed long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts, drops = [], [], []
-            for value, gone_ in zip(batch.column(text), batch.column("__gone"), strict=True):
-                value, out = value.as_py(), set(gone_.as_py() or ())
+            for value, gone_, copy in zip(batch.column(text), batch.column("__gone"), batch.column("__copy").to_pylist(), strict=True):
+                value = value.as_py()
                 parts = [] if value is None else value.split("\n")
+                worded = [bool(x.strip(" \t\n\v\f\r")) for x in parts]
+                out = {k for k, w in enumerate(worded) if w} if copy else set(gone_.as_py() or ())
                 texts.append(value if not out else "\n".join(x for k, x in enumerate(parts) if k not in out))
-                counts.append(sum(1 for x in parts if x.strip(" \t\n\v\f\r")))
+                counts.append(sum(worded))
                 drops.append(len(out))
             new = {text: pa.array(texts, pa.string()), "n_lines": pa.array(counts, pa.int64()), "n_removed": pa.array(drops, pa.int64())}
             names = [*kept, "n_lines", "n_removed"]
             yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in names], names=names)
 
-    out = joined.mapInArrow(run, schema)
-    return out.withColumnRenamed("__row", "row") if "row" in docs.columns else out
+    return joined.select(*kept, "__gone", "__copy").mapInArrow(run, schema)

@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, width: int) -> DataFrame:
     def sets(texts: list[str | None]) -> Iterator[np.ndarray]:
         return (np.unique(shingles(t or "", width)) for t in texts)
 
-    wide = persist(prepare(docs, width, frequencies(docs, "text", sets)), "wide")
+    wide = persist(prepare(docs, width, frequencies(docs, "text", sets)[0]), "wide")
     least = wide.groupBy("key", "key2").agg(F.min(F.struct("doc_id", "size", "words")).alias("first")).select("key", "key2", "first.*")
     nodes = persist(least.withColumn("node", F.monotonically_increasing_id()).withColumn("root", F.col("node")), "nodes")
     found = persist(_candidates(_prefixes(nodes), False), "candidates")

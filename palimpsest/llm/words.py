@@ -1,7 +1,19 @@
-"""Words as the six ASCII space characters part them, and their hashes."""
+"""Words as the six ASCII space characters part them, and their 64-bit hashes, in numpy."""
 
 from __future__ import annotations
 
+import numpy as np
+
+from .common import mix64
+
+#: Which bytes are spaces, and the low bytes that a word of so many bytes takes of eight.
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one.
+LONG = 256
+_STEP, _SALT = np.uint64(0x9FB21C651E98DF25), np.uint64(0xA0761D6478BD642F)
+
 
 def encoded(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
@@ -12,17 +24,25 @@ def split(text: bytes) -> list[bytes]:
     return text.split()
 
 
-class Hashes(dict):
-    """64-bit hash of each word; forgets all when it has grown large."""
-
-    def __missing__(self, word: bytes) -> int:
+def hashed(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first byte) of every word. Eight bytes of all words are read and mixed in at a time."""
+    raw = np.frombuffer(text + b"\n\0\0\0\0\0\0\0\0", np.uint8)
+    n = len(text)
+    space = np.ones(n + 2, bool)
+    space[1:] = SPACE[raw[: n + 1]]
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    starts, size = edges[0::2], edges[1::2] - edges[0::2]
+    eight = np.ndarray((n + 2,), "<u8", buffer=raw, strides=(1,))
+    with np.errstate(over="ignore"):
+        out = mix64((eight[starts] & _MASK[np.minimum(size, 8)]) + size.astype(np.uint64) * _STEP)
+        done, live = 8, np.flatnonzero(size > 8)
+        while len(live) and done < LONG:
+            more = eight[starts[live] + done] & _MASK[np.minimum(size[live] - done, 8)]
+            out[live] = mix64(out[live] * _STEP ^ (more + _SALT))
+            done += 8
+            live = live[size[live] > done]
+    if len(live):
         from xxhash import xxh64_intdigest
 
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxh64_intdigest(word, 7)
-        return h
-
-
-#: Shared by the tasks of a Python worker.
-HASHES = Hashes()
+        out[live] = [xxh64_intdigest(text[a : a + k], 7) for a, k in zip(starts[live].tolist(), size[live].tolist(), strict=True)]
+    return out, starts
