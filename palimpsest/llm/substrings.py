@@ -4,7 +4,9 @@ First pass: every partition counts, in a count-min sketch, the minimizer of each
 among its grams of eight words), once per place. A window that occurs twice has its minimizer at
 two places, so the merged sketches never count less than a window's own count. Second pass: only windows
 whose minimizer is estimated repeated are grouped, exactly, by the hashes of minimizer and window.
-Neighbouring windows mostly share a minimizer and travel together, 8 bytes each.
+Neighbouring windows mostly share a minimizer and travel together, 8 bytes each. Windows of a minimizer that
+is estimated frequent travel one by one, dealt by their own hash, so that neither a passage of thousands of
+copies nor a stock phrase in many surroundings is one task's work.
 
 Edge cases: a null or empty text has no words and keeps none; a text below 35 words has no window;
 a passage repeated within one text, overlapping itself or not, counts; repeated rows are copies of each
@@ -13,7 +15,6 @@ other and lose every window; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,29 +23,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64, partitions_for, persist
-from .words import HASHES, encoded, split
+from .words import encoded, hashed, split
 
 WINDOW, GRAM = 35, 8
-#: Cells of a sketch row (a power of two) and rows; only "once" and "more" are told apart.
+#: Cells of a sketch row (a power of two) and rows; "once", "more" and "often" (from so many on) are told apart.
 CELLS, DEPTH = 1 << 25, 2
+OFTEN = 32
 PART = 1 << 16
-#: Words of whole texts that are handled at once, and windows that a reducer holds before it searches.
-WORDS, HELD = 200_000, 2_000_000
+#: Bytes of whole texts that are handled at once, and windows that a reducer holds before it searches.
+BYTES, HELD = 1 << 20, 2_000_000
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def _chunks(texts: Iterator[str | None]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """(rows, the row of each word, word hashes) of whole texts, about ``WORDS`` words at a time."""
-    sizes, hashes, first = [], array("Q"), 0
+def _chunks(texts: Iterator[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, the row of each word from there, word hashes) of whole texts, about ``BYTES`` at a time."""
+    held, size, first = [], 0, 0
+
+    def chunk() -> tuple[int, np.ndarray, np.ndarray]:
+        words, starts = hashed(b"\n".join(held))
+        begins = np.cumsum([0, *(len(t) + 1 for t in held[:-1])])
+        return first, np.searchsorted(begins, starts, "right") - 1, words
+
     for row, text in enumerate(texts):
-        words = split(encoded(text))
-        sizes.append(len(words))
-        hashes.extend(map(HASHES.__getitem__, words))
-        if len(hashes) >= WORDS:
-            yield first, np.repeat(np.arange(len(sizes)), sizes), np.frombuffer(hashes, np.uint64)
-            sizes, hashes, first = [], array("Q"), row + 1
-    if hashes:
-        yield first, np.repeat(np.arange(len(sizes)), sizes), np.frombuffer(hashes, np.uint64)
+        held.append(encoded(text))
+        size += len(held[-1])
+        if size >= BYTES:
+            yield chunk()
+            held, size, first = [], 0, row + 1
+    if held:
+        yield chunk()
 
 
 def _rolling(words: np.ndarray, width: int, base: np.uint64) -> np.ndarray:
@@ -85,9 +92,9 @@ def _cells(grams: np.ndarray) -> list[np.ndarray]:
 
 
 def sketch(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Bitmaps of the cells that count two or more; of fixed size.
+    """Bitmaps (repeated, frequent) of the cells that count two or more, and ``OFTEN`` or more; of fixed size.
 
-    Partition sketches hold 0, 1 or 2 a cell and are merged by cell ranges.
+    Partition sketches hold up to ``OFTEN`` a cell and are merged by cell ranges.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +105,7 @@ def sketch(docs: DataFrame, text: str = "text") -> np.ndarray:
                     continue
                 for own, at in zip(cells, _cells(_minimizers(rows, words)[2]), strict=True):
                     at, n = np.unique(at, return_counts=True)
-                    own[at] = np.minimum(own[at] + np.minimum(n, 2).astype(np.uint8), 2)
+                    own[at] = np.minimum(own[at] + np.minimum(n, OFTEN).astype(np.uint8), OFTEN)
         flat = cells.reshape(-1)
         for k in range(0, DEPTH * CELLS, PART):
             used = np.flatnonzero(flat[k : k + PART])
@@ -110,14 +117,22 @@ def sketch(docs: DataFrame, text: str = "text") -> np.ndarray:
         for batch in tables:
             for at, n in zip(batch.column("at"), batch.column("n"), strict=True):
                 at = np.frombuffer(at.as_py(), np.uint16)
-                total[at] = np.minimum(total[at] + np.frombuffer(n.as_py(), np.uint8), 2)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(total > 1).tobytes()])], names=["part", "bits"])
+                total[at] = np.minimum(total[at] + np.frombuffer(n.as_py(), np.uint8), OFTEN)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(np.stack([total > 1, total >= OFTEN])).tobytes()])], names=["part", "bits"])
 
     parts = docs.select(text).mapInArrow(count, "part int, at binary, n binary")
-    bits = np.zeros(DEPTH * CELLS // 8, np.uint8)
+    bits = np.zeros((2, DEPTH * CELLS // 8), np.uint8)
     for r in parts.groupBy("part").applyInArrow(merge, "part int, bits binary").toLocalIterator():
-        bits[r["part"] * PART // 8 : (r["part"] + 1) * PART // 8] = np.frombuffer(r["bits"], np.uint8)
-    return bits.reshape(DEPTH, -1)
+        bits[:, r["part"] * PART // 8 : (r["part"] + 1) * PART // 8] = np.frombuffer(r["bits"], np.uint8).reshape(2, -1)
+    return bits.reshape(2, DEPTH, -1)
+
+
+def _told(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Whether every row of a sketch's bitmap holds the gram."""
+    held = np.ones(len(grams), bool)
+    for own, at in zip(bits, _cells(grams), strict=True):
+        held &= (own[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+    return held
 
 
 SEGMENTS = "gram long, doc_id long, row long, start int, n int, hashes binary"
@@ -150,13 +165,12 @@ def _segments(docs: DataFrame, bits: np.ndarray, text: str) -> DataFrame:
                 if len(words) < WINDOW:
                     continue
                 whole, least, _ = _minimizers(rows, words)
-                maybe = whole
-                for own, at in zip(bits, _cells(least), strict=True):
-                    maybe = maybe & (own[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-                at = np.flatnonzero(maybe)
+                at = np.flatnonzero(whole)
+                at = at[_told(bits[0], least[at])]
                 if not len(at):
                     continue
                 gram, window = least[at], _rolling(words, WINDOW, _BASES[1])[at]
+                gram = np.where(_told(bits[1], gram), mix64(window ^ gram), gram)
                 order = np.lexsort((at, gram, window))
                 begin, size = _ends(window[order], gram[order])
                 repeated, leader = np.zeros(len(at), bool), np.zeros(len(at), bool)

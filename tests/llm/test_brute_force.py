@@ -142,9 +142,11 @@ def test_substrings(spark, docs):
         assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
 
 
-def test_substrings_within_one_text_and_across_flushes(spark, monkeypatch):
+@pytest.mark.parametrize("often", [2, 5, 32])
+def test_substrings_within_one_text_and_across_flushes(spark, monkeypatch, often):
     monkeypatch.setattr(substrings, "HELD", 50)
-    monkeypatch.setattr(substrings, "WORDS", 100)
+    monkeypatch.setattr(substrings, "BYTES", 600)
+    monkeypatch.setattr(substrings, "OFTEN", often)
     rng = np.random.default_rng(3)
     passage = [f"p{k}" for k in range(60)]
     texts = ["a " * 100, " ".join(passage), " ".join(["x", *passage[:40], "y"])] + [" ".join([*map(str, rng.integers(0, 10**6, 30)), *passage[5:50], *map(str, rng.integers(0, 10**6, 20))]) for _ in range(60)]
