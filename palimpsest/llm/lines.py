@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import drop_scratch, mix64, persist, release
 from .parcels import PARCEL, binary, deal, delivered, each, opened, parcels_for
-from .words import encoded, hashed
+from .words import hashed, raw
 
 SIMILAR = 0.8
 #: Cells of the frequency sketch; a cell is one byte, an eighth of a binary logarithm a step.
@@ -37,32 +37,33 @@ FILTER = (1 << 20, 1 << 28)
 WITNESSES = 12
 #: Bytes of text that are read at once, but for longer lines; lines that a map task holds before it deals them out.
 BYTES, LINES = 1 << 20, 100_000
-#: Words in more sets than this are frequent; lines of up to so many words meet at pairs of them.
-FREQUENT, PAIRED = 20_000, 128
+#: Words in more sets than this are frequent: a run of so many rows costs a task about a minute. Lines of up to
+#: so many words meet at pairs of them.
+FREQUENT, PAIRED = 200_000, 128
 #: Runs of up to so many rows compare all their pairs at once.
 SMALL_RUN = 16
 #: Sets of fewer words resemble none but equal ones.
 LEAST = 4
 
 
-def _pieces(texts: list[str | None]) -> Iterator[list[tuple[int, int, bytes]]]:
+def _pieces(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
     """(row, number of its first line, whole lines), about ``BYTES`` at a time."""
     out, total = [], 0
     for row, text in enumerate(texts):
-        raw, at, number = encoded(text), 0, 0
+        at, number = 0, 0
         while True:
-            end = len(raw)
+            end = len(text)
             if end - at > BYTES:
-                cut = raw.rfind(b"\n", at, at + BYTES)
-                cut = cut if cut >= 0 else raw.find(b"\n", at + BYTES)
+                cut = text.rfind(b"\n", at, at + BYTES)
+                cut = cut if cut >= 0 else text.find(b"\n", at + BYTES)
                 end = cut if cut >= 0 else end
-            piece = raw[at:end]
+            piece = text[at:end]
             out.append((row, number, piece))
             total += len(piece)
             if total >= BYTES:
                 yield out
                 out, total = [], 0
-            if end == len(raw):
+            if end == len(text):
                 break
             at, number = end + 1, number + piece.count(b"\n") + 1
     if out:
@@ -85,7 +86,7 @@ def _distinct(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return line[first].astype(np.int64), first, words
 
 
-def _chunks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _chunks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Lines that hold words, a bounded number at a time: the row and the number of each line, where its
     words begin, and the hashes of its distinct words."""
     for pieces in _pieces(texts):
@@ -108,11 +109,11 @@ def _cell(words: np.ndarray) -> np.ndarray:
     return (words >> np.uint64(32) & np.uint64(CELLS - 1)).astype(np.int64)
 
 
-def _line_words(texts: list[str | None]) -> Iterator[np.ndarray]:
+def _line_words(texts: list[bytes]) -> Iterator[np.ndarray]:
     return (words for _, _, _, words in _chunks(texts))
 
 
-def frequencies(docs: DataFrame, text: str = "text", sets: Callable[[list[str | None]], Iterator[np.ndarray]] = _line_words) -> tuple[np.ndarray, int]:
+def frequencies(docs: DataFrame, text: str = "text", sets: Callable[[list[bytes]], Iterator[np.ndarray]] = _line_words) -> tuple[np.ndarray, int]:
     """The sketch of how many sets (lines, unless told otherwise) a word is in, as logarithmic bytes; its size is fixed.
 
     Partition sketches are merged by cell ranges, so that each reducer holds one range. The number is
@@ -123,7 +124,7 @@ def frequencies(docs: DataFrame, text: str = "text", sets: Callable[[list[str |
         cells = np.zeros(CELLS, np.uint32)
         for batch in batches:
             for k in range(0, batch.num_rows, 1024):
-                for words in sets(batch.column(0).slice(k, 1024).to_pylist()):
+                for words in sets(raw(batch.column(0).slice(k, 1024))):
                     np.add.at(cells, _cell(words), 1)
         for k in range(0, CELLS, PART):
             used = np.flatnonzero(cells[k : k + PART])
@@ -221,7 +222,7 @@ def line_sets(docs: DataFrame, sketch: np.ndarray, parcels: int, text: str = "te
             for k in range(0, batch.num_rows, 1024):
                 part = batch.slice(k, 1024)
                 ids, marks = part.column(0).to_numpy(), part.column(1).to_numpy()
-                for chunk in _chunks(part.column(2).to_pylist()):
+                for chunk in _chunks(raw(part.column(2))):
                     held.append(shape(ids, marks, broadcast.value, chunk))
                     n += len(chunk[0])
                     if n > LINES:
@@ -307,18 +308,30 @@ def _expanded(lines: DataFrame, sketch: np.ndarray, frequent: int, wanted: np.nd
 
 
 class _Rows:
-    """Rows sorted by key and place, and which pairs of them may be similar."""
+    """Rows sorted by key, and which pairs of them may be similar."""
 
     def __init__(self, c: list[np.ndarray]) -> None:
-        order = np.lexsort((c[6], c[5], c[4], c[0]))
-        self.key, self.id = c[0][order], c[6][order]
-        self.room, self.size, self.bitmap = c[1][order].astype(np.int64), c[2][order].astype(np.int64), c[3][order]
+        order = np.argsort(c[0])
+        same = c[0][order][1:] == c[0][order][:-1]
+        order = order[np.r_[False, same] | np.r_[same, False]] if len(order) else order  # a row alone meets none
+        self.key, self.bitmap, self.doc, self.number, self.id = (c[k][order] for k in (0, 3, 4, 5, 6))
+        self.size = c[2][order]
+        # Sets share at most the lesser ``room``, so that the other's size is limited by it.
+        self.most = (9 * c[1][order].astype(np.int64) - 4 * self.size) // 4
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.bitmap[i] ^ self.bitmap[j])
 
     def may_match(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        total = self.size[i] + self.size[j]
-        need = _least_overlap(total)
-        near = (np.minimum(self.size[i], self.size[j]) >= need) & (np.minimum(self.room[i], self.room[j]) >= need)
-        return near & (np.bitwise_count(self.bitmap[i] ^ self.bitmap[j]) <= total - 2 * need)
+        """Similar sets differ in a ninth of their words together at most, and so do their bitmaps."""
+        a, b = self.size[i], self.size[j]
+        return (a <= self.most[j]) & (b <= self.most[i]) & (self.apart(i, j) * np.int32(9) <= a + b)
+
+    def ordered(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Pairs with the earlier line first."""
+        equal, level = self.doc[i] == self.doc[j], self.number[i] == self.number[j]
+        early = (self.doc[i] < self.doc[j]) | equal & ((self.number[i] < self.number[j]) | level & (self.id[i] < self.id[j]))
+        return np.stack([np.where(early, i, j), np.where(early, j, i)], axis=1)
 
     def small(self, first: np.ndarray, runs: np.ndarray) -> Iterator[np.ndarray]:
         """All pairs (earlier, later) of small runs."""
@@ -327,52 +340,63 @@ class _Rows:
         for step in range(1, SMALL_RUN):
             at = at[left[at] > step]
             keep = at[self.may_match(at, at + step)]
-            yield np.stack([keep, keep + step], axis=1)
+            yield self.ordered(keep, keep + step)
 
     def large(self, a: int, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(pairs, later rows that have more) of one run: each row meets earlier rows of about its size."""
         by_size = a + np.argsort(self.size[a : a + n], kind="stable")
-        size = self.size[by_size]
-        low, high = np.searchsorted(size, -(-4 * size // 5)), np.searchsorted(size, 5 * size // 4, "right")
+        place = np.empty(n, np.int64)
+        place[np.lexsort((self.id[by_size], self.number[by_size], self.doc[by_size]))] = np.arange(n)
+        size, most, bitmap = self.size[by_size], self.most[by_size], self.bitmap[by_size]
+        low, high = np.searchsorted(size, -(-4 * size // 5)), np.searchsorted(size, np.minimum(most, 5 * size // 4), "right")
         for b in range(0, n, 512):
-            own = by_size[b : b + 512]
-            lo, hi, got = low[b : b + 512], high[b : b + 512], np.zeros(len(own), np.int64)
-            live, found, more = np.arange(len(own)), [], []
-            for k in range(int(lo.min()), int(hi.max()), 1024):
+            hi = high[b : b + 512]
+            got, live, found, more = np.zeros(len(hi), np.int64), np.arange(len(hi)), [], []
+            for k in range(int(low[b : b + 512].min()), int(hi.max()), 1024):
                 if not len(live):
                     break
-                i = by_size[k : k + 1024]
-                ok = (i[None, :] < own[live][:, None]) & self.may_match(i[None, :], own[live][:, None])
-                rank = got[live][:, None] + np.cumsum(ok, axis=1)
-                y, x = np.nonzero(ok & (rank <= WITNESSES))
-                found.append(np.stack([i[x], own[live][y]], axis=1))
-                got[live] += ok.sum(axis=1)
+                i, j = slice(k, k + 1024), b + live
+                ok = place[i][None, :] < place[j][:, None]
+                ok &= size[j][:, None] <= most[i][None, :]
+                ok &= size[i][None, :] <= most[j][:, None]
+                ok &= np.bitwise_count(bitmap[i][None, :] ^ bitmap[j][:, None]) * np.int32(9) <= size[i][None, :] + size[j][:, None]
+                y, x = np.nonzero(ok)
+                rank = got[live][y] + np.arange(len(y)) - np.searchsorted(y, y)
+                few = rank < WITNESSES
+                found.append(np.stack([by_size[k + x[few]], by_size[j[y[few]]]], axis=1))
+                got[live] += np.bincount(y, minlength=len(live))
                 full = got[live] > WITNESSES
-                more.append(own[live[full]])
+                more.append(by_size[j[full]])
                 live = live[~full & (hi[live] > k + 1024)]
-            yield np.concatenate(found), np.concatenate(more)
+            if found:
+                yield np.concatenate(found), np.concatenate(more)
 
 
-PAIRS = "id long, other long, more boolean"
+PAIRS = "id long, other long, apart int, more boolean"
 
 
 def _candidates(entries: DataFrame) -> DataFrame:
-    """(id, other, more): for each line and key earlier lines that may match it; ``more`` and no other line if there are others."""
+    """(id, other, apart, more): for each line and key earlier lines that may match it, and in how many bits their
+    bitmaps differ; ``more`` and no other line if there are others."""
 
-    def out(pairs: np.ndarray, more: bool = False) -> pa.RecordBatch:
-        other = pa.array(pairs[:, 0]) if not more else pa.nulls(len(pairs), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 1]), other, pa.array(np.full(len(pairs), more))], names=["id", "other", "more"])
+    def out(rows: _Rows, pairs: np.ndarray) -> pa.RecordBatch:
+        i, j = pairs[:, 0], pairs[:, 1]
+        ids = np.unique(np.stack([rows.id[j], rows.id[i], rows.apart(i, j).astype(np.int64)], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array(ids[:, 2].astype(np.int32)), pa.array(np.zeros(len(ids), bool))], names=["id", "other", "apart", "more"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, blobs in each(batches):
             rows = _Rows(opened(blobs, ENTRIES))
+            if not len(rows.key):
+                continue
             first = np.flatnonzero(np.r_[True, rows.key[1:] != rows.key[:-1]])
             runs = np.diff(np.r_[first, len(rows.key)])
-            yield out(np.unique(rows.id[np.concatenate(list(rows.small(first, runs)))], axis=0))
+            yield out(rows, np.concatenate(list(rows.small(first, runs))))
             for a, n in zip(first[runs > SMALL_RUN].tolist(), runs[runs > SMALL_RUN].tolist(), strict=True):
                 for pairs, more in rows.large(a, n):
-                    yield out(rows.id[pairs])
-                    yield out(np.stack([rows.id[more], rows.id[more]], axis=1), True)
+                    yield out(rows, pairs)
+                    if len(more):
+                        yield pa.RecordBatch.from_arrays([pa.array(rows.id[more]), pa.nulls(len(more), pa.int64()), pa.nulls(len(more), pa.int32()), pa.array(np.ones(len(more), bool))], names=["id", "other", "apart", "more"])
 
     return delivered(entries).mapInArrow(meet, PAIRS)
 
@@ -461,12 +485,11 @@ def _word_sets(docs: DataFrame, asked: DataFrame, text: str) -> DataFrame:
                 ends = pa.array(np.r_[first, len(words)].astype(np.int32))
                 return pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(marks[rows]), pa.array(numbers), pa.ListArray.from_arrays(ends, pa.array(words.view(np.int64)))], names=[*PLACE, "words"])  # noqa: B023
 
-            for r, value in enumerate(batch.column(2)):
-                raw = encoded(value.as_py())
-                number = np.arange(raw.count(b"\n") + 1)
+            for r, value in enumerate(raw(batch.column(2))):
+                number = np.arange(value.count(b"\n") + 1)
                 picked = np.flatnonzero(_in_bitmap(bits, _named(np.full(len(number), ids[r]), np.full(len(number), marks[r]), number))).tolist()
                 if picked:
-                    parts = raw.split(b"\n")
+                    parts = value.split(b"\n")
                     held += [(r, k, parts[k]) for k in picked]
                     size += sum(len(parts[k]) for k in picked)
                 if size > BYTES:
@@ -476,17 +499,30 @@ def _word_sets(docs: DataFrame, asked: DataFrame, text: str) -> DataFrame:
                 yield sets()
 
     found = docs.select("doc_id", "row", text).mapInArrow(run, "doc_id long, row long, number int, words array<long>")
-    return found.join(asked, PLACE).select("id", "words").dropDuplicates(["id"])
+    return found.join(asked, PLACE).select("id", "words")
 
 
-def _verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame, text: str) -> DataFrame:
-    """The ids of the pairs (id, other) whose word sets have the similarity."""
+def _verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame, text: str, repeated: bool) -> DataFrame:
+    """The ids of the pairs (id, other, apart) whose word sets have the similarity.
+
+    A line is held against the candidate whose bitmap is nearest first; most that have a similar line are done then.
+    """
+    spark = docs.sparkSession
     ids = pairs.select("id").unionByName(pairs.select(F.col("other").alias("id"))).distinct()
     asked = persist(lines.select("id", *PLACE).join(ids, "id", "left_semi"), "asked")
-    sets = persist(_word_sets(docs, asked, text), "sets")
+    sets = _word_sets(docs, asked, text)
+    sets = persist(sets.dropDuplicates(["id"]) if repeated else sets, "sets")  # rows that repeat have the same lines
     both = F.size(F.array_intersect("a", "b"))
-    found = pairs.join(sets.toDF("id", "a"), "id").join(sets.toDF("other", "b"), "other")
-    return found.where(9 * both >= 4 * (F.size("a") + F.size("b"))).select("id").distinct()
+
+    def similar(some: DataFrame) -> DataFrame:
+        found = some.join(sets.toDF("id", "a"), "id").join(sets.toDF("other", "b"), "other")
+        return found.where(9 * both >= 4 * (F.size("a") + F.size("b"))).select("id").distinct()
+
+    near = persist(similar(pairs.groupBy("id").agg(F.min_by("other", "apart").alias("other"))), "near")
+    far = persist(similar(pairs.select("id", "other").join(near, "id", "left_anti")), "far")
+    for done in (asked, sets):
+        drop_scratch(spark, done)
+    return near.unionByName(far)
 
 
 def _with_rows(docs: DataFrame, text: str) -> DataFrame:
@@ -503,16 +539,17 @@ def removals(docs: DataFrame, text: str = "text", frequent: int = FREQUENT) -> t
     sets = persist(line_sets(base, sketch, parcels_for(spark, words // 16), text), "sets")
     lines = sets.where(F.col("kind") == FIRST)
     release(spark)
+    copies = persist(sets.where(F.col("kind") == COPY).select("doc_id", "row").distinct(), "copies")
+    repeated = not copies.isEmpty()
     pairs = persist(_candidates(_packed(lines, sketch, frequent, parcels_for(spark, words // 8))), "pairs")
     release(spark)
-    similar = persist(_verified(base, lines, pairs.where("NOT more").select("id", "other").distinct(), text), "similar")
+    similar = _verified(base, lines, pairs.where("NOT more").select("id", "other", "apart").distinct(), text, repeated)
     left = persist(pairs.where("more").select("id").distinct().join(similar, "id", "left_anti"), "left")
     if not left.isEmpty():
         rest = persist(_all_candidates(lines, left, sketch, frequent), "rest")
-        similar = similar.unionByName(_verified(base, lines, rest, text)).distinct()
+        similar = similar.unionByName(_verified(base, lines, rest, text, repeated))
     alike = lines.select("id", *PLACE).join(similar, "id", "left_semi").select(*PLACE)
     gone = persist(sets.where(F.col("kind") == GONE).select(*PLACE).unionByName(alike), "gone")
-    copies = persist(sets.where(F.col("kind") == COPY).select("doc_id", "row").distinct(), "copies")
     for done in (pairs, sets):
         drop_scratch(spark, done)
     release(spark)
@@ -528,7 +565,8 @@ def _all_candidates(lines: DataFrame, left: DataFrame, sketch: np.ndarray, frequ
     before = F.struct("t.doc_id", "t.number", "t.id") < F.struct("m.doc_id", "m.number", "m.id")
     near = (F.least("m.size", "t.size") >= need) & (F.least("m.room", "t.room") >= need) & (F.bit_count(F.col("m.bitmap").bitwiseXOR(F.col("t.bitmap"))) <= total - 2 * need)
     met = mine.join(theirs, F.col("m.key") == F.col("t.key")).where(before & near)
-    return met.select(F.col("m.id").alias("id"), F.col("t.id").alias("other")).distinct()
+    apart = F.bit_count(F.col("m.bitmap").bitwiseXOR(F.col("t.bitmap")))
+    return met.select(F.col("m.id").alias("id"), F.col("t.id").alias("other"), apart.alias("apart")).distinct()
 
 
 def _copies_told(marked: DataFrame, copies: DataFrame) -> DataFrame:

@@ -26,6 +26,7 @@ from .common import drop_scratch, mix64, partitions_for, persist
 from .graph import components
 from .lines import _bitmap, _cell, _in_bitmap, _least_overlap, frequencies
 from .simhash import shingles
+from .words import raw
 
 #: Runs of up to so many nodes compare all their pairs at once.
 SMALL_RUN = 16
@@ -53,8 +54,8 @@ def prepare(docs: DataFrame, width: int, sketch: np.ndarray) -> DataFrame:
         rarity = broadcast.value
         for batch in batches:
             keys, sizes, blobs = [], [], []
-            for text in batch.column(1):
-                words = np.unique(shingles(text.as_py() or "", width))
+            for text in raw(batch.column(1)):
+                words = np.unique(shingles(text, width))
                 keys.append(_keys(words))
                 sizes.append(len(words))
                 seen = rarity[_cell(words)]
@@ -206,7 +207,7 @@ def _verified(docs: DataFrame, width: int, nodes: DataFrame, pairs: DataFrame) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pick = np.flatnonzero(_in_bitmap(bits.value, batch.column(0).to_numpy())).tolist()
-            sets = [np.unique(shingles(batch.column(1)[k].as_py() or "", width)) for k in pick]
+            sets = [np.unique(shingles(t, width)) for t in raw(batch.column(1).take(pa.array(pick, pa.int64())))]
             key, key2 = zip(*map(_keys, sets), strict=True) if sets else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(key2, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["key", "key2", "words"])
 
@@ -229,8 +230,8 @@ def _rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, component_id): the least id that chains of documents with similar shingle sets reach."""
 
-    def sets(texts: list[str | None]) -> Iterator[np.ndarray]:
-        return (np.unique(shingles(t or "", width)) for t in texts)
+    def sets(texts: list[bytes]) -> Iterator[np.ndarray]:
+        return (np.unique(shingles(t, width)) for t in texts)
 
     wide = persist(prepare(docs, width, frequencies(docs, "text", sets)[0]), "wide")
     least = wide.groupBy("key", "key2").agg(F.min(F.struct("doc_id", "size", "words")).alias("first")).select("key", "key2", "first.*")

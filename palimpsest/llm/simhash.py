@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import partitions_for, persist
 from .graph import components
+from .words import raw
 
 SHINGLE = 4
 DISTANCE = 4
@@ -38,11 +39,11 @@ BLOCK = 1024
 SMALL_RUN = 8
 
 
-def shingles(text: str, width: int = SHINGLE) -> np.ndarray:
+def shingles(text: bytes, width: int = SHINGLE) -> np.ndarray:
     """Hashes of a text's word shingles in their order; a shorter text is one shingle, one without words has none."""
     from xxhash import xxh64_intdigest
 
-    flat = b" ".join(text.encode().lower().split())
+    flat = b" ".join(text.lower().split())
     if not flat:
         return np.zeros(0, np.uint64)
     spaces = np.flatnonzero(np.frombuffer(flat, np.uint8) == 32)
@@ -53,7 +54,7 @@ def shingles(text: str, width: int = SHINGLE) -> np.ndarray:
     return np.array([xxh64_intdigest(flat[a:b], SEED) for a, b in zip(starts, ends, strict=False)], np.uint64)
 
 
-def fingerprint(text: str, width: int = SHINGLE) -> int:
+def fingerprint(text: bytes, width: int = SHINGLE) -> int:
     """The SimHash of a text's word shingles; equal shingles count as often as they occur."""
     hashes = shingles(text, width)
     if not len(hashes):
@@ -70,7 +71,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py() or "", width) for t in batch.column(1)], np.uint64)
+            found = np.array([fingerprint(t, width) for t in raw(batch.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")

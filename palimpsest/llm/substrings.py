@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64, partitions_for, persist
-from .words import encoded, hashed, split
+from .words import hashed, raw, split
 
 WINDOW, GRAM = 35, 8
 #: Cells of a sketch row (a power of two) and rows; "once", "more" and "often" (from so many on) are told apart.
@@ -35,7 +35,7 @@ BYTES, HELD = 1 << 20, 2_000_000
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def _chunks(texts: Iterator[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _chunks(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, the row of each word from there, word hashes) of whole texts, about ``BYTES`` at a time."""
     held, size, first = [], 0, 0
 
@@ -45,7 +45,7 @@ def _chunks(texts: Iterator[str | None]) -> Iterator[tuple[int, np.ndarray, np.n
         return first, np.searchsorted(begins, starts, "right") - 1, words
 
     for row, text in enumerate(texts):
-        held.append(encoded(text))
+        held.append(text)
         size += len(held[-1])
         if size >= BYTES:
             yield chunk()
@@ -100,7 +100,7 @@ def sketch(docs: DataFrame, text: str = "text") -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros((DEPTH, CELLS), np.uint8)
         for batch in batches:
-            for _, rows, words in _chunks(t.as_py() for t in batch.column(0)):
+            for _, rows, words in _chunks(raw(batch.column(0))):
                 if len(words) < WINDOW:
                     continue
                 for own, at in zip(cells, _cells(_minimizers(rows, words)[2]), strict=True):
@@ -161,7 +161,7 @@ def _segments(docs: DataFrame, bits: np.ndarray, text: str) -> DataFrame:
         bits = broadcast.value
         for batch in batches:
             ids, marks = batch.column(0), batch.column(1).to_numpy()
-            for first, rows, words in _chunks(t.as_py() for t in batch.column(2)):
+            for first, rows, words in _chunks(raw(batch.column(2))):
                 if len(words) < WINDOW:
                     continue
                 whole, least, _ = _minimizers(rows, words)
@@ -286,8 +286,8 @@ def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 totals, kepts = [], []
-                for value, found in zip(part.column(1), part.column(2).to_pylist(), strict=True):
-                    words = split(encoded(value.as_py()))
+                for value, found in zip(raw(part.column(1)), part.column(2).to_pylist(), strict=True):
+                    words = split(value)
                     totals.append(len(words))
                     kepts.append(remove(words, [(r["start"], r["n"]) for r in found]) if found else words)
                 yield pa.RecordBatch.from_arrays(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 from .common import mix64
 
@@ -15,8 +16,9 @@ LONG = 256
 _STEP, _SALT = np.uint64(0x9FB21C651E98DF25), np.uint64(0xA0761D6478BD642F)
 
 
-def encoded(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "surrogatepass")
+def raw(texts: pa.Array) -> list[bytes]:
+    """Texts as their bytes, a null as none."""
+    return [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
 
 
 def split(text: bytes) -> list[bytes]:
