@@ -6,7 +6,9 @@ each word, merges its leftmost occurrences at once and compacts the arrays, unti
 model remains.
 
 A merge can make a pair of lower rank than its own. Where the model allows that, the round merges
-the leftmost occurrence only, which keeps the order of the sequential algorithm.
+the leftmost occurrence only, which keeps the order of the sequential algorithm. So that a text without
+spaces does not take a round a merge, long words are first cut between characters that no piece has
+side by side, and what is still long is merged by a queue of pairs.
 
 Edge cases: a null text counts as an empty one, which has no ids and decodes to an empty text;
 characters outside the model become their bytes; repeated rows are encoded alike; an empty table
@@ -19,6 +21,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -28,6 +31,8 @@ from pyspark.sql import DataFrame
 SPACE = "▁"
 #: Distinct words that a worker remembers; longer words are not remembered.
 CACHED, LONGEST = 800_000, 64
+#: Longer words, where no cut makes them shorter, are merged by a queue.
+QUEUED = 256
 CODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -80,9 +85,22 @@ class PieceModel:
         self.early = np.array([lowest.get(m, 1 << 40) <= r for m, r in zip(self.merged.tolist(), self.ranks.tolist(), strict=True)], bool)
         # Characters that are in no longer piece stand alone; words also end before a space that follows anything else.
         inside = {c for p in self.ids if len(p) > 1 for c in p}
+        self.beside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.crossed = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.newline_alone = "\n" not in inside
         self.foreign = len(self.pieces) + len(self.symbol) + 1
+        self.table: dict[int, tuple[int, int]] | None = None
+
+    def pair(self, key: int) -> tuple[int, int] | None:
+        """(rank, merged) of one pair."""
+        if self.table is None:
+            self.table = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.merged.tolist(), strict=True), strict=True))
+        return self.table.get(key)
+
+    def parts(self, word: str) -> list[str]:
+        """The word cut where no piece could span."""
+        cuts = [0, *(k for k in range(1, len(word)) if word[k - 1 : k + 1] not in self.beside), len(word)]
+        return [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Place of each pair in the table, or -1."""
@@ -91,8 +109,48 @@ class PieceModel:
         return np.where(self.keys[at] == key, at, -1)
 
 
+def queued(model: PieceModel, word: str) -> list[int]:
+    """Ids of one long word: pairs wait in a queue by rank, then place, and a merge adds its two new pairs."""
+    symbols = np.array([model.symbol.get(c, model.foreign) for c in word], np.int64)
+    place = model.lookup(symbols[:-1], symbols[1:])
+    at = np.flatnonzero(place >= 0)
+    waiting = list(zip(model.ranks[place[at]].tolist(), at.tolist(), symbols[at].tolist(), symbols[at + 1].tolist(), model.merged[place[at]].tolist(), strict=True))
+    heapify(waiting)
+    own = symbols.tolist()
+    after, before = list(range(1, len(own) + 1)), list(range(-1, len(own) - 1))
+
+    def add(k: int, j: int) -> None:
+        if (pair := model.pair(own[k] << 32 | own[j])) is not None:
+            heappush(waiting, (pair[0], k, own[k], own[j], pair[1]))
+
+    while waiting:
+        _, k, a, b, new = heappop(waiting)
+        j = after[k]
+        # A symbol only ever grows, so equal symbols are the pair that was put in.
+        if own[k] != a or j >= len(own) or own[j] != b:
+            continue
+        own[k], own[j] = new, -1
+        after[k] = after[j]
+        if after[k] < len(own):
+            before[after[k]] = k
+            add(k, after[k])
+        if before[k] >= 0:
+            add(before[k], k)
+    limit = len(model.pieces)
+    ids: list[int] = []
+    for k, s in enumerate(own):
+        if s >= limit:
+            ids += model.byte_ids[list(word[k].encode("utf-8", "surrogatepass"))].tolist()
+        elif s >= 0:
+            ids.append(s)
+    return ids
+
+
 def merge_words(model: PieceModel, words: list[str]) -> list[list[int]]:
     """Ids of each word."""
+    if any(len(w) > QUEUED for w in words):
+        short = iter(merge_words(model, [w for w in words if len(w) <= QUEUED]))
+        return [queued(model, w) if len(w) > QUEUED else next(short) for w in words]
     if not words:
         return []
     flat = "".join(words)
@@ -189,8 +247,14 @@ class Codec:
         again = missing & self.older.keys()
         self.known.update((w, self.older[w]) for w in again)
         new = list(missing - again)
-        self.known.update(zip(new, merge_words(self.model, list(map(self.spelling, new))), strict=True))
         self.long = [w for w in new if len(w) > LONGEST]
+        new = [w for w in new if len(w) <= LONGEST]
+        self.known.update(zip(new, merge_words(self.model, list(map(self.spelling, new))), strict=True))
+        for w in self.long:
+            parts = self.model.parts(self.spelling(w))
+            some = list(dict.fromkeys(parts))
+            ids = dict(zip(some, merge_words(self.model, some), strict=True))
+            self.known[w] = list(chain.from_iterable(map(ids.__getitem__, parts)))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         split = [self.words(t) for t in texts]
