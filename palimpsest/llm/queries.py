@@ -105,8 +105,8 @@ def _weight_sql(level: str) -> str:
     """Moments of a beta-binomial over the groups of ``level``: what a prior is worth, and the overall rate."""
     return f"""
 w_{level} AS (
-  SELECT CASE WHEN k < 2 OR r <= 0 OR r >= 1 OR e <= 0 THEN 200.0::DOUBLE
-              WHEN between_ > 0 THEN greatest(2.0::DOUBLE, least(200.0::DOUBLE, 1 / (between_ / (r * (1 - r) * e)) - 1)) ELSE 200.0::DOUBLE END AS weight,
+  SELECT CASE WHEN k < 2 OR r <= 0 OR r >= 1 OR e <= 0 THEN 50.0::DOUBLE
+              WHEN between_ > 0 THEN greatest(2.0::DOUBLE, least(50.0::DOUBLE, 1 / (between_ / (r * (1 - r) * e)) - 1)) ELSE 50.0::DOUBLE END AS weight,
          coalesce(r, 0)::DOUBLE AS rate
   FROM (SELECT *, (spread - bad * r) - (k - 1) * r * (1 - r) AS between_ FROM (
     SELECT count(*) AS k, sum(bad) AS bad, sum(bad)::DOUBLE / sum(n) AS r, sum(n) - sum(n * n)::DOUBLE / sum(n) AS e,
@@ -121,9 +121,11 @@ WITH p AS (
 q AS (
   SELECT *, list_filter(['example.net/en/', 'example.com/de/', 'org/fr/', 'net/'], lambda r:
       (host = split_part(r, '/', 1) OR ends_with(host, '.' || split_part(r, '/', 1))) AND starts_with(path, r[length(split_part(r, '/', 1)) + 1:]))[1] AS rule,
-    CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.in', 'com.tr') THEN 1 ELSE 0 END AS long
+    regexp_replace(host, ':[0-9]*$', '') AS name
   FROM p),
-h AS (SELECT *, array_to_string(string_split(host, '.')[-2 - long:], '.') AS domain, array_to_string(string_split(host, '.')[-1 - long:], '.') AS suffix FROM q),
+l AS (SELECT *, CASE WHEN regexp_matches(name, '^([0-9.]+|\[.*)$') THEN 100
+    WHEN regexp_matches(name, '(^|\.)(ac|co|com|edu|gov|ne|net|or|org)\.[a-z][a-z]$') THEN 1 ELSE 0 END AS more, string_split(name, '.') AS part FROM q),
+h AS (SELECT *, array_to_string(part[-2 - more:], '.') AS domain, array_to_string(part[-1 - more:], '.') AS suffix FROM l),
 by_host AS (SELECT suffix, domain, host, count(*) AS n, sum(1 - quality) AS bad FROM h JOIN labels ON labels.doc_id = h.page_id GROUP BY ALL),
 by_domain AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM by_host GROUP BY ALL),
 by_suffix AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM by_host GROUP BY ALL),
@@ -135,12 +137,12 @@ s AS (SELECT x.suffix, (w.rate * w.weight + coalesce(c.bad, 0)) / (w.weight + co
 d AS (SELECT x.suffix, x.domain, (s.p * w.weight + coalesce(c.bad, 0)) / (w.weight + coalesce(c.n, 0)) AS p
       FROM (SELECT DISTINCT suffix, domain FROM h) x JOIN s ON s.suffix = x.suffix
       LEFT JOIN by_domain c ON c.suffix = x.suffix AND c.domain = x.domain, w_by_domain w),
-b AS (SELECT host, p - 1.6449 * sqrt(p * (1 - p) / (m + 1)) AS bound FROM (
+b AS (SELECT host, p - 0.6745 * sqrt(p * (1 - p) / (m + 1)) AS bound FROM (
       SELECT x.host, w.weight + coalesce(c.n, 0) AS m, (d.p * w.weight + coalesce(c.bad, 0)) / (w.weight + coalesce(c.n, 0)) AS p
       FROM (SELECT DISTINCT suffix, domain, host FROM h) x JOIN d ON d.suffix = x.suffix AND d.domain = x.domain
       LEFT JOIN by_host c ON c.host = x.host, w_by_host w))
 SELECT page_id, h.host, path, rule,
-       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN b.bound > 0.5 THEN 'block' ELSE 'allow' END AS verdict
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN b.bound > least((SELECT rate FROM w_by_host), 0.5) THEN 'block' ELSE 'allow' END AS verdict
 FROM h JOIN b ON b.host = h.host
 """
 )

@@ -3,7 +3,10 @@
 Labelled pages (1 for a bad outcome) are counted by host, registered domain and suffix. Each level's
 rate is a beta posterior whose prior is the posterior mean of the level above, worth as many
 pages as the spread of the lower level's rates suggests (moments of a beta-binomial). A page is
-blocked if the lower bound of its host's posterior is above the threshold.
+blocked if the lower bound of its host's posterior is above the overall rate, or above a half where
+that is less: at 75 %, its host is worse than pages are on the whole. The bound is that of the normal
+with the posterior's mean and variance, which needs no quantile of the beta. Ports do not belong to a
+domain; an address is its own domain and suffix.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is
 judged by the overall rate; a host without labels takes the posterior of its domain or suffix; with
@@ -18,13 +21,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Standard normal quantile of the one-sided bound, and the rate above which a host is blocked.
-QUANTILE, THRESHOLD = 1.6449, 0.5
+#: Standard normal quantile of the one-sided bound (75 %), and the most that the rate to be above can be.
+QUANTILE, MOST = 0.6745, 0.5
 #: Least and most pages that a prior is worth.
-WEIGHTS = (2.0, 200.0)
+WEIGHTS = (2.0, 50.0)
 
-# Public suffixes of two labels; every other suffix is the last label.
-LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.in", "com.tr")
+#: A suffix has two labels if it is one of these below a country's two letters; every other is the last label.
+LONG_SUFFIX = r"(^|\.)(ac|co|com|edu|gov|ne|net|or|org)\.[a-z][a-z]$"
+PORT, ADDRESS = r":[0-9]*$", r"^([0-9.]+|\[.*)$"
 
 
 @dataclass(frozen=True)
@@ -62,7 +66,7 @@ def ruled(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, url: str = "url"
     """Adds host, path, rule and the rule's verdict; the longest rule wins, then the first named."""
     found = pages.withColumns({"host": host_of(F.coalesce(url, F.lit(""))), "path": path_of(F.coalesce(url, F.lit("")))})
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for r in sorted(rules, key=lambda r: len(r.name)):
+    for r in sorted(reversed(rules), key=lambda r: len(r.name)):
         fits = _fits(r, F.col("host"), F.col("path"))
         rule, verdict = F.when(fits, F.lit(r.name)).otherwise(rule), F.when(fits, F.lit(r.verdict)).otherwise(verdict)
     return found.withColumns({"rule": rule, "rule_verdict": verdict})
@@ -70,9 +74,11 @@ def ruled(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, url: str = "url"
 
 def with_levels(hosts: DataFrame) -> DataFrame:
     """Adds the registered domain and the suffix of ``host``."""
-    two = F.substring_index("host", ".", -2)
-    suffix = F.when(two.isin(*LONG_SUFFIXES), two).otherwise(F.substring_index("host", ".", -1))
-    domain = F.when(two.isin(*LONG_SUFFIXES), F.substring_index("host", ".", -3)).otherwise(two)
+    name = F.regexp_replace("host", PORT, "")
+    long, address = name.rlike(LONG_SUFFIX), name.rlike(ADDRESS)
+    last = lambda n: F.substring_index(name, ".", -n)
+    domain = F.when(address, name).when(long, last(3)).otherwise(last(2))
+    suffix = F.when(address, name).when(long, last(2)).otherwise(last(1))
     return hosts.withColumns({"domain": domain, "suffix": suffix})
 
 
@@ -91,7 +97,7 @@ def _weight(counts: DataFrame) -> DataFrame:
 
 
 def reputations(hosts: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """(host, bound) for every distinct ``host`` of ``hosts``; ``outcomes`` has host and bad (0 or 1).
+    """(host, bound, rate) for every distinct ``host`` of ``hosts``; ``outcomes`` has host and bad (0 or 1); the rate is overall.
 
     Everything past the first aggregate is one row a host or less. The three weights and the
     overall rate are single rows, which are the only things broadcast.
@@ -111,13 +117,13 @@ def reputations(hosts: DataFrame, outcomes: DataFrame) -> DataFrame:
     domains = posterior(everyone.select("suffix", "domain").distinct().join(suffixes, "suffix"), by_domain, ["suffix", "domain"], "p_suffix", "p_domain").select("suffix", "domain", "p_domain")
     found = posterior(everyone.join(domains, ["suffix", "domain"]), by_host, ["host"], "p_domain", "p_host")
     spread = F.sqrt(F.col("p_host") * (1 - F.col("p_host")) / (F.col("p_host_n") + 1))
-    return found.select("host", (F.col("p_host") - QUANTILE * spread).alias("bound"))
+    return found.select("host", (F.col("p_host") - QUANTILE * spread).alias("bound")).crossJoin(F.broadcast(_weight(by_host).select("rate")))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[UrlRule, ...] = RULES, threshold: float = THRESHOLD) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[UrlRule, ...] = RULES) -> DataFrame:
     """Adds host, path, rule, bound and verdict to ``pages``; ``outcomes`` has url and bad."""
-    found = ruled(pages, rules)
+    found = ruled(pages.drop("bound", "rate", "verdict"), rules)
     labelled = outcomes.select(host_of(F.coalesce("url", F.lit(""))).alias("host"), "bad")
     bounds = reputations(found, labelled)
-    verdict = F.coalesce("rule_verdict", F.when(F.col("bound") > threshold, F.lit("block")).otherwise(F.lit("allow")))
-    return found.join(bounds, "host", "left").withColumn("verdict", verdict).drop("rule_verdict")
+    verdict = F.coalesce("rule_verdict", F.when(F.col("bound") > F.least("rate", F.lit(MOST)), F.lit("block")).otherwise(F.lit("allow")))
+    return found.join(bounds, "host", "left").withColumn("verdict", verdict).drop("rule_verdict", "rate")
