@@ -5,11 +5,13 @@ written out, and a bit drawn for the step and the character's class says whether
 a few edits apart fall into step again soon after each edit, so their outputs differ in few places
 (edit distance becomes Hamming distance). A fingerprint takes one bit of each of 512 places of the
 output; the places depend on the length only, and hardly move when it changes (jump hashing).
-Likeness is the share of equal bits, scaled so that unrelated texts are near 0.
+Likeness is the share of equal bits, scaled so that unrelated texts are near 0. Fingerprints with a
+likeness of 0.8 or more are one class: they meet in bands of sampled bits and are verified there.
 
 Edge cases: a null text counts as an empty one, whose fingerprint is that of padding alone; equal
 texts have equal fingerprints; ties of ids are ordered by text, a null id comes first; the only
-document of a table is followed by itself; an empty table gives an empty result; further columns
+document of a table is followed by itself; a class is named by its least id, ids that are null aside;
+equal fingerprints are one node whatever their ids; an empty table gives an empty result; further columns
 are ignored.
 """
 
@@ -25,8 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, partitions_for, persist
+from .common import drop_scratch, mix64, partitions_for, persist, release
 from .graph import components
+from .lines import _bitmap, _in_bitmap
+from .parcels import PARCEL, ROWS, deal, delivered, each, opened
 
 BITS = 512
 CLASSES = 16
@@ -196,7 +200,7 @@ def against_next(docs: DataFrame) -> DataFrame:
 
 
 #: Bits of a band, bands, and the likeness that makes a link.
-BAND_BITS, BANDS, LIKE = 28, 128, 0.8
+BAND_BITS, BANDS, LIKE = 28, 64, 0.8
 #: Buckets of up to so many fingerprints give all their pairs; larger ones are searched with the fingerprints at hand.
 SMALL_BUCKET = 8
 
@@ -207,46 +211,39 @@ def bands() -> np.ndarray:
     return np.array([sorted(rng.choice(BITS, BAND_BITS, replace=False).tolist()) for _ in range(BANDS)])
 
 
-def _keys(nodes: DataFrame) -> DataFrame:
-    """(key, node) for each band of each fingerprint."""
+def _banded(nodes: DataFrame, parcels: int, asked: np.ndarray | None = None) -> DataFrame:
+    """Parcels of (bits, node) for each band of each fingerprint; a parcel is a part of one band.
+
+    With a bitmap of keys (band and bits), of those and a few others only, and with the fingerprints.
+    """
+    wanted = nodes.sparkSession.sparkContext.broadcast(asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = bands()
         weight = np.int64(1) << np.arange(BAND_BITS, dtype=np.int64)
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                part = batch.slice(k, 1024)
-                raw = np.frombuffer(bytes.fromhex("".join(part.column(1).to_pylist())), np.uint8).reshape(-1, BITS // 8)
-                bits = np.unpackbits(raw, axis=1)
-                keys = [bits[:, at].astype(np.int64) @ weight | band << BAND_BITS for band, at in enumerate(places)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(part.column(0).to_numpy(), BANDS))], names=["key", "node"])
-
-    return nodes.select("node", "fingerprint").mapInArrow(run, "key long, node long")
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows sorted by ``key`` in tables that hold whole runs."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = batch.column("key").to_numpy()
-        if held and held[-1].column("key")[-1].as_py() != key[0]:
-            yield pa.Table.from_batches(held)
-            held = []
-        cut = int(np.searchsorted(key, key[-1]))
-        if cut:
-            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
-            held = []
-        held.append(batch.slice(cut))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for k in range(0, batch.num_rows, 8192):
+                part = batch.slice(k, 8192)
+                node = part.column(0).to_numpy()
+                prints = np.frombuffer(bytes.fromhex("".join(part.column(1).to_pylist())), np.uint64).reshape(-1, BITS // 64)
+                bits = np.unpackbits(prints.view(np.uint8), axis=1)
+                for band, at in enumerate(places):
+                    key = bits[:, at].astype(np.int64) @ weight
+                    pick = np.arange(len(key)) if wanted.value is None else np.flatnonzero(_in_bitmap(wanted.value, key | band << BAND_BITS))
+                    if len(pick):
+                        parcel = (band * parcels + key[pick] % parcels).astype(np.int32)
+                        columns = [key[pick].astype(np.int32), node[pick]]
+                        yield deal(parcel, columns if wanted.value is None else [*columns, prints[pick]])
+
+    return delivered(nodes.select("node", "fingerprint").mapInArrow(run, PARCEL))
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], parcels: int) -> Iterator[pa.RecordBatch]:
     """(a, b, key): all pairs of small buckets, and nulls with the key of a larger one."""
-    for table in _runs(batches):
-        key, node = table.column("key").to_numpy(), table.column("node").to_numpy()
+    for parcel, blobs in each(batches):
+        key, node = opened(blobs, [np.int32, np.int64])
+        order = np.argsort(key, kind="stable")
+        key, node = key[order], node[order]
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[first, len(key)])
         left = np.repeat(np.where(size > SMALL_BUCKET, 0, size), size) - (np.arange(len(key)) - np.repeat(first, size))
@@ -254,16 +251,17 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.flatnonzero(left > step)
             found = np.sort(np.stack([node[at], node[at + step]], axis=1), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.nulls(len(at), pa.int64())], names=["a", "b", "key"])
-        large = key[first[size > SMALL_BUCKET]]
+        large = key[first[size > SMALL_BUCKET]].astype(np.int64) | parcel // parcels << BAND_BITS
         none = pa.nulls(len(large), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, pa.array(large)], names=["a", "b", "key"])
 
 
 def _spans(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Links (a, b) that span what is alike in each bucket: each found member is searched from once."""
-    for table in _runs(batches):
-        key, node = table.column("key").to_numpy(), table.column("node").to_numpy()
-        bits = np.frombuffer(bytes.fromhex("".join(table.column("fingerprint").to_pylist())), np.uint64).reshape(-1, BITS // 64)
+    for _, blobs in each(batches):
+        key, node, bits = opened(blobs, [np.int32, np.int64, (np.uint64, BITS // 64)])
+        order = np.lexsort((node, key))
+        key, node, bits = key[order], node[order], bits[order]
         cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             rest, a, b = np.arange(lo, hi), [], []
@@ -285,11 +283,12 @@ def labels(prints: DataFrame, least: float = LIKE) -> DataFrame:
     Each bucket of a band is searched completely: a small one by all its pairs, a large one by a search
     that spans what is alike in it, so that large groups of near copies make few links.
     """
-    n = partitions_for(prints.sparkSession)
+    spark = prints.sparkSession
     distinct = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
     nodes = persist(distinct.withColumn("node", F.monotonically_increasing_id()), "prints")
+    parcels = nodes.count() // ROWS + 1
     most = int(np.floor(BITS * (1 - least) / 2 + 1e-9))
-    met = persist(_keys(nodes).repartition(n, "key").sortWithinPartitions("key").mapInArrow(_pairs, "a long, b long, key long").distinct(), "pairs")
+    met = persist(_banded(nodes, parcels).mapInArrow(lambda batches: _pairs(batches, parcels), "a long, b long, key long").distinct(), "pairs")
     part = lambda c, k: F.conv(F.substring(c, 16 * k + 1, 16), 16, -10).cast("long")
     apart = sum((F.bit_count(part("x", k).bitwiseXOR(part("y", k))) for k in range(BITS // 64)), F.lit(0))
     pairs = met.where("key IS NULL").select("a", "b")
@@ -297,13 +296,15 @@ def labels(prints: DataFrame, least: float = LIKE) -> DataFrame:
     links = pairs.join(sides.toDF("a", "x"), "a").join(sides.toDF("b", "y"), "b").where(apart <= most).select("a", "b")
     large = met.where("key IS NOT NULL").select("key")
     if not large.isEmpty():
-        rows = _keys(nodes).join(large, "key", "left_semi").join(sides, "node").select("key", "node", "fingerprint")
-        spans = rows.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(lambda batches: _spans(batches, most), "a long, b long")
+        spans = _banded(nodes, parcels, _bitmap(large)).mapInArrow(lambda batches: _spans(batches, most), "a long, b long")
         links = links.unionByName(spans.distinct())
     found = components(links)
     roots = nodes.join(found, "node", "left").select("fingerprint", "least", F.coalesce("root", "node").alias("root"))
     named = roots.groupBy("root").agg(F.min("least").alias("class_id"))
-    return roots.join(named, "root").select("fingerprint", "class_id")
+    out = persist(roots.join(named, "root").select("fingerprint", "class_id"), "labels")
+    for done in (met, nodes):
+        drop_scratch(spark, done)
+    return out
 
 
 def classes(prints: DataFrame, least: float = LIKE) -> DataFrame:
@@ -314,4 +315,5 @@ def classes(prints: DataFrame, least: float = LIKE) -> DataFrame:
 def classified(docs: DataFrame) -> DataFrame:
     """``against_next`` with the class of each document's fingerprint."""
     prints = persist(against_next(docs), "fingerprinted")
+    release(docs.sparkSession)  # the shuffle of texts is read
     return prints.join(labels(prints), "fingerprint").select(*prints.columns, "class_id")

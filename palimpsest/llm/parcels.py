@@ -50,8 +50,9 @@ def opened(blobs: list[bytes], kinds: list, ragged: type | None = None) -> list[
     for blob in blobs:
         n, at = int(np.frombuffer(blob, np.int64, 1)[0]), 8
         for k, kind in enumerate(kinds):
-            found[k].append(np.frombuffer(blob, kind, n, at))
-            at += n * np.dtype(kind).itemsize
+            kind = np.dtype(kind)
+            found[k].append(np.ndarray((n, *kind.shape), kind.base, blob, at))
+            at += n * kind.itemsize
         if ragged is not None:
             found[-1].append(np.frombuffer(blob, ragged, -1, at))
     return [np.concatenate(f) for f in found]
