@@ -1,33 +1,38 @@
 """Personal data: fixed patterns, and what bootstrapped contexts add to them.
 
 Emails, addresses, cards and phones are found by fixed patterns. They and a few certain kinds of secrets
-are seed entities. The words before an entity are its lexical pattern; patterns and the
-identifier-shaped strings that stand in them form a bipartite graph. Rounds of joins score
-patterns by the share of their strings that are known, and strings by the patterns they stand in;
-confident patterns then discover strings that no fixed pattern knows.
-
-Edge cases: a null text counts as an empty one and has no spans; very long tokens are no
-identifiers but are still searched by the fixed patterns; equal rows are judged each by itself;
-without seeds no pattern is induced; an empty table gives an empty result; further columns are
-ignored by ``find`` and kept by ``redact``.
+are seed entities. Around an entity stand its lexical patterns: the two words before it, the words on
+either side, and the key of an assignment. Patterns and the identifier-shaped strings that stand in
+them form a bipartite graph. Rounds of joins score patterns by the share of their strings that are
+known, and strings by the patterns they stand in; confident patterns then discover strings that no
+fixed pattern knows. An identifier-shaped string holds a digit and six characters or more between
+delimiters and base spans, however long it is.
+
+Edge cases: a null text counts as an empty one and has no spans; rows are told apart by id and text, so
+that rows of one id, or without one, have their own spans, and rows that repeat have the same; without
+seeds no pattern is induced; an empty table gives an empty result; further columns are ignored by
+``find`` and kept by ``redact``.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import persist
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 ROUNDS = 3
-#: A pattern is trusted from so many distinct known strings, and that share of its strings, on.
-SUPPORT, CONFIDENCE, ACCEPTED = 5, 0.8, 0.9
-TOKEN_CHARS = 128
+#: A pattern is trusted if so many distinct strings in it are known, and that share of all of them and one
+#: more (so that four known ones of four are the least); a string is accepted from that score on.
+SUPPORT, CONFIDENCE, ACCEPTED = 4, 0.8, 0.9
+#: Longer words stand in a pattern as their hash.
+WORD_CHARS = 40
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
@@ -38,8 +43,12 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
+_SPACES = " \t\n\v\f\r"
+_DELIMITERS = frozenset(_SPACES + "\"'()[]{}<>=,;&?!#*$%|")
+_END = re.compile(r"[\x20\x09-\x0D\"'()\[\]{}<>=,;&?!#*$%|]")
+_KEY = re.compile(r"([A-Za-z_]{2,24})[ \"']{0,3}[=:][ \"']{0,3}\Z")
+_NOISE = re.compile(r"[0-9\"'()\[\]{}<>#*$%&!?,;.:=|]")
 _SECRET = re.compile(r"AKIA[0-9A-Z]{16}|(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{12,}")
-_INLINE = re.compile(r"([A-Za-z_]{2,24}[=:])(.+)", re.S)
 
 
 def luhn(digits: str) -> bool:
@@ -79,65 +88,93 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def _before(text: str, start: int) -> str:
-    """The two words before an entity, lower-cased, without digits, quotes and the like."""
-    left = text[max(0, start - 64) : start].split()[-2:]
-    return " ".join(re.sub(r"[0-9\"'()\[\]<>#*$%&!,;.]", "", w).lower() for w in left).strip()
-
-
-def occurrences(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int, str, str, str | None]]:
-    """(start, end, pattern, string, seed kind): entities and identifier-shaped strings in their contexts."""
-    found = [(a, b, _before(text, a), text[a:b].lower(), kind) for kind, a, b in base]
-    taken = sorted((a, b) for _, a, b in base)
-    at, k = 0, 0
-    while m := _DIGIT.search(text, at):
-        pos = m.start()
-        end = _SPACE.search(text, pos)
-        end = end.start() if end else len(text)
-        head = text[max(at, pos - TOKEN_CHARS) : pos]
-        start = pos - len(re.split(r"[\x20\x09-\x0D]", head)[-1])
-        at = end
-        while k < len(taken) and taken[k][1] <= start:
-            k += 1
-        if end - start > TOKEN_CHARS or (k < len(taken) and taken[k][0] < end):
-            continue
-        token = text[start:end]
-        inline = _INLINE.match(token)
-        value = inline[2] if inline else token
-        low = len(token) - len(value) + len(value) - len(value.lstrip("\"'([<"))
-        value = value.strip("\"'()[]<>,;.!?#*$%&")
-        if len(value) < 6:
-            continue
-        a = start + low
-        seed = "secret" if _SECRET.fullmatch(value) else None
-        found.append((a, a + len(value), inline[1].lower() if inline else _before(text, start), value.lower(), seed))
+def _plain(word: str) -> str:
+    """A word of a pattern: lower-cased, without digits and punctuation."""
+    word = _NOISE.sub("", word).lower()
+    return word if len(word) <= WORD_CHARS else hashlib.sha256(word.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _left(text: str, end: int) -> tuple[str, int]:
+    """The word that ends before ``end``, and where it begins."""
+    while end and text[end - 1] in _SPACES:
+        end -= 1
+    start = end
+    while start and text[start - 1] not in _SPACES:
+        start -= 1
+    return text[start:end], start
+
+
+def patterns(text: str, start: int, end: int) -> list[str]:
+    """The lexical patterns around a string: its key, the two words before it, and the words on either side."""
+    near, at = _left(text, start)
+    far, _ = _left(text, at)
+    while end < len(text) and text[end] in _DELIMITERS:
+        end += 1
+    stop = _SPACE.search(text, end)
+    near, far, right = _plain(near), _plain(far), _plain(text[end : stop.start() if stop else len(text)])
+    key = _KEY.search(text, max(0, start - 32), start)
+    found = [f"key {key[1].lower()}"] if key else []
+    if near and far:
+        found.append(f"before {far} {near}")
+    if near and right:
+        found.append(f"around {near} {right}")
     return found
 
 
+def strings(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
+    """Identifier-shaped strings outside the base spans."""
+    low, gaps = 0, []
+    for a, b in sorted((a, b) for _, a, b in base):
+        gaps.append((low, a))
+        low = max(low, b)
+    for low, high in [*gaps, (low, len(text))]:
+        while low < high and (m := _DIGIT.search(text, low, high)):
+            start, stop = m.start(), _END.search(text, m.start(), high)
+            while start > low and text[start - 1] not in _DELIMITERS:
+                start -= 1
+            low = end = stop.start() if stop else high
+            while start < end and text[start] in ".:-/":
+                start += 1
+            while start < end and text[end - 1] in ".:-/":
+                end -= 1
+            if end - start >= 6 and _DIGIT.search(text, start, end):
+                yield start, end
+
+
+def occurrences(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int, list[str], str, str | None]]:
+    """(start, end, patterns, string, seed kind) of the base entities, then of the other strings."""
+    found = [(a, b, patterns(text, a, b), text[a:b].lower(), kind) for kind, a, b in base]
+    return found + [(a, b, patterns(text, a, b), text[a:b].lower(), "secret" if _SECRET.fullmatch(text, a, b) else None) for a, b in strings(text, base)]
+
+
 SCANNED = (
-    "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, "
-    "found array<struct<start:int,end:int,pattern:string,value:string,kind:string,base:boolean>>"
+    "doc_id long, mark long, n_email long, n_ip long, n_card long, n_phone long, base string, "
+    "found array<struct<start:int,end:int,patterns:array<string>,value:string,kind:string,base:boolean>>"
 )
+NO_ID = -(1 << 63)
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """One row a document: counts, the base spans as text, and every occurrence."""
-    item = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("pattern", pa.string()), ("value", pa.string()), ("kind", pa.string()), ("base", pa.bool_())])
+    """One row a document: the hash of its text, counts, the base spans as text, and every occurrence."""
+    item = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("patterns", pa.list_(pa.string())), ("value", pa.string()), ("kind", pa.string()), ("base", pa.bool_())])
+    kinds = [pa.int64()] * 6 + [pa.string(), pa.list_(item)]
+    names = ["doc_id", "mark", "n_email", "n_ip", "n_card", "n_phone", "base", "found"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py() or ""
-                base = base_spans(text)
-                n = [sum(k == kind for k, _, _ in base) for kind in KINDS[:4]]
-                found = occurrences(text, base)
-                rows.append((doc_id, *n, ",".join(f"{k}:{a}:{b}" for k, a, b in base), [dict(zip(("start", "end", "pattern", "value", "kind", "base"), (*f, i < len(base)), strict=True)) for i, f in enumerate(found)]))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            kinds = [pa.int64()] * 5 + [pa.string(), pa.list_(item)]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "found"])
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                rows = []
+                for text in part.column(2):
+                    text = text.as_py() or ""
+                    base = base_spans(text)
+                    n = [sum(k == kind for k, _, _ in base) for kind in KINDS[:4]]
+                    found = [dict(zip(("start", "end", "patterns", "value", "kind", "base"), (*f, i < len(base)), strict=True)) for i, f in enumerate(occurrences(text, base))]
+                    rows.append((*n, ",".join(f"{k}:{a}:{b}" for k, a, b in base), found))
+                columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds[2:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCANNED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").mapInArrow(run, SCANNED)
 
 
 def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
@@ -147,35 +184,38 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFr
     distinct edges with the known strings and two aggregates; sums are made before the shuffle, so a
     frequent pattern is not one task's work.
     """
-    edges = persist(found.select("pattern", "value").distinct(), "edges")
+    edges = persist(found.where("pattern IS NOT NULL").select("pattern", "value").distinct(), "edges")
     seeds = persist(found.where("kind IS NOT NULL").select("value", "kind").distinct(), "seeds")
-    size = edges.where("pattern <> ''").groupBy("pattern").agg(F.count("*").alias("all"))
+    size = edges.groupBy("pattern").agg(F.count("*").alias("all"))
     known = seeds
     for _ in range(rounds):
-        hits = edges.where("pattern <> ''").join(known, "value").groupBy("pattern", "kind").agg(F.count("*").alias("hits"))
-        trusted = hits.where(F.col("hits") >= SUPPORT).join(size, "pattern").withColumn("confidence", F.col("hits") / F.col("all")).where(F.col("confidence") >= CONFIDENCE)
-        trusted = persist(trusted.select("pattern", "kind", "confidence"), "patterns")
+        hits = edges.join(known, "value").groupBy("pattern", "kind").agg(F.count("*").alias("hits"))
+        scored = hits.where(F.col("hits") >= SUPPORT).join(size, "pattern").withColumn("confidence", F.col("hits") / (F.col("all") + 1))
+        trusted = persist(scored.where(F.col("confidence") >= CONFIDENCE).select("pattern", "kind", "confidence"), "patterns")
         # A string is as sure as it is unlikely that all its patterns err.
-        doubt = F.sum(F.log1p(-F.least("confidence", F.lit(0.999))))
-        scored = edges.join(trusted, "pattern").groupBy("value", "kind").agg((1 - F.exp(doubt)).alias("score"))
-        learned = scored.where(F.col("score") >= ACCEPTED).select("value", "kind")
-        known = persist(seeds.unionByName(learned).distinct(), "known")
+        doubt = F.sum(F.log1p(-F.col("confidence")))
+        learned = edges.join(trusted, "pattern").groupBy("value", "kind").agg((1 - F.exp(doubt)).alias("score")).where(F.col("score") >= ACCEPTED)
+        known = persist(seeds.unionByName(learned.select("value", "kind")).distinct(), "known")
     return trusted, known
 
 
+def _place(kind: Column) -> Column:
+    return F.array_position(F.array(*map(F.lit, KINDS)), kind)
+
+
 def find(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base, spans): both lists as kind:start:end."""
-    scanned = persist(scan(docs), "scanned")
-    found = scanned.select("doc_id", F.inline("found")).select("doc_id", "start", "end", "pattern", "value", "kind", "base")
-    trusted, known = bootstrap(found, rounds)
-    new = found.where(~F.col("base")).drop("kind", "base")
-    added = new.join(trusted.select("pattern", "kind"), "pattern").unionByName(new.join(known, "value"), allowMissingColumns=True)
-    span = F.struct("start", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("k"), "end")
-    spans = added.groupBy("doc_id").agg(F.collect_set(span).alias("added"))  # no more than the document has tokens
-    base = F.transform(F.filter("found", lambda x: x["base"]), lambda x: F.struct(x["start"].alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), x["kind"]).alias("k"), x["end"].alias("end")))
+    """(doc_id, mark, n_email, n_ip, n_card, n_phone, base, spans): both lists as kind:start:end; ``mark`` is the text's hash."""
+    scanned = persist(scan(docs), "scanned").withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)))
+    found = scanned.select("id", "mark", F.inline("found"))
+    trusted, known = bootstrap(found.select(F.explode_outer("patterns").alias("pattern"), "value", "kind"), rounds)
+    new = found.where("NOT base").drop("kind", "base")
+    by_pattern = new.withColumn("pattern", F.explode("patterns")).join(trusted.select("pattern", "kind"), "pattern")
+    added = by_pattern.drop("pattern").unionByName(new.join(known, "value"))
+    spans = added.groupBy("id", "mark").agg(F.collect_set(F.struct("start", _place(F.col("kind")).alias("k"), "end")).alias("added"))  # no more than the document has tokens
+    base = F.transform(F.filter("found", lambda x: x["base"]), lambda x: F.struct(x["start"].alias("start"), _place(x["kind"]).alias("k"), x["end"].alias("end")))
     every = F.array_sort(F.concat(base, F.coalesce("added", F.array().cast("array<struct<start:int,k:bigint,end:int>>"))))
     text = F.array_join(F.transform(every, lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), x["k"].cast("int")), x["start"], x["end"])), ",")
-    return scanned.join(spans, "doc_id", "left").select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", text.alias("spans"))
+    return scanned.join(spans, ["id", "mark"], "left").select("doc_id", "mark", "n_email", "n_ip", "n_card", "n_phone", "base", text.alias("spans"))
 
 
 def mask(text: str, spans: str) -> str:
@@ -191,9 +231,10 @@ def mask(text: str, spans: str) -> str:
 
 def redact(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``docs`` with every span masked in ``text``; other columns as they are."""
-    spans = find(docs, rounds).where("spans <> ''").select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans")).distinct()
-    joined = docs.join(spans, docs["doc_id"] == spans["__id"], "left").drop("__id")
-    at = [c for c in joined.columns if c != "__spans"]
+    spans = find(docs, rounds).where("spans <> ''").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.col("mark").alias("__mark"), F.col("spans").alias("__spans")).distinct()
+    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__mark": F.xxhash64("text")})
+    joined = keyed.join(spans, ["__id", "__mark"], "left").select(*docs.columns, "__spans")
+    at = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
