@@ -6,8 +6,8 @@ line separator is the end mark of a WARC record, so Spark's own writer commits t
 store. The reader cuts files by Content-Length, and the records of a capture meet in one join.
 
 Edge cases: a null payload counts as an empty one and is still a capture; equal payloads below
-``least`` bytes are all responses; rows that repeat an id and its payload are one capture, of rows
-that repeat an id alone the greatest payload is read; a null id is an id of its own; an empty table
+``least`` bytes are all responses; rows that repeat an id and its payload are one capture, rows that
+repeat an id alone are captures of their own; a page without an id is always a response; an empty table
 writes no archive that holds a record; further columns are ignored.
 """
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,8 +25,9 @@ from .common import persist, scratch_dir
 
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Rows of one archive at most: it bounds what a reader holds in memory.
-RECORDS = 2000
+#: Bytes of an archive before compression, roughly: files are closed by a number of records of the mean size. A
+#: reader holds one file as it is stored, and the records of one batch.
+ARCHIVE, BATCH = 64 << 20, 8 << 20
 HEADERS = ("WARC-Type", "WARC-Record-ID", "WARC-Concurrent-To", "WARC-Target-URI", "WARC-Payload-Digest", "WARC-Refers-To")
 RECORD = "type string, id string, concurrent_to string, uri string, digest string, refers_to string, http string, payload binary"
 
@@ -37,9 +39,9 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def record_id(kind: str, page_id: Column) -> Column:
-    """A stable identifier in the form of a UUID."""
-    h = F.md5(F.concat(F.lit(kind + ":"), F.coalesce(page_id.cast("string"), F.lit(""))))
+def record_id(kind: str, page_id: Column, same: Column) -> Column:
+    """A stable identifier of a page and its payload's hash, in the form of a UUID."""
+    h = F.md5(F.concat(F.lit(kind + ":"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(":"), same))
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))), F.lit(">"))
 
 
@@ -61,56 +63,82 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
     firsts = found.where(F.col("size") >= least).groupBy("same").agg(F.min("page_id").alias("first"))
     found = found.join(firsts, "same", "left").withColumn("first", F.coalesce("first", "page_id"))
     revisit = F.col("first") != F.col("page_id")
-    page, url = F.col("page_id"), F.col("url")
-    response = record_id("response", page)
+    page, url, same = F.col("page_id"), F.col("url"), F.col("same")
+    response = record_id("response", page, same)
     date = ("WARC-Date", F.lit("2024-01-01T00:00:00Z"))
     target = ("WARC-Target-URI", url)
     http = F.encode(F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit("\r\n\r\n")), "UTF-8")
     common = [("WARC-Record-ID", response), date, target, ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), ("Content-Type", F.lit("application/http;msgtype=response"))]
     full = _record([("WARC-Type", F.lit("response")), *common], F.concat(http, F.col("payload")))
-    again = _record([("WARC-Type", F.lit("revisit")), *common, ("WARC-Profile", F.lit(PROFILE)), ("WARC-Refers-To", record_id("response", F.col("first")))], http)
-    side = lambda kind, content: [("WARC-Type", F.lit(kind)), ("WARC-Record-ID", record_id(kind, page)), date, target, ("WARC-Concurrent-To", response), ("Content-Type", F.lit(content))]
+    again = _record([("WARC-Type", F.lit("revisit")), *common, ("WARC-Profile", F.lit(PROFILE)), ("WARC-Refers-To", record_id("response", F.col("first"), same))], http)
+    side = lambda kind, content: [("WARC-Type", F.lit(kind)), ("WARC-Record-ID", record_id(kind, page, same)), date, target, ("WARC-Concurrent-To", response), ("Content-Type", F.lit(content))]
     request = _record(side("request", "application/http;msgtype=request"), F.encode(F.concat(F.lit("GET "), url, F.lit(" HTTP/1.1\r\n\r\n")), "UTF-8"))
     metadata = _record(side("metadata", "application/warc-fields"), F.encode(F.concat(F.lit("page-id: "), F.coalesce(page.cast("string"), F.lit("")), F.lit("\r\n")), "UTF-8"))
     rows = F.array(request, F.when(revisit, again).otherwise(full), metadata)
     return found.select("page_id", F.explode(rows).alias("record"))
 
 
-def write_archives(rows: DataFrame, path: str) -> None:
-    """Whole-file gzip; each file holds at most ``RECORDS`` records."""
+def records_for(pages: DataFrame) -> int:
+    """Records of a file of about ``ARCHIVE`` bytes, by the mean payload (a page has three records)."""
+    mean = pages.agg(F.avg(F.coalesce(F.octet_length("payload"), F.lit(0)))).first()[0] or 0.0
+    return max(3, int(3 * ARCHIVE / (mean + 1500)))
+
+
+def write_archives(rows: DataFrame, path: str, most: int) -> None:
+    """Whole-file gzip; each file holds at most so many records."""
     text = rows.select(F.col("record").cast("string").alias("value"))
-    text.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
+    text.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 def _headers(head: bytes) -> dict[str, str]:
     return dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:] if ": " in line)
 
 
-def parse(content: bytes) -> Iterator[tuple]:
-    """Records of one archive, in the columns of ``RECORD``."""
-    at = 0
-    while at < len(content):
-        end = content.index(END.encode(), at)
-        head = _headers(content[at:end])
-        start, size = end + 4, int(head["Content-Length"])
-        block = content[start : start + size]
+def parse(archive: BinaryIO) -> Iterator[tuple]:
+    """Records of one archive, in the columns of ``RECORD``; one at a time is in memory."""
+    while True:
+        head = b""
+        while not head.endswith(END.encode()):
+            line = archive.readline()
+            if not line:
+                if head.strip():
+                    raise ValueError("an archive ends within a record's head")
+                return
+            head = head + line if head.strip() else line
+        fields = _headers(head[: -len(END)])
+        block = archive.read(int(fields["Content-Length"]))
+        if len(block) != int(fields["Content-Length"]) or archive.read(4) != END.encode():
+            raise ValueError("an archive ends within a record")
         http, _, payload = block.partition(END.encode())
-        kind, ident, concurrent, uri, digest, refers = (head.get(h) for h in HEADERS)
+        kind, ident, concurrent, uri, digest, refers = (fields.get(h) for h in HEADERS)
         yield (kind, ident, concurrent, uri, digest and digest.removeprefix("sha1:"), refers, http.decode(errors="replace"), payload if kind == "response" else None)
-        at = start + size + len(END)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """The records of all archives, with the size and the digest of each payload."""
+    schema = pa.schema([(c.split()[0], pa.binary() if "binary" in c else pa.string()) for c in RECORD.split(", ")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import gzip
+        import io
+
+        rows: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-        schema = pa.schema([(c.split()[0], pa.binary() if "binary" in c else pa.string()) for c in RECORD.split(", ")])
         for batch in batches:
             for content in batch.column(0):
-                raw = content.as_py()
-                found = list(parse(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw))
-                for k in range(0, len(found), 256):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found[k : k + 256], strict=True), schema, strict=True)], schema=schema)
+                raw, size = io.BytesIO(content.as_py()), 0
+                for row in parse(gzip.GzipFile(fileobj=raw) if raw.getbuffer()[:2] == b"\x1f\x8b" else raw):
+                    rows.append(row)
+                    size += 500 + len(row[-1] or b"")
+                    if size > BATCH:
+                        yield out()
+                        rows, size = [], 0
+                if rows:
+                    yield out()
+                    rows = []
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     return files.mapInArrow(run, RECORD).withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": base32_sha1(F.col("payload"))})
@@ -119,13 +147,14 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def captures(found: DataFrame) -> DataFrame:
     """One nested row a capture: its response or revisit with the request and the metadata.
 
-    The side records come in groups of two a capture at most, by the response that they name.
+    The side records come in groups of two a capture at most, by the response that they name. ``found`` may
+    lack the payload.
     """
     main = found.where(F.col("type").isin("response", "revisit"))
     side = found.where(F.col("concurrent_to").isNotNull()).select("type", "id", "uri", "http", "concurrent_to")
     pick = lambda kind: F.max(F.when(F.col("type") == kind, F.struct("id", "uri", "http"))).alias(kind)
     sides = side.groupBy("concurrent_to").agg(pick("request"), pick("metadata"))
-    answer = F.struct("id", "type", "uri", "digest", "refers_to", "http", "payload", "payload_bytes", "payload_digest").alias("response")
+    answer = F.struct("id", "type", *(c for c in found.columns if c not in ("id", "type", "concurrent_to"))).alias("response")
     return main.select(answer, F.col("id").alias("concurrent_to")).join(sides, "concurrent_to", "left").drop("concurrent_to")
 
 
@@ -151,8 +180,8 @@ def summary(found: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, path: str | None = None, least: int = 0) -> DataFrame:
-    """Writes the archives to the shared folder, reads them back and sums up each capture."""
+    """Writes the archives to the shared folder, reads them back once and sums up each capture."""
     spark = pages.sparkSession
     path = path or f"{scratch_dir(spark)}/archives/{uuid.uuid4().hex}"
-    write_archives(records(pages, least), path)
-    return summary(captures(read_archives(spark, path)))
+    write_archives(records(pages, least), path, records_for(pages))
+    return summary(captures(persist(read_archives(spark, path).drop("payload"), "records")))
