@@ -1,7 +1,9 @@
-"""Near-duplicate documents by an exact join of shingle sets.
+"""Near-duplicate documents: SimHash links first, then an exact join of shingle sets.
 
 Documents are sets of word shingles; two are near duplicates if the Jaccard similarity of their sets is
-0.8 or more. Shingles are ordered by rarity (a fixed-size sketch of their frequencies, then their hash):
+0.8 or more. Fingerprints of a few differing bits are found through Golay-code keys (``simhash``) and verified
+on the sets; that joins most copies. Four bits of a fingerprint reach a similarity of about 0.96 only, so
+an exact join finds the pairs that those links leave apart. Shingles are ordered by rarity (a fixed-size sketch of their frequencies, then their hash):
 such sets share a shingle among the first fifth of either, so documents meet there. Length and position
 rule out most that meet; the rest are verified on their whole sets.
 
@@ -10,7 +12,8 @@ shingles whose runs held more are searched again for all pairs that the links ha
 that every pair is either verified or within one component.
 
 Edge cases: null and empty texts have the empty set and are copies of each other; a text of fewer words
-than a shingle is one shingle; an empty table gives an empty result; further columns are ignored.
+than a shingle is one shingle; rows are told apart by id and text, a null id comes first; an empty table
+gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, mix64, partitions_for, persist
+from .common import drop_scratch, mix64, persist, release
 from .graph import components
 from .lines import _bitmap, _cell, _in_bitmap, _least_overlap, frequencies
-from .simhash import shingles
+from .parcels import PARCEL, deal, delivered, each, opened, parcels_for
+from .simhash import links, majority, shingles
 from .words import raw
 
 #: Runs of up to so many nodes compare all their pairs at once.
@@ -43,7 +47,7 @@ def _keys(words: np.ndarray) -> tuple[int, int]:
     return int(key[0].astype(np.int64)), int(key[1].astype(np.int64))
 
 
-SETS = "doc_id long, key long, key2 long, size int, words binary"
+SETS = "doc_id long, row long, key long, key2 long, fp long, size int, words binary"
 
 
 def prepare(docs: DataFrame, width: int, sketch: np.ndarray) -> DataFrame:
@@ -53,51 +57,61 @@ def prepare(docs: DataFrame, width: int, sketch: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = broadcast.value
         for batch in batches:
-            keys, sizes, blobs = [], [], []
-            for text in raw(batch.column(1)):
-                words = np.unique(shingles(text, width))
-                keys.append(_keys(words))
-                sizes.append(len(words))
-                seen = rarity[_cell(words)]
-                prefix = len(words) - -(-4 * len(words) // 5) + 1 if len(words) else 0
-                blobs.append(words[np.lexsort((words, seen))[:prefix]].tobytes())
-            key, key2 = zip(*keys, strict=True) if keys else ((), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(key, pa.int64()), pa.array(key2, pa.int64()), pa.array(sizes, pa.int32()), pa.array(blobs, pa.binary())],
-                names=[c.split()[0] for c in SETS.split(", ")],
-            )
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                keys, prints, sizes, blobs = [], [], [], []
+                for text in raw(part.column(2)):
+                    every = shingles(text, width)
+                    words = np.unique(every)
+                    keys.append(_keys(words))
+                    prints.append(majority(every))
+                    sizes.append(len(words))
+                    prefix = len(words) - -(-4 * len(words) // 5) + 1 if len(words) else 0
+                    blobs.append(words[np.lexsort((words, rarity[_cell(words)]))[:prefix]].tobytes())
+                key, key2 = zip(*keys, strict=True)
+                columns = [pa.array(key, pa.int64()), pa.array(key2, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(blobs, pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=[c.split()[0] for c in SETS.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SETS)
+    order = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    return docs.select(order.alias("doc_id"), F.xxhash64("text").alias("row"), "text").mapInArrow(run, SETS)
 
 
-PREFIX = "word long, place int, node long, size int, root long"
+#: A shingle of a node's prefix as packed: shingle, place, node, the node's size and root.
+ENTRIES = [np.uint64, np.int32, np.int64, np.int32, np.int64]
 
 
-def _prefixes(nodes: DataFrame) -> DataFrame:
-    """One row per node (node, size, words, root) and shingle of its prefix."""
+def _prefixes(nodes: DataFrame, parcels: int, hot: np.ndarray | None = None) -> DataFrame:
+    """Parcels of the prefixes of nodes (node, size, words, root); with a bitmap, of its shingles and a few others only."""
+    wanted = nodes.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                part = batch.slice(k, 1024)
+            for k in range(0, batch.num_rows, 8192):
+                part = batch.slice(k, 8192)
                 blobs = [b.as_py() for b in part.column("words")]
-                counts = np.array([len(b) // 8 for b in blobs])
+                words, counts = np.frombuffer(b"".join(blobs), np.uint64), np.array([len(b) // 8 for b in blobs])
                 owner = np.repeat(np.arange(len(blobs)), counts)
                 place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-                rest = part.select(["node", "size", "root"]).take(pa.array(owner))
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(blobs), np.int64)), pa.array(place.astype(np.int32)), *rest.columns], names=["word", "place", *rest.schema.names])
+                node, size, root = (part.column(c).to_numpy()[owner] for c in ("node", "size", "root"))
+                c = [words, place.astype(np.int32), node, size, root]
+                if wanted.value is not None:
+                    use = _in_bitmap(wanted.value, words.view(np.int64))
+                    c = [x[use] for x in c]
+                yield deal((mix64(c[0]) % np.uint64(parcels)).astype(np.int32), c)
 
-    return nodes.select("node", "size", "words", "root").where("size > 0").mapInArrow(run, PREFIX)
+    return delivered(nodes.select("node", "size", "words", "root").where("size > 0").mapInArrow(run, PARCEL))
 
 
 class _Rows:
     """Rows of a shingle's run, and which pairs of them may be similar."""
 
-    def __init__(self, table: pa.Table) -> None:
-        c = {k: table.column(k).to_numpy() for k in ("word", "place", "node", "size", "root")}
-        order = np.lexsort((c["node"], c["word"]))
-        self.word, self.node, self.root = c["word"][order], c["node"][order], c["root"][order]
-        self.size, self.place = c["size"][order].astype(np.int64), c["place"][order].astype(np.int64)
+    def __init__(self, word: np.ndarray, place: np.ndarray, node: np.ndarray, size: np.ndarray, root: np.ndarray) -> None:
+        order = np.argsort(word)
+        same = word[order][1:] == word[order][:-1]
+        order = order[np.r_[False, same] | np.r_[same, False]] if len(order) else order  # a row alone meets none
+        order = order[np.lexsort((node[order], word[order]))]
+        self.word, self.node, self.root = word[order], node[order], root[order]
+        self.size, self.place = size[order].astype(np.int64), place[order].astype(np.int64)
 
     def may_match(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         need = _least_overlap(self.size[i] + self.size[j])
@@ -151,57 +165,36 @@ def _candidates(prefixes: DataFrame, whole: bool) -> DataFrame:
     """(a, b, word): pairs of nodes that may be similar; without ``whole``, of a large run a few for each
     node, and a row of nulls and its shingle if there were others."""
 
-    def search(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        rows = _Rows(table)
-        first = np.flatnonzero(np.r_[True, rows.word[1:] != rows.word[:-1]])
-        runs = np.diff(np.r_[first, len(rows.word)])
-
-        def out(pairs: np.ndarray) -> pa.RecordBatch:
-            nodes = np.unique(np.sort(rows.node[pairs], axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(nodes[:, 0]), pa.array(nodes[:, 1]), pa.nulls(len(nodes), pa.int64())], names=["a", "b", "word"])
-
-        yield out(np.concatenate(list(rows.small(first, runs))))
-        again = []
-        for a, n in zip(first[runs > SMALL_RUN].tolist(), runs[runs > SMALL_RUN].tolist(), strict=True):
-            if whole:
-                yield from (out(p) for p in rows.apart(a, n) if len(p))
-            else:
-                found, more = rows.witnesses(a, n)
-                yield out(np.concatenate(found))
-                if more:
-                    again.append(int(rows.word[a]))
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(again), pa.int64()), pa.nulls(len(again), pa.int64()), pa.array(again, pa.int64())], names=["a", "b", "word"])
+    def out(rows: _Rows, pairs: np.ndarray) -> pa.RecordBatch:
+        nodes = np.unique(np.sort(rows.node[pairs], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(nodes[:, 0]), pa.array(nodes[:, 1]), pa.nulls(len(nodes), pa.int64())], names=["a", "b", "word"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for batch in batches:
-            if not batch.num_rows:
+        for _, blobs in each(batches):
+            rows = _Rows(*opened(blobs, ENTRIES))
+            if not len(rows.word):
                 continue
-            word = batch.column("word").to_numpy()
-            cut = int(np.searchsorted(word, word[-1]))
-            if not cut and held and held[-1].column("word")[0].as_py() != word[0]:
-                yield from search(pa.Table.from_batches(held))
-                held, rows = [], 0
-            held.append(batch.slice(0, cut) if cut else batch)
-            rows += held[-1].num_rows
-            if cut and rows > 200_000:
-                yield from search(pa.Table.from_batches(held))
-                held, rows = [], 0
-            if cut:
-                held.append(batch.slice(cut))
-                rows += held[-1].num_rows
-        if held:
-            yield from search(pa.Table.from_batches(held))
-
-    n = partitions_for(prefixes.sparkSession)
-    return prefixes.repartition(n, "word").sortWithinPartitions("word").mapInArrow(meet, "a long, b long, word long")
+            first = np.flatnonzero(np.r_[True, rows.word[1:] != rows.word[:-1]])
+            runs = np.diff(np.r_[first, len(rows.word)])
+            yield out(rows, np.concatenate(list(rows.small(first, runs))))
+            again = []
+            for a, n in zip(first[runs > SMALL_RUN].tolist(), runs[runs > SMALL_RUN].tolist(), strict=True):
+                if whole:
+                    yield from (out(rows, p) for p in rows.apart(a, n) if len(p))
+                else:
+                    found, more = rows.witnesses(a, n)
+                    yield out(rows, np.concatenate(found))
+                    if more:
+                        again.append(rows.word[a])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(again), pa.int64()), pa.nulls(len(again), pa.int64()), pa.array(np.array(again, np.uint64).view(np.int64))], names=["a", "b", "word"])
+
+    return prefixes.mapInArrow(meet, "a long, b long, word long")
 
 
 def _verified(docs: DataFrame, width: int, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets have the similarity."""
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = persist(nodes.join(asked, "node", "left_semi").select("node", "key", "key2", F.xxhash64("doc_id").alias("at")), "asked")
+    wanted = persist(nodes.join(asked, "node", "left_semi").select("node", "key", "key2", F.xxhash64("doc_id", "row").alias("at")), "asked")
     bits = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted.select("at")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +205,7 @@ def _verified(docs: DataFrame, width: int, nodes: DataFrame, pairs: DataFrame) -
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(key2, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["key", "key2", "words"])
 
     # The bitmap lets a few others through; the join is exact.
-    read = docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("at"), "text").mapInArrow(run, "key long, key2 long, words array<long>")
+    read = docs.select(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.xxhash64("text")).alias("at"), "text").mapInArrow(run, "key long, key2 long, words array<long>")
     sets = persist(read.join(wanted, ["key", "key2"]).select("node", "words").dropDuplicates(["node"]), "sets")
     both = F.size(F.array_intersect("x", "y"))
     found = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").where(9 * both >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
@@ -227,25 +220,45 @@ def _rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.drop("root").join(found, "node", "left").withColumn("root", F.coalesce("to", "node")).drop("to")
 
 
+def _linked(nodes: DataFrame) -> DataFrame:
+    """Pairs of nodes with equal or close fingerprints: each with the least node of its fingerprint, and of a linked one."""
+    prints = persist(nodes.groupBy("fp").agg(F.min("node").alias("node")), "fingerprints")
+    equal = nodes.join(prints.withColumnRenamed("node", "least"), "fp").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    close = links(prints).join(prints.toDF("a", "x"), "a").join(prints.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return equal.unionByName(close).where("a <> b").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, component_id): the least id that chains of documents with similar shingle sets reach."""
+    """(doc_id, row, component_id, component_row): the least row that chains of documents with similar shingle sets reach.
+
+    ``doc_id`` is the least long for a null one, and ``row`` the text's hash.
+    """
+    spark = docs.sparkSession
 
     def sets(texts: list[bytes]) -> Iterator[np.ndarray]:
         return (np.unique(shingles(t, width)) for t in texts)
 
-    wide = persist(prepare(docs, width, frequencies(docs, "text", sets)[0]), "wide")
-    least = wide.groupBy("key", "key2").agg(F.min(F.struct("doc_id", "size", "words")).alias("first")).select("key", "key2", "first.*")
+    sketch, total = frequencies(docs, "text", sets)
+    parcels = parcels_for(spark, total // 5)
+    wide = persist(prepare(docs, width, sketch), "wide")
+    least = wide.groupBy("key", "key2").agg(F.min(F.struct("doc_id", "row", "fp", "size", "words")).alias("first")).select("key", "key2", "first.*")
     nodes = persist(least.withColumn("node", F.monotonically_increasing_id()).withColumn("root", F.col("node")), "nodes")
-    found = persist(_candidates(_prefixes(nodes), False), "candidates")
-    links = _verified(docs, width, nodes, found.where("word IS NULL").select("a", "b").distinct())
-    hot = found.where("word IS NOT NULL").select("word").distinct()
+    found = _verified(docs, width, nodes, persist(_linked(nodes), "linked"))
+    rooted = persist(_rooted(nodes, found), "rooted")
+    release(spark)
+    met = persist(_candidates(_prefixes(rooted, parcels), False), "candidates")
+    release(spark)
+    found = found.unionByName(_verified(docs, width, nodes, met.where("word IS NULL").select("a", "b").distinct()))
+    hot = met.where("word IS NOT NULL").select("word").distinct()
     if not hot.isEmpty():
-        prefixes = _prefixes(persist(_rooted(nodes, links), "rooted")).join(hot, "word", "left_semi")
-        rest = _candidates(prefixes, True).where("word IS NULL").select("a", "b").distinct()
-        rest = persist(rest.join(found.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+        rest = _candidates(_prefixes(persist(_rooted(nodes, found), "rooted"), parcels, _bitmap(hot)), True).where("word IS NULL").select("a", "b").distinct()
+        rest = persist(rest.join(met.select("a", "b"), ["a", "b"], "left_anti"), "rest")
         if not rest.isEmpty():
-            links = links.unionByName(_verified(docs, width, nodes, rest))
-    rooted = persist(_rooted(nodes, links).select("key", "key2", "doc_id", "root"), "roots")
-    classes = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    labels = rooted.join(classes, "root").select("key", "key2", "component_id")
-    return wide.select("doc_id", "key", "key2").join(labels, ["key", "key2"]).select("doc_id", "component_id")
+            found = found.unionByName(_verified(docs, width, nodes, rest))
+    rooted = persist(_rooted(nodes, found).select("key", "key2", "doc_id", "row", "root"), "roots")
+    classes = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("c"))
+    labels = rooted.join(classes, "root").select("key", "key2", F.col("c.doc_id").alias("component_id"), F.col("c.row").alias("component_row"))
+    out = persist(wide.select("doc_id", "row", "key", "key2").join(labels, ["key", "key2"]).select("doc_id", "row", "component_id", "component_row"), "groups")
+    for done in (wide, nodes, met):
+        drop_scratch(spark, done)
+    return out

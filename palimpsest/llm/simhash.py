@@ -56,7 +56,11 @@ def shingles(text: bytes, width: int = SHINGLE) -> np.ndarray:
 
 def fingerprint(text: bytes, width: int = SHINGLE) -> int:
     """The SimHash of a text's word shingles; equal shingles count as often as they occur."""
-    hashes = shingles(text, width)
+    return majority(shingles(text, width))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in more than half of the hashes."""
     if not len(hashes):
         return 0
     ones = np.zeros(64, np.int64)

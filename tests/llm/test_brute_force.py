@@ -1,6 +1,7 @@
 """Queries against plain Python over the whole tables of the smallest size."""
 
 import hashlib
+import io
 import re
 import zlib
 from collections import Counter
@@ -186,6 +187,33 @@ def test_sentencepiece_on_random_texts():
         assert codec.decode(ids) == library.decode(ids)
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "etaoinshr", "ab", "ABCabc019+/=", "的一是在不了有和人这"])
+def test_sentencepiece_on_long_texts_without_spaces(letters):
+    import random
+
+    import sentencepiece
+
+    text = "".join(random.Random(2).choices(letters, k=150_000))
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+    codec = pieces.Codec()
+    ids = codec.encode([text])[0]
+    assert ids == library.encode(text) and codec.decode(ids) == library.decode(ids)
+
+
+def test_queued_merges_keep_the_order(monkeypatch):
+    import random
+
+    import sentencepiece
+
+    monkeypatch.setattr(pieces, "QUEUED", 4)
+    rng, codec = random.Random(5), pieces.Codec()
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+    for alphabet in ("ab  \n\tzé▁中🙂the ing 12.,\x00<s>", "etaoinsh", "aaab"):
+        for _ in range(200):
+            text = "".join(rng.choices(alphabet, k=rng.randint(0, 300)))
+            assert codec.encode([text])[0] == library.encode(text)
+
+
 def test_fingerprints(spark, docs):
     order = sorted(docs)
     got = result(spark, "op8_fingerprints")
@@ -275,13 +303,19 @@ def test_base_spans():
             assert pii.base_spans(text) == plain(text)
 
 
-def test_contexts_discover_what_patterns_do_not_know(spark):
-    rows = [f"please send it to box {k}{k}abc@mail.example.com today" for k in range(12)] + ["please send it to box 77-abc-at-home today", "the year 1999bc passed quietly", "nothing 20000x here"]
-    rows += [f'token = "{k:02d}abcdef0123456789"' for k in range(8)] + ['token = "ZZ9-PLURAL-Z-ALPHA"']
-    found = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
-    assert found[12] == "email:22:36"
-    assert found[13] == found[14] == ""
-    assert found[23] == "secret:9:27"
+def test_warc_pages_without_ids_and_with_one_id(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://a/", b"one"), (1, "http://b/", b"two"), (None, "http://c/", b"three"), (None, None, b"four"), (2, "http://d/", b"one")], "page_id long, url string, payload binary")
+    got = sorted((str(r.page_id), r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(pages, str(tmp_path / "w")).collect())
+    assert got == [("1", 3, "response", None), ("1", 3, "response", None), ("2", 3, "revisit", 1), ("None", 4, "response", None), ("None", 5, "response", None)]
+
+
+def test_warc_large_payloads_fill_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE", 1 << 20)
+    rng = np.random.default_rng(4)
+    pages = spark.createDataFrame([(k, "http://a/", rng.bytes(300_000)) for k in range(12)], "page_id long, url string, payload binary").coalesce(1)
+    got = warc.round_trip(pages, str(tmp_path / "w")).collect()
+    assert len(got) == 12 and {r.payload_bytes for r in got} == {300_000}
+    assert max(f.stat().st_size for f in (tmp_path / "w").glob("*.gz")) < 2 << 20
 
 
 def test_masks():
@@ -294,6 +328,9 @@ def test_warc_records_are_cut_by_length(spark, tmp_path):
     path = str(tmp_path / "w")
     got = {r.page_id: r for r in warc.round_trip(pages, path).collect()}
     assert [(got[k].record_type, got[k].refers_to, got[k].payload_bytes) for k in (1, 2, 3, 4)] == [("response", None, 6), ("revisit", 1, 6), ("response", None, 0), ("response", None, 256)]
+    whole = [warc.parse(io.BytesIO(b"WARC/1.1\r\nContent-Length: 2\r\n\r\nab\r\n\r\nWARC/1.1\r\nContent-Length: 9\r\n\r\nab"))]
+    with pytest.raises(ValueError, match="ends within"):
+        list(whole[0])
     nested = warc.captures(warc.read_archives(spark, path)).collect()
     assert len(nested) == 4 and all(r.request.http.startswith("GET ") and r.metadata.id for r in nested)
     assert {bytes(r.response.payload) for r in nested if r.response.payload is not None} == {b"x\r\n\r\ny", b"", bytes(range(256))}

@@ -5,12 +5,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-import xxhash
 
 import corpus_pipeline
-from palimpsest.llm import packing, pii, quality
+from palimpsest.llm import quality
 from tests.conftest import DATA
 from tests.llm.test_brute_force import WORD, slow_lines
+from tests.llm.test_pii import found_in
+from tests.llm.test_resemblance import kept_by_all_pairs
 
 
 def good(text):
@@ -33,72 +34,77 @@ def good(text):
     )
 
 
-def first_of_groups(texts):
-    def fingerprint(text):
-        words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text))
-        if not words:
-            return 0
-        hashes = [xxhash.xxh64(" ".join(words[i : i + 5]).encode(), seed=42).intdigest() for i in range(max(1, len(words) - 4))]
-        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
-    prints = {i: fingerprint(t) for i, t in texts.items()}
-    kept, todo = [], sorted(texts)
-    while todo:
-        kept.append(todo[0])
-        queue, group = [todo[0]], set()
-        while queue:
-            a = queue.pop()
-            group.add(a)
-            queue += [b for b in todo if b not in group and b not in queue and (prints[a] ^ prints[b]).bit_count() <= 4]
-        todo = [b for b in todo if b not in group]
-    return {i: texts[i] for i in kept}
-
-
 def masked(texts):
-    found = {i: pii.occurrences(t, pii.base_spans(t)) for i, t in texts.items()}
-    edges = {(p, v) for rows in found.values() for _, _, p, v, _ in rows}
-    seeds = {(v, k) for rows in found.values() for _, _, _, v, k in rows if k}
-    known, trusted = seeds, {}
-    for _ in range(pii.ROUNDS):
-        of = defaultdict(set)
-        for v, k in known:
-            of[v].add(k)
-        total, hits = Counter(p for p, _ in edges if p), Counter((p, k) for p, v in edges if p for k in of[v])
-        trusted = {pk: n / total[pk[0]] for pk, n in hits.items() if n >= pii.SUPPORT and n / total[pk[0]] >= pii.CONFIDENCE}
-        doubt = defaultdict(lambda: 1.0)
-        for p, v in edges:
-            for (q, k), c in trusted.items():
-                if p == q:
-                    doubt[v, k] *= 1 - min(c, 0.999)
-        known = seeds | {vk for vk, d in doubt.items() if 1 - d >= pii.ACCEPTED}
+    """Texts with the spans that plain Python finds replaced by their kinds."""
     out = {}
-    for i, t in texts.items():
-        base = pii.base_spans(t)
-        new = [(a, b, p, v) for a, b, p, v, _ in found[i][len(base) :]]
-        spans = set(base) | {(k, a, b) for a, b, p, v in new for k in pii.KINDS if (p, k) in trusted or (v, k) in known}
-        ordered = sorted(spans, key=lambda s: (s[1], pii.KINDS.index(s[0]), s[2]))
-        out[i] = pii.mask(t, ",".join(f"{k}:{a}:{b}" for k, a, b in ordered))
+    for i, (_, spans) in found_in(texts).items():
+        text, last, parts = texts[i], 0, []
+        for kind, a, b in spans:
+            if a >= last:
+                parts += [text[last:a], f"[{kind.upper()}]"]
+            last = max(last, b)
+        out[i] = "".join([*parts, text[last:]])
     return out
 
 
 def test_pipeline(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     texts = {i: t for i, t in texts.items() if good(t)}
     lines = slow_lines(texts)
     texts = {i: t for i, t in lines.items() if WORD.search(t)}
-    texts = masked(first_of_groups(texts))
-    encode = packing.byte_encoder(packing.tokenizer_path())
+    first = kept_by_all_pairs(texts)
+    texts = masked({i: texts[i] for i in first})
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rows = corpus_pipeline.run(spark, DATA).collect()
     assert {r.doc_id for r in rows} == set(texts)
     held = defaultdict(list)
     for r in rows:
-        ids = encode(texts[r.doc_id]) + b"\0\0\0\0"
-        assert r.doc_tokens == len(ids) // 4
-        assert r.ids_crc32 == zlib.crc32(ids[4 * r.start : 4 * (r.start + r.length)])
-        held[r.doc_id].append((r.start, r.length))
-    for i, spans in held.items():
-        assert sum(n for _, n in spans) == len(encode(texts[i])) // 4 + 1
-        assert np.all(np.diff(sorted(a for a, _ in spans)) > 0)
+        held[r.doc_id].append(r)
+    for i, parts in held.items():
+        ids = np.array(library.encode(texts[i], add_special_tokens=False).ids + [0], "<u4")
+        at = 0
+        for r in sorted(parts, key=lambda r: r.start):
+            assert (r.start, r.doc_tokens) == (at, len(ids))
+            assert r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+
+
+ROWS = [
+    (1, "The quick brown fox of the north jumps over the lazy dog and then it is gone for good."),
+    (1, "The quick brown fox of the north jumps over the lazy dog and then it is gone for good."),
+    (1, "A second text with the same number is in here, and it is for the best to keep it as it is."),
+    (None, "Write to amy@example.com or to the one that is at 10.0.0.1 if the number is not at hand."),
+    (None, "This one is without a number too, and it was left in the table by the people of the house."),
+    (None, None),
+    (2, ""),
+    (3, "Write to amy@example.com or to the one that is at 10.0.0.1 if the number is not at hand."),
+]
+
+
+def test_odd_rows_pass_each_stage_once(spark):
+    docs = spark.createDataFrame([(i, t, "en", "s", None, "x") for i, t in ROWS], "doc_id long, text string, lang string, source string, n_chars long, key string").repartition(3)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, DATA)
+    out = sorted((str(r.doc_id), r.text) for r in docs.collect())
+    masked_ = "Write to [EMAIL] or to the one that is at [IP] if the number is not at hand."
+    assert out == sorted([("1", ROWS[0][1]), ("1", ROWS[2][1]), ("None", masked_), ("None", ROWS[4][1])])
+    assert corpus_pipeline.near_duplicates(spark, docs.where("false"), DATA).collect() == []
+
+
+def test_near_duplicates_keep_one_of_repeated_rows(spark):
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in ROWS], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = sorted((str(r.doc_id), r.text or "") for r in corpus_pipeline.near_duplicates(spark, docs, DATA).collect())
+    assert out == sorted([("1", ROWS[0][1]), ("1", ROWS[2][1]), ("None", ROWS[3][1]), ("None", ROWS[4][1]), ("None", "")])
+
+
+def test_the_rules_are_computed_once(spark):
+    kept = quality.apply_rules(spark.read.parquet(f"{DATA}/documents.parquet")).where("kept").select("doc_id", "text")
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64") == 1
 
 
 def test_stages_return_the_columns_of_documents(spark):
