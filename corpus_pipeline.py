@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, line dedup, near-duplicate removal, personal data, packing.
 
-Each stage takes all that its predecessor kept and returns the columns of ``documents``; the last
-returns the pieces of the packed sequences.
+Each stage takes all that its predecessor kept and returns the columns of ``documents``, others are
+dropped; the last returns the pieces of the packed sequences. Null and repeated ids are rows like others:
+rows are told apart by id and text, a null id comes first. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from palimpsest.llm import lines, packing, pii, quality, resemblance
 from palimpsest.llm.common import persist
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Near duplicates are judged on sets of shingles of five words: a Jaccard similarity of 0.8 or more.
+#: Near duplicates are found by SimHash, then exactly (see ``resemblance``), and judged on sets of shingles of five words: a Jaccard similarity of 0.8 or more.
 SHINGLE = 5
 
 
@@ -33,10 +34,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near duplicates."""
+    """The first document of each group of near duplicates: of least id, then of least text hash.
+
+    A null id comes before all others. Of rows with one id and text one stays.
+    """
     groups = resemblance.near_duplicates(docs, SHINGLE)
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
+    first = groups.where("doc_id = component_id AND row = component_row").groupBy("doc_id", "row").agg(F.count("*").alias("__n"))
+    first = persist(first.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "__n"), "first")
+    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__row": F.xxhash64("text")})
+    kept = keyed.join(first, ["__id", "__row"])
+    if first.where("__n > 1").isEmpty():
+        return kept.select(*COLUMNS)
+    once = kept.where("__n > 1").dropDuplicates(["__id", "__row"])
+    return kept.where("__n = 1").unionByName(once).select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
