@@ -17,6 +17,7 @@ every line that holds words); an empty table gives an empty result; other column
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,9 @@ BYTES, LINES = 1 << 20, 100_000
 #: so many words meet at pairs of them.
 FREQUENT, PAIRED = 200_000, 128
 #: Runs of up to so many rows compare all their pairs at once.
-SMALL_RUN = 16
+SMALL_RUN = 96
+#: Lines of more words have a bitmap of 128 bits, others of 64.
+WIDE = 48
 #: Sets of fewer words resemble none but equal ones.
 LEAST = 4
 
@@ -160,16 +163,16 @@ def _prefix(size: np.ndarray, shared: int = 1) -> np.ndarray:
     return np.minimum(size - -(-4 * size // 5) + shared, size)
 
 
-#: A line as packed: its set's key, its document, its row's mark, its number, size and bitmap; then the first words by rarity.
-PACKED = [np.uint64, np.uint64, np.int64, np.int64, np.int32, np.int32, np.uint64]
+#: A line as packed: its set's key, its document, its row's mark, its number, size and bitmaps; then the first words by rarity.
+PACKED = [np.uint64, np.uint64, np.int64, np.int64, np.int32, np.int32, np.uint64, np.uint64]
 #: What becomes of lines: the first of each set, with its id; the others, which go; and rows that repeat.
 FIRST, GONE, COPY = 0, 1, 2
-SETS = "kind int, id long, doc_id long, row long, number int, size int, bitmap long, words binary"
+SETS = "kind int, id long, doc_id long, row long, number int, size int, bitmap long, second long, words binary"
 
 
 def _found(kind: int, n: int, **columns: np.ndarray) -> pa.RecordBatch:
     names = [c.split()[0] for c in SETS.split(", ")]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
     values = {"kind": pa.array(np.full(n, kind, np.int32))} | {k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()}
     return pa.RecordBatch.from_arrays([values.get(k, pa.nulls(n, t)) for k, t in zip(names, kinds, strict=True)], names=names)
 
@@ -197,11 +200,13 @@ def line_sets(docs: DataFrame, sketch: np.ndarray, parcels: int, text: str = "te
         size = np.diff(np.r_[first, len(words)])
         line = np.repeat(np.arange(len(size), dtype=np.uint64), size)
         key, key2, mixed = _keys(words, first)
-        bitmap = np.bitwise_xor.reduceat(np.uint64(1) << (mixed & np.uint64(63)), first)
+        bit = np.uint64(1) << (mixed & np.uint64(63))
+        bitmap = np.bitwise_xor.reduceat(bit, first)
+        second = np.where(size > WIDE, np.bitwise_xor.reduceat(np.where(mixed >> np.uint64(63), bit, np.uint64(0)), first), np.uint64(0))
         ordered = np.sort(line << np.uint64(40) | rarity[_cell(words)].astype(np.uint64) << np.uint64(32) | words >> np.uint64(32))
         taken = _prefix(size, 2)
         use = np.arange(len(words)) - np.repeat(first, size) < np.repeat(taken, size)
-        columns = [key, key2, ids[rows], marks[rows], numbers.astype(np.int32), size.astype(np.int32), bitmap]
+        columns = [key, key2, ids[rows], marks[rows], numbers.astype(np.int32), size.astype(np.int32), bitmap, second]
         return columns, ordered[use].astype(np.uint32), taken
 
     def deal_out(held: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -250,14 +255,14 @@ def line_sets(docs: DataFrame, sketch: np.ndarray, parcels: int, text: str = "te
                 pick = first[k : k + 20_000]
                 size = taken[pick]
                 at = np.repeat(begin[pick] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-                yield _found(FIRST, len(pick), id=np.arange(k, k + len(pick)) | parcel << 32, doc_id=c[2][pick], row=c[3][pick], number=c[4][pick], size=c[5][pick], bitmap=c[6][pick].view(np.int64), words=binary(words[at], size))
+                yield _found(FIRST, len(pick), id=np.arange(k, k + len(pick)) | parcel << 32, doc_id=c[2][pick], row=c[3][pick], number=c[4][pick], size=c[5][pick], bitmap=c[6][pick].view(np.int64), second=c[7][pick].view(np.int64), words=binary(words[at], size))
 
     return delivered(docs.select("doc_id", "row", text).mapInArrow(read, PARCEL)).mapInArrow(gather, SETS)
 
 
 #: A prefix word (or pair of words) of a line: ``room`` is how many words it can share from there on.
-ENTRY = "key long, room int, size int, bitmap long, doc_id long, number int, id long"
-ENTRIES = [np.uint64, np.int32, np.int32, np.uint64, np.int64, np.int32, np.int64]
+ENTRY = "key long, room int, size int, bitmap long, second long, doc_id long, number int, id long"
+ENTRIES = [np.uint64, np.int32, np.int32, np.uint64, np.uint64, np.int64, np.int32, np.int64]
 
 
 def _entries(batch: pa.RecordBatch, rarity: np.ndarray, frequent: int) -> list[np.ndarray]:
@@ -285,8 +290,8 @@ def _entries(batch: pa.RecordBatch, rarity: np.ndarray, frequent: int) -> list[n
             owners.append(np.repeat(line[of], len(x)))
             rooms.append(1 + (size[owner] - place)[(at + y).ravel()])
     owner = np.concatenate(owners)
-    rest = [batch.column(k).to_numpy()[owner] for k in ("size", "bitmap", "doc_id", "number", "id")]
-    return [np.concatenate(keys), np.concatenate(rooms).astype(np.int32), rest[0], rest[1].view(np.uint64), *rest[2:]]
+    rest = [batch.column(k).to_numpy()[owner] for k in ("size", "bitmap", "second", "doc_id", "number", "id")]
+    return [np.concatenate(keys), np.concatenate(rooms).astype(np.int32), rest[0], rest[1].view(np.uint64), rest[2].view(np.uint64), *rest[3:]]
 
 
 def _expanded(lines: DataFrame, sketch: np.ndarray, frequent: int, wanted: np.ndarray | None = None) -> DataFrame:
@@ -307,6 +312,12 @@ def _expanded(lines: DataFrame, sketch: np.ndarray, frequent: int, wanted: np.nd
     return lines.where(F.col("size") >= LEAST).mapInArrow(run, ENTRY)
 
 
+def _apart(folded: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of two lines above ``WIDE`` words the bitmaps of 128 bits are compared, of which the first is folded into 64."""
+    wide = np.where((a != 0) & (b != 0), a ^ b, np.uint64(0))
+    return np.bitwise_count(folded ^ wide) + np.bitwise_count(wide)
+
+
 class _Rows:
     """Rows sorted by key, and which pairs of them may be similar."""
 
@@ -314,13 +325,14 @@ class _Rows:
         order = np.argsort(c[0])
         same = c[0][order][1:] == c[0][order][:-1]
         order = order[np.r_[False, same] | np.r_[same, False]] if len(order) else order  # a row alone meets none
-        self.key, self.bitmap, self.doc, self.number, self.id = (c[k][order] for k in (0, 3, 4, 5, 6))
+        self.key, self.bitmap, self.second, self.doc, self.number, self.id = (c[k][order] for k in (0, 3, 4, 5, 6, 7))
         self.size = c[2][order]
         # Sets share at most the lesser ``room``, so that the other's size is limited by it.
         self.most = (9 * c[1][order].astype(np.int64) - 4 * self.size) // 4
 
     def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(self.bitmap[i] ^ self.bitmap[j])
+        """Bits in which the bitmaps differ: no more than the words that one of the lines has alone."""
+        return _apart(self.bitmap[i] ^ self.bitmap[j], self.second[i], self.second[j])
 
     def may_match(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Similar sets differ in a ninth of their words together at most, and so do their bitmaps."""
@@ -347,7 +359,7 @@ class _Rows:
         by_size = a + np.argsort(self.size[a : a + n], kind="stable")
         place = np.empty(n, np.int64)
         place[np.lexsort((self.id[by_size], self.number[by_size], self.doc[by_size]))] = np.arange(n)
-        size, most, bitmap = self.size[by_size], self.most[by_size], self.bitmap[by_size]
+        size, most, bitmap, second = self.size[by_size], self.most[by_size], self.bitmap[by_size], self.second[by_size]
         low, high = np.searchsorted(size, -(-4 * size // 5)), np.searchsorted(size, np.minimum(most, 5 * size // 4), "right")
         for b in range(0, n, 512):
             hi = high[b : b + 512]
@@ -359,8 +371,9 @@ class _Rows:
                 ok = place[i][None, :] < place[j][:, None]
                 ok &= size[j][:, None] <= most[i][None, :]
                 ok &= size[i][None, :] <= most[j][:, None]
-                ok &= np.bitwise_count(bitmap[i][None, :] ^ bitmap[j][:, None]) * np.int32(9) <= size[i][None, :] + size[j][:, None]
                 y, x = np.nonzero(ok)
+                near = _apart(bitmap[k + x] ^ bitmap[j[y]], second[k + x], second[j[y]]) * np.int32(9) <= size[k + x] + size[j[y]]
+                y, x = y[near], x[near]
                 rank = got[live][y] + np.arange(len(y)) - np.searchsorted(y, y)
                 few = rank < WITNESSES
                 found.append(np.stack([by_size[k + x[few]], by_size[j[y[few]]]], axis=1))
@@ -372,17 +385,22 @@ class _Rows:
                 yield np.concatenate(found), np.concatenate(more)
 
 
-PAIRS = "id long, other long, apart int, more boolean"
+PAIRS = "id long, other long, more boolean"
+
+
+def _unique(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]
+    return [a[new], b[new]]
 
 
 def _candidates(entries: DataFrame) -> DataFrame:
-    """(id, other, apart, more): for each line and key earlier lines that may match it, and in how many bits their
-    bitmaps differ; ``more`` and no other line if there are others."""
+    """(id, other, more): for each line and key earlier lines that may match it; ``more`` and no other line if there are others."""
 
     def out(rows: _Rows, pairs: np.ndarray) -> pa.RecordBatch:
-        i, j = pairs[:, 0], pairs[:, 1]
-        ids = np.unique(np.stack([rows.id[j], rows.id[i], rows.apart(i, j).astype(np.int64)], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array(ids[:, 2].astype(np.int32)), pa.array(np.zeros(len(ids), bool))], names=["id", "other", "apart", "more"])
+        ids = _unique(rows.id[pairs[:, 1]], rows.id[pairs[:, 0]])
+        return pa.RecordBatch.from_arrays([*map(pa.array, ids), pa.array(np.zeros(len(ids[0]), bool))], names=["id", "other", "more"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, blobs in each(batches):
@@ -391,12 +409,16 @@ def _candidates(entries: DataFrame) -> DataFrame:
                 continue
             first = np.flatnonzero(np.r_[True, rows.key[1:] != rows.key[:-1]])
             runs = np.diff(np.r_[first, len(rows.key)])
-            yield out(rows, np.concatenate(list(rows.small(first, runs))))
-            for a, n in zip(first[runs > SMALL_RUN].tolist(), runs[runs > SMALL_RUN].tolist(), strict=True):
-                for pairs, more in rows.large(a, n):
+            pairs = np.concatenate(list(rows.small(first, runs)))
+            pairs = pairs[np.argsort(pairs[:, 1], kind="stable")]
+            few = np.arange(len(pairs)) - np.searchsorted(pairs[:, 1], pairs[:, 1]) < WITNESSES
+            found = [(pairs[few], np.unique(pairs[~few, 1]))]
+            large = zip(first[runs > SMALL_RUN].tolist(), runs[runs > SMALL_RUN].tolist(), strict=True)
+            for some in chain([found], (rows.large(a, n) for a, n in large)):
+                for pairs, more in some:
                     yield out(rows, pairs)
                     if len(more):
-                        yield pa.RecordBatch.from_arrays([pa.array(rows.id[more]), pa.nulls(len(more), pa.int64()), pa.nulls(len(more), pa.int32()), pa.array(np.ones(len(more), bool))], names=["id", "other", "apart", "more"])
+                        yield pa.RecordBatch.from_arrays([pa.array(rows.id[more]), pa.nulls(len(more), pa.int64()), pa.array(np.ones(len(more), bool))], names=["id", "other", "more"])
 
     return delivered(entries).mapInArrow(meet, PAIRS)
 
@@ -503,26 +525,18 @@ def _word_sets(docs: DataFrame, asked: DataFrame, text: str) -> DataFrame:
 
 
 def _verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame, text: str, repeated: bool) -> DataFrame:
-    """The ids of the pairs (id, other, apart) whose word sets have the similarity.
-
-    A line is held against the candidate whose bitmap is nearest first; most that have a similar line are done then.
-    """
+    """The ids of the pairs (id, other) whose word sets have the similarity."""
     spark = docs.sparkSession
     ids = pairs.select("id").unionByName(pairs.select(F.col("other").alias("id"))).distinct()
     asked = persist(lines.select("id", *PLACE).join(ids, "id", "left_semi"), "asked")
     sets = _word_sets(docs, asked, text)
     sets = persist(sets.dropDuplicates(["id"]) if repeated else sets, "sets")  # rows that repeat have the same lines
     both = F.size(F.array_intersect("a", "b"))
-
-    def similar(some: DataFrame) -> DataFrame:
-        found = some.join(sets.toDF("id", "a"), "id").join(sets.toDF("other", "b"), "other")
-        return found.where(9 * both >= 4 * (F.size("a") + F.size("b"))).select("id").distinct()
-
-    near = persist(similar(pairs.groupBy("id").agg(F.min_by("other", "apart").alias("other"))), "near")
-    far = persist(similar(pairs.select("id", "other").join(near, "id", "left_anti")), "far")
+    found = pairs.join(sets.toDF("id", "a"), "id").join(sets.toDF("other", "b"), "other")
+    found = persist(found.where(9 * both >= 4 * (F.size("a") + F.size("b"))).select("id").distinct(), "similar")
     for done in (asked, sets):
         drop_scratch(spark, done)
-    return near.unionByName(far)
+    return found
 
 
 def _with_rows(docs: DataFrame, text: str) -> DataFrame:
@@ -543,7 +557,7 @@ def removals(docs: DataFrame, text: str = "text", frequent: int = FREQUENT) -> t
     repeated = not copies.isEmpty()
     pairs = persist(_candidates(_packed(lines, sketch, frequent, parcels_for(spark, words // 8))), "pairs")
     release(spark)
-    similar = _verified(base, lines, pairs.where("NOT more").select("id", "other", "apart").distinct(), text, repeated)
+    similar = _verified(base, lines, pairs.where("NOT more").select("id", "other").distinct(), text, repeated)
     left = persist(pairs.where("more").select("id").distinct().join(similar, "id", "left_anti"), "left")
     if not left.isEmpty():
         rest = persist(_all_candidates(lines, left, sketch, frequent), "rest")
@@ -563,10 +577,12 @@ def _all_candidates(lines: DataFrame, left: DataFrame, sketch: np.ndarray, frequ
     total = F.col("m.size") + F.col("t.size")
     need = F.ceil(4 * total / 9)
     before = F.struct("t.doc_id", "t.number", "t.id") < F.struct("m.doc_id", "m.number", "m.id")
-    near = (F.least("m.size", "t.size") >= need) & (F.least("m.room", "t.room") >= need) & (F.bit_count(F.col("m.bitmap").bitwiseXOR(F.col("t.bitmap"))) <= total - 2 * need)
+    xor = lambda c: F.col(f"m.{c}").bitwiseXOR(F.col(f"t.{c}"))
+    wide = F.when((F.col("m.second") != 0) & (F.col("t.second") != 0), xor("second")).otherwise(F.lit(0).cast("long"))
+    apart = F.bit_count(xor("bitmap").bitwiseXOR(wide)) + F.bit_count(wide)
+    near = (F.least("m.size", "t.size") >= need) & (F.least("m.room", "t.room") >= need) & (9 * apart <= total)
     met = mine.join(theirs, F.col("m.key") == F.col("t.key")).where(before & near)
-    apart = F.bit_count(F.col("m.bitmap").bitwiseXOR(F.col("t.bitmap")))
-    return met.select(F.col("m.id").alias("id"), F.col("t.id").alias("other"), apart.alias("apart")).distinct()
+    return met.select(F.col("m.id").alias("id"), F.col("t.id").alias("other")).distinct()
 
 
 def _copies_told(marked: DataFrame, copies: DataFrame) -> DataFrame:
