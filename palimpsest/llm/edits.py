@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_scratch, mix64, partitions_for, persist, release
-from .graph import components
+from .graph import components, join_spread
 from .lines import _bitmap, _in_bitmap
 from .parcels import PARCEL, ROWS, deal, delivered, each, opened
 
@@ -284,7 +284,7 @@ def labels(prints: DataFrame, least: float = LIKE) -> DataFrame:
     that spans what is alike in it, so that large groups of near copies make few links.
     """
     spark = prints.sparkSession
-    distinct = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
+    distinct = prints.where("fingerprint IS NOT NULL").groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
     nodes = persist(distinct.withColumn("node", F.monotonically_increasing_id()), "prints")
     parcels = nodes.count() // ROWS + 1
     most = int(np.floor(BITS * (1 - least) / 2 + 1e-9))
@@ -301,19 +301,24 @@ def labels(prints: DataFrame, least: float = LIKE) -> DataFrame:
     found = components(links)
     roots = nodes.join(found, "node", "left").select("fingerprint", "least", F.coalesce("root", "node").alias("root"))
     named = roots.groupBy("root").agg(F.min("least").alias("class_id"))
-    out = persist(roots.join(named, "root").select("fingerprint", "class_id"), "labels")
+    out = persist(join_spread(roots, named, "root").select("fingerprint", "class_id"), "labels")
     for done in (met, nodes):
         drop_scratch(spark, done)
     return out
 
 
 def classes(prints: DataFrame, least: float = LIKE) -> DataFrame:
-    """(doc_id, class_id) from (doc_id, fingerprint); the class is its least id."""
-    return prints.join(labels(prints, least), "fingerprint").select("doc_id", "class_id")
+    """(doc_id, class_id) from (doc_id, fingerprint); the class is its least id, none without a fingerprint."""
+    return prints.join(labels(prints, least), "fingerprint", "left").select("doc_id", "class_id")
 
 
 def classified(docs: DataFrame) -> DataFrame:
-    """``against_next`` with the class of each document's fingerprint."""
-    prints = persist(against_next(docs), "fingerprinted")
+    """``against_next`` with the class of each document's fingerprint; hexadecimal strings travel as bytes."""
+    hexed = ["fingerprint", "edited_fingerprint", "edited_sha256"]
+    found = against_next(docs)
+    columns = found.columns
+    prints = persist(found.withColumns({c: F.unhex(c) for c in hexed}), "fingerprinted")
     release(docs.sparkSession)  # the shuffle of texts is read
-    return prints.join(labels(prints), "fingerprint").select(*prints.columns, "class_id")
+    named = labels(prints.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint")))
+    joined = prints.join(named.select(F.unhex("fingerprint").alias("fingerprint"), "class_id"), "fingerprint")
+    return joined.select(*(F.lower(F.hex(c)).alias(c) if c in hexed else F.col(c) for c in columns), "class_id")

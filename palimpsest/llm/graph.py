@@ -41,3 +41,14 @@ def components(edges: DataFrame) -> DataFrame:
     else:
         raise RuntimeError("the components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+#: Parts into which the rows of one root are dealt for a join.
+SPREAD = 32
+
+
+def join_spread(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``few``, which has one row a key: a key of a third of all rows is dealt to many tasks."""
+    dealt = rows.withColumn("__part", F.pmod(F.xxhash64(*rows.columns), F.lit(SPREAD)))
+    every = few.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    return dealt.join(every, [key, "__part"]).drop("__part")

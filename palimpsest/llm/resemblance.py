@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_scratch, mix64, persist, release
-from .graph import components
+from .graph import components, join_spread
 from .lines import _bitmap, _cell, _in_bitmap, _least_overlap, frequencies
 from .parcels import PARCEL, deal, delivered, each, opened, parcels_for
 from .simhash import links, majority, shingles
@@ -257,7 +257,7 @@ def near_duplicates(docs: DataFrame, width: int) -> DataFrame:
             found = found.unionByName(_verified(docs, width, nodes, rest))
     rooted = persist(_rooted(nodes, found).select("key", "key2", "doc_id", "row", "root"), "roots")
     classes = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("c"))
-    labels = rooted.join(classes, "root").select("key", "key2", F.col("c.doc_id").alias("component_id"), F.col("c.row").alias("component_row"))
+    labels = join_spread(rooted, classes, "root").select("key", "key2", F.col("c.doc_id").alias("component_id"), F.col("c.row").alias("component_row"))
     out = persist(wide.select("doc_id", "row", "key", "key2").join(labels, ["key", "key2"]).select("doc_id", "row", "component_id", "component_row"), "groups")
     for done in (wide, nodes, met):
         drop_scratch(spark, done)

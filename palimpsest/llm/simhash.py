@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions_for, persist
-from .graph import components
+from .graph import components, join_spread
 from .words import raw
 
 SHINGLE = 4
@@ -208,5 +208,5 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     roots = nodes.join(components(links(nodes)), nodes.fp == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     roots = persist(roots, "roots")
     classes = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = roots.join(classes, "root").select("fp", "component_id")
+    labels = join_spread(roots, classes, "root").select("fp", "component_id")
     return fps.join(labels, "fp").select("doc_id", "fp", "component_id")

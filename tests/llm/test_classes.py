@@ -32,3 +32,25 @@ def test_the_query_returns_classes(spark):
     of = {}
     for r in rows:
         assert of.setdefault(r.fingerprint, r.class_id) == r.class_id and r.class_id <= r.doc_id
+
+
+def test_recall_against_all_pairs(spark):
+    """Of pairs just within the likeness, 95 % at least are in one class."""
+    rng = np.random.default_rng(9)
+    rows, n = [], 400
+    for k in range(n):
+        bits = rng.integers(0, 2, edits.BITS).astype(bool)
+        other = bits.copy()
+        other[rng.choice(edits.BITS, 51, replace=False)] ^= True
+        rows += [(2 * k, edits.to_hex(bits)), (2 * k + 1, edits.to_hex(other))]
+    found = {r.doc_id: r.class_id for r in edits.classes(spark.createDataFrame(rows, "doc_id long, fingerprint string")).collect()}
+    assert all(found[2 * k + 1] in (2 * k, 2 * k + 1) for k in range(n))
+    assert sum(found[2 * k + 1] == 2 * k for k in range(n)) >= 0.95 * n
+
+
+def test_null_and_repeated_ids(spark):
+    a, b = "ab" * 64, "cd" * 64
+    rows = [(None, a), (3, a), (3, a), (None, b), (None, None)]
+    out = edits.classes(spark.createDataFrame(rows, "doc_id long, fingerprint string")).collect()
+    assert sorted((str(r.doc_id), str(r.class_id)) for r in out) == [("3", "3"), ("3", "3"), ("None", "3"), ("None", "None")]
+    assert edits.classes(spark.createDataFrame([], "doc_id long, fingerprint string")).collect() == []
