@@ -22,11 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: the session's checkpoint folder.
 
-    Where none is configured (tests, a laptop), a temporary folder is set once.
+    Where none is configured, a local session (tests, a laptop) gets a temporary folder once; on a cluster, where
+    executors could not read it, that is an error.
     """
     sc = spark.sparkContext
     where = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="palimpsest-"))
         where = sc.getCheckpointDir()
     return where

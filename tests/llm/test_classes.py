@@ -52,5 +52,5 @@ def test_null_and_repeated_ids(spark):
     a, b = "ab" * 64, "cd" * 64
     rows = [(None, a), (3, a), (3, a), (None, b), (None, None)]
     out = edits.classes(spark.createDataFrame(rows, "doc_id long, fingerprint string")).collect()
-    assert sorted((str(r.doc_id), str(r.class_id)) for r in out) == [("3", "3"), ("3", "3"), ("None", "3"), ("None", "None")]
+    assert sorted((str(r.doc_id), str(r.class_id)) for r in out) == [("3", "3"), ("3", "3"), ("None", "3"), ("None", "None"), ("None", "None")]
     assert edits.classes(spark.createDataFrame([], "doc_id long, fingerprint string")).collect() == []
