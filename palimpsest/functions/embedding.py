@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import time
-import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 
@@ -36,33 +36,46 @@ class HashingEmbedder:
 
 
 class HttpEmbedder:
-    """POSTs a batch to ``/api/embed``; tries again after a growing wait, and checks the count."""
+    """A model server that embeds batches of texts; failed requests and short answers are asked again."""
 
     def __init__(self, host: str = "http://localhost:11434", model: str = "bge-m3", timeout: float = 120, tries: int = 3, pause: float = 2) -> None:
-        self.host, self.model, self.timeout, self.tries, self.pause = host, model, timeout, tries, pause
+        self.host, self.model, self.timeout = host, model, timeout
+        self.waits = [pause * k for k in range(1, tries)]
+
+    def _ask(self, path: str, body: dict | None, timeout: float) -> dict:
+        data = None if body is None else json.dumps(body).encode()
+        request = urllib.request.Request(self.host + path, data, {"Content-Type": "application/json"})
+        with urllib.request.urlopen(request, timeout=timeout) as answer:
+            return json.loads(answer.read() or b"{}")
 
     def alive(self) -> bool:
-        try:
-            with urllib.request.urlopen(f"{self.host}/api/tags", timeout=5):
-                return True
-        except (urllib.error.URLError, TimeoutError, OSError):
-            return False
+        with contextlib.suppress(OSError, ValueError):
+            self._ask("/api/tags", None, 5)
+            return True
+        return False
+
+    def vectors(self, texts: list[str]) -> list[list[float]]:
+        """One request; as many vectors as texts, or an error."""
+        found = self._ask("/api/embed", {"model": self.model, "input": texts}, self.timeout).get("embeddings") or []
+        if len(found) != len(texts):
+            raise ValueError(f"{len(found)} embeddings for {len(texts)} texts")
+        return found
 
     def __call__(self, texts: list[str]) -> list[list[float]]:
-        body = json.dumps({"model": self.model, "input": texts}).encode()
-        for attempt in range(1, self.tries + 1):
-            try:
-                request = urllib.request.Request(f"{self.host}/api/embed", body, {"Content-Type": "application/json"})
-                with urllib.request.urlopen(request, timeout=self.timeout) as answer:
-                    vectors = json.loads(answer.read()).get("embeddings") or []
-                if len(vectors) != len(texts):
-                    raise RuntimeError(f"{len(vectors)} embeddings for {len(texts)} texts")
-                return vectors
-            except (urllib.error.URLError, RuntimeError, TimeoutError) as error:
-                if attempt == self.tries:
-                    raise RuntimeError(f"embedding failed after {attempt} tries") from error
-                time.sleep(self.pause * attempt)
-        return []
+        return patiently(lambda: self.vectors(texts), self.waits)
+
+
+def patiently(call: Callable, waits: list[float]):
+    """The call's result; after an error it is made again, once for each wait."""
+    waiting = iter(waits)
+    while True:
+        try:
+            return call()
+        except (OSError, ValueError) as error:
+            pause = next(waiting, None)
+            if pause is None:
+                raise RuntimeError(f"embedding failed after {len(waits) + 1} tries") from error
+            time.sleep(pause)
 
 
 def embed(rows: DataFrame, embedder: Embedder, text: str = "text", to: str = "embedding", batch: int = BATCH) -> DataFrame:

@@ -26,10 +26,11 @@ def nearest(events: DataFrame, frames: DataFrame, window_s: int = WINDOW_S, stre
     """(id, frame, apart_us): the frame nearest in time within the window, the earlier one on a tie.
 
     Time falls into buckets of the window's length; an event looks into three of them by an equi-join,
-    so the plan has no range join and every bucket is a bounded piece of work.
+    so the plan has no range join and every bucket is a bounded piece of work. With a ``stream`` an event sees the
+    frames of its own stream only. A time that cannot be read is the time of no event and of no frame.
     """
     micros = window_s * 1_000_000
-    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    us = lambda c: F.unix_micros(F.col(c).try_cast("timestamp"))
     keys = ["__b", *([stream] if stream else [])]
     f = frames.select(F.col("id").alias("frame"), us("timestamp").alias("__ft"), *([stream] if stream else [])).where(F.col("__ft").isNotNull()).withColumn("__b", F.floor(F.col("__ft") / micros))
     e = events.select("id", us("timestamp").alias("__t"), *([stream] if stream else [])).where(F.col("__t").isNotNull())
@@ -39,10 +40,10 @@ def nearest(events: DataFrame, frames: DataFrame, window_s: int = WINDOW_S, stre
     return best.select("id", "m.frame", "m.apart_us")
 
 
-def attribute(events: DataFrame, frames: DataFrame, window_s: int = WINDOW_S) -> DataFrame:
+def attribute(events: DataFrame, frames: DataFrame, window_s: int = WINDOW_S, stream: str | None = None) -> DataFrame:
     """Fills app, window and url of events without an app from the nearest frame."""
     bare = events.where(F.coalesce(F.col("app"), F.lit("")) == "")
-    near = nearest(bare, frames, window_s).join(frames.select(F.col("id").alias("frame"), "app_name", F.col("window_name"), F.col("browser_url").alias("frame_url")), "frame")
+    near = nearest(bare, frames, window_s, stream).join(frames.select(F.col("id").alias("frame"), "app_name", F.col("window_name"), F.col("browser_url").alias("frame_url")), "frame")
     near = near.select(F.col("id").alias("__id"), F.col("app_name").alias("__a"), F.col("window_name").alias("__w"), F.col("frame_url").alias("__u"))
     joined = events.join(near, events["id"] == F.col("__id"), "left")
     fill = lambda own, other: F.when(F.col("__id").isNull(), F.col(own)).otherwise(own_or_joined(F.col(own), F.col(other)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,44 +30,47 @@ def islands(rows: DataFrame, stream: str = "stream_key", order: str = "id") -> D
     return rows.withColumn("__new", changed).withColumn("island", F.sum("__new").over(w)).drop("__new")
 
 
-def _fold(frames: Iterator[pd.DataFrame], limit: int) -> Iterator[pd.DataFrame]:
-    """One pass over rows sorted by stream and id; only the open block is held."""
+def _fold(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """One pass over rows sorted by stream, island and id; only the open block is held. Hashes stay 64-bit integers."""
+    kinds = [pa.int64(), *[pa.string()] * 3, pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.int64())]
     names = [c.split()[0] for c in BLOCK.split(", ")]
-    context, block, parts, length = None, None, [], 0
+    context, block, parts, length = None, {}, [], 0
 
-    def close() -> list:
-        return [*block[:9], "\n".join(parts), block[9]]
+    def close() -> dict:
+        return block | {"text": "\n".join(parts)}
 
-    for frame in frames:
+    for batch in batches:
         done = []
-        for r in frame.itertuples(index=False):
-            stream, app, window = r.stream_key, r.app, r.window
-            here = (stream, app if isinstance(app, str) else None, window if isinstance(window, str) else None)
-            if block is None or here != context or length >= limit:
-                if block is not None:
+        for r in batch.to_pylist():
+            here = (r["stream_key"], r["island"])
+            if here != context or length >= limit:
+                if block:
                     done.append(close())
-                block = [stream, here[1], here[2], r.url if isinstance(r.url, str) else None, r.id, r.id, r.timestamp, r.timestamp, 0, []]
+                block = {k: r[k] for k in ("stream_key", "app", "window", "url")} | {"frame_start": r["id"], "ts_start": r["timestamp"], "n_frames": 0, "src_hashes": []}
                 context, parts, length = here, [], -1
-            parts.append(r.text)
-            length += 1 + len(r.text)
-            block[5], block[7], block[8] = r.id, r.timestamp, block[8] + 1
-            if not pd.isna(r.content_hash):
-                block[9].append(int(r.content_hash))
+            parts.append(r["text"])
+            length += 1 + len(r["text"])
+            block |= {"frame_end": r["id"], "ts_end": r["timestamp"], "n_frames": block["n_frames"] + 1}
+            if r["content_hash"] is not None:
+                block["src_hashes"].append(r["content_hash"])
         if done:
-            yield pd.DataFrame(done, columns=names)
-    if block is not None:
-        yield pd.DataFrame([close()], columns=names)
+            yield pa.RecordBatch.from_arrays([pa.array([d[n] for d in done], t) for n, t in zip(names, kinds, strict=True)], names=names)
+    if block:
+        last = close()
+        yield pa.RecordBatch.from_arrays([pa.array([last[n]], t) for n, t in zip(names, kinds, strict=True)], names=names)
 
 
 def session_blocks(rows: DataFrame, limit: int = CHUNK_LIMIT) -> DataFrame:
     """Blocks of consecutive rows of one app and window; a block that has reached the limit is closed.
 
-    ``rows``: stream_key, id, timestamp (string), app, window, url, text, content_hash. Streams are hashed to
-    partitions, sorted and folded as they pass by, so memory does not grow with a stream.
+    ``rows``: stream_key, id, timestamp (string), app, window, url, text, content_hash. A change of app or window
+    ends a block whatever came before, so rows are dealt by stream and island and folded as they pass by: a
+    long stream is many tasks' work, and memory does not grow with it.
     """
-    needed = rows.select(F.col("stream_key").cast("long").alias("stream_key"), "id", "timestamp", "app", "window", "url", "text", F.col("content_hash").cast("double").isNotNull().alias("__h"), "content_hash")
-    dealt = needed.drop("__h").withColumn("content_hash", F.col("content_hash").cast("long")).repartition("stream_key").sortWithinPartitions("stream_key", "id")
-    return dealt.mapInPandas(lambda frames: _fold(frames, limit), BLOCK)
+    key = F.col("stream_key").cast("long").alias("stream_key")
+    needed = islands(rows.select(key, "id", "timestamp", "app", "window", "url", "text", F.col("content_hash").cast("long").alias("content_hash")))
+    dealt = needed.repartition("stream_key", "island").sortWithinPartitions("stream_key", "island", "id")
+    return dealt.mapInArrow(lambda batches: _fold(batches, limit), BLOCK)
 
 
 def chunks_of(blocks: DataFrame, kind: str, limit: int = CHUNK_LIMIT) -> DataFrame:

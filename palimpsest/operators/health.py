@@ -10,7 +10,7 @@ STALE_S = 600
 
 def frame_metrics(frames: DataFrame, now: str) -> DataFrame:
     """(frames_total, frames_24h, frame_age_s, max_id) at the time ``now``."""
-    at, ts = F.lit(now).cast("timestamp"), F.col("timestamp").cast("timestamp")
+    at, ts = F.lit(now).cast("timestamp"), F.col("timestamp").try_cast("timestamp")
     return frames.agg(
         F.count("*").alias("frames_total"),
         F.count_if((ts > at - F.expr("interval 1 day")) & (ts <= at)).alias("frames_24h"),
@@ -21,14 +21,14 @@ def frame_metrics(frames: DataFrame, now: str) -> DataFrame:
 
 def text_metrics(ocr: DataFrame, frames: DataFrame, now: str) -> DataFrame:
     """(text_chars_24h): characters of recognised text of the last day."""
-    at, ts = F.lit(now).cast("timestamp"), F.col("timestamp").cast("timestamp")
+    at, ts = F.lit(now).cast("timestamp"), F.col("timestamp").try_cast("timestamp")
     recent = frames.where((ts > at - F.expr("interval 1 day")) & (ts <= at)).select(F.col("id").alias("frame_id"))
     return ocr.join(recent, "frame_id").agg(F.coalesce(F.sum(F.char_length("text").cast("long")), F.lit(0)).alias("text_chars_24h"))
 
 
 def typed_metrics(events: DataFrame, now: str) -> DataFrame:
     """(ui_text_24h, clipboard_24h)."""
-    at, ts = F.lit(now).cast("timestamp"), F.col("timestamp").cast("timestamp")
+    at, ts = F.lit(now).cast("timestamp"), F.col("timestamp").try_cast("timestamp")
     recent = (ts > at - F.expr("interval 1 day")) & (ts <= at)
     return events.agg(F.count_if(recent & (F.col("event_type") == "text")).alias("ui_text_24h"), F.count_if(recent & (F.col("event_type") == "clipboard")).alias("clipboard_24h"))
 

@@ -47,17 +47,16 @@ frames AS (
          CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 17 = 0 THEN '' ELSE event_type END AS app_name,
          'w' || (event_id % 50 // 25) AS window_name, 'https://' || event_type || '/' || (event_id % 5) AS browser_url,
          CASE WHEN event_id % 11 <> 0 THEN (event_id * 7919) % 4000 END AS content_hash,
-         CASE WHEN event_id % 3 = 0 THEN '  ' || substr(d.text, 1, 5)
-              ELSE chr(10) || chr(9) || substr(d.text, 1, 100 + event_id % 900) || '  ' END AS accessibility_text
-  FROM events JOIN documents d ON d.doc_id = (event_id // 3) % 150),
+         CASE WHEN event_id % 3 = 0 THEN '  tiny ' ELSE chr(10) || chr(9) || d.text || '  ' END AS accessibility_text
+  FROM events JOIN documents d ON d.doc_id = event_id // 3),
 ocr AS (
-  SELECT event_id AS frame_id, substr(d.text, 40, 200) AS text FROM events JOIN documents d ON d.doc_id = event_id % 97 WHERE event_id % 2 = 0
+  SELECT event_id AS frame_id, d.text FROM events JOIN documents d ON d.doc_id = event_id // 2 WHERE event_id % 2 = 0
   UNION ALL SELECT event_id, 'second ' || event_type FROM events WHERE event_id % 10 = 0)"""
 TYPED_SQL = """
 ui AS (
   SELECT conv_id * 1000 + turn AS id, TIMESTAMP '2024-01-01' + to_seconds(conv_id * 611 + turn * 17) AS timestamp,
          CASE role WHEN 'user' THEN 'text' WHEN 'assistant' THEN 'clipboard' ELSE 'key' END AS event_type,
-         CASE WHEN turn % 5 = 4 THEN '      ' || substr(text, 1, 8) || '   ' ELSE text END AS text_content,
+         CASE WHEN turn % 5 = 4 THEN '      tiny   ' ELSE text END AS text_content,
          CASE conv_id % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE role END AS app_name,
          CASE WHEN turn % 2 = 0 THEN 'win' ELSE '' END AS window_title, CAST(NULL AS VARCHAR) AS browser_url,
          CASE WHEN conv_id % 2 = 0 THEN conv_id * 7 + turn END AS frame_id, conv_id AS stream_key
@@ -68,19 +67,19 @@ STRIP = lambda c: f"regexp_replace({c}, '^{_WS}+|{_WS}+$', '', 'g')"  # noqa: E7
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, d = table(spark, sf_dir, "events"), table(spark, sf_dir, "documents").select("doc_id", "text")
-    j = e.join(d, F.expr("doc_id = (event_id div 3) % 150"))
+    j = e.join(d, F.expr("doc_id = event_id div 3"))
     return j.select(
         F.col("event_id").alias("id"), F.col("ts").alias("timestamp"), F.col("user_id").alias("stream_key"),
         F.expr("CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 17 = 0 THEN '' ELSE event_type END").alias("app_name"),
         F.expr("concat('w', (event_id % 50) div 25)").alias("window_name"), F.expr("concat('https://', event_type, '/', event_id % 5)").alias("browser_url"),
         F.expr("CASE WHEN event_id % 11 <> 0 THEN (event_id * 7919) % 4000 END").alias("content_hash"),
-        F.expr("CASE WHEN event_id % 3 = 0 THEN concat('  ', substr(text, 1, 5)) ELSE concat('\\n\\t', substr(text, 1, cast(100 + event_id % 900 AS int)), '  ') END").alias("accessibility_text"),
+        F.expr("CASE WHEN event_id % 3 = 0 THEN '  tiny ' ELSE concat('\\n\\t', text, '  ') END").alias("accessibility_text"),
     )
 
 
 def ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, d = table(spark, sf_dir, "events"), table(spark, sf_dir, "documents").select("doc_id", "text")
-    first = e.where("event_id % 2 = 0").join(d, F.expr("doc_id = event_id % 97")).select(F.col("event_id").alias("frame_id"), F.substring("text", 40, 200).alias("text"))
+    first = e.where("event_id % 2 = 0").join(d, F.expr("doc_id = event_id div 2")).select(F.col("event_id").alias("frame_id"), "text")
     return first.unionByName(e.where("event_id % 10 = 0").select(F.col("event_id").alias("frame_id"), F.concat(F.lit("second "), "event_type").alias("text")))
 
 
@@ -88,7 +87,7 @@ def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(
         F.expr("conv_id * 1000 + turn").alias("id"), F.expr("TIMESTAMP_NTZ '2024-01-01' + make_dt_interval(0, 0, 0, conv_id * 611 + turn * 17)").alias("timestamp"),
         F.expr("CASE role WHEN 'user' THEN 'text' WHEN 'assistant' THEN 'clipboard' ELSE 'key' END").alias("event_type"),
-        F.expr("CASE WHEN turn % 5 = 4 THEN concat('      ', substr(text, 1, 8), '   ') ELSE text END").alias("text_content"),
+        F.expr("CASE WHEN turn % 5 = 4 THEN '      tiny   ' ELSE text END").alias("text_content"),
         F.expr("CASE conv_id % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE role END").alias("app_name"),
         F.expr("CASE WHEN turn % 2 = 0 THEN 'win' ELSE '' END").alias("window_title"), F.lit(None).cast("string").alias("browser_url"),
         F.expr("CASE WHEN conv_id % 2 = 0 THEN conv_id * 7 + turn END").alias("frame_id"), F.col("conv_id").alias("stream_key"),
@@ -319,16 +318,33 @@ r AS (SELECT stream_key, rn, id, length(text) AS len, 1 AS block FROM n WHERE rn
       UNION ALL SELECT n.stream_key, n.rn, n.id, CASE WHEN changed OR len >= 2200 THEN length(n.text) ELSE len + 1 + length(n.text) END,
                        block + CASE WHEN changed OR len >= 2200 THEN 1 ELSE 0 END FROM r JOIN n ON n.stream_key = r.stream_key AND n.rn = r.rn + 1),
 b AS (SELECT n.stream_key, arg_min(app, n.id) AS app, arg_min(win, n.id) AS win, min(n.id) AS frame_start, max(n.id) AS frame_end, count(*)::INT AS n_frames,
-             string_agg(n.text, chr(10) ORDER BY n.id) AS text, arg_min(n.url, n.id) AS url FROM r JOIN n ON n.id = r.id GROUP BY n.stream_key, block)"""
+             string_agg(n.text, chr(10) ORDER BY n.id) AS text, arg_min(n.url, n.id) AS url, min(n.timestamp) AS ts_start, max(n.timestamp) AS ts_end,
+             list(n.content_hash ORDER BY n.id) FILTER (n.content_hash IS NOT NULL) AS src FROM r JOIN n ON n.id = r.id GROUP BY n.stream_key, block)"""
 
 
-@query("f4_session_blocks", f'WITH RECURSIVE {_BLOCKS} SELECT stream_key, app, win AS "window", url, frame_start, frame_end, n_frames, sha256(text) AS text_sha FROM b')
+@query("f4_session_blocks", f'WITH RECURSIVE {_BLOCKS} SELECT stream_key, app, win AS "window", url, frame_start, frame_end, n_frames, sha256(text) AS text_sha, strftime(ts_start, \'%Y-%m-%d %H:%M:%S\') AS ts_start, strftime(ts_end, \'%Y-%m-%d %H:%M:%S\') AS ts_end, coalesce(array_to_string(src, \',\'), \'\') AS src_hashes FROM b')
 def f4_session_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _kept(spark, sf_dir).withColumn("timestamp", F.col("timestamp").cast("string"))
-    return blocks.session_blocks(rows).select("stream_key", "app", "window", "url", "frame_start", "frame_end", "n_frames", F.sha2("text", 256).alias("text_sha"))
+    return blocks.session_blocks(rows).select("stream_key", "app", "window", "url", "frame_start", "frame_end", "n_frames", F.sha2("text", 256).alias("text_sha"), F.substring("ts_start", 1, 19).alias("ts_start"), F.substring("ts_end", 1, 19).alias("ts_end"), F.array_join("src_hashes", ",").alias("src_hashes"))
 
 
-@query("f6_chunks")
+def _split_sql(rows: str, key: str) -> str:
+    """Pieces of the texts of ``rows``: its lines are folded into (pieces done, piece held)."""
+    return f"""
+lines AS (SELECT {key}, list_transform(string_split(text, chr(10)), lambda x: {{'done': []::VARCHAR[], 'held': x}}) AS l FROM {rows} WHERE length(text) > 2200),
+folded AS (SELECT {key}, list_reduce(l, lambda a, x: CASE
+    WHEN length(x.held) > 2200 THEN {{'done': a.done || (CASE WHEN a.held <> '' THEN [a.held] ELSE [] END)
+      || list_transform(range(0, (length(x.held) - 1) // 2200), lambda k: substr(x.held, k * 2200 + 1, 2200)), 'held': substr(x.held, (length(x.held) - 1) // 2200 * 2200 + 1)}}
+    WHEN a.held = '' THEN {{'done': a.done, 'held': x.held}}
+    WHEN length(a.held) + 1 + length(x.held) <= 2200 THEN {{'done': a.done, 'held': a.held || chr(10) || x.held}}
+    ELSE {{'done': a.done || [a.held], 'held': x.held}} END, {{'done': []::VARCHAR[], 'held': ''}}) AS f FROM lines),
+cut AS (SELECT {key}, unnest(pieces) AS piece, unnest(range(0, len(pieces)))::INT AS piece_no FROM (
+  SELECT {key}, f.done || (CASE WHEN f.held <> '' THEN [f.held] ELSE [] END) AS pieces FROM folded
+  UNION ALL SELECT {key}, [text] FROM {rows} WHERE length(text) <= 2200))"""
+
+
+@query("f6_chunks", f"""WITH RECURSIVE {_BLOCKS},{_split_sql("b", "stream_key, frame_start, frame_end, n_frames")}
+SELECT substr(sha256('screen' || chr(0) || piece), 1, 24) AS chunk_hash, 'screen' AS kind, stream_key, frame_start, frame_end, n_frames, piece_no, length(piece) AS n FROM cut""")
 def f6_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _kept(spark, sf_dir).withColumn("timestamp", F.col("timestamp").cast("string"))
     return blocks.chunks_of(blocks.session_blocks(rows), "screen").select("chunk_hash", "kind", "stream_key", "frame_start", "frame_end", "n_frames", "piece_no", F.char_length("text").cast("long").alias("n"))
@@ -339,7 +355,7 @@ def h1_chunk_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.chunk_hash("lang", "text").alias("chunk_hash"))
 
 
-@query("h2_split_text")
+@query("h2_split_text", f'WITH {_split_sql("documents", "doc_id")[1:]} SELECT doc_id, piece_no, piece FROM cut')
 def h2_split_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.split_text("text")).alias("piece_no", "piece"))
 
@@ -368,7 +384,8 @@ def e6_allocated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.allocate_ids(new, spark.range(42)).select("chunk_hash", F.col("id").cast("long").alias("id"))
 
 
-@query("b5_resplit_pieces")
+@query("b5_resplit_pieces", f"""WITH big AS (SELECT doc_id AS id, lang, text FROM documents WHERE length(text) > 8000),{_split_sql("big", "id, lang")}
+SELECT id, piece_no, substr(sha256(lang || chr(0) || piece), 1, 24) AS chunk_hash, length(piece) AS n FROM cut""")
 def b5_resplit_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     large = chunks(spark, sf_dir).where(F.char_length("text") > 8000)
     return index.resplit_pieces(large).select("id", "piece_no", "chunk_hash", F.char_length("text").cast("long").alias("n"))

@@ -16,7 +16,7 @@ def test_strip_removes_all_white_space(spark):
 
 
 def test_layout_remap(spark):
-    samples = {"netwinfor;qti": "netzinformati", ";ikqil QI": "mikail AI", "tuhqf biwe qit ol;qyqn": "tuhaf bize ait olmayan"}
+    samples = {"qpple qnd wero": "apple and zero", ";orning QWqw": "morning AZaz", "zin,": "win;", "M<>": "?./"}
     rows = spark.createDataFrame([(s,) for s in samples], "t string").select("t", text.remap_layout("t")).collect()
     assert {r[0]: r[1] for r in rows} == samples
 
