@@ -8,9 +8,9 @@ import json
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .functions.embedding import HashingEmbedder, HttpEmbedder
+from .functions.embedding import Embedder, HashingEmbedder, HttpEmbedder
 from .operators import health, search
-from .operators.index import Index
+from .operators.index import Busy, Index
 from .streaming import ingest
 
 
@@ -20,7 +20,9 @@ def parser() -> argparse.ArgumentParser:
     top.add_argument("--model-host", help="address of the embedding server; without it, hashed words are the vectors")
     sub = top.add_subparsers(dest="command", required=True)
     embed = sub.add_parser("embed")
-    embed.add_argument("--frames"), embed.add_argument("--typed"), embed.add_argument("--checkpoint", required=True)
+    embed.add_argument("--database", help="a recorder's SQLite file"), embed.add_argument("--max-frames", type=int, default=0), embed.add_argument("--safety-lag", type=int, default=0)
+    embed.add_argument("--frames"), embed.add_argument("--typed"), embed.add_argument("--checkpoint", help="for folders of Parquet files")
+    embed.add_argument("--unlock", action="store_true", help="remove the mark of a writer that died")
     embed.add_argument("--max-files", type=int, default=1000)
     embed.add_argument("--reset", action="store_true")
     embed.add_argument("--only-typed", action="store_true"), embed.add_argument("--skip-typed", action="store_true")
@@ -35,6 +37,19 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def _embed(a: argparse.Namespace, spark: SparkSession, index: Index, embedder: Embedder) -> None:
+    """One run. Offsets of files belong to a start from nothing: a resplit keeps them."""
+    if a.reset or index.version() is None:
+        index.save_state(index.state() | {"start": index.reset()})
+    start = f"{a.checkpoint}/{index.state()['start']}"
+    if a.frames and not a.only_typed:
+        ingest.ingest_frames(spark, a.frames, index, f"{start}/screen", embedder, files_per_batch=a.max_files)
+    if a.typed and not a.skip_typed:
+        ingest.ingest_typed(spark, a.typed, index, f"{start}/typed", embedder, files_per_batch=a.max_files)
+    if a.database:
+        ingest.ingest_database(spark, a.database, index, embedder, a.max_frames, not a.skip_typed, not a.only_typed, a.safety_lag)
+
+
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> str:
     a = parser().parse_args(args)
     spark = spark or SparkSession.builder.appName("palimpsest").getOrCreate()
@@ -43,20 +58,32 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> st
     if a.command == "embed":
         if isinstance(embedder, HttpEmbedder) and not embedder.alive():
             return "the model server does not answer; nothing was read"
-        version = index.reset() if a.reset or index.version() is None else index.version()
-        if a.frames and not a.only_typed:
-            ingest.ingest_frames(spark, a.frames, index, f"{a.checkpoint}/{version}/screen", embedder, files_per_batch=a.max_files)
-        if a.typed and not a.skip_typed:
-            ingest.ingest_typed(spark, a.typed, index, f"{a.checkpoint}/{version}/typed", embedder, files_per_batch=a.max_files)
+        if (a.frames or a.typed) and not a.checkpoint:
+            return "files need a --checkpoint"
+        if a.unlock:
+            index.unlock()
+        try:
+            with index.writing():
+                _embed(a, spark, index, embedder)
+        except Busy:
+            return "another run writes to the index; this one was skipped"
     if a.command == "search":
         vector = embedder([a.query])[0]
         chunks = index.chunks()
-        rows = search.hybrid(chunks, chunks.select("id", "embedding"), a.query, vector, a.k, a.kind).drop("id").collect()
-        return json.dumps([r.asDict() for r in rows], ensure_ascii=False, indent=2) if a.json else search.as_text(rows, a.query, search.POOL, search.POOL)
+        vectors = chunks.select("id", "embedding")
+        rows = search.hybrid(chunks, vectors, a.query, vector, a.k, a.kind).drop("id").collect()
+        if a.json:
+            return json.dumps([r.asDict() for r in rows], ensure_ascii=False, indent=2)
+        sizes = [p.count() for p in search.pools(chunks, vectors, a.query, vector, a.kind, max(search.POOL, a.k))]
+        return search.as_text(rows, a.query, *sizes)
     if a.command == "resplit":
-        index.resplit(embedder, a.threshold)
+        try:
+            with index.writing():
+                index.resplit(embedder, a.threshold)
+        except Busy:
+            return "another run writes to the index; this one was skipped"
     if a.command == "health":
-        record = health.snapshot(spark.read.parquet(a.frames), spark.read.parquet(a.ocr), spark.read.parquet(a.typed), index.chunks(), a.now)
+        record = health.snapshot(spark.read.parquet(a.frames), spark.read.parquet(a.ocr), spark.read.parquet(a.typed), index.chunks(), a.now, index.state()["last_frame_id"])
         health.append(record, a.history)
         return record.toJSON().first()
     counts = index.chunks().groupBy("kind").agg(F.count("*")).collect()

@@ -1,14 +1,19 @@
 """The index: batches of chunks on Parquet, replayable, in version folders.
 
-    <root>/current               name of the live version
-    <root>/<version>/batch=<id>/ chunks with their embeddings and source hashes
+    <root>/pointers/<number>              the name of a version; the greatest number is live
+    <root>/<version>/chunks/batch=<id>/   chunks with their embeddings and source hashes
+    <root>/<version>/seen/batch=<id>/     content hashes of the whole batch, of chunks that were known too
+    <root>/states/<number>                watermarks and counts of the runs; the greatest number holds
 
-A batch is written whole and overwrites itself when replayed. Both permanent sets (chunk hashes and content
-hashes) are columns of the batches, so they cannot differ from them.
+A batch is written whole and overwrites itself when replayed. Pointers and states are new files that
+nothing replaces: a reader sees the old or the new one, and of two writers of one number the second fails.
 """
 
 from __future__ import annotations
 
+import contextlib
+import json
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +30,10 @@ CHUNKS = schema(
 )
 
 
+class Busy(RuntimeError):
+    """Another run writes to the index."""
+
+
 class Index:
     def __init__(self, spark: SparkSession, root: str, dim: int = DIM) -> None:
         self.spark, self.root, self.dim = spark, root.rstrip("/"), dim
@@ -34,44 +43,107 @@ class Index:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
+    def _numbered(self, folder: str) -> list[int]:
+        fs, p = self._fs(f"{self.root}/{folder}")
+        names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted((int(n) for n in names if n.isdigit()), reverse=True)
+
+    def _latest(self, folder: str) -> str | None:
+        """What the file of the greatest number says; one that is being written says nothing yet."""
+        for number in self._numbered(folder):
+            fs, p = self._fs(f"{self.root}/{folder}/{number:012d}")
+            source = fs.open(p)
+            said = bytes(source.readAllBytes()).decode()
+            source.close()
+            if said.endswith("\n"):
+                return said[:-1]
+        return None
+
+    def _put(self, folder: str, said: str) -> None:
+        """Adds the file of the next number; fails if another writer has added it."""
+        number = next(iter(self._numbered(folder)), 0) + 1
+        self._create(f"{folder}/{number:012d}", said)
+
+    def _create(self, name: str, said: str) -> None:
+        fs, p = self._fs(f"{self.root}/{name}")
+        sink = fs.create(p, False)
+        sink.write(f"{said}\n".encode())
+        sink.close()
+
+    @contextlib.contextmanager
+    def writing(self):
+        """The single writer: its mark is a file that only one can create. ``unlock`` removes one that was left behind."""
+        owner = f"{os.uname().nodename}-{os.getpid()}-{uuid.uuid4().hex}"
+        try:
+            self._create("writer", owner)
+        except Exception as error:  # the file system's own exception, through the gateway
+            if not self._fs(f"{self.root}/writer")[0].exists(self._fs(f"{self.root}/writer")[1]):
+                raise
+            raise Busy(f"another writer holds {self.root}/writer") from error
+        try:
+            yield self
+        finally:
+            self.unlock()
+
+    def unlock(self) -> None:
+        fs, p = self._fs(f"{self.root}/writer")
+        fs.delete(p, False)
+
     def version(self) -> str | None:
-        fs, p = self._fs(f"{self.root}/current")
-        return self.spark.read.text(f"{self.root}/current").first()[0] if fs.exists(p) else None
+        return self._latest("pointers")
 
     def point_to(self, version: str) -> None:
-        """Names the live version; readers see the old or the new one."""
-        staged = f"{self.root}/_staged-{uuid.uuid4().hex}"
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.text(staged)
-        fs, target = self._fs(f"{self.root}/current")
-        fs.delete(target, True)
-        fs.rename(self._fs(staged)[1], target)
+        """Names the live version."""
+        self._put("pointers", version)
+
+    def state(self) -> dict:
+        """Watermarks, number of chunks and runs, and the time of the last run."""
+        return {"last_frame_id": 0, "last_ui_event_id": 0, "chunks": 0, "runs": 0, "last_run": None} | json.loads(self._latest("states") or "{}")
+
+    def save_state(self, state: dict) -> None:
+        self._put("states", json.dumps(state))
 
     def reset(self) -> str:
-        """A new, empty version."""
+        """A new, empty version; the next run reads from the start."""
         version = f"v-{uuid.uuid4().hex}"
         self.point_to(version)
+        self.save_state(self.state() | {"last_frame_id": 0, "last_ui_event_id": 0, "chunks": 0})
         return version
 
-    def chunks(self) -> DataFrame:
-        version = self.version()
-        path = f"{self.root}/{version}"
+    def _read(self, part: str, fields: T.StructType) -> DataFrame:
+        whole = T.StructType([*fields.fields, T.StructField("batch", T.StringType())])
+        path = f"{self.root}/{self.version()}/{part}"
         fs, p = self._fs(path)
-        if version is None or not fs.exists(p) or not fs.listStatus(p):
-            return self.spark.createDataFrame([], T.StructType([*CHUNKS.fields, T.StructField("batch", T.StringType())]))
-        found = self.spark.read.option("mergeSchema", "true").parquet(path)
-        return migrated(found)
+        if not fs.exists(p):
+            return self.spark.createDataFrame([], whole)
+        return self.spark.read.schema(whole).parquet(path)
+
+    def chunks(self) -> DataFrame:
+        return migrated(self._read("chunks", CHUNKS))
+
+    def write_batch(self, batch: str, new: DataFrame, embedder: Embedder) -> int:
+        """Adds the chunks of ``new`` whose hash no other batch has, once each; returns how many.
 
-    def write_batch(self, batch: str, new: DataFrame, embedder: Embedder) -> None:
-        """Adds the chunks of ``new`` whose hash no other batch has, once each. Ids are hashes of the chunk hash, so a replay gives the same."""
+        Ids are hashes of the chunk hash, so a replay gives the same. The content hashes of all of ``new`` become
+        known, also those of chunks that another batch has already.
+        """
         version = self.version() or self.reset()
-        others = self.chunks().where(F.col("batch") != batch).select("chunk_hash")
-        fresh = new.dropDuplicates(["chunk_hash"]).join(others, "chunk_hash", "left_anti")
-        named = embed(fresh.withColumn("id", F.xxhash64("chunk_hash")), embedder)
-        named.select(*(F.col(c).cast(t) for c, t in ((f.name, f.dataType) for f in CHUNKS.fields))).write.mode("overwrite").parquet(f"{self.root}/{version}/batch={batch}")
+        new = new.persist()
+        try:
+            others = self.chunks().where(F.col("batch") != batch).select("chunk_hash")
+            fresh = new.dropDuplicates(["chunk_hash"]).join(others, "chunk_hash", "left_anti")
+            named = embed(fresh.withColumn("id", F.xxhash64("chunk_hash")), embedder)
+            hashes = new.select(F.explode("src_hashes").alias("content_hash")).distinct()
+            hashes.write.mode("overwrite").parquet(f"{self.root}/{version}/seen/batch={batch}")
+            at = f"{self.root}/{version}/chunks/batch={batch}"
+            named.select(*(F.col(f.name).cast(f.dataType) for f in CHUNKS.fields)).write.mode("overwrite").parquet(at)
+            return self.spark.read.schema(CHUNKS).parquet(at).count()
+        finally:
+            new.unpersist()
 
     def seen_hashes(self, but: str = "") -> DataFrame:
         """Content hashes of all batches but one: a batch that is replayed must not know itself."""
-        return self.chunks().where(F.col("batch") != but).select(F.explode("src_hashes").alias("content_hash")).distinct()
+        return self._read("seen", schema("content_hash long")).where(F.col("batch") != but).select("content_hash").distinct()
 
     def resplit(self, embedder: Embedder, threshold: int = 8000, limit: int = 2200) -> str:
         """A new version in which texts above the threshold are cut to the limit; the old one stays until then."""
@@ -82,8 +154,9 @@ class Index:
         named = embed(pieces.withColumn("id", F.xxhash64("chunk_hash")), embedder)
         version = f"v-{uuid.uuid4().hex}"
         names = [f.name for f in CHUNKS.fields]
-        kept.select(*names).write.parquet(f"{self.root}/{version}/batch=kept")
-        named.select(*(F.col(f.name).cast(f.dataType) for f in CHUNKS.fields)).write.parquet(f"{self.root}/{version}/batch=resplit")
+        kept.select(*names).write.parquet(f"{self.root}/{version}/chunks/batch=kept")
+        named.select(*(F.col(f.name).cast(f.dataType) for f in CHUNKS.fields)).write.parquet(f"{self.root}/{version}/chunks/batch=resplit")
+        self.seen_hashes().write.parquet(f"{self.root}/{version}/seen/batch=kept")
         self.point_to(version)
         return version
 

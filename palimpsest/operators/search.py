@@ -80,17 +80,19 @@ def fuse(vector_ranks: DataFrame, text_ranks: DataFrame, rrf_k: int = RRF_K) ->
 ORDER = (F.desc, "score"), (F.asc_nulls_last, "vector_rank"), (F.asc_nulls_last, "text_rank"), (F.asc, "id")
 
 
+def pools(chunks: DataFrame, vectors: DataFrame, query: str, query_vector: list[float], kind: str | None = None, pool: int = POOL) -> tuple[DataFrame, DataFrame]:
+    """Both rankings, each cut to the pool. A kind is applied before that, so rare kinds fill their pool."""
+    if kind is not None:
+        vectors = vectors.join(chunks.where(F.col("kind") == kind).select("id"), "id", "left_semi")
+    return ranked(knn(vectors, query_vector, pool), "distance"), ranked(bm25(chunks, query, kind).orderBy("bm25", "id").limit(pool), "bm25")
+
+
 def hybrid(chunks: DataFrame, vectors: DataFrame, query: str, query_vector: list[float], k: int = TOP, kind: str | None = None, pool: int = POOL) -> DataFrame:
     """The k best chunks by fused rank, with the columns of a search result.
 
-    A kind is applied before either ranking is cut, so rare kinds fill their pool. At most two pools of ids
-    meet the chunks, as the broadcast side of one join.
+    A pool holds k at least. At most two pools of ids meet the chunks, as the broadcast side of one join.
     """
-    if kind is not None:
-        vectors = vectors.join(chunks.where(F.col("kind") == kind).select("id"), "id", "left_semi")
-    near = ranked(knn(vectors, query_vector, pool), "distance")
-    said = ranked(bm25(chunks, query, kind).orderBy("bm25", "id").limit(pool), "bm25")
-    best = fuse(near, said)
+    best = fuse(*pools(chunks, vectors, query, query_vector, kind, max(pool, k)))
     hits = chunks.join(F.broadcast(best), "id")
     order = [f(c) for f, c in ORDER]
     top = hits.orderBy(*order).limit(max(k, 1))

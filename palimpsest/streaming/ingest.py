@@ -7,6 +7,7 @@ replayed after a failure overwrites itself. Each run takes what is there and end
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +16,13 @@ from pyspark.sql.types import StructType
 
 from ..functions.embedding import Embedder
 from ..functions.text import MIN_TEXT, remap_layout, strip
+from ..operators.attribution import attribute, with_frame_context
 from ..operators.blocks import chunks_of, session_blocks, usable_text
 from ..operators.dedup import drop_consecutive, first_occurrence, not_seen
 from ..operators.index import Index
 from ..schema import schema
+from ..sources.capture import new_frames, new_typed
+from ..sources.sqlite import read_sqlite
 
 FRAMES = schema("id long, timestamp string, app_name string, window_name string, browser_url string, content_hash long, accessibility_text string, ocr string, stream_key long")
 TYPED = schema("id long, timestamp string, event_type string, text_content string, app string, window string, url string, stream_key long")
@@ -40,6 +44,40 @@ def typed_chunks(rows: DataFrame, remapped: tuple[str, ...] = ("text", "clipboar
     return chunks_of(session_blocks(drop_consecutive(usable)), "typed")
 
 
+def ingest_database(spark: SparkSession, path: str, index: Index, embedder: Embedder, max_frames: int = 0, typed: bool = True, screen: bool = True, safety_lag: int = 0, partitions: int = 1, say: Callable[[str], None] = print) -> dict:
+    """Takes what a recorder's SQLite file holds above the watermarks, and saves the state after each part.
+
+    Frames meet their recognised text, typed events the context of their frame or of the frame nearest in time.
+    The newest ``safety_lag`` frames are left for the next run, as they may still be written to. A run that fails
+    is repeated from the same watermark under the same batch name, and overwrites what it wrote.
+    """
+    state = index.state()
+    frames, texts, events = (read_sqlite(spark, path, name, partitions) for name in ("frames", "ocr_text", "ui_events"))
+    stream = F.lit(0).cast("long").alias("stream_key")
+    if screen:
+        top = (frames.agg(F.max("id")).first()[0] or 0) - safety_lag
+        fresh = new_frames(frames.where(F.col("id") <= top), texts, state["last_frame_id"], max_frames)
+        high = fresh.agg(F.max("id")).first()[0]
+        if high is not None:
+            name = f"frames-{state['last_frame_id']}"
+            added = index.write_batch(name, screen_chunks(fresh.select("*", stream), index.seen_hashes(name)), embedder)
+            say(f"screen: {added} chunks, frames to {high}")
+            state |= {"last_frame_id": high}
+            index.save_state(state)
+    if typed:
+        high = events.where(F.col("id") > state["last_ui_event_id"]).agg(F.max("id")).first()[0]
+        if high is not None:
+            some = new_typed(events.where(F.col("id") <= high), state["last_ui_event_id"])
+            placed = attribute(with_frame_context(some, frames), frames).select("*", stream)
+            added = index.write_batch(f"typed-{state['last_ui_event_id']}", typed_chunks(placed), embedder)
+            say(f"typed: {added} chunks, events to {high}")
+            state |= {"last_ui_event_id": high}
+            index.save_state(state)
+    state |= {"chunks": index.chunks().count(), "runs": state["runs"] + 1, "last_run": datetime.now(timezone.utc).isoformat(timespec="seconds")}
+    index.save_state(state)
+    return state
+
+
 def run_once(spark: SparkSession, source: str, schema: StructType, index: Index, checkpoint: str, kind: str, to_chunks: Callable[[DataFrame, str], DataFrame], embedder: Embedder, files_per_batch: int = 1000) -> StreamingQuery:
     """Takes the files that have come since the last run."""
 
