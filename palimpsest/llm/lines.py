@@ -38,7 +38,7 @@ FILTER = (1 << 20, 1 << 28)
 WITNESSES = 12
 #: Bytes of text that are read at once, but for longer lines; lines that a map task holds before it deals them out.
 BYTES, LINES = 1 << 20, 100_000
-#: Words in more sets than this are frequent: a run of so many rows costs a task about a minute. Lines of up to
+#: Words that occur more often than this are frequent: a run of so many rows costs a task about a minute. Lines of up to
 #: so many words meet at pairs of them.
 FREQUENT, PAIRED = 200_000, 128
 #: Runs of up to so many rows compare all their pairs at once.
@@ -113,14 +113,14 @@ def _cell(words: np.ndarray) -> np.ndarray:
 
 
 def _line_words(texts: list[bytes]) -> Iterator[np.ndarray]:
-    return (words for _, _, _, words in _chunks(texts))
+    return (hashed(b"\n".join(p for _, _, p in pieces))[0] for pieces in _pieces(texts))
 
 
 def frequencies(docs: DataFrame, text: str = "text", sets: Callable[[list[bytes]], Iterator[np.ndarray]] = _line_words) -> tuple[np.ndarray, int]:
-    """The sketch of how many sets (lines, unless told otherwise) a word is in, as logarithmic bytes; its size is fixed.
+    """The sketch of how often a word occurs (in lines, or in the sets that are made), as logarithmic bytes; its size is fixed.
 
     Partition sketches are merged by cell ranges, so that each reducer holds one range. The number is
-    the sum of all sets' sizes.
+    that of all occurrences.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
