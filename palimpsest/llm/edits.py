@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_scratch, mix64, partitions_for, persist, release
-from .graph import components, join_spread
+from .graph import classed, components
 from .lines import _bitmap, _in_bitmap
 from .parcels import PARCEL, ROWS, deal, delivered, each, opened
 
@@ -299,10 +299,9 @@ def labels(prints: DataFrame, least: float = LIKE) -> DataFrame:
         spans = _banded(nodes, parcels, _bitmap(large)).mapInArrow(lambda batches: _spans(batches, most), "a long, b long")
         links = links.unionByName(spans.distinct())
     found = components(links)
-    roots = nodes.join(found, "node", "left").select("fingerprint", "least", F.coalesce("root", "node").alias("root"))
-    named = roots.groupBy("root").agg(F.min("least").alias("class_id"))
-    out = persist(join_spread(roots, named, "root").select("fingerprint", "class_id"), "labels")
-    for done in (met, nodes):
+    roots = persist(nodes.join(found, "node", "left").select("fingerprint", "least", "root"), "roots")
+    out = persist(classed(roots, "class_id").select("fingerprint", "class_id"), "labels")
+    for done in (met, nodes, roots):
         drop_scratch(spark, done)
     return out
 

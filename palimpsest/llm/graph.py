@@ -52,3 +52,10 @@ def join_spread(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
     dealt = rows.withColumn("__part", F.pmod(F.xxhash64(*rows.columns), F.lit(SPREAD)))
     every = few.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
     return dealt.join(every, [key, "__part"]).drop("__part")
+
+
+def classed(rows: DataFrame, to: str) -> DataFrame:
+    """``rows`` (least, root and others) with the least ``least`` of their root; a row without a root is a class of its own."""
+    linked = rows.where("root IS NOT NULL")
+    few = linked.groupBy("root").agg(F.min("least").alias(to))
+    return rows.where("root IS NULL").withColumn(to, F.col("least")).unionByName(join_spread(linked, few, "root"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions_for, persist
-from .graph import components, join_spread
+from .graph import classed, components
 from .words import raw
 
 SHINGLE = 4
@@ -205,8 +205,6 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id): the least id that links reach from the document."""
     fps = persist(fingerprints(docs, width), "fingerprints")
     nodes = persist(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = nodes.join(components(links(nodes)), nodes.fp == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    roots = persist(roots, "roots")
-    classes = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = join_spread(roots, classes, "root").select("fp", "component_id")
+    roots = persist(nodes.join(components(links(nodes)), nodes.fp == F.col("node"), "left").select("fp", "least", "root"), "roots")
+    labels = classed(roots, "component_id").select("fp", "component_id")
     return fps.join(labels, "fp").select("doc_id", "fp", "component_id")
