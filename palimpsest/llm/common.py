@@ -35,14 +35,27 @@ def scratch_dir(spark: SparkSession) -> str:
     return where
 
 
+#: With this setting Spark deletes the shuffles of an execution as soon as it ends.
+SHUFFLES_END = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def persist(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back.
 
-    This cuts the lineage: a lost executor re-reads a file instead of recomputing.
+    This cuts the lineage: a lost executor re-reads a file instead of recomputing. The shuffles of the write
+    serve nothing else and are deleted when it is done.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLES_END, None)
+    spark.conf.set(SHUFFLES_END, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLES_END)
+        else:
+            spark.conf.set(SHUFFLES_END, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
