@@ -64,17 +64,18 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> st
             index.unlock()
         try:
             with index.writing():
+                index.post_all()
                 _embed(a, spark, index, embedder)
         except Busy:
             return "another run writes to the index; this one was skipped"
     if a.command == "search":
         vector = embedder([a.query])[0]
         chunks = index.chunks()
-        vectors = chunks.select("id", "embedding")
-        rows = search.hybrid(chunks, vectors, a.query, vector, a.k, a.kind).drop("id").collect()
+        vectors, postings = chunks.select("id", "embedding"), index.postings()
+        rows = search.hybrid(chunks, vectors, a.query, vector, a.k, a.kind, postings=postings).drop("id").collect()
         if a.json:
             return json.dumps([r.asDict() for r in rows], ensure_ascii=False, indent=2)
-        sizes = [p.count() for p in search.pools(chunks, vectors, a.query, vector, a.kind, max(search.POOL, a.k))]
+        sizes = [p.count() for p in search.pools(chunks, vectors, a.query, vector, a.kind, max(search.POOL, a.k), postings)]
         return search.as_text(rows, a.query, *sizes)
     if a.command == "resplit":
         try:

@@ -2,6 +2,7 @@
 
     <root>/pointers/<number>              the name of a version; the greatest number is live
     <root>/<version>/chunks/batch=<id>/   chunks with their embeddings and source hashes
+    <root>/<version>/postings/batch=<id>/ its inverted index, sorted by token; totals/batch=<id>/: number and length of its chunks
     <root>/<version>/seen/batch=<id>/     content hashes of the whole batch, of chunks that were known too
     <root>/states/<number>                watermarks and counts of the runs; the greatest number holds
 
@@ -23,11 +24,14 @@ from pyspark.sql import types as T
 from ..functions.embedding import DIM, Embedder, embed
 from ..functions.text import chunk_hash, split_text
 from ..schema import schema
+from .search import Postings, postings_of
 
 CHUNKS = schema(
     "id long, kind string, chunk_hash string, frame_start long, frame_end long, ts_start string, ts_end string, app string, "
     "window string, url string, n_frames int, text string, piece_no int, src_hashes array<long>, embedding array<float>"
 )
+POSTINGS = schema("token string, id long, kind string, length int, positions array<int>")
+TOTALS = schema("chunks long, length long")
 
 
 class Busy(RuntimeError):
@@ -121,6 +125,35 @@ class Index:
     def chunks(self) -> DataFrame:
         return migrated(self._read("chunks", CHUNKS))
 
+    def _batches(self, part: str) -> set[str]:
+        """The batches of which a part was written whole."""
+        fs, p = self._fs(f"{self.root}/{self.version()}/{part}/batch=*/_SUCCESS")
+        return {f.getPath().getParent().getName() for f in fs.globStatus(p) or []}
+
+    def postings(self) -> Postings | None:
+        """The inverted index; None while a batch lacks its own, as in an index of an earlier version."""
+        if self._batches("chunks") - self._batches("totals"):
+            return None
+        return Postings(self._read("postings", POSTINGS), self._read("totals", TOTALS))
+
+    def _post(self, version: str, batch: str) -> None:
+        """Writes a batch's postings, from its stored chunks; the totals come last and say that it is whole."""
+        named = postings_of(migrated(self.spark.read.schema(CHUNKS).parquet(f"{self.root}/{version}/chunks/batch={batch}")))
+        rows = named.rows.sortWithinPartitions("token", "id").select(*POSTINGS.names)
+        rows.write.mode("overwrite").parquet(f"{self.root}/{version}/postings/batch={batch}")
+        named.totals.write.mode("overwrite").parquet(f"{self.root}/{version}/totals/batch={batch}")
+
+    def _unpost(self, version: str, batch: str) -> None:
+        fs, p = self._fs(f"{self.root}/{version}/totals/batch={batch}")
+        fs.delete(p, True)
+
+    def post_all(self) -> list[str]:
+        """Postings for batches that have none; returns their names."""
+        lacking = sorted(name.removeprefix("batch=") for name in self._batches("chunks") - self._batches("totals"))
+        for batch in lacking:
+            self._post(self.version(), batch)
+        return lacking
+
     def write_batch(self, batch: str, new: DataFrame, embedder: Embedder) -> int:
         """Adds the chunks of ``new`` whose hash no other batch has, once each; returns how many.
 
@@ -136,7 +169,9 @@ class Index:
             hashes = new.select(F.explode("src_hashes").alias("content_hash")).distinct()
             hashes.write.mode("overwrite").parquet(f"{self.root}/{version}/seen/batch={batch}")
             at = f"{self.root}/{version}/chunks/batch={batch}"
+            self._unpost(version, batch)
             named.select(*(F.col(f.name).cast(f.dataType) for f in CHUNKS.fields)).write.mode("overwrite").parquet(at)
+            self._post(version, batch)
             return self.spark.read.schema(CHUNKS).parquet(at).count()
         finally:
             new.unpersist()
@@ -156,6 +191,8 @@ class Index:
         names = [f.name for f in CHUNKS.fields]
         kept.select(*names).write.parquet(f"{self.root}/{version}/chunks/batch=kept")
         named.select(*(F.col(f.name).cast(f.dataType) for f in CHUNKS.fields)).write.parquet(f"{self.root}/{version}/chunks/batch=resplit")
+        self._post(version, "kept")
+        self._post(version, "resplit")
         self.seen_hashes().write.parquet(f"{self.root}/{version}/seen/batch=kept")
         self.point_to(version)
         return version

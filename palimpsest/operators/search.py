@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,31 +24,73 @@ def _phrase_count(words: Column, phrase: list[str]) -> Column:
     return F.when(F.size(words) >= len(phrase), F.size(F.filter(starts, fits))).otherwise(0)
 
 
+class Postings(NamedTuple):
+    """An inverted index: (token, id, kind, length, positions), and rows of (chunks, length) that add up to its totals."""
+
+    rows: DataFrame
+    totals: DataFrame
+
+
+def postings_of(chunks: DataFrame) -> Postings:
+    """One row a token and chunk. Ranges of (token, id) split a frequent token by chunk; a partition holds neighbouring tokens.
+
+    Chunks need an id of their own; a null text has no tokens, but counts as a chunk.
+    """
+    counts = lambda w: F.struct(F.size(w).alias("length"), w.alias("words"))
+    cut = chunks.select("id", "kind", once(tokens("text"), counts).alias("__c")).select("id", "kind", "__c.*")
+    words = cut.select("id", "kind", "length", F.posexplode("words").alias("position", "token")).repartitionByRange("token", "id")
+    places = F.sort_array(F.collect_list("position")).alias("positions")
+    rows = words.groupBy("token", "id").agg(F.first("kind").alias("kind"), F.first("length").alias("length"), places)
+    return Postings(rows, cut.agg(F.count("*").alias("chunks"), F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("length")))
+
+
+def _phrase_places(places: dict[str, Column], phrase: list[str]) -> Column:
+    """How often a phrase occurs, from the places of each of its tokens (null: none)."""
+    moved = lambda k: F.transform(places[phrase[k]], lambda x: x - k)
+    starts = reduce(F.array_intersect, [moved(k) for k in range(1, len(phrase))], places[phrase[0]])
+    return F.coalesce(F.array_size(starts), F.lit(0))
+
+
+def bm25_postings(postings: Postings, query: str, kind: str | None = None) -> DataFrame:
+    """``bm25`` from postings: only those of the query's tokens are read, and none of the texts."""
+    phrases = query_phrases(query)
+    held = sorted({t for p in phrases for t in p})
+    rows = postings.rows.where(F.col("token").isin(held))
+    places = [F.max(F.when(F.col("token") == t, F.col("positions"))).alias(f"__at{k}") for k, t in enumerate(held)]
+    at = {t: F.col(f"__at{k}") for k, t in enumerate(held)}
+    met = rows.groupBy("id").agg(F.first("kind").alias("kind"), F.first("length").cast("double").alias("__len"), *places)
+    counted = met.select("id", "kind", "__len", *(_phrase_places(at, p).cast("double").alias(f"__tf{k}") for k, p in enumerate(phrases)))
+    n = F.sum("chunks").cast("double")
+    return _scores(counted, postings.totals.agg(n.alias("__n"), (F.sum("length") / n).alias("__avg")), len(phrases), kind)
+
+
 def bm25(chunks: DataFrame, query: str, kind: str | None = None) -> DataFrame:
-    """(id, bm25) of chunks with any phrase of the query; lower is better.
+    """(id, bm25) of chunks with any phrase of the query; lower is better. Without postings: two scans of the texts.
 
     Statistics are over all chunks, also when a kind is asked for. They are one row of a few numbers, the
-    only thing that is broadcast. Two scans, no shuffle of texts or of postings.
+    only thing that is broadcast.
     """
     phrases = query_phrases(query)
     count = lambda w: F.struct(F.size(w).cast("double").alias("__len"), *(_phrase_count(w, p).cast("double").alias(f"__tf{k}") for k, p in enumerate(phrases)))
     counted = chunks.select("id", "kind", once(tokens("text"), count).alias("__c")).select("id", "kind", "__c.*")
+    n = F.count("*").cast("double")
+    return _scores(counted, counted.agg(n.alias("__n"), (F.sum("__len") / n).alias("__avg")), len(phrases), kind)
+
+
+def _scores(counted: DataFrame, totals: DataFrame, phrases: int, kind: str | None) -> DataFrame:
+    """(id, bm25) from (id, kind, __len, __tf<k>) and one row of the number of chunks and their mean length."""
     if not phrases:
         return counted.where("false").select("id", F.lit(0.0).alias("bm25"))
-    stats = counted.agg(
-        F.count("*").cast("double").alias("__n"),
-        (F.sum("__len") / F.count("*").cast("double")).alias("__avg"),
-        *(F.sum(F.when(F.col(f"__tf{k}") > 0, 1.0).otherwise(0.0)).alias(f"__df{k}") for k in range(len(phrases))),
-    )
-    hit = reduce(lambda a, b: a | b, [F.col(f"__tf{k}") > 0 for k in range(len(phrases))])
-    found = counted.where(hit if kind is None else hit & (F.col("kind") == kind)).crossJoin(F.broadcast(stats))
+    met = counted.agg(*(F.sum(F.when(F.col(f"__tf{k}") > 0, 1.0).otherwise(0.0)).alias(f"__df{k}") for k in range(phrases)))
+    hit = reduce(lambda a, b: a | b, [F.col(f"__tf{k}") > 0 for k in range(phrases)])
+    found = counted.where(hit if kind is None else hit & (F.col("kind") == kind)).crossJoin(F.broadcast(totals.crossJoin(met)))
 
     def part(k: int) -> Column:
         tf, df = F.col(f"__tf{k}"), F.col(f"__df{k}")
         idf = F.greatest(F.log((F.col("__n") - df + F.lit(0.5)) / (df + F.lit(0.5))), F.lit(LEAST_IDF))
         return idf * tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("__len") / F.col("__avg")))
 
-    return found.select("id", (-reduce(lambda a, b: a + b, [part(k) for k in range(len(phrases))])).alias("bm25"))
+    return found.select("id", (-reduce(lambda a, b: a + b, [part(k) for k in range(phrases)])).alias("bm25"))
 
 
 def distance(vector: str, query: list[float]) -> Column:
@@ -80,19 +123,24 @@ def fuse(vector_ranks: DataFrame, text_ranks: DataFrame, rrf_k: int = RRF_K) ->
 ORDER = (F.desc, "score"), (F.asc_nulls_last, "vector_rank"), (F.asc_nulls_last, "text_rank"), (F.asc, "id")
 
 
-def pools(chunks: DataFrame, vectors: DataFrame, query: str, query_vector: list[float], kind: str | None = None, pool: int = POOL) -> tuple[DataFrame, DataFrame]:
+def pools(
+    chunks: DataFrame, vectors: DataFrame, query: str, query_vector: list[float], kind: str | None = None, pool: int = POOL, postings: Postings | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Both rankings, each cut to the pool. A kind is applied before that, so rare kinds fill their pool."""
     if kind is not None:
         vectors = vectors.join(chunks.where(F.col("kind") == kind).select("id"), "id", "left_semi")
-    return ranked(knn(vectors, query_vector, pool), "distance"), ranked(bm25(chunks, query, kind).orderBy("bm25", "id").limit(pool), "bm25")
+    said = bm25(chunks, query, kind) if postings is None else bm25_postings(postings, query, kind)
+    return ranked(knn(vectors, query_vector, pool), "distance"), ranked(said.orderBy("bm25", "id").limit(pool), "bm25")
 
 
-def hybrid(chunks: DataFrame, vectors: DataFrame, query: str, query_vector: list[float], k: int = TOP, kind: str | None = None, pool: int = POOL) -> DataFrame:
+def hybrid(
+    chunks: DataFrame, vectors: DataFrame, query: str, query_vector: list[float], k: int = TOP, kind: str | None = None, pool: int = POOL, postings: Postings | None = None
+) -> DataFrame:
     """The k best chunks by fused rank, with the columns of a search result.
 
     A pool holds k at least. At most two pools of ids meet the chunks, as the broadcast side of one join.
     """
-    best = fuse(*pools(chunks, vectors, query, query_vector, kind, max(pool, k)))
+    best = fuse(*pools(chunks, vectors, query, query_vector, kind, max(pool, k), postings))
     hits = chunks.join(F.broadcast(best), "id")
     order = [f(c) for f, c in ORDER]
     top = hits.orderBy(*order).limit(max(k, 1))

@@ -176,6 +176,17 @@ def h8_phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.bm25(chunks(spark, sf_dir), PHRASES).select("id", F.round("bm25", 6).alias("bm25"))
 
 
+@query("g6_bm25_postings", f"WITH {_bm25_sql(text.query_phrases(PHRASES))} SELECT id, round(bm25, 6) AS bm25 FROM bm")
+def g6_bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.bm25_postings(search.postings_of(chunks(spark, sf_dir)), PHRASES).select("id", F.round("bm25", 6).alias("bm25"))
+
+
+@query("a5_postings", f"SELECT token, count(DISTINCT doc_id) AS n_chunks, count(*) AS n_places FROM (SELECT doc_id, unnest({TOKENS}) AS token FROM documents) GROUP BY token")
+def a5_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = search.postings_of(chunks(spark, sf_dir)).rows
+    return rows.groupBy("token").agg(F.count("*").alias("n_chunks"), F.sum(F.size("positions")).alias("n_places"))
+
+
 @query("g4_knn", f"WITH {_knn_sql()} SELECT id, round(distance, 6) AS distance FROM nn")
 def g4_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.knn(vectors(spark, sf_dir), query_vector(spark, sf_dir)).select("id", F.round("distance", 6).alias("distance"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from palimpsest import cli
 from palimpsest.functions.embedding import HashingEmbedder, HttpEmbedder
+from palimpsest.operators import search
 from palimpsest.operators.index import Index
 from palimpsest.sources.sqlite import read_sqlite
 from palimpsest.streaming import ingest
@@ -74,6 +75,26 @@ def test_resplit_and_reset(spark, tmp_path):
     assert index.chunks().count() == 0
 
 
+def test_stored_postings_follow_the_batches(spark, tmp_path):
+    index = Index(spark, str(tmp_path / "idx"))
+    schema = "kind string, frame_start long, frame_end long, ts_start string, ts_end string, app string, window string, url string, n_frames int, piece_no int, src_hashes array<long>, text string, chunk_hash string"
+    rows = lambda *texts: spark.createDataFrame([("screen", 1, 1, "t", "t", "a", "w", None, 1, 0, [], t, t[:20]) for t in texts], schema)
+    scores = lambda f, x, q: {r.id: round(r.bm25, 9) for r in f(x, q).collect()}
+    same = lambda q: scores(search.bm25_postings, index.postings(), q) == scores(search.bm25, index.chunks(), q) != {}
+    index.write_batch("0", rows("red roses by the sea", "a ship at sea"), HashingEmbedder(DIM))
+    index.write_batch("1", rows("the red ship", "long " + "line of red text\n" * 900), HashingEmbedder(DIM))
+    assert same("sea red-ship") and same("red")
+    index.write_batch("1", rows("the blue ship"), HashingEmbedder(DIM))  # a replay with other rows
+    assert same("ship blue") and not scores(search.bm25_postings, index.postings(), "text")
+    index.write_batch("2", rows("long " + "line of red text\n" * 900), HashingEmbedder(DIM))
+    index.resplit(HashingEmbedder(DIM))
+    assert same("red-text ship")
+    plan = search.bm25_postings(index.postings(), "sea")._jdf.queryExecution().toString()
+    assert "text" not in plan and "EqualTo(token,sea)" in plan
+    index._unpost(index.version(), "kept")  # as in an index of an earlier version
+    assert index.postings() is None and index.post_all() == ["kept"] and same("red-text ship")
+
+
 def test_sqlite_source(spark, tmp_path):
     path = str(tmp_path / "c.db")
     db = sqlite3.connect(path)

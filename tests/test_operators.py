@@ -84,6 +84,20 @@ def test_bm25_equals_the_full_text_index(spark, query):
     chunks = spark.createDataFrame([(k, "screen", t) for k, t in enumerate(TEXTS)], "id long, kind string, text string")
     got = {r.id: r.bm25 for r in search.bm25(chunks, query).collect()}
     assert got == pytest.approx(want, abs=1e-9)
+    posted = {r.id: r.bm25 for r in search.bm25_postings(search.postings_of(chunks), query).collect()}
+    assert posted == pytest.approx(want, abs=1e-9)
+
+
+def test_postings_of_repeated_tokens_and_null_texts(spark):
+    chunks = spark.createDataFrame([(1, "screen", "a a a b a"), (2, "typed", None), (3, "typed", ""), (4, "typed", "b a b a")], "id long, kind string, text string")
+    posted = search.postings_of(chunks)
+    assert sorted((r.token, r.id, r.length, r.positions) for r in posted.rows.collect()) == [("a", 1, 5, [0, 1, 2, 4]), ("a", 4, 4, [1, 3]), ("b", 1, 5, [3]), ("b", 4, 4, [0, 2])]
+    assert posted.totals.collect() == [(4, 9)]
+    for query in ("a-a", "b-a-b", "a-a-b c", "..."):
+        for kind in (None, "typed"):
+            assert sorted(search.bm25_postings(posted, query, kind).collect()) == sorted(search.bm25(chunks, query, kind).collect())
+    none = search.postings_of(chunks.where("false"))
+    assert none.totals.collect() == [(0, 0)] and not search.bm25_postings(none, "a").collect()
 
 
 def test_fusion(spark):
