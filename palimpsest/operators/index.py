@@ -125,14 +125,15 @@ class Index:
     def chunks(self) -> DataFrame:
         return migrated(self._read("chunks", CHUNKS))
 
-    def _batches(self, part: str) -> set[str]:
-        """The batches of which a part was written whole."""
-        fs, p = self._fs(f"{self.root}/{self.version()}/{part}/batch=*/_SUCCESS")
-        return {f.getPath().getParent().getName() for f in fs.globStatus(p) or []}
+    def _without_postings(self) -> set[str]:
+        """Batches with chunks, whole or not, of which no whole totals are stored."""
+        fs, chunks = self._fs(f"{self.root}/{self.version()}/chunks/batch=*")
+        totals = self._fs(f"{self.root}/{self.version()}/totals/batch=*/_SUCCESS")[1]
+        return {f.getPath().getName() for f in fs.globStatus(chunks) or []} - {f.getPath().getParent().getName() for f in fs.globStatus(totals) or []}
 
     def postings(self) -> Postings | None:
         """The inverted index; None while a batch lacks its own, as in an index of an earlier version."""
-        if self._batches("chunks") - self._batches("totals"):
+        if self._without_postings():
             return None
         return Postings(self._read("postings", POSTINGS), self._read("totals", TOTALS))
 
@@ -149,7 +150,7 @@ class Index:
 
     def post_all(self) -> list[str]:
         """Postings for batches that have none; returns their names."""
-        lacking = sorted(name.removeprefix("batch=") for name in self._batches("chunks") - self._batches("totals"))
+        lacking = sorted(name.removeprefix("batch=") for name in self._without_postings())
         for batch in lacking:
             self._post(self.version(), batch)
         return lacking
