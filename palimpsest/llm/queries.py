@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import edits, lines, packing, pieces, pii, quality, simhash, substrings, urls, warc
+from . import edits, lines, manifest, packing, pieces, pii, quality, simhash, substrings, urls, warc
 from .common import table
 
 
@@ -59,6 +59,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
 _DIGIT = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(('0x' || substr(sha1(html), {at} * 10 + 1, 10))::BIGINT >> {shift}) % 32 + 1]"
 OP3_SQL = f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -160,6 +164,7 @@ def queries() -> dict:
         "op8_fingerprints": op8_fingerprints,
         "op9_line_dedup": op9_line_dedup,
         "op10_pii": op10_pii,
+        "op11_manifest": op11_manifest,
     }
 
 
@@ -173,5 +178,40 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - len(kept))::BIGINT AS n_remo
 """
 
 
+def _said(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen({value}::VARCHAR) || ':' || {value} END"
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(_said(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+#: Polynomial of the checksum, bit by bit: DuckDB has no function of it.
+_CRC = """(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))))"""
+OP11_SQL = f"""
+WITH RECURSIVE d AS (SELECT *, xor({_CRC}, 4294967295) % 2 = 0 AS even FROM documents),
+l AS (SELECT doc_id, source, {_leaf_sql("text")} AS leaf, {_leaf_sql("(CASE WHEN even THEN replace(text, chr(10), '') ELSE text END)")} AS now FROM d),
+s AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT source FROM l)),
+p AS (SELECT doc_id, leaf, now, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n
+      FROM l JOIN s ON s.source IS NOT DISTINCT FROM l.source),
+node AS (SELECT tree, 0 AS level, idx, n, leaf AS h FROM p
+         UNION ALL SELECT tree, level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM node WHERE n > 1 GROUP BY tree, level, n, idx // 3),
+sub AS (SELECT tree, h AS subroot FROM node WHERE n = 1),
+top AS (SELECT 0 AS level, tree AS idx, (SELECT count(*) FROM sub) AS n, subroot AS h FROM sub
+        UNION ALL SELECT level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM top WHERE n > 1 GROUP BY level, n, idx // 3),
+step AS (
+  SELECT p.tree, p.idx, 0 AS part, x.level, coalesce(string_agg(y.h, '' ORDER BY y.idx) FILTER (y.idx < x.idx), '') AS a, coalesce(string_agg(y.h, '' ORDER BY y.idx) FILTER (y.idx > x.idx), '') AS b
+  FROM p JOIN node x ON x.tree = p.tree AND x.n > 1 AND x.idx = p.idx // (3 ** x.level)::BIGINT JOIN node y ON y.tree = x.tree AND y.level = x.level AND y.idx // 3 = x.idx // 3 GROUP BY ALL
+  UNION ALL
+  SELECT p.tree, p.idx, 1, x.level, coalesce(string_agg(y.h, '' ORDER BY y.idx) FILTER (y.idx < x.idx), ''), coalesce(string_agg(y.h, '' ORDER BY y.idx) FILTER (y.idx > x.idx), '')
+  FROM p JOIN top x ON x.n > 1 AND x.idx = p.tree // (3 ** x.level)::BIGINT JOIN top y ON y.level = x.level AND y.idx // 3 = x.idx // 3 GROUP BY p.tree, p.idx, x.level),
+way AS (SELECT tree, idx, list(a || '|' || b ORDER BY part, level) AS steps FROM step GROUP BY ALL),
+f AS (SELECT doc_id, leaf, subroot, (SELECT h FROM top WHERE n = 1) AS root, coalesce(steps, []) AS w, now FROM p JOIN sub ON sub.tree = p.tree LEFT JOIN way ON way.tree = p.tree AND way.idx = p.idx),
+g AS (SELECT *, list_reduce(list_prepend(now, w), lambda x, y: sha256(split_part(y, '|', 1) || x || split_part(y, '|', 2))) AS folded_root FROM f)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(w, ''), '|', '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM g
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op4_quality_rules": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op7_url_filters": OP7_SQL}
+    return {"op3_warc": OP3_SQL, "op4_quality_rules": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op7_url_filters": OP7_SQL, "op11_manifest": OP11_SQL}
