@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import edits, lines, manifest, packing, pieces, pii, quality, simhash, substrings, urls, warc
+from . import audit, edits, lines, manifest, packing, pieces, pii, quality, simhash, substrings, urls, warc
 from .common import table
 
 
@@ -63,6 +63,10 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 _DIGIT = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(('0x' || substr(sha1(html), {at} * 10 + 1, 10))::BIGINT >> {shift}) % 32 + 1]"
 OP3_SQL = f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -165,6 +169,7 @@ def queries() -> dict:
         "op9_line_dedup": op9_line_dedup,
         "op10_pii": op10_pii,
         "op11_manifest": op11_manifest,
+        "op12_filter_audit": op12_filter_audit,
     }
 
 
@@ -213,5 +218,29 @@ SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(w, ''), '|',
 """
 
 
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+        100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 3 * length(text), regexp_matches(text, '[#$%&*|]'),
+        coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY text), false)] AS fails FROM d LEFT JOIN l ON l.doc_id = d.doc_id),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL),
+f AS (SELECT unnest([1, 2, 3, 4, 5]) AS f),
+o AS (SELECT [a.f, b.f, c.f, d.f, e.f] AS o FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT part, o, step, o[step] AS f,
+        sum(n) FILTER (NOT list_bool_or(list_select(fails, o[1:step]))) AS kept,
+        sum(n) FILTER (fails[o[step]] AND NOT coalesce(list_bool_or(list_select(fails, o[1:step - 1])), false)) AS removed,
+        sum(n) FILTER (fails[o[step]] AND coalesce(list_bool_or(list_select(fails, o[1:step - 1])), false)) AS redundant,
+        sum(n) FILTER (fails[o[step]] AND len(list_filter(fails, lambda x: x)) = 1) AS unique_fails,
+        sum(good) FILTER (fails[o[step]] AND NOT coalesce(list_bool_or(list_select(fails, o[1:step - 1])), false)) AS good_lost,
+        sum(toxic) FILTER (fails[o[step]] AND NOT coalesce(list_bool_or(list_select(fails, o[1:step - 1])), false)) AS toxic_lost
+      FROM c, o, unnest([1, 2, 3, 4, 5]) AS t(step) GROUP BY ALL)
+SELECT part, array_to_string(list_transform(o, lambda x: chr(64 + x)), '') AS filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+       coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost,
+       coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, (sum(coalesce(removed, 0)) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM s
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op4_quality_rules": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op7_url_filters": OP7_SQL, "op11_manifest": OP11_SQL}
+    return {"op3_warc": OP3_SQL, "op4_quality_rules": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op7_url_filters": OP7_SQL, "op11_manifest": OP11_SQL, "op12_filter_audit": OP12_SQL}
