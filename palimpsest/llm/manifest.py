@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, let, partitions_for, persist
+from .common import drop_scratch, let, persist
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Nodes that are hashed together, levels of a tier, and leaves below a node of the next tier.
@@ -58,7 +58,7 @@ def _joined(digests: Column) -> Column:
 
 def _placed(rows: DataFrame, name: str, *by: str) -> DataFrame:
     """``rows`` sorted over all partitions and written, with the number of the partition and the place in it."""
-    dealt = rows.repartitionByRange(partitions_for(rows.sparkSession), *by).sortWithinPartitions(*by)
+    dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by)
     at = F.monotonically_increasing_id()
     return persist(dealt.withColumns({"part": F.shiftright(at, 33), "place": at.bitwiseAND((1 << 33) - 1)}), name)
 
@@ -84,10 +84,10 @@ def plant(rows: DataFrame, tree: str = "source", order: str = "doc_id") -> tuple
     numbered = trees.join(F.broadcast(spark.createDataFrame(starts, "part long, __start long")), "part").select("__tree", (F.col("__start") + F.col("place")).alias("tree"), "n")
     runs = runs.join(numbered, "__tree").select("__tree", "part", "tree", "n", (F.col("__before") - F.col("__from")).alias("__shift"))
     leaves = placed.join(runs, ["__tree", "part"]).withColumn("idx", F.col("place") + F.col("__shift")).drop("__tree", "__row", "__shift", "part", "place")
-    leaves, numbered = persist(leaves, "leaves"), persist(numbered.select("tree", "n"), "numbered")
-    for done in (first, placed, trees):
+    leaves = persist(leaves, "leaves")
+    for done in (first, placed):
         drop_scratch(spark, done)
-    return leaves, numbered
+    return leaves, numbered.select("tree", "n")
 
 
 def _parents(level: Column) -> Column:
@@ -199,7 +199,7 @@ def verified(rows: DataFrame, tree: str = "source", order: str = "doc_id") -> Da
     whole = tops.select("tree", "n").limit(1).join(root, "tree").withColumn("steps", F.array().cast(_STEPS))
     over = prove(tops, high, whole).select(F.col("idx").alias("tree"), F.col("digest").alias("subroot"), "root", "steps")
     ends = persist(trees.join(over, "tree"), "ends")
-    for done in (tops, trees, *high):
+    for done in (tops, *high):
         drop_scratch(spark, done)
     found = prove(leaves, tiers, ends)
     return found.withColumn("folded_root", folded(F.col("now"), F.col("steps"))).withColumn("verified", F.col("folded_root") == F.col("root"))
