@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, edits, lines, manifest, packing, pieces, pii, quality, simhash, substrings, urls, warc
+from . import audit, edits, lines, manifest, packing, pieces, pii, quality, simhash, substrings, toxicity, urls, warc
 from .common import table
 
 
@@ -67,6 +67,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 _DIGIT = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(('0x' || substr(sha1(html), {at} * 10 + 1, 10))::BIGINT >> {shift}) % 32 + 1]"
 OP3_SQL = f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -170,6 +174,7 @@ def queries() -> dict:
         "op10_pii": op10_pii,
         "op11_manifest": op11_manifest,
         "op12_filter_audit": op12_filter_audit,
+        "op13_toxicity": op13_toxicity,
     }
 
 
