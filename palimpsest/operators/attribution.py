@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import ROWS, dealt
+
 WINDOW_S = 300
 
 
@@ -22,22 +24,30 @@ def with_frame_context(events: DataFrame, frames: DataFrame) -> DataFrame:
     ).drop("__f", "__a", "__w", "__u")
 
 
-def nearest(events: DataFrame, frames: DataFrame, window_s: int = WINDOW_S, stream: str | None = None) -> DataFrame:
+def nearest(events: DataFrame, frames: DataFrame, window_s: int = WINDOW_S, stream: str | None = None, size: int = ROWS) -> DataFrame:
     """(id, frame, apart_us): the frame nearest in time within the window, the earlier one on a tie.
 
-    Time falls into buckets of the window's length; an event looks into three of them by an equi-join,
-    so the plan has no range join and every bucket is a bounded piece of work. With a ``stream`` an event sees the
-    frames of its own stream only. A time that cannot be read is the time of no event and of no frame.
+    Events and frames are sorted together by ranges of time; each event sees the last frame before it and the first one after
+    it, of its bucket of rows or carried in from the buckets around it. So n rows cost n log n, however many fall
+    into one window. With a ``stream`` an event sees the frames of its own stream only. A time that cannot be read is the time
+    of no event and of no frame; of frames of one time the least id counts.
     """
-    micros = window_s * 1_000_000
     us = lambda c: F.unix_micros(F.col(c).try_cast("timestamp"))
-    keys = ["__b", *([stream] if stream else [])]
-    f = frames.select(F.col("id").alias("frame"), us("timestamp").alias("__ft"), *([stream] if stream else [])).where(F.col("__ft").isNotNull()).withColumn("__b", F.floor(F.col("__ft") / micros))
-    e = events.select("id", us("timestamp").alias("__t"), *([stream] if stream else [])).where(F.col("__t").isNotNull())
-    e = e.withColumn("__own", F.floor(F.col("__t") / micros)).withColumn("__b", F.explode(F.array(F.col("__own") - 1, F.col("__own"), F.col("__own") + 1)))
-    met = e.join(f, keys).withColumn("apart_us", F.abs(F.col("__t") - F.col("__ft"))).where(F.col("apart_us") <= micros)
-    best = met.groupBy("id").agg(F.min(F.struct("apart_us", "__ft", "frame")).alias("m"))
-    return best.select("id", "m.frame", "m.apart_us")
+    of = F.col(stream) if stream else F.lit(0)
+    f = frames.select(of.alias("__s"), us("timestamp").alias("__t"), F.col("id").alias("frame")).where("__t IS NOT NULL").groupBy("__s", "__t").agg(F.min("frame").alias("frame"))
+    e = events.select(of.alias("__s"), us("timestamp").alias("__t"), "id").where("__t IS NOT NULL")
+    both = f.withColumns({"__e": F.lit(0), "id": F.lit(None).cast(e.schema["id"].dataType)}).unionByName(e.withColumns({"__e": F.lit(1), "frame": F.lit(None).cast(f.schema["frame"].dataType)}))
+    rows = dealt(both, ["__s", "__t", "__e", "id"], size).withColumn("__f", F.when(F.col("__e") == 0, F.struct("__s", "__t", "frame")))
+    at = F.when(F.col("__e") == 0, F.col("pos"))
+    edges = rows.groupBy("bucket").agg(F.min_by("__f", at).alias("__first"), F.max_by("__f", at).alias("__last"))
+    up, down = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    around = edges.select("bucket", F.last("__last", ignorenulls=True).over(up).alias("__earlier"), F.last("__first", ignorenulls=True).over(down).alias("__later"))
+    inside = Window.partitionBy("bucket")
+    seen = lambda order: F.last("__f", ignorenulls=True).over(inside.orderBy(order))
+    met = rows.join(around, "bucket").withColumns({"__a": F.coalesce(seen(F.asc("pos")), "__earlier"), "__b": F.coalesce(seen(F.desc("pos")), "__later")}).where("__e = 1")
+    apart = lambda c: F.when(F.col("__s") == c["__s"], F.struct(F.abs(F.col("__t") - c["__t"]).alias("apart_us"), c["__t"].alias("__t"), c["frame"].alias("frame")))
+    best = met.select("id", F.least(apart(F.col("__a")), apart(F.col("__b"))).alias("m")).where(F.col("m.apart_us") <= window_s * 1_000_000)
+    return best.groupBy("id").agg(F.min("m").alias("m")).select("id", "m.frame", "m.apart_us")
 
 
 def attribute(events: DataFrame, frames: DataFrame, window_s: int = WINDOW_S, stream: str | None = None) -> DataFrame:

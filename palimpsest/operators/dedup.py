@@ -5,21 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import ROW, ROWS, identified, numbered, repeats
+from .scratch import written
 
-def first_occurrence(rows: DataFrame, key: str = "content_hash", order: str = "id") -> DataFrame:
+
+def first_occurrence(rows: DataFrame, key: str = "content_hash", order: str | tuple[str, ...] = "id") -> DataFrame:
     """The first row of each key; rows without a key all stay.
 
     Ranks are limited before the shuffle (one row a key and partition), so a hot key is cheap.
     """
-    ranked = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    ranked = F.row_number().over(Window.partitionBy(key).orderBy(*([order] if isinstance(order, str) else order)))
     keyed = rows.where(F.col(key).isNotNull()).withColumn("__n", ranked).where("__n = 1").drop("__n")
     return keyed.unionByName(rows.where(F.col(key).isNull()))
 
 
-def drop_consecutive(rows: DataFrame, text: str = "text", stream: str = "stream_key", order: str = "id") -> DataFrame:
-    """Without rows whose text equals the previous row's, whatever else changes between them."""
-    before = F.lag(text).over(Window.partitionBy(stream).orderBy(order))
-    return rows.withColumn("__same", F.col(text).eqNullSafe(before)).where("NOT __same").drop("__same")
+def drop_consecutive(rows: DataFrame, text: str = "text", stream: str = "stream_key", order: str = "id", size: int = ROWS) -> DataFrame:
+    """Without rows whose text equals the previous row's, whatever else changes between them.
+
+    A stream may be of any length: see ``ordered``. Rows alike in every column are one row; of one order the shorter text is first.
+    """
+    whole = written(identified(rows), "rows")
+    kept = repeats(numbered(whole, stream, order, text, (), size), size).select(*ROW)
+    return whole.dropDuplicates([*ROW]).join(kept, [*ROW], "left_semi").drop(*ROW)
 
 
 def not_seen(rows: DataFrame, seen: DataFrame, key: str) -> DataFrame:

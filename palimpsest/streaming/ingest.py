@@ -18,7 +18,7 @@ from ..functions.embedding import Embedder
 from ..functions.text import MIN_TEXT, remap_layout, strip
 from ..operators.attribution import attribute, with_frame_context
 from ..operators.blocks import chunks_of, session_blocks, usable_text
-from ..operators.dedup import drop_consecutive, first_occurrence, not_seen
+from ..operators.dedup import first_occurrence, not_seen
 from ..operators.index import Index
 from ..schema import schema
 from ..sources.capture import new_frames, new_typed
@@ -30,10 +30,10 @@ TYPED = schema("id long, timestamp string, event_type string, text_content strin
 
 def screen_chunks(rows: DataFrame, seen: DataFrame) -> DataFrame:
     """Frames in chunks: hashes first (also of frames without text), then texts, then blocks."""
-    fresh = first_occurrence(not_seen(rows, seen, "content_hash"))
+    fresh = first_occurrence(not_seen(rows, seen, "content_hash"), order=("id", "ocr"))
     texts = fresh.withColumn("text", usable_text(F.col("accessibility_text"), F.col("ocr"))).where("text IS NOT NULL")
     named = texts.withColumnsRenamed({"app_name": "app", "window_name": "window", "browser_url": "url"})
-    return chunks_of(session_blocks(drop_consecutive(named)), "screen")
+    return chunks_of(session_blocks(named, distinct=True), "screen")
 
 
 def typed_chunks(rows: DataFrame, remapped: tuple[str, ...] = ("text", "clipboard")) -> DataFrame:
@@ -41,7 +41,7 @@ def typed_chunks(rows: DataFrame, remapped: tuple[str, ...] = ("text", "clipboar
     plain = strip("text_content")
     texts = rows.withColumn("text", F.when(F.col("event_type").isin(*remapped), remap_layout(plain)).otherwise(plain))
     usable = texts.where(F.char_length("text") >= MIN_TEXT).withColumn("content_hash", F.lit(None).cast("long"))
-    return chunks_of(session_blocks(drop_consecutive(usable)), "typed")
+    return chunks_of(session_blocks(usable, distinct=True), "typed")
 
 
 def ingest_database(spark: SparkSession, path: str, index: Index, embedder: Embedder, max_frames: int = 0, typed: bool = True, screen: bool = True, safety_lag: int = 0, partitions: int = 1, say: Callable[[str], None] = print) -> dict:

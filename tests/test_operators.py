@@ -31,13 +31,59 @@ def fold(rows, limit):
     return [(b[0][1], b[-1][1], len(b), "\n".join(r[6] for r in b), b[0][5]) for b in out]
 
 
-@pytest.mark.parametrize("seed", range(4))
+def without_repeats(rows):
+    return [r for k, r in enumerate(rows) if not k or (r[0], r[6]) != (rows[k - 1][0], rows[k - 1][6])]
+
+
+@pytest.mark.parametrize("seed", range(6))
 def test_session_blocks(spark, seed):
     rng = random.Random(seed)
-    rows = [(s, 100 * s + k, str(k), rng.choice(["a", None, ""]), rng.choice(["w", None]), f"u{k}", "x" * rng.randint(12, 60), None) for s in range(3) for k in range(60)]
-    want = sorted(b for s in range(3) for b in fold([r for r in rows if r[0] == s], 80))
-    got = blocks.session_blocks(spark.createDataFrame(rows, ROW), 80).collect()
-    assert sorted((r.frame_start, r.frame_end, r.n_frames, r.text, r.url) for r in got) == want
+    calm = seed % 2  # few changes, so that islands span buckets and groups of them
+    app, window = (lambda: rng.choice("a" * 40 + "b"), lambda: "w") if calm else (lambda: rng.choice(["a", None, ""]), lambda: rng.choice(["w", None]))
+    rows = [(s, 100 * s + k, str(k), app(), window(), f"u{k}", rng.choice("xy") * rng.choice([12, 12, 30, 79, 80, 200]), None) for s in range(3) for k in range(90)]
+    for distinct in (False, True):
+        kept = without_repeats(rows) if distinct else rows
+        want = sorted(b for s in range(3) for b in fold([r for r in kept if r[0] == s], 80))
+        got = blocks.session_blocks(spark.createDataFrame(rows, ROW), 80, distinct, size=(1, 5, 16)[seed // 2], group=3).collect()
+        assert sorted((r.frame_start, r.frame_end, r.n_frames, r.text, r.url) for r in got) == want
+
+
+@pytest.mark.parametrize("size", [1, 4, 1000])
+def test_one_stream_in_buckets(spark, size):
+    rng = random.Random(size)
+    rows = [(0, k, str(k), rng.choice("ab"), rng.choice(["w", None]), None, rng.choice("xyz") * 12, None) for k in range(60)]
+    df = spark.createDataFrame(rows, ROW)
+    kept = without_repeats(rows)
+    assert sorted(r.id for r in dedup.drop_consecutive(df, size=size).collect()) == [r[1] for r in kept]
+    want, island = {}, 0
+    for k, r in enumerate(rows):
+        island += not k or rows[k - 1][3:5] != r[3:5]
+        want[r[1]] = island
+    assert {r.id: r.island for r in blocks.islands(df, size=size).collect()} == want
+
+
+def test_rows_alike_are_one_and_nothing_gives_nothing(spark):
+    row = (0, 1, "t", "a", None, None, "x" * 20, 5)
+    got = blocks.session_blocks(spark.createDataFrame([row, row], ROW)).collect()
+    assert [(r.n_frames, r.text, r.src_hashes) for r in got] == [(1, "x" * 20, [5])]
+    for out in (blocks.session_blocks, blocks.islands, dedup.drop_consecutive):
+        assert out(spark.createDataFrame([], ROW)).collect() == []
+
+
+def test_a_long_island_is_many_tasks_work(spark):
+    """A million rows of one app: as many blocks as the rule says, from sixteen buckets."""
+    lengths = "12 + id * 7919 % 301"
+    rows = spark.range(1_000_000).selectExpr("0L AS stream_key", "id", "cast(id as string) AS timestamp", "'a' AS app", "'w' AS window", "cast(null as string) AS url", f"repeat('x', cast({lengths} as int)) AS text", "id AS content_hash")
+    want, start, length = [], 0, -1
+    for k in range(1_000_000):
+        if length >= 2200:
+            want.append((start, k - 1))
+            start, length = k, -1
+        length += 13 + k * 7919 % 301
+    want.append((start, 999_999))
+    got = blocks.session_blocks(rows)
+    assert sorted((r.frame_start, r.frame_end) for r in got.select("frame_start", "frame_end").collect()) == want
+    assert "hashpartitioning(stream_key" not in got._jdf.queryExecution().toString()
 
 
 def test_length_cap(spark):
@@ -64,6 +110,32 @@ def test_nearest_frame(spark):
     assert got == {10: 1, 11: 1, 12: 2, 13: 3, 15: 2}
 
 
+@pytest.mark.parametrize("size", [1, 7, 1 << 16])
+def test_nearest_in_crowded_windows(spark, size):
+    """Frames and events of a few seconds, in streams, with ties: against all frames of the stream."""
+    rng = random.Random(size)
+    at = lambda: f"2024-01-01T00:00:{rng.randrange(30):02d}.{rng.randrange(2) * 5}"
+    f = [(k, rng.choice([1, 2, None]), rng.choice([at(), None, "never"])) for k in range(120)]
+    e = [(k, rng.choice([1, 2, 3, None]), rng.choice([at(), at(), "2024-01-01T09:00:00", "?"])) for k in range(60)]
+    us = lambda t: int(t[11:13]) * 3_600_000_000 + int(float(t[17:]) * 1e6) if t and t[0] == "2" else None
+    for stream in (None, "s"):
+        want = {}
+        for k, s, t in e:
+            near = [(abs(us(t) - us(u)), us(u), n) for n, r, u in f if us(t) is not None and us(u) is not None and (stream is None or (r == s and s is not None))]
+            if near and min(near)[0] <= 300_000_000:
+                want[k] = min(near)[2]
+        schema = "id long, s int, timestamp string"
+        got = attribution.nearest(spark.createDataFrame(e, schema), spark.createDataFrame(f, schema), stream=stream, size=size)
+        assert {r.id: r.frame for r in got.collect()} == want
+
+
+def test_a_hundred_thousand_frames_in_one_window(spark):
+    f = spark.range(100_000).selectExpr("id", "timestamp_micros(1704067200000000 + id * 1000) AS timestamp")
+    e = spark.range(50_000).selectExpr("id", "timestamp_micros(1704067200000400 + id * 2000) AS timestamp")
+    out = attribution.nearest(e, f)
+    assert out.where("frame <> id * 2 OR apart_us <> 400").count() == 0 and out.count() == 50_000
+
+
 def test_attribution_fills_only_what_is_missing(spark):
     f = spark.createDataFrame([(1, "2024-01-01T00:00:00", "app", None, "url")], "id long, timestamp string, app_name string, window_name string, browser_url string")
     e = spark.createDataFrame([(7, "2024-01-01T00:01:00", "", "own", None), (8, "2024-01-01T00:01:00", "mine", None, None), (9, "2024-01-02T00:00:00", None, None, None)], "id long, timestamp string, app string, window string, url string")
