@@ -46,11 +46,11 @@ frames AS (
   SELECT event_id AS id, ts AS timestamp, user_id AS stream_key,
          CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 17 = 0 THEN '' ELSE event_type END AS app_name,
          'w' || (event_id % 50 // 25) AS window_name, 'https://' || event_type || '/' || (event_id % 5) AS browser_url,
-         CASE WHEN event_id % 11 <> 0 THEN (event_id * 7919) % 4000 END AS content_hash,
+         CASE WHEN event_id % 11 <> 0 THEN event_id // 2 % 2003 * 7919 END AS content_hash,
          CASE WHEN event_id % 3 = 0 THEN '  tiny ' ELSE chr(10) || chr(9) || d.text || '  ' END AS accessibility_text
-  FROM events JOIN documents d ON d.doc_id = event_id // 3),
+  FROM events LEFT JOIN documents d ON d.doc_id = (user_id * 31 + event_id // 300) % (SELECT count(*) FROM documents)),
 ocr AS (
-  SELECT event_id AS frame_id, d.text FROM events JOIN documents d ON d.doc_id = event_id // 2 WHERE event_id % 2 = 0
+  SELECT event_id AS frame_id, d.text FROM events LEFT JOIN documents d ON d.doc_id = event_id % (SELECT count(*) FROM documents) WHERE event_id % 2 = 0
   UNION ALL SELECT event_id, 'second ' || event_type FROM events WHERE event_id % 10 = 0)"""
 TYPED_SQL = """
 ui AS (
@@ -65,22 +65,27 @@ _WS = text.WHITE_SPACE
 STRIP = lambda c: f"regexp_replace({c}, '^{_WS}+|{_WS}+$', '', 'g')"
 
 
-def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _with_text(spark: SparkSession, sf_dir: str, number: str) -> DataFrame:
+    """All events, each with the text of one document, named by a number."""
     e, d = table(spark, sf_dir, "events"), table(spark, sf_dir, "documents").select("doc_id", "text")
-    j = e.join(d, F.expr("doc_id = event_id div 3"))
-    return j.select(
+    counted = e.crossJoin(F.broadcast(d.agg(F.count("*").alias("docs")))).withColumn("doc_id", F.expr(f"({number}) % docs"))
+    return counted.join(d, "doc_id", "left")
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_text(spark, sf_dir, "user_id * 31 + event_id div 300").select(
         F.col("event_id").alias("id"), F.col("ts").alias("timestamp"), F.col("user_id").alias("stream_key"),
         F.expr("CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 17 = 0 THEN '' ELSE event_type END").alias("app_name"),
         F.expr("concat('w', (event_id % 50) div 25)").alias("window_name"), F.expr("concat('https://', event_type, '/', event_id % 5)").alias("browser_url"),
-        F.expr("CASE WHEN event_id % 11 <> 0 THEN (event_id * 7919) % 4000 END").alias("content_hash"),
+        F.expr("CASE WHEN event_id % 11 <> 0 THEN event_id div 2 % 2003 * 7919 END").alias("content_hash"),
         F.expr("CASE WHEN event_id % 3 = 0 THEN '  tiny ' ELSE concat('\\n\\t', text, '  ') END").alias("accessibility_text"),
     )
 
 
 def ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, d = table(spark, sf_dir, "events"), table(spark, sf_dir, "documents").select("doc_id", "text")
-    first = e.where("event_id % 2 = 0").join(d, F.expr("doc_id = event_id div 2")).select(F.col("event_id").alias("frame_id"), "text")
-    return first.unionByName(e.where("event_id % 10 = 0").select(F.col("event_id").alias("frame_id"), F.concat(F.lit("second "), "event_type").alias("text")))
+    first = _with_text(spark, sf_dir, "event_id").where("event_id % 2 = 0").select(F.col("event_id").alias("frame_id"), "text")
+    second = table(spark, sf_dir, "events").where("event_id % 10 = 0")
+    return first.unionByName(second.select(F.col("event_id").alias("frame_id"), F.concat(F.lit("second "), "event_type").alias("text")))
 
 
 def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,6 +289,14 @@ def d3_nearest_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.nearest(typed(spark, sf_dir), frames(spark, sf_dir))
 
 
+@query("d3_nearest_by_stream", f"""WITH {FRAMES_SQL},{TYPED_SQL},
+m AS (SELECT u.id, f.id AS frame, abs(epoch_us(u.timestamp) - epoch_us(f.timestamp)) AS apart_us, f.timestamp AS ft
+      FROM ui u JOIN frames f ON f.stream_key = u.stream_key AND f.timestamp BETWEEN u.timestamp - INTERVAL 6 HOUR AND u.timestamp + INTERVAL 6 HOUR)
+SELECT id, frame, apart_us FROM m QUALIFY row_number() OVER (PARTITION BY id ORDER BY apart_us, ft, frame) = 1""")
+def d3_nearest_by_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.nearest(typed(spark, sf_dir), frames(spark, sf_dir), 6 * 3600, "stream_key")
+
+
 @query("d3_attribution", f"""WITH {FRAMES_SQL},{TYPED_SQL},{_CONTEXT},
 m AS (SELECT u.id, f.app_name, f.window_name, f.browser_url FROM ctx u JOIN frames f ON f.timestamp BETWEEN u.timestamp - INTERVAL 5 MINUTE AND u.timestamp + INTERVAL 5 MINUTE
       WHERE coalesce(u.app, '') = ''
@@ -324,6 +337,43 @@ def f3_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.islands(_kept(spark, sf_dir)).select("id", "stream_key", F.col("island").cast("long").alias("island"))
 
 
+_ONE = f"""
+x AS (SELECT f.*, o.text AS ocr, row_number() OVER (PARTITION BY f.content_hash ORDER BY f.id, o.text NULLS FIRST) AS nth FROM frames f LEFT JOIN ocr o ON o.frame_id = f.id WHERE f.id > 0),
+y AS (SELECT *, {STRIP("accessibility_text")} AS a, {STRIP("ocr")} AS o FROM x WHERE content_hash IS NULL OR nth = 1),
+t AS (SELECT id, 0 AS stream_key, app_name AS app, window_name AS win, CASE WHEN length(a) >= 12 THEN a WHEN length(o) >= 12 THEN o END AS text FROM y WHERE length(a) >= 12 OR length(o) >= 12)"""
+_IN_ORDER = """
+k AS (SELECT * FROM (SELECT *, lag(text) OVER w IS NOT DISTINCT FROM text AND row_number() OVER w > 1 AS same FROM t WINDOW w AS (PARTITION BY stream_key ORDER BY id, length(text))) WHERE NOT same),
+n AS (SELECT *, row_number() OVER w = 1 OR lag(app) OVER w IS DISTINCT FROM app OR lag(win) OVER w IS DISTINCT FROM win AS changed FROM k WINDOW w AS (PARTITION BY stream_key ORDER BY id, length(text)))"""
+#: Block numbers of a stream's rows, by one fold over their lengths.
+_FOLDED = """
+g AS (SELECT stream_key, list({'id': id, 'app': app, 'win': win, 'text': text} ORDER BY id, length(text)) AS rows,
+             list({'len': length(text), 'new': changed, 'out': []::INT[]} ORDER BY id, length(text)) AS l FROM n GROUP BY stream_key),
+h AS (SELECT stream_key, unnest(rows) AS r, unnest(list_reduce(list_prepend({'len': 0, 'new': true, 'out': []::INT[]}, l), lambda a, x:
+        CASE WHEN x.new OR a.len >= 2200 THEN {'len': x.len, 'new': x.new, 'out': a.out || [coalesce(a.out[-1], 0) + 1]}
+             ELSE {'len': a.len + 1 + x.len, 'new': x.new, 'out': a.out || [a.out[-1]]} END).out) AS block FROM g),
+b AS (SELECT stream_key, arg_min(r.app, r.id) AS app, arg_min(r.win, r.id) AS win, min(r.id) AS frame_start, max(r.id) AS frame_end, count(*)::INT AS n_frames,
+             string_agg(r.text, chr(10) ORDER BY r.id, length(r.text)) AS text FROM h GROUP BY stream_key, block)"""
+
+
+def _one_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frame's texts as one stream, first occurrences only."""
+    rows = capture.new_frames(frames(spark, sf_dir), ocr(spark, sf_dir))
+    fresh = dedup.first_occurrence(rows, order=("id", "ocr"))
+    texts = fresh.withColumn("text", blocks.usable_text(F.col("accessibility_text"), F.col("ocr"))).where("text IS NOT NULL")
+    return texts.withColumns({"stream_key": F.lit(0).cast("long"), "app": F.col("app_name"), "window": F.col("window_name")})
+
+
+@query("f2_one_stream", f"WITH {FRAMES_SQL},{_ONE},{_IN_ORDER} SELECT id, length(text) AS n FROM k")
+def f2_one_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.drop_consecutive(_one_stream(spark, sf_dir)).select("id", F.char_length("text").cast("long").alias("n"))
+
+
+@query("f3_islands_one_stream", f"WITH {FRAMES_SQL},{_ONE},{_IN_ORDER} SELECT id, length(text) AS n, sum(changed::INT) OVER (ORDER BY id, length(text))::BIGINT AS island FROM n")
+def f3_islands_one_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup.drop_consecutive(_one_stream(spark, sf_dir))
+    return blocks.islands(kept).select("id", F.char_length("text").cast("long").alias("n"), F.col("island").cast("long").alias("island"))
+
+
 _BLOCKS = f"""{FRAMES_SQL},{_KEPT},
 r AS (SELECT stream_key, rn, id, length(text) AS len, 1 AS block FROM n WHERE rn = 1
       UNION ALL SELECT n.stream_key, n.rn, n.id, CASE WHEN changed OR len >= 2200 THEN length(n.text) ELSE len + 1 + length(n.text) END,
@@ -404,8 +454,10 @@ def b5_resplit_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a10_embedded")
 def a10_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors as a digest of their hundredths; held against plain Python in the tests."""
     rows = embedding.embed(chunks(spark, sf_dir).select("id", "text"), embedding.HashingEmbedder(64))
-    return rows.select("id", F.size("embedding").alias("dim"))
+    said = F.array_join(F.transform("embedding", lambda x: F.floor(x.cast("double") * 100 + 0.5).cast("string")), ",")
+    return rows.select("id", F.size("embedding").alias("dim"), F.sha2(said, 256).alias("vector_sha"))
 
 
 # ---- health (C9 D5 E1-E5 E11 H6 H17 H18 B11) ------------------------------------------------------------
@@ -434,14 +486,26 @@ def health_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- whole passes (I1-I7) ---------------------------------------------------------------------------------
 
 
-@query("screen_pass")
+@query("screen_pass", f"""WITH {FRAMES_SQL},{_ONE},{_IN_ORDER},{_FOLDED},{_split_sql("b", "frame_start, frame_end, n_frames")}
+SELECT substr(sha256('screen' || chr(0) || piece), 1, 24) AS chunk_hash, frame_start, frame_end, n_frames, piece_no FROM cut""")
 def screen_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = capture.new_frames(frames(spark, sf_dir), ocr(spark, sf_dir)).withColumns({"stream_key": F.lit(0).cast("long"), "timestamp": F.col("timestamp").cast("string")})
     none = spark.createDataFrame([], "content_hash long")
     return ingest.screen_chunks(rows, none).select("chunk_hash", "frame_start", "frame_end", "n_frames", "piece_no")
 
 
-@query("typed_pass")
+_TYPED_TEXTS = f"""
+m AS (SELECT u.id, f.app_name, f.window_name, f.browser_url FROM ctx u JOIN frames f ON f.timestamp BETWEEN u.timestamp - INTERVAL 5 MINUTE AND u.timestamp + INTERVAL 5 MINUTE
+      WHERE coalesce(u.app, '') = ''
+      QUALIFY row_number() OVER (PARTITION BY u.id ORDER BY abs(epoch_us(u.timestamp) - epoch_us(f.timestamp)), f.timestamp, f.id) = 1),
+t AS (SELECT c.id, c.stream_key, CASE WHEN m.id IS NULL THEN app ELSE coalesce(nullif(app, ''), app_name) END AS app, CASE WHEN m.id IS NULL THEN c.win ELSE coalesce(nullif(c.win, ''), window_name) END AS win,
+             translate({STRIP("text_content")}, '{text.LAYOUT_FROM}', '{text.LAYOUT_TO}') AS text
+      FROM ctx c LEFT JOIN m ON m.id = c.id
+      WHERE c.id > 0 AND event_type IN ('text', 'clipboard') AND length(trim(text_content, ' ')) >= 12 AND length({STRIP("text_content")}) >= 12)"""
+
+
+@query("typed_pass", f"""WITH {FRAMES_SQL},{TYPED_SQL},{_CONTEXT},{_TYPED_TEXTS},{_IN_ORDER},{_FOLDED},{_split_sql("b", "app, win, frame_start, frame_end, n_frames")}
+SELECT substr(sha256('typed' || chr(0) || piece), 1, 24) AS chunk_hash, app, win AS "window", frame_start, frame_end, n_frames, piece_no FROM cut""")
 def typed_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = frames(spark, sf_dir)
     events = attribution.attribute(attribution.with_frame_context(capture.new_typed(typed(spark, sf_dir)), f), f).withColumn("timestamp", F.col("timestamp").cast("string"))
