@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions.embedding import Embedder, HashingEmbedder, HttpEmbedder
 from .operators import health, search
-from .operators.index import Busy, Index
+from .operators.index import Busy, Index, WrongEmbedder
 from .streaming import ingest
 
 
@@ -64,11 +64,13 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> st
             index.unlock()
         try:
             with index.writing():
+                index.complete()
                 index.post_all()
                 _embed(a, spark, index, embedder)
         except Busy:
             return "another run writes to the index; this one was skipped"
     if a.command == "search":
+        index.fits(embedder)
         vector = embedder([a.query])[0]
         chunks = index.chunks()
         vectors, postings = chunks.select("id", "embedding"), index.postings()

@@ -22,6 +22,7 @@ class HashingEmbedder:
 
     def __init__(self, dim: int = DIM) -> None:
         self.dim = dim
+        self.identity = {"model": "hashed words", "dim": dim}
 
     def __call__(self, texts: list[str]) -> list[list[float]]:
         from xxhash import xxh64_intdigest
@@ -41,6 +42,7 @@ class HttpEmbedder:
     def __init__(self, host: str = "http://localhost:11434", model: str = "bge-m3", timeout: float = 120, tries: int = 3, pause: float = 2) -> None:
         self.host, self.model, self.timeout = host, model, timeout
         self.waits = [pause * k for k in range(1, tries)]
+        self.identity = {"model": model, "dim": DIM}
 
     def _ask(self, path: str, body: dict | None, timeout: float) -> dict:
         data = None if body is None else json.dumps(body).encode()

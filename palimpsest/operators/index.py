@@ -3,11 +3,15 @@
     <root>/pointers/<number>              the name of a version; the greatest number is live
     <root>/<version>/chunks/batch=<id>/   chunks with their embeddings and source hashes
     <root>/<version>/postings/batch=<id>/ its inverted index, sorted by token; totals/batch=<id>/: number and length of its chunks
-    <root>/<version>/seen/batch=<id>/     content hashes of the whole batch, of chunks that were known too
+    <root>/<version>/known_content/batch=<id>/bucket=<n>/  content hashes of the whole batch, of chunks that were known too
+    <root>/<version>/known_chunks/batch=<id>/bucket=<n>/   chunk hashes; filters_<set>/batch=<id>/: what either set may hold (see ``known``)
+    <root>/<version>/embedder             the model and length of its vectors
     <root>/states/<number>                watermarks and counts of the runs; the greatest number holds
+    <root>/leases/<number>                who may write, and until when; the greatest number holds
 
-A batch is written whole and overwrites itself when replayed. Pointers and states are new files that
-nothing replaces: a reader sees the old or the new one, and of two writers of one number the second fails.
+A batch is written whole and overwrites itself when replayed. Pointers, states and leases are new files that
+nothing replaces: a reader sees the old or the new one, and of two writers of one number the second fails. A writer
+whose lease is not the greatest any more, because it slept past its end or was unlocked, can write nothing.
 """
 
 from __future__ import annotations
@@ -15,15 +19,17 @@ from __future__ import annotations
 import contextlib
 import json
 import os
+import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.embedding import DIM, Embedder, embed
 from ..functions.text import chunk_hash, split_text
 from ..schema import schema
+from . import known
 from .search import Postings, postings_of
 
 CHUNKS = schema(
@@ -34,13 +40,30 @@ POSTINGS = schema("token string, id long, kind string, length int, positions arr
 TOTALS = schema("chunks long, length long")
 
 
+#: The key of each permanent set.
+SETS = {"content": "content_hash long", "chunks": "chunk_hash string"}
+LEASE_S = 3600.0
+
+
 class Busy(RuntimeError):
     """Another run writes to the index."""
 
 
+class Fenced(RuntimeError):
+    """Another writer has taken over; this one may not write any more."""
+
+
+class WrongEmbedder(ValueError):
+    """The index holds vectors of another model or length."""
+
+
 class Index:
     def __init__(self, spark: SparkSession, root: str, dim: int = DIM) -> None:
         self.spark, self.root, self.dim = spark, root.rstrip("/"), dim
+        self.lease: int | None = None
+        self.term = LEASE_S
+        #: Of the last batch: chunks by kind that were new, and how many were not.
+        self.last: dict = {}
 
     def _fs(self, path: str):
         jvm = self.spark.sparkContext._jvm
@@ -65,6 +88,7 @@ class Index:
 
     def _put(self, folder: str, said: str) -> None:
         """Adds the file of the next number; fails if another writer has added it."""
+        self._may_write()
         number = next(iter(self._numbered(folder)), 0) + 1
         self._create(f"{folder}/{number:012d}", said)
 
@@ -74,24 +98,45 @@ class Index:
         sink.write(f"{said}\n".encode())
         sink.close()
 
+    def _lease(self, number: int, owner: str, until: float) -> None:
+        fs, p = self._fs(f"{self.root}/leases/{number:012d}")
+        sink = fs.create(p, number == self.lease)
+        sink.write(f"{json.dumps({'owner': owner, 'until': until})}\n".encode())
+        sink.close()
+
     @contextlib.contextmanager
-    def writing(self):
-        """The single writer: its mark is a file that only one can create. ``unlock`` removes one that was left behind."""
-        owner = f"{os.uname().nodename}-{os.getpid()}-{uuid.uuid4().hex}"
+    def writing(self, term: float = LEASE_S):
+        """The single writer, for as long as its lease runs; each write extends it. A lease that has run out is taken over."""
+        owner, self.term = f"{os.uname().nodename}-{os.getpid()}-{uuid.uuid4().hex}", term
+        held = json.loads(self._latest("leases") or '{"until": 0}')
+        if held["until"] > time.time():
+            raise Busy(f"{held['owner']} writes to {self.root}")
+        number = next(iter(self._numbered("leases")), 0) + 1
         try:
-            self._create("writer", owner)
+            self._lease(number, owner, time.time() + term)
         except Exception as error:  # the file system's own exception, through the gateway
-            if not self._fs(f"{self.root}/writer")[0].exists(self._fs(f"{self.root}/writer")[1]):
+            if number not in self._numbered("leases"):
                 raise
-            raise Busy(f"another writer holds {self.root}/writer") from error
+            raise Busy(f"another writer was faster at {self.root}") from error
+        self.lease = number
         try:
             yield self
         finally:
-            self.unlock()
+            if number == next(iter(self._numbered("leases")), 0):
+                self._lease(number, owner, 0)
+            self.lease = None
+
+    def _may_write(self) -> None:
+        """Called before every write. Without a lease (a caller that guards the index itself) all writes pass."""
+        if self.lease is None:
+            return
+        if self.lease != next(iter(self._numbered("leases")), 0):
+            raise Fenced(f"lease {self.lease} of {self.root} is not the last one")
+        self._lease(self.lease, f"{os.uname().nodename}-{os.getpid()}", time.time() + self.term)
 
     def unlock(self) -> None:
-        fs, p = self._fs(f"{self.root}/writer")
-        fs.delete(p, False)
+        """Ends any lease: a new one that has run out already fences its holder."""
+        self._lease(next(iter(self._numbered("leases")), 0) + 1, "unlocked", 0)
 
     def version(self) -> str | None:
         return self._latest("pointers")
@@ -155,31 +200,105 @@ class Index:
             self._post(self.version(), batch)
         return lacking
 
+    def embedder(self) -> dict | None:
+        """The model that the version's vectors come from, and their length."""
+        fs, p = self._fs(f"{self.root}/{self.version()}/embedder")
+        if not fs.exists(p):
+            return None
+        source = fs.open(p)
+        said = bytes(source.readAllBytes()).decode()
+        source.close()
+        return json.loads(said)
+
+    def fits(self, embedder: Embedder, version: str | None = None, record: bool = False) -> None:
+        """An error if the vectors are another model's. The first writer of a version says whose they are."""
+        own = getattr(embedder, "identity", None)
+        there = self.embedder() if version in (None, self.version()) else None
+        if own and there and own != there:
+            raise WrongEmbedder(f"the index holds vectors of {there}, not of {own}")
+        if own and record and not there:
+            self._create(f"{version}/embedder", json.dumps(own))
+
+    def _keep(self, version: str, name: str, keys: DataFrame, batch: str) -> None:
+        """Writes a batch's set and its filter; the filter comes last and says that both are whole."""
+        key = SETS[name].split()[0]
+        fs, old = self._fs(f"{self.root}/{version}/filters_{name}/batch={batch}")
+        fs.delete(old, True)
+        at = f"{self.root}/{version}/known_{name}/batch={batch}"
+        rows = keys.select(key).distinct().withColumn("bucket", known.bucket(key)).repartition("bucket").sortWithinPartitions("bucket", key)
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(at)
+        stored = self.spark.read.schema(schema(SETS[name])).parquet(at) if rows_in(fs, self._fs(at)[1]) else keys.select(key).limit(0)
+        known.bloom(stored, stored.count()).coalesce(8).write.mode("overwrite").parquet(f"{self.root}/{version}/filters_{name}/batch={batch}")
+
+    def _set(self, name: str) -> DataFrame:
+        return self._read(f"known_{name}", schema(f"{SETS[name]}, bucket int"))
+
+    def _filters(self, name: str) -> DataFrame:
+        return self._read(f"filters_{name}", schema(known.FILTER))
+
+    def among(self, name: str, keys: DataFrame, but: str = "") -> DataFrame:
+        """Of the distinct ``keys`` (one column) those that another batch's set holds. Filters say which batches and buckets are read."""
+        key = SETS[name].split()[0]
+        asked = keys.select(F.col(keys.columns[0]).alias(key)).distinct()
+        hits = known.may_hold(asked, self._filters(name).where(F.col("batch") != but))
+        touched = hits.select("batch", known.bucket(key).alias("bucket")).distinct().collect()  # batches times buckets at most
+        if not touched:
+            return asked.limit(0)
+        stored = self._set(name).where(F.col("batch").isin(sorted({r[0] for r in touched})) & F.col("bucket").isin(sorted({r[1] for r in touched})) & (F.col("batch") != but))
+        return asked.join(stored.select(key), key, "left_semi")
+
+    def complete(self) -> list[str]:
+        """Sets and filters for batches that lack them: of an earlier version, or of a run that failed between. Their names."""
+        version = self.version()
+        fs, chunks = self._fs(f"{self.root}/{version}/chunks/batch=*")
+        have = {f.getPath().getName().removeprefix("batch=") for f in fs.globStatus(chunks) or []}
+        done = []
+        for name in SETS:
+            whole = self._fs(f"{self.root}/{version}/filters_{name}/batch=*/_SUCCESS")[1]
+            for batch in sorted(have - {f.getPath().getParent().getName().removeprefix("batch=") for f in fs.globStatus(whole) or []}):
+                rows = migrated(self.spark.read.schema(CHUNKS).parquet(f"{self.root}/{version}/chunks/batch={batch}"))
+                seen = f"{self.root}/{version}/seen/batch={batch}"
+                if name == "content" and fs.exists(self._fs(seen)[1]):
+                    keys = self.spark.read.schema(schema(SETS[name])).parquet(seen)
+                else:
+                    keys = rows.select("chunk_hash") if name == "chunks" else rows.select(F.explode("src_hashes").alias("content_hash"))
+                self._keep(version, name, keys, batch)
+                done.append(f"{name} {batch}")
+        return done
+
     def write_batch(self, batch: str, new: DataFrame, embedder: Embedder) -> int:
         """Adds the chunks of ``new`` whose hash no other batch has, once each; returns how many.
 
         Ids are hashes of the chunk hash, so a replay gives the same. The content hashes of all of ``new`` become
-        known, also those of chunks that another batch has already.
+        known, also those of chunks that another batch has already. What is counted (``last``) is observed as the batch is written.
         """
+        self._may_write()
         version = self.version() or self.reset()
+        self.fits(embedder, version, record=True)
+        self.complete()
         new = new.persist()
         try:
-            others = self.chunks().where(F.col("batch") != batch).select("chunk_hash")
-            fresh = new.dropDuplicates(["chunk_hash"]).join(others, "chunk_hash", "left_anti")
-            named = embed(fresh.withColumn("id", F.xxhash64("chunk_hash")), embedder)
-            hashes = new.select(F.explode("src_hashes").alias("content_hash")).distinct()
-            hashes.write.mode("overwrite").parquet(f"{self.root}/{version}/seen/batch={batch}")
-            at = f"{self.root}/{version}/chunks/batch={batch}"
+            rows, added = Observation(), Observation()
+            watched = new.observe(rows, F.count("*").alias("rows"))
+            old = self.among("chunks", new.select("chunk_hash"), but=batch)
+            fresh = watched.dropDuplicates(["chunk_hash"]).join(old, "chunk_hash", "left_anti")
+            counted = fresh.observe(added, F.count("*").alias("new"), *(F.count_if(F.col("kind") == k).alias(k) for k in ("screen", "typed")))
+            named = embed(counted.withColumn("id", F.xxhash64("chunk_hash")), embedder)
+            self._keep(version, "content", new.select(F.explode("src_hashes").alias("content_hash")), batch)
             self._unpost(version, batch)
+            self._may_write()
+            at = f"{self.root}/{version}/chunks/batch={batch}"
             named.select(*(F.col(f.name).cast(f.dataType) for f in CHUNKS.fields)).write.mode("overwrite").parquet(at)
+            self._keep(version, "chunks", self.spark.read.schema(CHUNKS).parquet(at).select("chunk_hash"), batch)
             self._post(version, batch)
-            return self.spark.read.schema(CHUNKS).parquet(at).count()
+            self.last = added.get | {"skipped": rows.get["rows"] - added.get["new"]}
+            return self.last["new"]
         finally:
             new.unpersist()
 
     def seen_hashes(self, but: str = "") -> DataFrame:
         """Content hashes of all batches but one: a batch that is replayed must not know itself."""
-        return self._read("seen", schema("content_hash long")).where(F.col("batch") != but).select("content_hash").distinct()
+        return self._set("content").where(F.col("batch") != but).select("content_hash").distinct()
 
     def resplit(self, embedder: Embedder, threshold: int = 8000, limit: int = 2200) -> str:
         """A new version in which texts above the threshold are cut to the limit; the old one stays until then."""
@@ -188,16 +307,58 @@ class Index:
         kept = old.where(~large)
         pieces = resplit_pieces(old.where(large), limit).join(kept.select("chunk_hash"), "chunk_hash", "left_anti").dropDuplicates(["chunk_hash"])
         named = embed(pieces.withColumn("id", F.xxhash64("chunk_hash")), embedder)
+        parts = {"kept": kept.select(*CHUNKS.names), "resplit": named.select(*(F.col(f.name).cast(f.dataType) for f in CHUNKS.fields))}
+        return self._rewritten(parts, embedder)
+
+    def _rewritten(self, parts: dict[str, DataFrame], embedder: Embedder | None) -> str:
+        """A new live version of these batches, with all content hashes of the old one."""
+        self._may_write()
         version = f"v-{uuid.uuid4().hex}"
-        names = [f.name for f in CHUNKS.fields]
-        kept.select(*names).write.parquet(f"{self.root}/{version}/chunks/batch=kept")
-        named.select(*(F.col(f.name).cast(f.dataType) for f in CHUNKS.fields)).write.parquet(f"{self.root}/{version}/chunks/batch=resplit")
-        self._post(version, "kept")
-        self._post(version, "resplit")
-        self.seen_hashes().write.parquet(f"{self.root}/{version}/seen/batch=kept")
+        content = self.seen_hashes()
+        if embedder is not None:
+            self.fits(embedder, version, record=True)
+        elif self.embedder():
+            self._create(f"{version}/embedder", json.dumps(self.embedder()))
+        for k, (batch, rows) in enumerate(parts.items()):
+            at = f"{self.root}/{version}/chunks/batch={batch}"
+            rows.write.parquet(at)
+            self._keep(version, "chunks", self.spark.read.schema(CHUNKS).parquet(at).select("chunk_hash"), batch)
+            self._keep(version, "content", content if k == 0 else content.limit(0), batch)
+            self._post(version, batch)
         self.point_to(version)
         return version
 
+    def batches(self) -> list[str]:
+        fs, p = self._fs(f"{self.root}/{self.version()}/chunks/batch=*")
+        return sorted(f.getPath().getName().removeprefix("batch=") for f in fs.globStatus(p) or [])
+
+    def compact(self, least: int = 2) -> str | None:
+        """Merges all batches into one, if there are ``least``: chunks sorted by kind and id, one set, one filter, one inverted index.
+
+        Readers keep the old version until the pointer moves, and its files until ``expire``. A batch that is replayed
+        afterwards finds its chunks known and adds nothing.
+        """
+        if len(self.batches()) < least:
+            return None
+        self.complete()
+        rows = self.chunks().select(*CHUNKS.names)
+        return self._rewritten({f"merged-{uuid.uuid4().hex[:8]}": rows.repartitionByRange("kind", "id").sortWithinPartitions("kind", "id")}, None)
+
+    def expire(self, age_s: float) -> list[str]:
+        """Deletes versions other than the live one whose folder has not changed for so long; their names."""
+        fs, p = self._fs(f"{self.root}/v-*")
+        now, live = time.time() * 1000, self.version()
+        old = [f.getPath() for f in fs.globStatus(p) or [] if f.getPath().getName() != live and now - f.getModificationTime() >= age_s * 1000]
+        for path in old:
+            self._may_write()
+            fs.delete(path, True)
+        return sorted(path.getName() for path in old)
+
+
+def rows_in(fs, folder) -> bool:
+    """Whether a partitioned table has any partition; one written from no rows has none."""
+    return any("=" in f.getPath().getName() for f in fs.listStatus(folder))
+
 
 def migrated(chunks: DataFrame) -> DataFrame:
     """Old rows get what later versions added: a kind, and a hash of kind and text."""

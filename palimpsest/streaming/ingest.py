@@ -6,6 +6,7 @@ replayed after a failure overwrites itself. Each run takes what is there and end
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -29,7 +30,7 @@ TYPED = schema("id long, timestamp string, event_type string, text_content strin
 
 
 def screen_chunks(rows: DataFrame, seen: DataFrame) -> DataFrame:
-    """Frames in chunks: hashes first (also of frames without text), then texts, then blocks."""
+    """Frames in chunks: hashes first (also of frames without text), then texts, then blocks. ``seen``: content hashes that are known."""
     fresh = first_occurrence(not_seen(rows, seen, "content_hash"), order=("id", "ocr"))
     texts = fresh.withColumn("text", usable_text(F.col("accessibility_text"), F.col("ocr"))).where("text IS NOT NULL")
     named = texts.withColumnsRenamed({"app_name": "app", "window_name": "window", "browser_url": "url"})
@@ -44,6 +45,12 @@ def typed_chunks(rows: DataFrame, remapped: tuple[str, ...] = ("text", "clipboar
     return chunks_of(session_blocks(usable, distinct=True), "typed")
 
 
+def progress(counts: dict, began: float) -> str:
+    """New, skipped and total chunks of a batch, and the rate so far."""
+    total = counts["new"] + counts["skipped"]
+    return f"{counts['new']} new, {counts['skipped']} skipped of {total} chunks, {total / max(time.time() - began, 1e-3):.1f} chunks/s"
+
+
 def ingest_database(spark: SparkSession, path: str, index: Index, embedder: Embedder, max_frames: int = 0, typed: bool = True, screen: bool = True, safety_lag: int = 0, partitions: int = 1, say: Callable[[str], None] = print) -> dict:
     """Takes what a recorder's SQLite file holds above the watermarks, and saves the state after each part.
 
@@ -51,7 +58,7 @@ def ingest_database(spark: SparkSession, path: str, index: Index, embedder: Embe
     The newest ``safety_lag`` frames are left for the next run, as they may still be written to. A run that fails
     is repeated from the same watermark under the same batch name, and overwrites what it wrote.
     """
-    state = index.state()
+    state, began = index.state(), time.time()
     frames, texts, events = (read_sqlite(spark, path, name, partitions) for name in ("frames", "ocr_text", "ui_events"))
     stream = F.lit(0).cast("long").alias("stream_key")
     if screen:
@@ -60,8 +67,8 @@ def ingest_database(spark: SparkSession, path: str, index: Index, embedder: Embe
         high = fresh.agg(F.max("id")).first()[0]
         if high is not None:
             name = f"frames-{state['last_frame_id']}"
-            added = index.write_batch(name, screen_chunks(fresh.select("*", stream), index.seen_hashes(name)), embedder)
-            say(f"screen: {added} chunks, frames to {high}")
+            index.write_batch(name, screen_chunks(fresh.select("*", stream), index.among("content", fresh.select("content_hash"), name)), embedder)
+            say(f"screen: {progress(index.last, began)}, frames to {high}")
             state |= {"last_frame_id": high}
             index.save_state(state)
     if typed:
@@ -69,8 +76,8 @@ def ingest_database(spark: SparkSession, path: str, index: Index, embedder: Embe
         if high is not None:
             some = new_typed(events.where(F.col("id") <= high), state["last_ui_event_id"])
             placed = attribute(with_frame_context(some, frames), frames).select("*", stream)
-            added = index.write_batch(f"typed-{state['last_ui_event_id']}", typed_chunks(placed), embedder)
-            say(f"typed: {added} chunks, events to {high}")
+            index.write_batch(f"typed-{state['last_ui_event_id']}", typed_chunks(placed), embedder)
+            say(f"typed: {progress(index.last, began)}, events to {high}")
             state |= {"last_ui_event_id": high}
             index.save_state(state)
     state |= {"chunks": index.chunks().count(), "runs": state["runs"] + 1, "last_run": datetime.now(timezone.utc).isoformat(timespec="seconds")}
@@ -92,7 +99,7 @@ def run_once(spark: SparkSession, source: str, schema: StructType, index: Index,
 
 
 def ingest_frames(spark: SparkSession, source: str, index: Index, checkpoint: str, embedder: Embedder, **options) -> StreamingQuery:
-    return run_once(spark, source, FRAMES, index, checkpoint, "screen", lambda rows, batch: screen_chunks(rows, index.seen_hashes(batch)), embedder, **options)
+    return run_once(spark, source, FRAMES, index, checkpoint, "screen", lambda rows, batch: screen_chunks(rows, index.among("content", rows.select("content_hash"), batch)), embedder, **options)
 
 
 def ingest_typed(spark: SparkSession, source: str, index: Index, checkpoint: str, embedder: Embedder, **options) -> StreamingQuery:
