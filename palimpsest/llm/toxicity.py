@@ -176,7 +176,7 @@ def bags(train: DataFrame, features: np.ndarray) -> DataFrame:
 
 
 def _chances(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -700, 30)))
+    return np.where(z == -np.inf, 0.0, 1 / (1 + np.exp(-np.clip(z, -700, 30))))
 
 
 def gradient(toxic: np.ndarray, plain: np.ndarray, sizes: pa.ListArray, slots: pa.ListArray, weights: np.ndarray, bias: float) -> tuple[np.ndarray, float, float]:

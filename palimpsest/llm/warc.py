@@ -1,9 +1,9 @@
 """WARC archives: written by Spark, read back and assembled into captures.
 
 Every page becomes three records: the request, the response (or a revisit of an equal payload) and
-metadata, which name the response's record in WARC-Concurrent-To. A record is one row of text whose
-line separator is the end mark of a WARC record, so Spark's own writer commits the archives to any
-store. The reader cuts files by Content-Length, and the records of a capture meet in one join.
+metadata, which name the response's record in WARC-Concurrent-To. Tasks gather records until an archive is full by
+bytes; an archive is one row of text and one file, whose line separator is the end mark of a WARC record, so Spark's
+own writer commits the archives to any store. The reader cuts files by Content-Length, and the records of a capture meet in one join.
 
 Edge cases: a null payload counts as an empty one and is still a capture; equal payloads below
 ``least`` bytes are all responses; rows that repeat an id and its payload are one capture, rows that
@@ -25,9 +25,9 @@ from .common import persist, scratch_dir
 
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Bytes of an archive before compression, roughly: files are closed by a number of records of the mean size. A
-#: reader holds one file as it is stored, and the records of one batch.
-ARCHIVE, BATCH = 64 << 20, 8 << 20
+#: Bytes of an archive before compression: only one that holds a single record can be larger. A writer holds one archive,
+#: a reader one as it is stored, and the records of one batch.
+ARCHIVE, BATCH = 32 << 20, 8 << 20
 HEADERS = ("WARC-Type", "WARC-Record-ID", "WARC-Concurrent-To", "WARC-Target-URI", "WARC-Payload-Digest", "WARC-Refers-To")
 RECORD = "type string, id string, concurrent_to string, uri string, digest string, refers_to string, http string, payload binary"
 
@@ -78,16 +78,31 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
     return found.select("page_id", F.explode(rows).alias("record"))
 
 
-def records_for(pages: DataFrame) -> int:
-    """Records of a file of about ``ARCHIVE`` bytes, by the mean payload (a page has three records)."""
-    mean = pages.agg(F.avg(F.coalesce(F.octet_length("payload"), F.lit(0)))).first()[0] or 0.0
-    return max(3, int(3 * ARCHIVE / (mean + 1500)))
+def archives(rows: DataFrame, most: int = ARCHIVE) -> DataFrame:
+    """(value): records in the order in which they come, joined by their end mark, at most so many bytes a row unless one record has more."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        size = 0
+        full = lambda: pa.RecordBatch.from_arrays([pa.array([END.encode().join(held)], pa.binary())], names=["value"])
+        for batch in batches:
+            for record in batch.column("record"):
+                block = record.as_py()
+                if held and size + len(block) > most:
+                    yield full()
+                    held, size = [], 0
+                held.append(block)
+                size += len(block) + len(END)
+        if held:
+            yield full()
+
+    return rows.select("record").mapInArrow(gather, "value binary")
 
 
-def write_archives(rows: DataFrame, path: str, most: int) -> None:
-    """Whole-file gzip; each file holds at most so many records."""
-    text = rows.select(F.col("record").cast("string").alias("value"))
-    text.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
+def write_archives(rows: DataFrame, path: str, most: int = ARCHIVE) -> None:
+    """Whole-file gzip, a file an archive."""
+    text = archives(rows, most).select(F.col("value").cast("string").alias("value"))
+    text.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
 
 
 def _headers(head: bytes) -> dict[str, str]:
@@ -183,5 +198,5 @@ def round_trip(pages: DataFrame, path: str | None = None, least: int = 0) -> Dat
     """Writes the archives to the shared folder, reads them back once and sums up each capture."""
     spark = pages.sparkSession
     path = path or f"{scratch_dir(spark)}/archives/{uuid.uuid4().hex}"
-    write_archives(records(pages, least), path, records_for(pages))
+    write_archives(records(pages, least), path, ARCHIVE)
     return summary(captures(persist(read_archives(spark, path).drop("payload"), "records")))

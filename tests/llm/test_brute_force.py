@@ -214,17 +214,87 @@ def test_queued_merges_keep_the_order(monkeypatch):
             assert codec.encode([text])[0] == library.encode(text)
 
 
+def _mix(x):
+    mask = (1 << 64) - 1
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> shift) * factor & mask
+    return x ^ x >> 31
+
+
+def slow_fingerprint(text):
+    """One step after another: the character is written, and a bit of the step and the character's class says whether to go on.
+
+    What is written is read at the places of the 512 bits, each by jump hashing of twice the number of characters.
+    """
+    written, waited, at = [], 0, 0
+    codes = [ord(c) for c in text]
+    wanted = []
+    for k in range(edits.BITS):
+        key, place, ahead = _mix(k + 1), 0, 0
+        while ahead < 2 * len(codes):
+            place = ahead
+            key = (key * 2862933555777941757 + 1) & (1 << 64) - 1
+            ahead = int((place + 1) * (2.0**31 / ((key >> 33) + 1)))
+        wanted.append(place)
+    while at < len(codes) and len(written) <= max(wanted):
+        written.append(codes[at] + 1)
+        waited += 1
+        kind = (codes[at] * 2654435761 & 0xFFFFFFFF) >> 28
+        step = (len(written) - 1) % edits.PERIOD
+        if _mix(step * edits.CLASSES + kind + (edits.SEED << 32)) & 1 or waited == edits.WAIT:
+            at, waited = at + 1, 0
+    read = [written[p] if p < len(written) else 0 for p in wanted]
+    return [bool(_mix(c * edits.BITS + k) & 1) for k, c in enumerate(read)]
+
+
 def test_fingerprints(spark, docs):
+    """The whole query: prints, likeness and classes, against a walk step by step and all pairs of documents."""
     order = sorted(docs)
     got = result(spark, "op8_fingerprints")
+    prints = {}
+    as_hex = lambda bits: f"{int(''.join('01'[b] for b in bits), 2):0128x}"
+    alike = lambda a, b: max(0.0, 2 * sum(x == y for x, y in zip(a, b, strict=True)) / 512 - 1)
     for i, after in zip(order, [*order[1:], order[0]], strict=True):
-        changed = edits.edited(docs[i], docs[after])
-        a, b, c = (edits.fingerprint(t) for t in (docs[i], changed, docs[after]))
+        quarter = len(docs[i]) // 4
+        changed = docs[i][: len(docs[i]) - quarter] + docs[after][:quarter]
+        a, b, c = (prints[t] if t in prints else prints.setdefault(t, slow_fingerprint(t)) for t in (docs[i], changed, docs[after]))
         r = got[i]
         assert (r.n_chars, r.edited_sha256) == (len(docs[i]), hashlib.sha256(changed.encode()).hexdigest())
-        assert (r.fingerprint, r.edited_fingerprint) == (edits.to_hex(a), edits.to_hex(b))
-        assert (r.near_edited, r.near_next) == (edits.likeness(a, b), edits.likeness(a, c))
+        assert (r.fingerprint, r.edited_fingerprint) == (as_hex(a), as_hex(b))
+        assert (r.near_edited, r.near_next) == (alike(a, b), alike(a, c))
     assert np.mean([r.near_edited > r.near_next for r in got.values()]) > 0.97
+    least = {i: i for i in order}
+    links = [(i, j) for i, j in combinations(order, 2) if alike(prints[docs[i]], prints[docs[j]]) >= 0.8]
+    for _ in order:
+        for i, j in links:
+            least[i] = least[j] = min(least[i], least[j])
+    joined = [got[i].class_id == got[j].class_id for i, j in links]
+    assert len(links) > 5 and np.mean(joined) >= 0.95
+    assert all(least[i] == least[got[i].class_id] for i in order)  # no class joins what no chain of links joins
+
+
+def test_likeness_by_number_of_edits():
+    """The class in edits a text, as the README gives it: one edit keeps texts of any length together, many do not."""
+    import random
+
+    rng = random.Random(11)
+    letters = "etaoin shrdlu cmfwyp"
+    for length in (300, 2000, 10_000):
+        texts = ["".join(rng.choices(letters, k=length)) for _ in range(30)]
+        shares = {}
+        for edits_made in (1, 3, 30):
+            near = []
+            for t in texts:
+                x = list(t)
+                for _ in range(edits_made):
+                    at = rng.randrange(len(x))
+                    x[at : at + rng.randrange(2)] = rng.choices(letters, k=rng.randrange(2))
+                near.append(edits.likeness(edits.fingerprint(t), edits.fingerprint("".join(x))))
+            shares[edits_made] = np.mean([n >= 0.8 for n in near])
+        print(length, shares)
+        assert shares[1] >= 0.85 and shares[3] >= (0.6 if length < 10_000 else 0.5) and shares[30] <= 0.5
+        unrelated = [edits.likeness(edits.fingerprint(a), edits.fingerprint(b)) for a, b in zip(texts, texts[1:], strict=False)]
+        assert max(unrelated) < 0.4
 
 
 def test_edit_classes_join_copies_and_near_copies(spark):
@@ -318,6 +388,20 @@ def test_warc_large_payloads_fill_files_of_bounded_size(spark, tmp_path, monkeyp
     assert max(f.stat().st_size for f in (tmp_path / "w").glob("*.gz")) < 2 << 20
 
 
+def test_warc_large_payloads_side_by_side(spark, tmp_path, monkeypatch):
+    """Many small pages and then large ones: a count of mean records would put all large ones into one file."""
+    monkeypatch.setattr(warc, "ARCHIVE", 1 << 20)
+    rng = np.random.default_rng(5)
+    sizes = [200] * 3000 + [200_000] * 40 + [3_000_000]
+    rows = [(k, "http://a/", rng.bytes(n)) for k, n in enumerate(sizes)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, payload binary").coalesce(1)
+    path = str(tmp_path / "w")
+    got = {r.page_id: r.payload_bytes for r in warc.round_trip(pages, path).collect()}
+    assert got == dict(enumerate(sizes))
+    stored = sorted(f.stat().st_size for f in (tmp_path / "w").glob("*.gz"))
+    assert stored[-1] < 3_100_000 and stored[-2] < 2 << 20 and len(stored) < 60
+
+
 def test_masks():
     assert pii.mask("mail a@b.c or 1.2.3.4", "email:5:10,ip:14:21") == "mail [EMAIL] or [IP]"
     assert pii.mask("x 4111111111111111 y", "card:2:18,phone:2:10") == "x [CARD] y"

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import edits, lines, packing, pieces, pii, quality, simhash, substrings, urls, warc
+from palimpsest.llm import audit, edits, lines, manifest, packing, pieces, pii, quality, simhash, substrings, toxicity, urls, warc
 
 LONG = " ".join(f"word{k % 997} the of" for k in range(60_000)) + "\n" + "x" * 50_000
 EXTRA = ["key", "row", "fp", "kept", "n_words", "spans", "units", "host", "id", "n_lines", "part", "words"]
@@ -31,7 +31,13 @@ RUNS = {
     "urls": lambda d: urls.judge(d.withColumnRenamed("text", "url"), d.select(F.col("text").alias("url"), F.lit(1).alias("bad"))),
     "warc": lambda d: warc.round_trip(d.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url"), F.encode("text", "UTF-8").alias("payload"), "key", "same_" if "same_" in d.columns else "row")),
 }
-ONE_ROW_EACH = ["simhash", "quality", "substrings", "pieces", "edits", "lines", "urls", "pii", "redact"]
+RUNS |= {
+    "classes": lambda d: edits.classified(d),
+    "manifest": lambda d: manifest.manifest(d),
+    "audit": lambda d: audit.audit(d, d.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"), "key")),
+    "toxicity": lambda d: toxicity.judge(d.withColumn("toxic", F.lit(0)), d.select("doc_id", (F.col("doc_id") % 2).alias("toxic"), "row")),
+}
+ONE_ROW_EACH = ["classes", "manifest", "toxicity", "simhash", "quality", "substrings", "pieces", "edits", "lines", "urls", "pii", "redact"]
 
 
 @pytest.mark.parametrize("name", RUNS)
