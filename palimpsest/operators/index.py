@@ -6,6 +6,7 @@
     <root>/<version>/known_content/batch=<id>/bucket=<n>/  content hashes of the whole batch, of chunks that were known too
     <root>/<version>/known_chunks/batch=<id>/bucket=<n>/   chunk hashes; filters_<set>/batch=<id>/: what either set may hold (see ``known``)
     <root>/<version>/embedder             the model and length of its vectors
+    <root>/waiting/, <root>/late/batch=<id>/  frames that had no text when they were read, and those whose text came late
     <root>/states/<number>                watermarks and counts of the runs; the greatest number holds
     <root>/leases/<number>                who may write, and until when; the greatest number holds
 
@@ -296,6 +297,16 @@ class Index:
         finally:
             new.unpersist()
 
+    def note(self, folder: str, batch: str, ids: DataFrame) -> None:
+        """Writes the frame ids of a batch that wait for their text (``waiting``) or whose text came late (``late``)."""
+        self._may_write()
+        ids.select(F.col("id").cast("long")).distinct().write.mode("overwrite").parquet(f"{self.root}/{folder}/batch={batch}")
+
+    def noted(self, folder: str) -> DataFrame:
+        fs, p = self._fs(f"{self.root}/{folder}")
+        whole = schema("id long, batch string")
+        return self.spark.read.schema(whole).parquet(f"{self.root}/{folder}") if fs.exists(p) else self.spark.createDataFrame([], whole)
+
     def seen_hashes(self, but: str = "") -> DataFrame:
         """Content hashes of all batches but one: a batch that is replayed must not know itself."""
         return self._set("content").where(F.col("batch") != but).select("content_hash").distinct()

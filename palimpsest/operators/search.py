@@ -136,12 +136,13 @@ def pools(
 def hybrid(
     chunks: DataFrame, vectors: DataFrame, query: str, query_vector: list[float], k: int = TOP, kind: str | None = None, pool: int = POOL, postings: Postings | None = None
 ) -> DataFrame:
-    """The k best chunks by fused rank, with the columns of a search result.
+    """The k best chunks by fused rank, with the columns of a search result. A pool holds k at least."""
+    return best(chunks, *pools(chunks, vectors, query, query_vector, kind, max(pool, k), postings), k)
 
-    A pool holds k at least. At most two pools of ids meet the chunks, as the broadcast side of one join.
-    """
-    best = fuse(*pools(chunks, vectors, query, query_vector, kind, max(pool, k), postings))
-    hits = chunks.join(F.broadcast(best), "id")
+
+def best(chunks: DataFrame, near: DataFrame, said: DataFrame, k: int = TOP) -> DataFrame:
+    """The k best of two ranked pools; at most their ids meet the chunks, as the broadcast side of one join."""
+    hits = chunks.join(F.broadcast(fuse(near, said)), "id")
     order = [f(c) for f, c in ORDER]
     top = hits.orderBy(*order).limit(max(k, 1))
     return top.select("id", F.round("score", 4).alias("score"), "kind", F.col("ts_start").alias("ts"), "app", "window", "url", "n_frames", snippet("text").alias("snippet"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import sqlite3
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
 SQL_TYPES = {"INTEGER": "bigint", "INT": "bigint", "BIGINT": "bigint", "REAL": "double", "BLOB": "binary"}
@@ -72,8 +72,43 @@ class SQLiteReader(DataSourceReader):
             db.close()
 
 
+class SQLiteStream(DataSourceStreamReader):
+    """Rows that were added since the last batch, by their growing ``id``; offsets are the greatest id read."""
+
+    def __init__(self, schema: StructType, options: dict) -> None:
+        self.schema, self.options = schema, options
+
+    def _greatest(self) -> int:
+        db = _open(self.options["path"])
+        (found,) = db.execute(f"SELECT max(id) FROM {_name(self.options['table'])}").fetchone()
+        db.close()
+        return found or 0
+
+    def initialOffset(self) -> dict:
+        return {"id": int(self.options.get("after", "0"))}
+
+    def latestOffset(self) -> dict:
+        return {"id": self._greatest()}
+
+    def partitions(self, start: dict, end: dict) -> list[Range]:
+        low, high, n = start["id"] + 1, end["id"], max(1, int(self.options.get("partitions", "1")))
+        step = max(1, -(-(high - low + 1) // n))
+        return [Range(a, min(a + step, high + 1)) for a in range(low, high + 1, step)]
+
+    def read(self, partition: Range) -> Iterator[tuple]:
+        columns = ", ".join(_name(f.name) for f in self.schema.fields)
+        db = _open(self.options["path"])
+        try:
+            yield from db.execute(f"SELECT {columns} FROM {_name(self.options['table'])} WHERE id >= ? AND id < ?", (partition.low, partition.high))
+        finally:
+            db.close()
+
+    def commit(self, end: dict) -> None:
+        """Nothing is kept outside the stream's checkpoint."""
+
+
 class SQLiteSource(DataSource):
-    """``spark.read.format("sqlite")`` with ``path``, ``table`` and optionally ``partitions``."""
+    """``spark.read.format("sqlite")`` with ``path``, ``table`` and optionally ``partitions``; ``readStream`` too, for a table whose ``id`` grows."""
 
     @classmethod
     def name(cls) -> str:
@@ -88,8 +123,17 @@ class SQLiteSource(DataSource):
     def reader(self, schema: StructType) -> SQLiteReader:
         return SQLiteReader(schema, dict(self.options))
 
+    def streamReader(self, schema: StructType) -> SQLiteStream:
+        return SQLiteStream(schema, dict(self.options))
+
 
 def read_sqlite(spark, path: str, table: str, partitions: int = 1):
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SQLiteSource)
     return spark.read.format("sqlite").option("path", path).option("table", table).option("partitions", partitions).load()
+
+
+def stream_sqlite(spark, path: str, table: str, partitions: int = 1, after: int = 0):
+    """A stream of the rows with an ``id`` above ``after``, and of those that come."""
+    spark.dataSource.register(SQLiteSource)
+    return spark.readStream.format("sqlite").option("path", path).option("table", table).option("partitions", partitions).option("after", after).load()

@@ -21,9 +21,10 @@ from ..operators.attribution import attribute, with_frame_context
 from ..operators.blocks import chunks_of, session_blocks, usable_text
 from ..operators.dedup import first_occurrence, not_seen
 from ..operators.index import Index
+from ..operators.scratch import written
 from ..schema import schema
 from ..sources.capture import new_frames, new_typed
-from ..sources.sqlite import read_sqlite
+from ..sources.sqlite import read_sqlite, stream_sqlite
 
 FRAMES = schema("id long, timestamp string, app_name string, window_name string, browser_url string, content_hash long, accessibility_text string, ocr string, stream_key long")
 TYPED = schema("id long, timestamp string, event_type string, text_content string, app string, window string, url string, stream_key long")
@@ -51,16 +52,20 @@ def progress(counts: dict, began: float) -> str:
     return f"{counts['new']} new, {counts['skipped']} skipped of {total} chunks, {total / max(time.time() - began, 1e-3):.1f} chunks/s"
 
 
-def ingest_database(spark: SparkSession, path: str, index: Index, embedder: Embedder, max_frames: int = 0, typed: bool = True, screen: bool = True, safety_lag: int = 0, partitions: int = 1, say: Callable[[str], None] = print) -> dict:
+def ingest_database(spark: SparkSession, path: str, index: Index, embedder: Embedder, max_frames: int = 0, typed: bool = True, screen: bool = True, safety_lag: int = 0, partitions: int = 1, say: Callable[[str], None] = print, rewind: int = 0) -> dict:
     """Takes what a recorder's SQLite file holds above the watermarks, and saves the state after each part.
 
     Frames meet their recognised text, typed events the context of their frame or of the frame nearest in time.
-    The newest ``safety_lag`` frames are left for the next run, as they may still be written to. A run that fails
-    is repeated from the same watermark under the same batch name, and overwrites what it wrote.
+    The newest ``safety_lag`` frames are left for the next run, as they may still be written to. Frames without text are
+    noted; with ``rewind`` those among so many frames below the watermark whose text has come since are taken as blocks of
+    their own. A run that fails is repeated from the same watermark under the same batch name, and overwrites what it wrote.
+    ``last_run`` in the state is the time of the last frame read, ``ended`` that of the run.
     """
     state, began = index.state(), time.time()
     frames, texts, events = (read_sqlite(spark, path, name, partitions) for name in ("frames", "ocr_text", "ui_events"))
     stream = F.lit(0).cast("long").alias("stream_key")
+    if screen and rewind:
+        late_texts(frames, texts, index, embedder, state, rewind, say)
     if screen:
         top = (frames.agg(F.max("id")).first()[0] or 0) - safety_lag
         fresh = new_frames(frames.where(F.col("id") <= top), texts, state["last_frame_id"], max_frames)
@@ -69,7 +74,8 @@ def ingest_database(spark: SparkSession, path: str, index: Index, embedder: Embe
             name = f"frames-{state['last_frame_id']}"
             index.write_batch(name, screen_chunks(fresh.select("*", stream), index.among("content", fresh.select("content_hash"), name)), embedder)
             say(f"screen: {progress(index.last, began)}, frames to {high}")
-            state |= {"last_frame_id": high}
+            index.note("waiting", name, without_text(fresh))
+            state |= {"last_frame_id": high, "last_run": frames.where(F.col("id") == high).first()["timestamp"]}
             index.save_state(state)
     if typed:
         high = events.where(F.col("id") > state["last_ui_event_id"]).agg(F.max("id")).first()[0]
@@ -80,11 +86,30 @@ def ingest_database(spark: SparkSession, path: str, index: Index, embedder: Embe
             say(f"typed: {progress(index.last, began)}, events to {high}")
             state |= {"last_ui_event_id": high}
             index.save_state(state)
-    state |= {"chunks": index.chunks().count(), "runs": state["runs"] + 1, "last_run": datetime.now(timezone.utc).isoformat(timespec="seconds")}
+    state |= {"chunks": index.chunks().count(), "runs": state["runs"] + 1, "ended": datetime.now(timezone.utc).isoformat(timespec="seconds")}
     index.save_state(state)
     return state
 
 
+def without_text(rows: DataFrame) -> DataFrame:
+    """Frames none of whose texts is usable."""
+    usable = usable_text(F.col("accessibility_text"), F.col("ocr")).isNotNull()
+    return rows.groupBy("id").agg(F.max(usable.cast("int")).alias("__usable")).where("__usable = 0").select("id")
+
+
+def late_texts(frames: DataFrame, texts: DataFrame, index: Index, embedder: Embedder, state: dict, rewind: int, say: Callable[[str], None] = print) -> None:
+    """Frames that waited for text and have it now become chunks, once: they had given nothing before, so nothing is doubled."""
+    low, high, name = state["last_frame_id"] - rewind, state["last_frame_id"], f"late-{state['runs']}"
+    waiting = index.noted("waiting").join(index.noted("late").where(F.col("batch") != name).select("id"), "id", "left_anti").where(F.col("id").between(low + 1, high))
+    rows = new_frames(frames.where(F.col("id").between(low + 1, high)), texts, low).join(waiting.select("id").distinct(), "id", "left_semi")
+    come = written(rows.where(usable_text(F.col("accessibility_text"), F.col("ocr")).isNotNull()), "late")
+    if come.isEmpty():
+        return
+    index.write_batch(name, screen_chunks(come.select("*", F.lit(0).cast("long").alias("stream_key")), index.among("content", come.select("content_hash"), name)), embedder)
+    index.note("late", name, come)
+    say(f"late: {index.last['new']} chunks of frames read before their text")
+
+
 def run_once(spark: SparkSession, source: str, schema: StructType, index: Index, checkpoint: str, kind: str, to_chunks: Callable[[DataFrame, str], DataFrame], embedder: Embedder, files_per_batch: int = 1000) -> StreamingQuery:
     """Takes the files that have come since the last run."""
 
@@ -104,3 +129,27 @@ def ingest_frames(spark: SparkSession, source: str, index: Index, checkpoint: st
 
 def ingest_typed(spark: SparkSession, source: str, index: Index, checkpoint: str, embedder: Embedder, **options) -> StreamingQuery:
     return run_once(spark, source, TYPED, index, checkpoint, "typed", lambda rows, _: typed_chunks(rows), embedder, **options)
+
+
+def stream_database(spark: SparkSession, path: str, index: Index, checkpoint: str, embedder: Embedder, partitions: int = 1) -> list[StreamingQuery]:
+    """A recorder's SQLite file as two streams, frames and typed events; their offsets are in the checkpoint. Takes what is there and ends."""
+    stream = F.lit(0).cast("long").alias("stream_key")
+
+    def screen(rows: DataFrame, name: str) -> DataFrame:
+        fresh = new_frames(rows, read_sqlite(spark, path, "ocr_text", partitions), -1)
+        return screen_chunks(fresh.select("*", stream), index.among("content", fresh.select("content_hash"), name))
+
+    def typed(rows: DataFrame, _: str) -> DataFrame:
+        frames = read_sqlite(spark, path, "frames", partitions)
+        return typed_chunks(attribute(with_frame_context(new_typed(rows, -1), frames), frames).select("*", stream))
+
+    queries = []
+    for kind, table, to_chunks in (("screen", "frames", screen), ("typed", "ui_events", typed)):
+
+        def write(batch: DataFrame, number: int, kind: str = kind, to_chunks: Callable = to_chunks) -> None:
+            index.write_batch(f"{kind}-stream-{number}", to_chunks(batch, f"{kind}-stream-{number}"), embedder)
+
+        query = stream_sqlite(spark, path, table, partitions).writeStream.foreachBatch(write).option("checkpointLocation", f"{checkpoint}/{kind}").trigger(availableNow=True).start()
+        query.awaitTermination()
+        queries.append(query)
+    return queries
