@@ -2,7 +2,8 @@
 
     <root>/pointers/<number>              the name of a version; the greatest number is live
     <root>/<version>/chunks/batch=<id>/   chunks with their embeddings and source hashes
-    <root>/<version>/postings/batch=<id>/ its inverted index, sorted by token; totals/batch=<id>/: number and length of its chunks
+    <root>/<version>/postings/batch=<id>/ its inverted index, sorted by token and part; totals/batch=<id>/: number and length of its chunks;
+                                          tops/batch=<id>/: what scores a token can give in a part
     <root>/<version>/known_content/batch=<id>/bucket=<n>/  content hashes of the whole batch, of chunks that were known too
     <root>/<version>/known_chunks/batch=<id>/bucket=<n>/   chunk hashes; filters_<set>/batch=<id>/: what either set may hold (see ``known``)
     <root>/<version>/embedder             the model and length of its vectors
@@ -31,14 +32,17 @@ from ..functions.embedding import DIM, Embedder, embed
 from ..functions.text import chunk_hash, split_text
 from ..schema import schema
 from . import known
-from .search import Postings, postings_of
+from .search import Postings, postings_of, tops_of
 
 CHUNKS = schema(
     "id long, kind string, chunk_hash string, frame_start long, frame_end long, ts_start string, ts_end string, app string, "
     "window string, url string, n_frames int, text string, piece_no int, src_hashes array<long>, embedding array<float>"
 )
-POSTINGS = schema("token string, id long, kind string, length int, positions array<int>")
+POSTINGS = schema("token string, id long, kind string, length int, positions array<int>, part int")
 TOTALS = schema("chunks long, length long")
+TOPS = schema("token string, part int, kind string, n long, most int, least int")
+#: Bytes of a row group of postings: small, so that a search skips what it does not need.
+ROW_GROUP = 1 << 20
 
 
 #: The key of each permanent set.
@@ -172,26 +176,29 @@ class Index:
         return migrated(self._read("chunks", CHUNKS))
 
     def _without_postings(self) -> set[str]:
-        """Batches with chunks, whole or not, of which no whole totals are stored."""
+        """Batches with chunks, whole or not, of which no whole postings are stored."""
         fs, chunks = self._fs(f"{self.root}/{self.version()}/chunks/batch=*")
-        totals = self._fs(f"{self.root}/{self.version()}/totals/batch=*/_SUCCESS")[1]
+        totals = self._fs(f"{self.root}/{self.version()}/tops/batch=*/_SUCCESS")[1]
         return {f.getPath().getName() for f in fs.globStatus(chunks) or []} - {f.getPath().getParent().getName() for f in fs.globStatus(totals) or []}
 
     def postings(self) -> Postings | None:
         """The inverted index; None while a batch lacks its own, as in an index of an earlier version."""
         if self._without_postings():
             return None
-        return Postings(self._read("postings", POSTINGS), self._read("totals", TOTALS))
+        return Postings(self._read("postings", POSTINGS), self._read("totals", TOTALS), self._read("tops", TOPS))
 
     def _post(self, version: str, batch: str) -> None:
-        """Writes a batch's postings, from its stored chunks; the totals come last and say that it is whole."""
+        """Writes a batch's postings, from its stored chunks; the tops come last and say that it is whole."""
         named = postings_of(migrated(self.spark.read.schema(CHUNKS).parquet(f"{self.root}/{version}/chunks/batch={batch}")))
-        rows = named.rows.sortWithinPartitions("token", "id").select(*POSTINGS.names)
-        rows.write.mode("overwrite").parquet(f"{self.root}/{version}/postings/batch={batch}")
+        at = f"{self.root}/{version}/postings/batch={batch}"
+        rows = named.rows.sortWithinPartitions("token", "part", "id").select(*(F.col(f.name).cast(f.dataType) for f in POSTINGS.fields))
+        rows.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(at)
         named.totals.write.mode("overwrite").parquet(f"{self.root}/{version}/totals/batch={batch}")
+        tops = tops_of(self.spark.read.schema(POSTINGS).parquet(at)).repartitionByRange("token", "part").sortWithinPartitions("token", "part")
+        tops.select(*(F.col(f.name).cast(f.dataType) for f in TOPS.fields)).write.mode("overwrite").parquet(f"{self.root}/{version}/tops/batch={batch}")
 
     def _unpost(self, version: str, batch: str) -> None:
-        fs, p = self._fs(f"{self.root}/{version}/totals/batch={batch}")
+        fs, p = self._fs(f"{self.root}/{version}/tops/batch={batch}")
         fs.delete(p, True)
 
     def post_all(self) -> list[str]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from typing import NamedTuple
 
@@ -24,24 +25,43 @@ def _phrase_count(words: Column, phrase: list[str]) -> Column:
     return F.when(F.size(words) >= len(phrase), F.size(F.filter(starts, fits))).otherwise(0)
 
 
+#: Chunks of one part are alike in length (four classes an octave); each class is dealt into so many parts by id.
+DEALS = 64
+
+
 class Postings(NamedTuple):
-    """An inverted index: (token, id, kind, length, positions), and rows of (chunks, length) that add up to its totals."""
+    """An inverted index: (token, id, kind, length, positions, part), and rows of (chunks, length) that add up to its totals.
+
+    ``tops`` says of each token, part and kind how many chunks have it, how often at most, and how short the shortest is.
+    """
 
     rows: DataFrame
     totals: DataFrame
+    tops: DataFrame | None = None
+
+
+def part_of(length: Column, id_: Column) -> Column:
+    """Chunks of a part are alike in length, so that the greatest score in it is near what the others can have."""
+    octave = F.floor(4 * F.log2(length.cast("double") + 1)).cast("int")
+    return octave * DEALS + F.pmod(F.xxhash64(id_), F.lit(DEALS)).cast("int")
+
+
+def tops_of(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("token", "part", "kind").agg(F.count("*").alias("n"), F.max(F.size("positions")).alias("most"), F.min("length").alias("least"))
 
 
 def postings_of(chunks: DataFrame) -> Postings:
-    """One row a token and chunk. Ranges of (token, id) split a frequent token by chunk; a partition holds neighbouring tokens.
+    """One row a token and chunk. Ranges of (token, part, id) split a frequent token by chunk; a partition holds neighbouring tokens.
 
     Chunks need an id of their own; a null text has no tokens, but counts as a chunk.
     """
     counts = lambda w: F.struct(F.size(w).alias("length"), w.alias("words"))
     cut = chunks.select("id", "kind", once(tokens("text"), counts).alias("__c")).select("id", "kind", "__c.*")
-    words = cut.select("id", "kind", "length", F.posexplode("words").alias("position", "token")).repartitionByRange("token", "id")
+    parted = cut.select("id", "kind", "length", part_of(F.col("length"), F.col("id")).alias("part"), "words")
+    words = parted.select("id", "kind", "length", "part", F.posexplode("words").alias("position", "token")).repartitionByRange("token", "part", "id")
     places = F.sort_array(F.collect_list("position")).alias("positions")
-    rows = words.groupBy("token", "id").agg(F.first("kind").alias("kind"), F.first("length").alias("length"), places)
-    return Postings(rows, cut.agg(F.count("*").alias("chunks"), F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("length")))
+    rows = words.groupBy("token", "part", "id").agg(F.first("kind").alias("kind"), F.first("length").alias("length"), places)
+    return Postings(rows, cut.agg(F.count("*").alias("chunks"), F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("length")), tops_of(rows))
 
 
 def _phrase_places(places: dict[str, Column], phrase: list[str]) -> Column:
@@ -64,6 +84,76 @@ def bm25_postings(postings: Postings, query: str, kind: str | None = None) -> Da
     return _scores(counted, postings.totals.agg(n.alias("__n"), (F.sum("length") / n).alias("__avg")), len(phrases), kind)
 
 
+def _idf(n: float, df: float) -> float:
+    return max(math.log((n - df + 0.5) / (df + 0.5)), LEAST_IDF)
+
+
+def _ranges(parts: list[int], every: list[int]) -> Column:
+    """A condition that reads ``parts``: runs of them, without others of ``every`` between, as comparisons that reach the scan."""
+    place = {p: k for k, p in enumerate(sorted(every))}
+    runs: list[list[int]] = []
+    for p in sorted(parts):
+        if runs and place[p] == place[runs[-1][1]] + 1:
+            runs[-1][1] = p
+        else:
+            runs.append([p, p])
+    if len(runs) > 64:
+        return F.col("part").isin(parts)
+    return reduce(lambda a, b: a | b, [F.col("part").between(low, high) for low, high in runs], F.lit(False))
+
+
+class Pruned(NamedTuple):
+    """The k best, and the parts that were read of those that hold a token of the query."""
+
+    found: DataFrame
+    read: list[int]
+    parts: list[int]
+
+
+def bm25_best(postings: Postings, query: str, k: int = POOL, kind: str | None = None) -> Pruned:
+    """The k best by ``bm25_postings``, without reading parts that cannot hold one of them.
+
+    A part's bound is what a chunk of it scored if it had each token as often as any and were as short as any. The parts of the
+    greatest bounds are scored first; the k-th best score there rules out all parts whose bound is below it. Statistics of
+    single tokens are sums of ``tops``. A query with a phrase of several tokens reads all its postings, as only
+    these tell how many chunks hold the phrase.
+    """
+    phrases = query_phrases(query)
+    if postings.tops is None or not phrases or any(len(p) > 1 for p in phrases):
+        return Pruned(bm25_postings(postings, query, kind).orderBy("bm25", "id").limit(k), [], [])
+    asked: dict[str, int] = {}
+    for (token,) in phrases:
+        asked[token] = asked.get(token, 0) + 1
+    n, length = postings.totals.agg(F.sum("chunks"), F.sum("length")).first()
+    tops = postings.tops.where(F.col("token").isin(list(asked)))
+    df = {r[0]: float(r[1]) for r in tops.groupBy("token").agg(F.sum("n")).collect()}  # one number a token of the query
+    if not df:
+        return Pruned(postings.rows.where("false").select("id", F.lit(0.0).alias("bm25")), [], [])
+    n, mean = float(n), float(length) / float(n)
+    weight = F.create_map(*(c for t in df for c in (F.lit(t), F.lit(asked[t] * _idf(n, df[t])))))[F.col("token")]
+    score = lambda tf, size: weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
+    held = tops if kind is None else tops.where(F.col("kind") == kind)
+    by_token = held.groupBy("part", "token").agg(F.max("most").alias("most"), F.min("least").alias("least"), F.sum("n").alias("n"))
+    by_part = by_token.groupBy("part").agg(F.sum(score(F.col("most").cast("double"), F.col("least").cast("double"))).alias("bound"), F.max("n").alias("n"))
+    bounds = sorted(((r[1], r[0], r[2]) for r in by_part.collect()), reverse=True)  # classes of length times deals at most
+    first, chunks = 0, 0
+    while first < len(bounds) and chunks < k:
+        chunks += bounds[first][2]
+        first += 1
+    every = [p for _, p, _ in bounds]
+
+    def scored(parts: list[int]) -> DataFrame:
+        rows = postings.rows.where(F.col("token").isin(list(df)) & _ranges(parts, every))
+        if kind is not None:
+            rows = rows.where(F.col("kind") == kind)
+        return rows.groupBy("id").agg((-F.sum(score(F.size("positions").cast("double"), F.col("length").cast("double")))).alias("bm25")).orderBy("bm25", "id").limit(k)
+
+    begun = scored(every[:first]).collect()  # k rows at most
+    least = -begun[-1]["bm25"] if len(begun) == k else 0.0
+    read = [p for at, (bound, p, _) in enumerate(bounds) if at < first or bound >= least * (1 - 1e-9)]
+    return Pruned(scored(read), read, every)
+
+
 def bm25(chunks: DataFrame, query: str, kind: str | None = None) -> DataFrame:
     """(id, bm25) of chunks with any phrase of the query; lower is better. Without postings: two scans of the texts.
 
@@ -106,6 +196,63 @@ def knn(vectors: DataFrame, query: list[float], k: int = POOL, vector: str = "em
     return fit.select("id", distance(vector, query).alias("distance")).orderBy("distance", "id").limit(k)
 
 
+# ---- nearest vectors behind pivots ------------------------------------------------------------------
+#
+# Vectors are stored by cell: each belongs to the pivot that it is nearest to, at a distance r. By the triangle inequality a
+# vector of a cell with distances from r0 to r1 is no nearer to the query than max(0, d - r1, r0 - d), d being the pivot's distance
+# to the query. Rings of a cell that lie beyond the k-th best so far are not read, and the result is exact.
+
+#: Rings of a cell, by the distance to its pivot in steps of a sixteenth.
+RING = 0.0625
+
+
+def pivots_of(vectors: DataFrame, count: int = 64, vector: str = "embedding") -> list[list[float]]:
+    """So many vectors, drawn by the hash of their ids; more than that is never collected."""
+    near = vectors.where(F.col(vector).isNotNull()).select(F.xxhash64("id").alias("__h"), F.col(vector).alias("v")).orderBy("__h").limit(count)
+    return [[float(x) for x in r["v"]] for r in near.collect()]
+
+
+def celled(vectors: DataFrame, pivots: list[list[float]], vector: str = "embedding") -> DataFrame:
+    """Adds ``cell`` and ``ring``, and sorts by them, so that a file's row groups hold neighbouring rings."""
+    apart = [F.struct(distance(vector, p).alias("r"), F.lit(k).alias("cell")) for k, p in enumerate(pivots)]
+    nearest = F.array_min(F.array(*apart))
+    placed = vectors.where(F.size(vector) == len(pivots[0])).withColumn("__n", nearest)
+    rings = placed.withColumns({"cell": F.col("__n")["cell"], "ring": F.floor(F.col("__n")["r"] / RING).cast("int")}).drop("__n")
+    return rings.repartitionByRange("cell", "ring", "id").sortWithinPartitions("cell", "ring", "id")
+
+
+def rings_of(cells: DataFrame) -> DataFrame:
+    """(cell, ring, n): how many vectors lie where."""
+    return cells.groupBy("cell", "ring").agg(F.count("*").alias("n"))
+
+
+def knn_best(cells: DataFrame, rings: DataFrame, pivots: list[list[float]], query: list[float], k: int = POOL, vector: str = "embedding") -> tuple[DataFrame, float]:
+    """The k nearest exactly, as ``knn``, and the share of the vectors that was read for them."""
+    d = [math.dist(p, query) for p in pivots]
+    known = []
+    for cell, ring, n in rings.collect():  # cells times rings, which distances of unit vectors bound
+        low, high = ring * RING, (ring + 1) * RING
+        known.append((max(0.0, d[cell] - high, low - d[cell]), cell, ring, n))
+    known.sort()
+    first, held = 0, 0
+    while first < len(known) and held < k:
+        held += known[first][3]
+        first += 1
+
+    def of(chosen: list[tuple]) -> DataFrame:
+        by_cell: dict[int, list[int]] = {}
+        for _, cell, ring, _ in chosen:
+            by_cell.setdefault(cell, []).append(ring)
+        inside = [(F.col("cell") == c) & F.col("ring").between(min(r), max(r)) & F.col("ring").isin(r) for c, r in sorted(by_cell.items())]
+        return knn(cells.where(reduce(lambda a, b: a | b, inside, F.lit(False))), query, k, vector)
+
+    begun = of(known[:first]).collect()  # k rows at most
+    far = begun[-1]["distance"] if len(begun) == k else math.inf
+    read = [x for at, x in enumerate(known) if at < first or x[0] <= far + 1e-6]
+    total = sum(x[3] for x in known)
+    return of(read), sum(x[3] for x in read) / max(total, 1)
+
+
 def ranked(found: DataFrame, by: str) -> DataFrame:
     """Adds ``rank`` from 1 to a list that is already cut to the pool."""
     return found.withColumn("rank", F.row_number().over(Window.orderBy(by, "id")))
@@ -129,8 +276,8 @@ def pools(
     """Both rankings, each cut to the pool. A kind is applied before that, so rare kinds fill their pool."""
     if kind is not None:
         vectors = vectors.join(chunks.where(F.col("kind") == kind).select("id"), "id", "left_semi")
-    said = bm25(chunks, query, kind) if postings is None else bm25_postings(postings, query, kind)
-    return ranked(knn(vectors, query_vector, pool), "distance"), ranked(said.orderBy("bm25", "id").limit(pool), "bm25")
+    said = bm25(chunks, query, kind).orderBy("bm25", "id").limit(pool) if postings is None else bm25_best(postings, query, pool, kind).found
+    return ranked(knn(vectors, query_vector, pool), "distance"), ranked(said, "bm25")
 
 
 def hybrid(

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import embedding, text
 from ..operators import attribution, blocks, dedup, health, index, search
+from ..operators.scratch import written
 from ..sources import capture
 from ..streaming import ingest
 
@@ -186,6 +187,25 @@ def g6_bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.bm25_postings(search.postings_of(chunks(spark, sf_dir)), PHRASES).select("id", F.round("bm25", 6).alias("bm25"))
 
 
+@query("g6_bm25_best", f"WITH {_bm25_sql(text.query_phrases(SEARCH))} SELECT id, round(bm25, 6) AS bm25 FROM bm ORDER BY bm.bm25, id LIMIT 50")
+def g6_bm25_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From written postings, and of these from the parts that can hold one of the fifty."""
+    posted = search.postings_of(chunks(spark, sf_dir))
+    rows = written(posted.rows.sortWithinPartitions("token", "part", "id"), "postings")
+    stored = search.Postings(rows, posted.totals, search.tops_of(rows))
+    return search.bm25_best(stored, SEARCH).found.select("id", F.round("bm25", 6).alias("bm25"))
+
+
+@query("g4_knn_best", f"WITH {_knn_sql()} SELECT id, round(distance, 6) AS distance FROM nn")
+def g4_knn_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From vectors written by cell and ring, and of these from the rings that can hold one of the fifty."""
+    v = vectors(spark, sf_dir)
+    pivots = search.pivots_of(v)
+    cells = written(search.celled(v, pivots), "cells")
+    found, _ = search.knn_best(cells, search.rings_of(cells), pivots, query_vector(spark, sf_dir))
+    return found.select("id", F.round("distance", 6).alias("distance"))
+
+
 @query("a5_postings", f"SELECT token, count(DISTINCT doc_id) AS n_chunks, count(*) AS n_places FROM (SELECT doc_id, unnest({TOKENS}) AS token FROM documents) GROUP BY token")
 def a5_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = search.postings_of(chunks(spark, sf_dir)).rows

@@ -172,6 +172,46 @@ def test_postings_of_repeated_tokens_and_null_texts(spark):
     assert none.totals.collect() == [(0, 0)] and not search.bm25_postings(none, "a").collect()
 
 
+@pytest.mark.parametrize("kind", [None, "typed"])
+def test_the_best_without_reading_all_parts(spark, kind):
+    """Chunks of many lengths and frequencies: the same fifty, and most parts are not read."""
+    rng = random.Random(4)
+    rows = []
+    for k in range(3000):
+        words = ["filler"] * int(2 ** rng.uniform(2, 10))
+        for _ in range(rng.choice([0, 0, 1, 2, 5])):
+            words[rng.randrange(len(words))] = rng.choice(["sea", "ship", "rose"])
+        rows.append((k, "typed" if k % 5 == 0 else "screen", " ".join(words)))
+    chunks = spark.createDataFrame(rows, "id long, kind string, text string")
+    posted = search.postings_of(chunks)
+    posted = search.Postings(posted.rows.persist(), posted.totals.persist(), posted.tops.persist())
+    for query in ("sea", "sea ship", "rose rose ship", "filler", "nowhere"):
+        want = search.bm25(chunks, query, kind).orderBy("bm25", "id").limit(50).collect()
+        best = search.bm25_best(posted, query, 50, kind)
+        got = best.found.collect()
+        assert [r.id for r in got] == [r.id for r in want] and [r.bm25 for r in got] == pytest.approx([r.bm25 for r in want], abs=1e-9)
+        if query in ("sea", "sea ship"):
+            assert len(best.read) < (0.5 if query == "sea" else 0.7) * len(best.parts)
+    assert search.bm25_best(posted, "sea-ship", 5, kind).found.collect() == search.bm25_postings(posted, "sea-ship", kind).orderBy("bm25", "id").limit(5).collect()
+
+
+def test_the_nearest_without_reading_all_rings(spark):
+    rng = random.Random(5)
+    centres = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(20)]
+    unit = lambda v: [x / sum(y * y for y in v) ** 0.5 for x in v]
+    rows = [(k, unit([x + rng.gauss(0, 0.15) for x in centres[k % 20]])) for k in range(4000)] + [(9000, rows_tie := unit(centres[3])), (9001, rows_tie)]
+    vectors = spark.createDataFrame(rows, "id long, embedding array<float>")
+    pivots = search.pivots_of(vectors, 32)
+    cells = search.celled(vectors, pivots).persist()
+    shares = []
+    for q in (rows[17][1], unit(centres[3]), unit([1.0] * 8)):
+        found, share = search.knn_best(cells, search.rings_of(cells), pivots, q, 20)
+        assert [tuple(r) for r in found.collect()] == [tuple(r) for r in search.knn(vectors, q, 20).collect()]
+        shares.append(share)
+    assert shares[0] < 0.5 and shares[1] < 0.5
+    assert search.knn_best(cells.where("false"), search.rings_of(cells.where("false")), pivots, q, 5)[0].collect() == []
+
+
 def test_fusion(spark):
     a = spark.createDataFrame([(1, 1), (2, 2)], "id long, rank int")
     b = spark.createDataFrame([(1, 1), (3, 2)], "id long, rank int")
