@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import persist
 
 KINDS = ("email", "ip", "card", "phone", "secret")
-ROUNDS = 3
+#: Rounds at most; fewer where a round changes nothing.
+ROUNDS = 10
 #: A pattern is trusted if so many distinct strings in it are known, and that share of all of them and one
 #: more (so that four known ones of four are the least); a string is accepted from that score on.
 SUPPORT, CONFIDENCE, ACCEPTED = 4, 0.8, 0.9
@@ -46,7 +47,8 @@ _SPACE = re.compile(r"[\x20\x09-\x0D]")
 _SPACES = " \t\n\v\f\r"
 _DELIMITERS = frozenset(_SPACES + "\"'()[]{}<>=,;&?!#*$%|")
 _END = re.compile(r"[\x20\x09-\x0D\"'()\[\]{}<>=,;&?!#*$%|]")
-_KEY = re.compile(r"([A-Za-z_]{2,24})[ \"']{0,3}[=:][ \"']{0,3}\Z")
+_ASSIGNED = re.compile(r"[ \"']{0,3}[=:][ \"']{0,3}\Z")
+_KEY_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
 _NOISE = re.compile(r"[0-9\"'()\[\]{}<>#*$%&!?,;.:=|]")
 _SECRET = re.compile(r"AKIA[0-9A-Z]{16}|(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{12,}")
 
@@ -90,8 +92,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def _plain(word: str) -> str:
     """A word of a pattern: lower-cased, without digits and punctuation."""
-    word = _NOISE.sub("", word).lower()
-    return word if len(word) <= WORD_CHARS else hashlib.sha256(word.encode("utf-8", "surrogatepass")).hexdigest()
+    return _short(_NOISE.sub("", word).lower())
 
 
 def _left(text: str, end: int) -> tuple[str, int]:
@@ -104,6 +105,22 @@ def _left(text: str, end: int) -> tuple[str, int]:
     return text[start:end], start
 
 
+def _short(word: str) -> str:
+    return word if len(word) <= WORD_CHARS else hashlib.sha256(word.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _key(text: str, start: int) -> str:
+    """The whole name, from its first letter, to which the string at ``start`` is assigned; empty if there is none of two characters."""
+    sign = _ASSIGNED.search(text, max(0, start - 7), start)
+    if not sign:
+        return ""
+    begin = sign.start()
+    while begin and text[begin - 1] in _KEY_CHARS:
+        begin -= 1
+    name = text[begin : sign.start()].lower().lstrip("0123456789_.-")
+    return _short(name) if len(name) >= 2 else ""
+
+
 def patterns(text: str, start: int, end: int) -> list[str]:
     """The lexical patterns around a string: its key, the two words before it, and the words on either side."""
     near, at = _left(text, start)
@@ -112,8 +129,8 @@ def patterns(text: str, start: int, end: int) -> list[str]:
         end += 1
     stop = _SPACE.search(text, end)
     near, far, right = _plain(near), _plain(far), _plain(text[end : stop.start() if stop else len(text)])
-    key = _KEY.search(text, max(0, start - 32), start)
-    found = [f"key {key[1].lower()}"] if key else []
+    key = _key(text, start)
+    found = [f"key {key}"] if key else []
     if near and far:
         found.append(f"before {far} {near}")
     if near and right:
@@ -187,7 +204,8 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFr
     edges = persist(found.where("pattern IS NOT NULL").select("pattern", "value").distinct(), "edges")
     seeds = persist(found.where("kind IS NOT NULL").select("value", "kind").distinct(), "seeds")
     size = edges.groupBy("pattern").agg(F.count("*").alias("all"))
-    known = seeds
+    known, before = seeds, None
+    trusted = size.where("false").select("pattern", F.lit("").alias("kind"), F.lit(0.0).alias("confidence"))
     for _ in range(rounds):
         hits = edges.join(known, "value").groupBy("pattern", "kind").agg(F.count("*").alias("hits"))
         scored = hits.where(F.col("hits") >= SUPPORT).join(size, "pattern").withColumn("confidence", F.col("hits") / (F.col("all") + 1))
@@ -196,6 +214,10 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFr
         doubt = F.sum(F.log1p(-F.col("confidence")))
         learned = edges.join(trusted, "pattern").groupBy("value", "kind").agg((1 - F.exp(doubt)).alias("score")).where(F.col("score") >= ACCEPTED)
         known = persist(seeds.unionByName(learned.select("value", "kind")).distinct(), "known")
+        now = known.agg(F.count("*"), F.sum(F.xxhash64("value", "kind").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before = now
     return trusted, known
 
 

@@ -33,8 +33,9 @@ def contexts(text, a, b):
     short = lambda w: w if len(w) <= 40 else hashlib.sha256(w.encode()).hexdigest()
     near, far = (short(bare(words[-n])) if len(words) >= n else "" for n in (1, 2))
     after = short(bare(after))
-    key = re.search(r"([A-Za-z_]{2,24})[ \"']{0,3}[=:][ \"']{0,3}\Z", text[max(0, a - 32) : a])
-    out = {f"key {key[1].lower()}"} if key else set()
+    key = re.search(r"([A-Za-z0-9_.-]+)[ \"']{0,3}[=:][ \"']{0,3}\Z", text[:a])
+    name = key[1].lower().lstrip("0123456789_.-") if key else ""
+    out = {f"key {short(name)}"} if len(name) > 1 else set()
     out |= {f"before {far} {near}"} if near and far else set()
     return out | ({f"around {near} {after}"} if near and after else set())
 
@@ -55,7 +56,7 @@ def found_in(texts):
     edges = {(p, v) for r in rows.values() for _, _, ps, v, _, _ in r for p in ps}
     seeds = {(v, k) for r in rows.values() for _, _, _, v, k, _ in r if k}
     total, known, trusted = Counter(p for p, _ in edges), seeds, {}
-    for _ in range(3):
+    for _ in range(10):
         kinds = defaultdict(set)
         for v, k in known:
             kinds[v].add(k)
@@ -111,3 +112,13 @@ def test_rows_without_an_id_or_with_one_id(spark):
     assert out == sorted([("1", "mail [EMAIL] now"), ("1", "at [IP] now"), ("None", "secret mail [EMAIL]"), ("None", ""), ("None", "none"), ("2", "at [IP] now"), ("2", "at [IP] now")])
     found = sorted((str(r.doc_id), r.spans) for r in pii.find(docs).collect())
     assert found == sorted([("1", "email:5:20"), ("1", "ip:3:11"), ("None", "email:12:27"), ("None", ""), ("None", ""), ("2", "ip:3:11"), ("2", "ip:3:11")])
+
+
+def test_keys_of_any_length_and_no_rounds(spark):
+    long = "very_long_" * 12 + "authorization_bearer_token_value"
+    assert pii._key(f"{long} = ", len(long) + 3) == pii._short(long) != long and pii._key("authorization_bearer_token_value='", 34) == "authorization_bearer_token_value"
+    assert [pii._key(t, len(t)) for t in ("x-api-key2: ", '"key" : "', "10:", "a=", "no key ", "=")] == ["x-api-key2", "key", "", "", "", ""]
+    texts = [f"x-api-key2: {'abcdef0123456' + str(k)}" for k in range(12)] + ["x-api-key2: zzz-999-yyy"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert pii.find(df).where("doc_id = 12").first().spans == "secret:12:23"
+    assert pii.find(df, 0).where("doc_id = 12").first().spans == ""
