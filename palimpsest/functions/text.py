@@ -110,13 +110,13 @@ def tokens(text: Column | str) -> Column:
 
 def query_phrases(query: str) -> list[list[str]]:
     """The phrases of a query: each word of it, tokenised; words without tokens match nothing."""
-    import re
-
     table = str.maketrans(LATIN_FROM, LATIN_TO)
     phrases = []
     for word in query.split():
         plain = "".join(c for c in word.translate(table) if unicodedata.category(c) != "Mn").lower()
-        found = [t for t in re.split(r"[^\w]|_", plain) if t]
+        kept = (c if unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "Co" else " " for c in plain)  # as in ``TOKEN_GAP``
+        found = "".join(kept).split(" ")
+        found = [t for t in found if t]
         if found:
             phrases.append(found)
     return phrases

@@ -8,6 +8,7 @@
     <root>/<version>/known_chunks/batch=<id>/bucket=<n>/   chunk hashes; filters_<set>/batch=<id>/: what either set may hold (see ``known``)
     <root>/<version>/embedder             the model and length of its vectors
     <root>/waiting/, <root>/late/batch=<id>/  frames that had no text when they were read, and those whose text came late
+    <root>/metrics/<batch>.json           what a batch's write counted, observed while it was written
     <root>/states/<number>                watermarks and counts of the runs; the greatest number holds
     <root>/leases/<number>                who may write, and until when; the greatest number holds
 
@@ -97,9 +98,9 @@ class Index:
         number = next(iter(self._numbered(folder)), 0) + 1
         self._create(f"{folder}/{number:012d}", said)
 
-    def _create(self, name: str, said: str) -> None:
+    def _create(self, name: str, said: str, replace: bool = False) -> None:
         fs, p = self._fs(f"{self.root}/{name}")
-        sink = fs.create(p, False)
+        sink = fs.create(p, replace)
         sink.write(f"{said}\n".encode())
         sink.close()
 
@@ -281,6 +282,7 @@ class Index:
         known, also those of chunks that another batch has already. What is counted (``last``) is observed as the batch is written.
         """
         self._may_write()
+        began = time.time()
         version = self.version() or self.reset()
         self.fits(embedder, version, record=True)
         self.complete()
@@ -300,6 +302,7 @@ class Index:
             self._keep(version, "chunks", self.spark.read.schema(CHUNKS).parquet(at).select("chunk_hash"), batch)
             self._post(version, batch)
             self.last = added.get | {"skipped": rows.get["rows"] - added.get["new"]}
+            self._create(f"metrics/{batch}.json", json.dumps(self.last | {"batch": batch, "version": version, "seconds": round(time.time() - began, 3)}), replace=True)
             return self.last["new"]
         finally:
             new.unpersist()
@@ -314,6 +317,12 @@ class Index:
         whole = schema("id long, batch string")
         return self.spark.read.schema(whole).parquet(f"{self.root}/{folder}") if fs.exists(p) else self.spark.createDataFrame([], whole)
 
+    def metrics(self) -> DataFrame:
+        """(batch, version, new, skipped, screen, typed, seconds): one row a batch, of its last write."""
+        fields = schema("batch string, version string, new long, skipped long, screen long, typed long, seconds double")
+        fs, p = self._fs(f"{self.root}/metrics")
+        return self.spark.read.schema(fields).json(f"{self.root}/metrics") if fs.exists(p) else self.spark.createDataFrame([], fields)
+
     def seen_hashes(self, but: str = "") -> DataFrame:
         """Content hashes of all batches but one: a batch that is replayed must not know itself."""
         return self._set("content").where(F.col("batch") != but).select("content_hash").distinct()

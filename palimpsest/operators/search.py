@@ -81,7 +81,8 @@ def bm25_postings(postings: Postings, query: str, kind: str | None = None) -> Da
     met = rows.groupBy("id").agg(F.first("kind").alias("kind"), F.first("length").cast("double").alias("__len"), *places)
     counted = met.select("id", "kind", "__len", *(_phrase_places(at, p).cast("double").alias(f"__tf{k}") for k, p in enumerate(phrases)))
     n = F.sum("chunks").cast("double")
-    return _scores(counted, postings.totals.agg(n.alias("__n"), (F.sum("length") / n).alias("__avg")), len(phrases), kind)
+    totals = postings.totals.agg(n.alias("__n"), (F.sum("length") / n).alias("__avg"))
+    return _scores(counted, totals.crossJoin(counted.agg(*_found_in(len(phrases)))), len(phrases), kind)
 
 
 def _idf(n: float, df: float) -> float:
@@ -155,7 +156,7 @@ def bm25_best(postings: Postings, query: str, k: int = POOL, kind: str | None =
 
 
 def bm25(chunks: DataFrame, query: str, kind: str | None = None) -> DataFrame:
-    """(id, bm25) of chunks with any phrase of the query; lower is better. Without postings: two scans of the texts.
+    """(id, bm25) of chunks with any phrase of the query; lower is better. Without postings: two scans of the texts, one for the statistics.
 
     Statistics are over all chunks, also when a kind is asked for. They are one row of a few numbers, the
     only thing that is broadcast.
@@ -164,16 +165,20 @@ def bm25(chunks: DataFrame, query: str, kind: str | None = None) -> DataFrame:
     count = lambda w: F.struct(F.size(w).cast("double").alias("__len"), *(_phrase_count(w, p).cast("double").alias(f"__tf{k}") for k, p in enumerate(phrases)))
     counted = chunks.select("id", "kind", once(tokens("text"), count).alias("__c")).select("id", "kind", "__c.*")
     n = F.count("*").cast("double")
-    return _scores(counted, counted.agg(n.alias("__n"), (F.sum("__len") / n).alias("__avg")), len(phrases), kind)
+    return _scores(counted, counted.agg(n.alias("__n"), (F.sum("__len") / n).alias("__avg"), *_found_in(len(phrases))), len(phrases), kind)
+
+
+def _found_in(phrases: int) -> list[Column]:
+    """In how many chunks each phrase occurs."""
+    return [F.sum(F.when(F.col(f"__tf{k}") > 0, 1.0).otherwise(0.0)).alias(f"__df{k}") for k in range(phrases)]
 
 
 def _scores(counted: DataFrame, totals: DataFrame, phrases: int, kind: str | None) -> DataFrame:
-    """(id, bm25) from (id, kind, __len, __tf<k>) and one row of the number of chunks and their mean length."""
+    """(id, bm25) from (id, kind, __len, __tf<k>) and one row: the number of chunks, their mean length, and how many hold each phrase."""
     if not phrases:
         return counted.where("false").select("id", F.lit(0.0).alias("bm25"))
-    met = counted.agg(*(F.sum(F.when(F.col(f"__tf{k}") > 0, 1.0).otherwise(0.0)).alias(f"__df{k}") for k in range(phrases)))
     hit = reduce(lambda a, b: a | b, [F.col(f"__tf{k}") > 0 for k in range(phrases)])
-    found = counted.where(hit if kind is None else hit & (F.col("kind") == kind)).crossJoin(F.broadcast(totals.crossJoin(met)))
+    found = counted.where(hit if kind is None else hit & (F.col("kind") == kind)).crossJoin(F.broadcast(totals))
 
     def part(k: int) -> Column:
         tf, df = F.col(f"__tf{k}"), F.col(f"__df{k}")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "array<long>": T.ArrayType(T.LongType()), "array<int>": T.ArrayType(T.IntegerType()), "array<float>": T.ArrayType(T.FloatType())}
+_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "double": T.DoubleType(), "array<long>": T.ArrayType(T.LongType()), "array<int>": T.ArrayType(T.IntegerType()), "array<float>": T.ArrayType(T.FloatType())}
 
 
 def schema(text: str) -> T.StructType:

@@ -21,7 +21,7 @@ from ..operators.attribution import attribute, with_frame_context
 from ..operators.blocks import chunks_of, session_blocks, usable_text
 from ..operators.dedup import first_occurrence, not_seen
 from ..operators.index import Index
-from ..operators.scratch import written
+from ..operators.scratch import released, written
 from ..schema import schema
 from ..sources.capture import new_frames, new_typed
 from ..sources.sqlite import read_sqlite, stream_sqlite
@@ -65,14 +65,16 @@ def ingest_database(spark: SparkSession, path: str, index: Index, embedder: Embe
     frames, texts, events = (read_sqlite(spark, path, name, partitions) for name in ("frames", "ocr_text", "ui_events"))
     stream = F.lit(0).cast("long").alias("stream_key")
     if screen and rewind:
-        late_texts(frames, texts, index, embedder, state, rewind, say)
+        with released(spark):
+            late_texts(frames, texts, index, embedder, state, rewind, say)
     if screen:
         top = (frames.agg(F.max("id")).first()[0] or 0) - safety_lag
         fresh = new_frames(frames.where(F.col("id") <= top), texts, state["last_frame_id"], max_frames)
         high = fresh.agg(F.max("id")).first()[0]
         if high is not None:
             name = f"frames-{state['last_frame_id']}"
-            index.write_batch(name, screen_chunks(fresh.select("*", stream), index.among("content", fresh.select("content_hash"), name)), embedder)
+            with released(spark):
+                index.write_batch(name, screen_chunks(fresh.select("*", stream), index.among("content", fresh.select("content_hash"), name)), embedder)
             say(f"screen: {progress(index.last, began)}, frames to {high}")
             index.note("waiting", name, without_text(fresh))
             state |= {"last_frame_id": high, "last_run": frames.where(F.col("id") == high).first()["timestamp"]}
@@ -81,8 +83,9 @@ def ingest_database(spark: SparkSession, path: str, index: Index, embedder: Embe
         high = events.where(F.col("id") > state["last_ui_event_id"]).agg(F.max("id")).first()[0]
         if high is not None:
             some = new_typed(events.where(F.col("id") <= high), state["last_ui_event_id"])
-            placed = attribute(with_frame_context(some, frames), frames).select("*", stream)
-            index.write_batch(f"typed-{state['last_ui_event_id']}", typed_chunks(placed), embedder)
+            with released(spark):
+                placed = attribute(with_frame_context(some, frames), frames).select("*", stream)
+                index.write_batch(f"typed-{state['last_ui_event_id']}", typed_chunks(placed), embedder)
             say(f"typed: {progress(index.last, began)}, events to {high}")
             state |= {"last_ui_event_id": high}
             index.save_state(state)
@@ -115,7 +118,8 @@ def run_once(spark: SparkSession, source: str, schema: StructType, index: Index,
 
     def write(batch: DataFrame, number: int) -> None:
         name = f"{kind}-{number}"
-        index.write_batch(name, to_chunks(batch, name), embedder)
+        with released(spark):
+            index.write_batch(name, to_chunks(batch, name), embedder)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -147,7 +151,8 @@ def stream_database(spark: SparkSession, path: str, index: Index, checkpoint: st
     for kind, table, to_chunks in (("screen", "frames", screen), ("typed", "ui_events", typed)):
 
         def write(batch: DataFrame, number: int, kind: str = kind, to_chunks: Callable = to_chunks) -> None:
-            index.write_batch(f"{kind}-stream-{number}", to_chunks(batch, f"{kind}-stream-{number}"), embedder)
+            with released(spark):
+                index.write_batch(f"{kind}-stream-{number}", to_chunks(batch, f"{kind}-stream-{number}"), embedder)
 
         query = stream_sqlite(spark, path, table, partitions).writeStream.foreachBatch(write).option("checkpointLocation", f"{checkpoint}/{kind}").trigger(availableNow=True).start()
         query.awaitTermination()

@@ -198,6 +198,8 @@ def test_compaction_of_many_batches(spark, tmp_path):
     for k in range(12):
         index.write_batch(str(k), chunk(spark, f"words number{k} of a batch", hashes=[k]), HashingEmbedder(DIM))
     assert index.last == {"new": 1, "screen": 1, "typed": 0, "skipped": 0}
+    recount = {r.batch: r["count"] for r in index.chunks().groupBy("batch").count().collect()}
+    assert {r.batch: r.new for r in index.metrics().collect()} == recount and index.metrics().where("skipped > 0 OR seconds <= 0").count() == 0
     before, old = index.chunks().select("id", "text").orderBy("id").collect(), index.version()
     held = index.chunks()
     seek = lambda: [(r.id, round(r.bm25, 9)) for r in search.bm25_postings(index.postings(), "number7 batch").orderBy("id").collect()]
