@@ -113,3 +113,30 @@ def test_stages_return_the_columns_of_documents(spark):
         docs = stage(spark, docs, DATA)
         assert sorted(docs.columns) == sorted(corpus_pipeline.COLUMNS)
         docs = spark.createDataFrame(docs.collect(), docs.schema)
+
+
+def wrapped(words, width):
+    return "\n".join(" ".join(words[k : k + width]) for k in range(0, len(words), width))
+
+
+def test_near_duplicates_that_line_dedup_leaves(spark):
+    """One text in lines of other lengths: no line is like another's, the documents are."""
+    rng = np.random.default_rng(12)
+    base = [[f"w{x}" for x in rng.integers(0, 10_000, 120)] for _ in range(5)]
+    rows = [(10 * k + j, wrapped(words, width), "en", "s", 0) for k, words in enumerate(base) for j, width in enumerate((12, 30, 40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    lines = corpus_pipeline.line_dedup(spark, docs, "")
+    assert lines.count() == 15
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, lines, "").collect()) == [0, 10, 20, 30, 40]
+
+
+def test_an_empty_table_and_columns_of_any_name(spark, tmp_path):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 40")
+    docs.where("false").write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "a")).collect() == []
+    more = docs.selectExpr("*", *(f"1 AS {c}" for c in ("row", "key", "kept", "units", "start", "length", "sequence_id", "__id", "component_id")))
+    more.write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    docs.write.parquet(str(tmp_path / "c" / "documents.parquet"))
+    clashing, plain = (corpus_pipeline.run(spark, str(tmp_path / d)) for d in "bc")
+    pieces = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    assert clashing.columns == plain.columns and sorted(clashing.select(pieces).collect()) == sorted(plain.select(pieces).collect()) != []
