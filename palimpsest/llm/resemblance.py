@@ -86,8 +86,8 @@ def _prefixes(nodes: DataFrame, parcels: int, hot: np.ndarray | None = None) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 8192):
-                part = batch.slice(k, 8192)
+            for k in range(0, batch.num_rows, 2048):
+                part = batch.slice(k, 2048)
                 blobs = [b.as_py() for b in part.column("words")]
                 words, counts = np.frombuffer(b"".join(blobs), np.uint64), np.array([len(b) // 8 for b in blobs])
                 owner = np.repeat(np.arange(len(blobs)), counts)
