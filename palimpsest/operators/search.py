@@ -74,6 +74,8 @@ def _phrase_places(places: dict[str, Column], phrase: list[str]) -> Column:
 def bm25_postings(postings: Postings, query: str, kind: str | None = None) -> DataFrame:
     """``bm25`` from postings: only those of the query's tokens are read, and none of the texts."""
     phrases = query_phrases(query)
+    if not phrases:
+        return postings.rows.where("false").select("id", F.lit(0.0).alias("bm25"))
     held = sorted({t for p in phrases for t in p})
     rows = postings.rows.where(F.col("token").isin(held))
     places = [F.max(F.when(F.col("token") == t, F.col("positions"))).alias(f"__at{k}") for k, t in enumerate(held)]
