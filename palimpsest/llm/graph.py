@@ -54,6 +54,30 @@ def join_spread(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
     return dealt.join(every, [key, "__part"]).drop("__part")
 
 
+#: A key is hot if it holds more than one row in so many; fewer keys than that can be hot.
+HOT = 1000
+
+
+def join_hot(rows: DataFrame, few: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``few``, which has at most one row a key, where any key may hold a third of all rows.
+
+    Keys are counted before they are shuffled. Those with more than a ``HOT``-th of the rows, which are fewer than
+    ``HOT`` and are broadcast, are dealt to ``SPREAD`` tasks each; all others meet by their key alone, so that
+    ``few`` is repeated for hot keys only. ``rows`` is read twice, the first time for the key. A null key meets nothing.
+    """
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n"))
+    total = counts.agg(F.sum("__n").alias("__all"))
+    hot = counts.crossJoin(F.broadcast(total)).where(F.col("__n") * HOT > F.col("__all")).select(key, F.lit(SPREAD).alias("__parts"))
+    hot = F.broadcast(hot)
+    plain = [c for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]
+    # Rows without a key would all meet in one task of an outer join.
+    parts = F.when(F.col(key).isNull(), F.lit(1 << 20)).otherwise(F.coalesce("__parts", F.lit(1)))
+    dealt = rows.join(hot, key, "left").withColumn("__part", F.pmod(F.xxhash64(*plain), parts)).drop("__parts")
+    last = F.coalesce("__parts", F.lit(1)).cast("long") - 1
+    every = few.join(hot, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop("__parts")
+    return dealt.join(every, [key, "__part"], how).drop("__part")
+
+
 def classed(rows: DataFrame, to: str) -> DataFrame:
     """``rows`` (least, root and others) with the least ``least`` of their root; a row without a root is a class of its own."""
     linked = rows.where("root IS NOT NULL")

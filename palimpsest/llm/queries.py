@@ -38,11 +38,9 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page's label is the quality label of the document with its number; low quality is bad."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
-    outcomes = pages.join(labels, "page_id").select("url", "bad")
-    return urls.judge(pages, outcomes).select("page_id", "host", "path", "rule", "verdict")
+    """A page's outcome is the quality rules' verdict on the text that it shows."""
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge(pages.select("page_id", "url"), urls.outcomes_of(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,9 +123,20 @@ w_{level} AS (
            sum(bad::DOUBLE * bad / n) AS spread FROM {level})))"""
 
 
+def _shown_sql(html: str) -> str:
+    for pattern in urls.HIDDEN:
+        html = f"regexp_replace({html}, '{pattern}', ' ', 'g')"
+    html = f"regexp_replace(regexp_replace({html}, '{urls.LINES}', chr(10), 'g'), '{urls.TAGS}', '', 'g')"
+    for reference, character in urls.REFERENCES:
+        html = f"replace({html}, '{reference}', {f"chr({ord(character)})"})"
+    return html
+
+
 OP7_SQL = (
-    r"""
-WITH p AS (
+    f"""
+WITH judged AS ({OP4_SQL.replace("FROM documents", f"FROM (SELECT page_id AS doc_id, {_shown_sql('html')} AS text FROM pages WHERE html IS NOT NULL)")}),"""
+    + r"""
+p AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 q AS (
@@ -138,7 +147,7 @@ q AS (
 l AS (SELECT *, CASE WHEN regexp_matches(name, '^([0-9.]+|\[.*)$') THEN 100
     WHEN regexp_matches(name, '(^|\.)(ac|co|com|edu|gov|ne|net|or|org)\.[a-z][a-z]$') THEN 1 ELSE 0 END AS more, string_split(name, '.') AS part FROM q),
 h AS (SELECT *, array_to_string(part[-2 - more:], '.') AS domain, array_to_string(part[-1 - more:], '.') AS suffix FROM l),
-by_host AS (SELECT suffix, domain, host, count(*) AS n, sum(1 - quality) AS bad FROM h JOIN labels ON labels.doc_id = h.page_id GROUP BY ALL),
+by_host AS (SELECT suffix, domain, host, count(*) AS n, sum((NOT kept)::INT) AS bad FROM h JOIN judged ON judged.doc_id = h.page_id GROUP BY ALL),
 by_domain AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM by_host GROUP BY ALL),
 by_suffix AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM by_host GROUP BY ALL),
 """
@@ -149,7 +158,7 @@ s AS (SELECT x.suffix, (w.rate * w.weight + coalesce(c.bad, 0)) / (w.weight + co
 d AS (SELECT x.suffix, x.domain, (s.p * w.weight + coalesce(c.bad, 0)) / (w.weight + coalesce(c.n, 0)) AS p
       FROM (SELECT DISTINCT suffix, domain FROM h) x JOIN s ON s.suffix = x.suffix
       LEFT JOIN by_domain c ON c.suffix = x.suffix AND c.domain = x.domain, w_by_domain w),
-b AS (SELECT host, p - 0.6745 * sqrt(p * (1 - p) / (m + 1)) AS bound FROM (
+b AS (SELECT host, p - 1.6449 * sqrt(p * (1 - p) / (m + 1)) AS bound FROM (
       SELECT x.host, w.weight + coalesce(c.n, 0) AS m, (d.p * w.weight + coalesce(c.bad, 0)) / (w.weight + coalesce(c.n, 0)) AS p
       FROM (SELECT DISTINCT suffix, domain, host FROM h) x JOIN d ON d.suffix = x.suffix AND d.domain = x.domain
       LEFT JOIN by_host c ON c.host = x.host, w_by_host w))

@@ -1,17 +1,18 @@
 """URL filters: rules first, then the reputation of the host by empirical Bayes.
 
-Labelled pages (1 for a bad outcome) are counted by host, registered domain and suffix. Each level's
+A page's outcome is its own: the quality rules' verdict on the text that its html shows (1 where they
+reject it). Outcomes are counted by host, registered domain and suffix. Each level's
 rate is a beta posterior whose prior is the posterior mean of the level above, worth as many
 pages as the spread of the lower level's rates suggests (moments of a beta-binomial). A page is
 blocked if the lower bound of its host's posterior is above the overall rate, or above a half where
-that is less: at 75 %, its host is worse than pages are on the whole. The bound is that of the normal
+that is less: at 95 %, its host is worse than pages are on the whole. The bound is that of the normal
 with the posterior's mean and variance, which needs no quantile of the beta. Ports do not belong to a
 domain; an address is its own domain and suffix.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is
 judged by the overall rate; a host without labels takes the posterior of its domain or suffix; with
-no labels at all everything is allowed; repeated rows are judged alike; further columns stay,
-those named like a result are replaced.
+no labels at all everything is allowed; a page without html (null) has no outcome, one whose html shows no
+text a bad one; repeated rows are judged alike; further columns stay, those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -21,13 +22,21 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Standard normal quantile of the one-sided bound (75 %), and the most that the rate to be above can be.
-QUANTILE, MOST = 0.6745, 0.5
+from . import quality
+from .graph import join_hot
+
+#: Standard normal quantile of the one-sided bound (95 %), and the most that the rate to be above can be.
+QUANTILE, MOST = 1.6449, 0.5
 #: Least and most pages that a prior is worth.
 WEIGHTS = (2.0, 50.0)
 
 #: A suffix has two labels if it is one of these below a country's two letters; every other is the last label.
 LONG_SUFFIX = r"(^|\.)(ac|co|com|edu|gov|ne|net|or|org)\.[a-z][a-z]$"
+#: What html does not show, elements that begin a line, and all other tags, in the order in which they are replaced.
+HIDDEN = (r"(?is)<!--.*?-->", r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?is)<head\b.*?</head\s*>")
+LINES, TAGS = r"(?i)</?(p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|aside|blockquote|pre)\b[^>]*>", r"<[/!]?[A-Za-z][^>]*>"
+#: Character references, ``&`` last.
+REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 PORT, ADDRESS = r":[0-9]*$", r"^([0-9.]+|\[.*)$"
 
 
@@ -82,6 +91,22 @@ def with_levels(hosts: DataFrame) -> DataFrame:
     return hosts.withColumns({"domain": domain, "suffix": suffix})
 
 
+def shown(html: Column) -> Column:
+    """The text of ``html``, block elements on lines of their own."""
+    for pattern in HIDDEN:
+        html = F.regexp_replace(html, pattern, " ")
+    html = F.regexp_replace(F.regexp_replace(html, LINES, "\n"), TAGS, "")
+    for reference, character in REFERENCES:
+        html = F.replace(html, F.lit(reference), F.lit(character))
+    return html
+
+
+def outcomes_of(pages: DataFrame) -> DataFrame:
+    """(url, bad) of each page that has html: the quality rules judge what it shows."""
+    seen = pages.where(F.col("html").isNotNull()).select("url", shown(F.col("html")).alias("text"))
+    return quality.apply_rules(seen).select("url", (~F.col("kept")).cast("int").alias("bad"))
+
+
 def _weight(counts: DataFrame) -> DataFrame:
     """One row: the pages a prior is worth, from the spread of the groups' rates."""
     sums = counts.agg(
@@ -126,4 +151,4 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[UrlRule, ...] = RU
     labelled = outcomes.select(host_of(F.coalesce("url", F.lit(""))).alias("host"), "bad")
     bounds = reputations(found, labelled)
     verdict = F.coalesce("rule_verdict", F.when(F.col("bound") > F.least("rate", F.lit(MOST)), F.lit("block")).otherwise(F.lit("allow")))
-    return found.join(bounds, "host", "left").withColumn("verdict", verdict).drop("rule_verdict", "rate")
+    return join_hot(found, bounds, "host").withColumn("verdict", verdict).drop("rule_verdict", "rate")

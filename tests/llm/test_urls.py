@@ -44,7 +44,7 @@ def judged(rows):
         for c, w, key in zip(counts, weights, ((suffix,), (suffix, domain), (suffix, domain, host)), strict=True):
             m, b = c[key]
             p, size = (p * w + b) / (w + m), w + m
-        out[host] = "block" if p - 0.6745 * math.sqrt(p * (1 - p) / (size + 1)) > min(rate, 0.5) else "allow"
+        out[host] = "block" if p - urls.QUANTILE * math.sqrt(p * (1 - p) / (size + 1)) > min(rate, 0.5) else "allow"
     return out
 
 
@@ -66,3 +66,16 @@ def test_the_first_of_equally_long_rules_wins(spark):
     pages = spark.createDataFrame([(1, "http://a.b/c/d")], "page_id long, url string")
     rules = (urls.UrlRule("allow", "a.b", "/c"), urls.UrlRule("block", "b", "/c/d"), urls.UrlRule("block", "a.b", "/c"))
     assert urls.ruled(pages, rules).first().rule_verdict == "allow"
+
+
+def test_what_html_shows(spark):
+    html = '<!DOCTYPE html><html><head><title>t</title></head><body><!-- a <p> --><script>var x="</p>";</script><P class="a">One &lt;two&gt;</P><p>three <b>four</b>&amp;lt;</p><STYLE>p{}</STYLE>5 < 6</body></html>'
+    pages = spark.createDataFrame([(html,)], "html string")
+    assert pages.select(urls.shown(pages.html)).first()[0].split() == ["One", "<two>", "three", "four&lt;", "5", "<", "6"]
+
+
+def test_outcomes_are_the_rules_verdict(spark):
+    good = "<p>" + " ".join(f"the {a} of {b} was here" for a, b in zip("abcdefghij", "klmnopqrst", strict=True)) + "</p>"
+    rows = [("http://a/", good), ("http://b/", good + "<p>" + "### " * 40 + "</p>"), ("http://c/", ""), ("http://d/", None), (None, good), ("http://a/", good)]
+    got = urls.outcomes_of(spark.createDataFrame(rows, "url string, html string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([("http://a/", 0), ("http://a/", 0), ("http://b/", 1), ("http://c/", 1), (None, 0)], key=str)
