@@ -58,15 +58,20 @@ def join_spread(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
 HOT = 1000
 
 
-def join_hot(rows: DataFrame, few: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def join_hot(rows: DataFrame, few: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """``rows`` joined with ``few``, which has at most one row a key, where any key may hold a third of all rows.
 
     Keys are counted before they are shuffled. Those with more than a ``HOT``-th of the rows, which are fewer than
     ``HOT`` and are broadcast, are dealt to ``SPREAD`` tasks each; all others meet by their key alone, so that
-    ``few`` is repeated for hot keys only. ``rows`` is read twice, the first time for the key. A null key meets nothing.
+    ``few`` is repeated for hot keys only. ``rows`` is read twice, the first time for the key, unless ``counts`` (key and
+    number of rows) tells of every key that has more than one row. A null key meets nothing.
     """
-    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n"))
-    total = counts.agg(F.sum("__n").alias("__all"))
+    if counts is None:
+        counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*"))
+        total = counts.toDF(key, "__n").agg(F.sum("__n").alias("__all"))
+    else:
+        total = rows.agg(F.count("*").alias("__all"))
+    counts = counts.toDF(key, "__n")
     hot = counts.crossJoin(F.broadcast(total)).where(F.col("__n") * HOT > F.col("__all")).select(key, F.lit(SPREAD).alias("__parts"))
     hot = F.broadcast(hot)
     plain = [c for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import persist, scratch_dir
+from .graph import join_hot
 
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -59,9 +60,10 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
     """(page_id, record) with three records a page; ``pages`` has page_id, url and payload (bytes)."""
     found = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "").alias("url"), F.coalesce("payload", F.lit(b"")).alias("payload"))
     found = found.withColumns({"digest": base32_sha1(F.col("payload")), "size": F.octet_length("payload").cast("long"), "same": F.sha2("payload", 256)})
-    # One row a payload; counted before the shuffle, so a payload of a third of all pages is cheap.
-    firsts = found.where(F.col("size") >= least).groupBy("same").agg(F.min("page_id").alias("first"))
-    found = found.join(firsts, "same", "left").withColumn("first", F.coalesce("first", "page_id"))
+    # One row a payload of several pages; a payload of a third of all pages is dealt to many tasks.
+    firsts = found.where(F.col("size") >= least).groupBy("same").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    firsts = persist(firsts.where("n > 1"), "firsts")
+    found = join_hot(found, firsts.select("same", "first"), "same", "left", firsts.select("same", "n")).withColumn("first", F.coalesce("first", "page_id"))
     revisit = F.col("first") != F.col("page_id")
     page, url, same = F.col("page_id"), F.col("url"), F.col("same")
     response = record_id("response", page, same)
@@ -190,7 +192,7 @@ def summary(found: DataFrame) -> DataFrame:
     one = rows.groupBy("id").agg(F.max(F.struct("payload_bytes", "payload_digest", "page_id", "record_type", "target")).alias("r"))
     rows = persist(one.select("id", "r.*"), "captures")
     originals = rows.where("record_type = 'response'").select(F.col("id").alias("target"), F.col("page_id").alias("original"), F.col("payload_bytes").alias("b"), F.col("payload_digest").alias("d"))
-    joined = rows.join(originals, "target", "left")
+    joined = join_hot(rows, originals, "target", "left")
     return joined.select("page_id", F.coalesce("payload_bytes", "b").alias("payload_bytes"), F.coalesce("payload_digest", "d").alias("payload_digest"), "record_type", F.col("original").alias("refers_to"))
 
 
