@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_scratch, mix64, partitions_for, persist
-from .graph import classed, components
+from .graph import classed, components, join_hot
 from .lines import _bitmap, _in_bitmap
 from .parcels import PARCEL, ROWS, deal, delivered, each, opened
 
@@ -308,7 +308,7 @@ def labels(prints: DataFrame, least: float = LIKE) -> DataFrame:
 
 def classes(prints: DataFrame, least: float = LIKE) -> DataFrame:
     """(doc_id, class_id) from (doc_id, fingerprint); the class is its least id, none without a fingerprint."""
-    return prints.join(labels(prints, least), "fingerprint", "left").select("doc_id", "class_id")
+    return join_hot(prints, labels(prints, least), "fingerprint", "left").select("doc_id", "class_id")
 
 
 def classified(docs: DataFrame) -> DataFrame:
@@ -318,5 +318,6 @@ def classified(docs: DataFrame) -> DataFrame:
     columns = found.columns
     prints = persist(found.withColumns({c: F.unhex(c) for c in hexed}), "fingerprinted")
     named = labels(prints.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint")))
-    joined = prints.join(named.select(F.unhex("fingerprint").alias("fingerprint"), "class_id"), "fingerprint")
+    # A fingerprint may be that of a third of all documents.
+    joined = join_hot(prints, named.select(F.unhex("fingerprint").alias("fingerprint"), "class_id"), "fingerprint")
     return joined.select(*(F.lower(F.hex(c)).alias(c) if c in hexed else F.col(c) for c in columns), "class_id")
