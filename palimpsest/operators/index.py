@@ -33,6 +33,7 @@ from ..functions.embedding import DIM, Embedder, embed
 from ..functions.text import chunk_hash, split_text
 from ..schema import schema
 from . import known
+from .ordered import dealt
 from .search import Postings, postings_of, tops_of
 
 CHUNKS = schema(
@@ -403,17 +404,8 @@ def resplit_pieces(large: DataFrame, limit: int = 2200) -> DataFrame:
 def allocate_ids(new: DataFrame, existing: DataFrame, order: str = "chunk_hash") -> DataFrame:
     """Consecutive ids after the greatest existing one.
 
-    Partitions of the sorted rows are numbered by their sizes, so no window over all rows is needed.
+    The sorted rows are written before they are numbered: sorted a second time, their ranges may be cut elsewhere, and the
+    partitions' sizes would be those of other ranges. No window over all rows is needed.
     """
-    spark = new.sparkSession
     start = existing.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] + 1
-    ordered = new.orderBy(order)
-    parts = ordered.withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
-    sizes = {r[0]: r[1] for r in parts.groupBy("__p").agg(F.count("*")).collect()}  # one number a partition
-    before, at = [], start
-    for p in range(max(sizes, default=-1) + 1):
-        before.append((p, at))
-        at += sizes.get(p, 0)
-    offsets = F.broadcast(spark.createDataFrame(before or [(0, start)], "__p int, __at long"))
-    inside = F.col("__m") - F.shiftleft(F.col("__p").cast("long"), 33)
-    return parts.join(offsets, "__p").withColumn("id", F.col("__at") + inside).drop("__p", "__m", "__at")
+    return dealt(new, [order]).withColumn("id", F.col("pos") + start).drop("pos", "bucket")

@@ -1,4 +1,5 @@
 import json
+import os
 import sqlite3
 
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest import cli
 from palimpsest.functions.embedding import HashingEmbedder, HttpEmbedder
-from palimpsest.operators import search
+from palimpsest.operators import index, search
 from palimpsest.operators.index import Index
 from palimpsest.sources.sqlite import read_sqlite
 from palimpsest.streaming import ingest
@@ -129,3 +130,10 @@ def test_http_embedder_tries_again():
     with pytest.raises(RuntimeError, match="after 2 tries"):
         e(["x"])
     assert not e.alive() and not tried
+
+
+def test_ids_are_consecutive_when_rows_come_out_otherwise_a_second_time(spark):
+    """The ranges of a sort are cut by a sample, so that a second sort may cut them elsewhere; here the rows differ as well."""
+    drawn = F.udf(lambda _: os.urandom(12).hex()).asNondeterministic()
+    got = index.allocate_ids(spark.range(2000).repartition(7).select(drawn("id").alias("chunk_hash")), spark.range(42)).collect()
+    assert [r.id for r in sorted(got, key=lambda r: r.chunk_hash)] == list(range(42, 2042))
