@@ -23,7 +23,8 @@ def text_metrics(ocr: DataFrame, frames: DataFrame, now: str) -> DataFrame:
     """(text_chars_24h): characters of recognised text of the last day."""
     at, ts = F.lit(now).cast("timestamp"), F.col("timestamp").try_cast("timestamp")
     recent = frames.where((ts > at - F.expr("interval 1 day")) & (ts <= at)).select(F.col("id").alias("frame_id"))
-    return ocr.join(recent, "frame_id").agg(F.coalesce(F.sum(F.char_length("text").cast("long")), F.lit(0)).alias("text_chars_24h"))
+    lengths = ocr.select("frame_id", F.char_length("text").cast("long").alias("__n"))  # no text meets the frames
+    return lengths.join(recent, "frame_id").agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("text_chars_24h"))
 
 
 def typed_metrics(events: DataFrame, now: str) -> DataFrame:
