@@ -22,10 +22,13 @@ LAYOUT_FROM = "qazwQAZW;m,M<>"
 LAYOUT_TO = "aqwzAQWZm,;?./"
 
 
+#: The same, one by one.
+_SPACES = "".join(chr(k) for k in [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+
+
 def strip(text: Column | str) -> Column:
-    """Without white space of any kind at either end; ``trim`` removes spaces only."""
-    col = F.col(text) if isinstance(text, str) else text
-    return F.regexp_replace(col, f"^{WHITE_SPACE}+|{WHITE_SPACE}+$", "")
+    """Without white space of any kind at either end; ``trim`` alone removes spaces only. No regular expression looks at what lies between."""
+    return F.btrim(F.col(text) if isinstance(text, str) else text, F.lit(_SPACES))
 
 
 def remap_layout(text: Column | str) -> Column:

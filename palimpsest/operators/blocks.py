@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import CHUNK_LIMIT, MIN_TEXT, chunk_hash, split_text, strip
 from .ordered import ROW, ROWS, changes, counted, identified, numbered, repeats
 from .scratch import written
+from .texts import joined, sequences
 
 CONTEXT = ("app", "window")
 
@@ -22,10 +23,14 @@ def usable_text(preferred: Column, fallback: Column) -> Column:
     return F.when(F.char_length(a) >= MIN_TEXT, a).when(F.char_length(b) >= MIN_TEXT, b)
 
 
-def islands(rows: DataFrame, stream: str = "stream_key", order: str = "id", size: int = ROWS) -> DataFrame:
-    """Adds ``island``, counting up where app or window changes; nulls equal nulls. Rows alike in every column are one row."""
+def islands(rows: DataFrame, stream: str = "stream_key", order: str = "id", size: int = ROWS, text: str = "text", length: str | None = None, distinct: bool = False) -> DataFrame:
+    """Adds ``island``, counting up where app or window changes; nulls equal nulls. Rows alike in every column are one row.
+
+    With ``distinct`` rows whose text is the previous row's are left out first. ``text`` may be a key of the text, if ``length`` names its length.
+    """
     whole = written(identified(rows), "rows")
-    found = counted(changes(numbered(whole, stream, order, "text" if "text" in rows.columns else order, CONTEXT, size)))
+    narrow = numbered(whole, stream, order, text if text in rows.columns else order, CONTEXT, size, length)
+    found = counted(changes(repeats(narrow, size) if distinct else narrow))
     return whole.dropDuplicates([*ROW]).join(found.select(*ROW, "island"), [*ROW]).drop(*ROW)
 
 
@@ -159,10 +164,28 @@ def session_blocks(rows: DataFrame, limit: int = CHUNK_LIMIT, distinct: bool = F
     previous row's are left out first. Rows without all of that are one row; of one id the shorter text comes first. Neither
     a stream nor an island nor a block's rows are one task's work, but for the rows of one block, which its limit bounds.
     """
+    found = _folded(rows, ["text"], limit, distinct, size, group)
+    return found.select(*_ABOUT, F.array_join(F.col("r")["text"], "\n").alias("text"), "src_hashes")
+
+
+def shared_blocks(rows: DataFrame, limit: int = CHUNK_LIMIT, distinct: bool = False, size: int = ROWS, group: int = GROUP) -> DataFrame:
+    """``session_blocks`` of rows with ``key`` and ``length`` in place of a text (see ``texts``): blocks have ``keys`` and ``sequence`` in place of theirs.
+
+    Written, as what is read of their texts meets them again.
+    """
+    found = _folded(rows, ["key", "length"], limit, distinct, size, group)
+    return written(sequences(found.select(*_ABOUT, F.col("r")["key"].alias("keys"), "src_hashes")), "blocks")
+
+
+_ABOUT = ("stream_key", "app", "window", "url", "frame_start", "frame_end", "ts_start", "ts_end", "n_frames")
+
+
+def _folded(rows: DataFrame, text: list[str], limit: int, distinct: bool, size: int, group: int) -> DataFrame:
+    """What is known of each block, and ``r``, its rows in order."""
     key = F.col("stream_key").cast("long").alias("stream_key")
-    needed = rows.select(key, "id", "timestamp", "app", "window", "url", "text", F.col("content_hash").cast("long").alias("content_hash"))
+    needed = rows.select(key, "id", "timestamp", "app", "window", "url", *text, F.col("content_hash").cast("long").alias("content_hash"))
     whole = written(identified(needed), "rows")
-    narrow = numbered(whole, "stream_key", "id", "text", CONTEXT, size)
+    narrow = numbered(whole, "stream_key", "id", text[0], CONTEXT, size, *text[1:])
     found = block_numbers(changes(repeats(narrow, size) if distinct else narrow), limit, group)
     met = whole.join(found, [*ROW]).groupBy("block").agg(
         F.first("stream_key").alias("stream_key"), F.sort_array(F.collect_set(F.struct("pos", *needed.columns[1:]))).alias("r")
@@ -170,13 +193,24 @@ def session_blocks(rows: DataFrame, limit: int = CHUNK_LIMIT, distinct: bool = F
     first, last = F.element_at("r", 1), F.element_at("r", -1)
     return met.select(
         "stream_key", *(first[c].alias(c) for c in ("app", "window", "url")), first["id"].alias("frame_start"), last["id"].alias("frame_end"),
-        first["timestamp"].alias("ts_start"), last["timestamp"].alias("ts_end"), F.size("r").alias("n_frames"), F.array_join(F.col("r")["text"], "\n").alias("text"),
-        F.filter(F.col("r")["content_hash"], lambda h: h.isNotNull()).alias("src_hashes"),
+        first["timestamp"].alias("ts_start"), last["timestamp"].alias("ts_end"), F.size("r").alias("n_frames"),
+        F.filter(F.col("r")["content_hash"], lambda h: h.isNotNull()).alias("src_hashes"), "r",
     )
 
 
+def pieces_of_texts(texts: DataFrame, kind: str, limit: int = CHUNK_LIMIT) -> DataFrame:
+    """Texts cut to the limit and hashed: other columns stay, piece_no, text, kind and chunk_hash are added."""
+    cut = texts.select("*", F.posexplode(split_text("text", limit)).alias("piece_no", "piece")).drop("text").withColumnRenamed("piece", "text")
+    return cut.withColumns({"kind": F.lit(kind), "chunk_hash": chunk_hash(F.lit(kind), F.col("text"))})
+
+
 def chunks_of(blocks: DataFrame, kind: str, limit: int = CHUNK_LIMIT) -> DataFrame:
     """Blocks cut to the limit and hashed; only a block's first piece carries its source hashes."""
-    cut = blocks.select("*", F.posexplode(split_text("text", limit)).alias("piece_no", "piece")).drop("text").withColumnRenamed("piece", "text")
     hashes = F.when(F.col("piece_no") == 0, F.col("src_hashes")).otherwise(F.array().cast("array<bigint>"))
-    return cut.withColumns({"kind": F.lit(kind), "chunk_hash": chunk_hash(F.lit(kind), F.col("text")), "src_hashes": hashes})
+    return pieces_of_texts(blocks, kind, limit).withColumn("src_hashes", hashes)
+
+
+def shared_chunks(blocks: DataFrame, texts: DataFrame, kind: str, limit: int = CHUNK_LIMIT) -> DataFrame:
+    """The chunks of ``shared_blocks`` without their texts, but for the length ``n``: each distinct sequence of texts is cut and hashed once."""
+    cut = pieces_of_texts(joined(blocks, texts), kind, limit).withColumn("n", F.char_length("text").cast("long")).drop("text")
+    return blocks.drop("keys").join(cut, "sequence").drop("sequence")

@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 from ..functions.embedding import Embedder
 from ..functions.text import MIN_TEXT, remap_layout, strip
 from ..operators.attribution import attribute, with_frame_context
-from ..operators.blocks import chunks_of, session_blocks, usable_text
+from ..operators.blocks import chunks_of, session_blocks, shared_blocks, shared_chunks, usable_text
 from ..operators.dedup import first_occurrence, not_seen
 from ..operators.index import Index
 from ..operators.scratch import released, written
@@ -38,6 +38,17 @@ def screen_chunks(rows: DataFrame, seen: DataFrame) -> DataFrame:
     return chunks_of(session_blocks(named, distinct=True), "screen")
 
 
+def shared_screen_chunks(rows: DataFrame, texts: DataFrame, seen: DataFrame) -> DataFrame:
+    """``screen_chunks`` of frames with keys of their texts: key and length, ocr_key, ocr_length, and ocr_at, which sorts as the recognised texts do.
+
+    ``texts``: (key, text), see ``operators.texts``. Chunks come without their texts.
+    """
+    fresh = first_occurrence(not_seen(rows, seen, "content_hash"), order=("id", "ocr_at"))
+    usable = fresh.withColumns({c: F.coalesce(c, f"ocr_{c}") for c in ("key", "length")}).where("key IS NOT NULL")
+    named = usable.withColumnsRenamed({"app_name": "app", "window_name": "window", "browser_url": "url"})
+    return shared_chunks(shared_blocks(named, distinct=True), texts, "screen")
+
+
 def typed_chunks(rows: DataFrame, remapped: tuple[str, ...] = ("text", "clipboard")) -> DataFrame:
     """Typed events in chunks; the keyboard repair applies to the event types named."""
     plain = strip("text_content")

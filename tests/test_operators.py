@@ -4,7 +4,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import attribution, blocks, dedup, health, search
+from palimpsest.operators import attribution, blocks, dedup, health, search, texts
 
 ROW = "stream_key long, id long, timestamp string, app string, window string, url string, text string, content_hash long"
 
@@ -241,3 +241,62 @@ def test_health(spark):
     assert (r.status, r.frame_age_s, r.frames_24h, r.frames_total, r.text_chars_24h, r.ui_text_24h, r.clipboard_24h, r.true_lag) == ("degraded", 300, 1, 2, 3, 1, 0, 5)
     assert health.snapshot(f, o, e, c, "2024-01-02 12:30:00", service_up=False).first().status == "stale"
     assert health.snapshot(f.where("false"), o, e, c, "2024-01-02 12:30:00").first().status == "degraded"
+
+
+@pytest.mark.parametrize("seed", range(1))
+def test_rows_with_keys_of_their_texts_give_the_same(spark, seed):
+    """Blocks, chunks, islands and kept rows by key against those of rows that hold their texts; no text is written with the rows."""
+    rng = random.Random(seed)
+    said = [rng.choice("abc") * rng.choice([12, 30, 79, 80, 200]) for _ in range(9)] + [" pad ded text  ", "x" * 12]
+    rows = [(s, 100 * s + k, str(k), rng.choice("ab"), rng.choice(["w", None]), f"u{k}", rng.choice(said).strip(), rng.choice([None, k])) for s in range(3) for k in range(60)]
+    full = spark.createDataFrame(rows, ROW)
+    keyed = full.withColumns({"key": texts.key_of(F.col("text")), "length": F.char_length("text")}).drop("text")
+    stored = texts.stored(spark.createDataFrame([(t,) for t in said], "text string"))
+    for distinct in (False, True):
+        found = blocks.shared_blocks(keyed, 80, distinct, size=16, group=3)
+        got = found.join(texts.joined(found, stored), "sequence").select("frame_start", "frame_end", "n_frames", "text", "url", "src_hashes")
+        want = blocks.session_blocks(full, 80, distinct, size=16, group=3).select(*got.columns)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+        columns = ["frame_start", "n_frames", "piece_no", "chunk_hash"]
+        cut = blocks.shared_chunks(found, stored, "screen", 100)
+        assert "keys" not in cut.columns and "text" not in cut.columns
+        whole = blocks.chunks_of(blocks.session_blocks(full, 80, distinct, size=16, group=3), "screen", 100)
+        assert sorted(cut.select(*columns).collect()) == sorted(whole.select(*columns).collect())
+    kept = dedup.drop_consecutive(full, size=16)
+    assert sorted(r.id for r in dedup.drop_consecutive(keyed, "key", size=16, length="length").collect()) == sorted(r.id for r in kept.collect())
+    want = {r.id: r.island for r in blocks.islands(kept, size=16).collect()}
+    assert {r.id: r.island for r in blocks.islands(keyed, size=16, text="key", length="length", distinct=True).collect()} == want
+
+
+def test_health_counts_characters_before_texts_meet_frames(spark):
+    f = spark.range(3).selectExpr("id", "'2024-01-02T00:00:00' AS timestamp")
+    o = spark.range(3).selectExpr("id AS frame_id", "repeat('x', cast(id as int)) AS text")
+    plan = health.text_metrics(o, f, "2024-01-02 12:00:00")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("length(")
+    assert health.text_metrics(o, f, "2024-01-02 12:00:00").first().text_chars_24h == 3
+
+
+def test_strip_takes_every_white_space_and_no_other(spark):
+    from palimpsest.functions.text import WHITE_SPACE, strip
+
+    points = [k for k in range(1, 0x3100)]
+    df = spark.createDataFrame([(f"{chr(k)}a b{chr(k)}",) for k in points], "t string")
+    other = F.regexp_replace("t", f"^{WHITE_SPACE}+|{WHITE_SPACE}+$", "")
+    assert df.where(~strip("t").eqNullSafe(other)).count() == 0
+    assert df.where(strip("t") == "a b").count() == 29
+
+
+@pytest.mark.parametrize("name", ["c5_text_priority", "f4_session_blocks", "f2_one_stream"])
+def test_texts_are_trimmed_once_a_document(spark, name, monkeypatch):
+    """The queries over events do not join texts to all events: what they write before their last step has no text."""
+    from palimpsest.operators import ordered, scratch
+    from palimpsest.plans import catalog
+    from tests.conftest import DATA
+
+    seen, write = [], scratch.written
+    watched = lambda df, label: (seen.append((label, df.columns)), write(df, label))[1]
+    for module in (ordered, blocks, dedup):
+        monkeypatch.setattr(module, "written", watched)
+    monkeypatch.setattr(catalog, "_with_text", None)
+    assert catalog.queries()[name](spark, DATA).columns
+    assert not [label for label, columns in seen if label != "placed" and {"text", "accessibility_text", "ocr"} & set(columns)]
