@@ -77,14 +77,27 @@ def pieces_of(text: str, limit: int = CHUNK_LIMIT) -> list[str]:
 
 
 def split_text(text: Column | str, limit: int = CHUNK_LIMIT) -> Column:
-    """``pieces_of`` as a column; texts within the limit never leave the JVM."""
+    """``pieces_of`` as a column. Lines are folded inside the JVM: no batch of long texts is held in Python."""
     col = F.col(text) if isinstance(text, str) else text
-
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else pieces_of(t, limit))
-
-    return F.when(F.char_length(col) <= limit, F.array(col)).otherwise(cut(F.when(F.char_length(col) > limit, col)))
+    none = F.array().cast("array<string>")
+    state = lambda done, held: F.struct(done.alias("done"), held.alias("held"))
+    one = lambda x: F.when(x == "", none).otherwise(F.array(x))
+
+    def fold(a: Column, line: Column) -> Column:
+        done, held, size = a["done"], a["held"], F.char_length(line)
+        whole = F.floor((size - 1) / limit).cast("int")  # full pieces before the last part of a long line
+        cut = F.transform(F.sequence(F.lit(0), whole - 1), lambda k: F.substring(line, k * limit + 1, F.lit(limit)))
+        joined = F.char_length(held) + 1 + size <= limit
+        return (
+            F.when(size > limit, state(F.concat(done, one(held), cut), F.substring(line, whole * limit + 1, F.lit(limit))))
+            .when(held == "", state(done, line))
+            .when(joined, state(done, F.concat(held, F.lit("\n"), line)))
+            .otherwise(state(F.concat(done, F.array(held)), line))
+        )
+
+    long = F.when(F.char_length(col) > limit, col)
+    pieces = F.aggregate(F.split(long, "\n"), state(none, F.lit("")), fold, lambda a: F.concat(a["done"], one(a["held"])))
+    return F.when(F.char_length(col) <= limit, F.array(col)).otherwise(pieces)
 
 
 def _latin_bases() -> tuple[str, str]:

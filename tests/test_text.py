@@ -86,3 +86,19 @@ def test_white_space_matches_python(spark):
     df = spark.createDataFrame([(k, chr(k) + "a") for k in points if not 0xD800 <= k < 0xE000], "k int, t string")
     stripped = {r.k for r in df.where(F.char_length(text.strip("t")) == 1).collect()}
     assert stripped == {k for k in points if chr(k).isspace()}
+
+
+def test_splitting_stays_in_the_jvm(spark):
+    """Random lines, long ones among them, against the plain loop; no Python in the plan."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from palimpsest.functions.text import pieces_of, split_text
+
+    rng = random.Random(3)
+    texts = ["\n".join(rng.choice("aé\U0001f600") * rng.choice([0, 0, 1, 5, 9, 10, 11, 20, 21, 47]) for _ in range(rng.randrange(1, 9))) for _ in range(500)] + [None, "", "\n" * 30]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", split_text("t", 10).alias("p"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    for r in df.collect():
+        assert r.p == (None if r.t is None else pieces_of(r.t, 10))
