@@ -34,7 +34,8 @@ from ..functions.text import chunk_hash, split_text
 from ..schema import schema
 from . import known
 from .ordered import dealt
-from .search import Postings, postings_of, tops_of
+from .scratch import written
+from .search import Postings, in_ranges, postings_of, tops_of
 
 CHUNKS = schema(
     "id long, kind string, chunk_hash string, frame_start long, frame_end long, ts_start string, ts_end string, app string, "
@@ -193,7 +194,7 @@ class Index:
         """Writes a batch's postings, from its stored chunks; the tops come last and say that it is whole."""
         named = postings_of(migrated(self.spark.read.schema(CHUNKS).parquet(f"{self.root}/{version}/chunks/batch={batch}")))
         at = f"{self.root}/{version}/postings/batch={batch}"
-        rows = named.rows.sortWithinPartitions("token", "part", "id").select(*(F.col(f.name).cast(f.dataType) for f in POSTINGS.fields))
+        rows = in_ranges(written(named.rows, "unsorted")).select(*(F.col(f.name).cast(f.dataType) for f in POSTINGS.fields))
         rows.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(at)
         named.totals.write.mode("overwrite").parquet(f"{self.root}/{version}/totals/batch={batch}")
         tops = tops_of(self.spark.read.schema(POSTINGS).parquet(at)).repartitionByRange("token", "part").sortWithinPartitions("token", "part")

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,20 +54,45 @@ def tops_of(rows: DataFrame) -> DataFrame:
     return rows.groupBy("token", "part", "kind").agg(F.count("*").alias("n"), F.max(F.size("positions")).alias("most"), F.min("length").alias("least"))
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, id, kind, length, part, positions): the tokens of each chunk with their places."""
+    for batch in batches:
+        words = batch.column("words")
+        coded = words.flatten().dictionary_encode()
+        if not len(coded):
+            continue
+        sizes = np.asarray(pc.list_value_length(words))
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        place = (np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+        both = row * len(coded.dictionary) + np.asarray(coded.indices)
+        order = np.argsort(both, kind="stable")
+        first = np.flatnonzero(np.r_[True, both[order][1:] != both[order][:-1]])
+        of, at = order[first], pa.array(row[order[first]])
+        positions = pa.ListArray.from_arrays(pa.array(np.r_[first, len(order)].astype(np.int32)), pa.array(place[order]))
+        token = coded.dictionary.take(coded.indices.take(pa.array(of)))
+        yield pa.RecordBatch.from_arrays([token, *(batch.column(c).take(at) for c in ("part", "id", "kind", "length")), positions], names=["token", "part", "id", "kind", "length", "positions"])
+
+
 def postings_of(chunks: DataFrame) -> Postings:
-    """One row a token and chunk. Ranges of (token, part, id) split a frequent token by chunk; a partition holds neighbouring tokens.
+    """One row a token and chunk, made inside the chunk's row, so that nothing is shuffled; see ``in_ranges`` for how they are stored.
 
     Chunks need an id of their own; a null text has no tokens, but counts as a chunk.
     """
     counts = lambda w: F.struct(F.size(w).alias("length"), w.alias("words"))
     cut = chunks.select("id", "kind", once(tokens("text"), counts).alias("__c")).select("id", "kind", "__c.*")
     parted = cut.select("id", "kind", "length", part_of(F.col("length"), F.col("id")).alias("part"), "words")
-    words = parted.select("id", "kind", "length", "part", F.posexplode("words").alias("position", "token")).repartitionByRange("token", "part", "id")
-    places = F.sort_array(F.collect_list("position")).alias("positions")
-    rows = words.groupBy("token", "part", "id").agg(F.first("kind").alias("kind"), F.first("length").alias("length"), places)
+    rows = parted.mapInArrow(_places, f"token string, part int, id {chunks.schema['id'].dataType.simpleString()}, kind string, length int, positions array<int>")
     return Postings(rows, cut.agg(F.count("*").alias("chunks"), F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("length")), tops_of(rows))
 
 
+def in_ranges(rows: DataFrame) -> DataFrame:
+    """Rows as they are stored: ranges of (token, part, id) split a frequent token by chunk; a partition holds neighbouring tokens, sorted.
+
+    ``rows`` come from a table, as a sample of them is taken first.
+    """
+    return rows.repartitionByRange("token", "part", "id").sortWithinPartitions("token", "part", "id")
+
+
 def _phrase_places(places: dict[str, Column], phrase: list[str]) -> Column:
     """How often a phrase occurs, from the places of each of its tokens (null: none)."""
     moved = lambda k: F.transform(places[phrase[k]], lambda x: x - k)
@@ -83,7 +112,7 @@ def bm25_postings(postings: Postings, query: str, kind: str | None = None) -> Da
     met = rows.groupBy("id").agg(F.first("kind").alias("kind"), F.first("length").cast("double").alias("__len"), *places)
     counted = met.select("id", "kind", "__len", *(_phrase_places(at, p).cast("double").alias(f"__tf{k}") for k, p in enumerate(phrases)))
     n = F.sum("chunks").cast("double")
-    totals = postings.totals.agg(n.alias("__n"), (F.sum("length") / n).alias("__avg"))
+    totals = postings.totals.agg(n.alias("__n"), F.try_divide(F.sum("length"), n).alias("__avg"))
     return _scores(counted, totals.crossJoin(counted.agg(*_found_in(len(phrases)))), len(phrases), kind)
 
 
@@ -167,7 +196,7 @@ def bm25(chunks: DataFrame, query: str, kind: str | None = None) -> DataFrame:
     count = lambda w: F.struct(F.size(w).cast("double").alias("__len"), *(_phrase_count(w, p).cast("double").alias(f"__tf{k}") for k, p in enumerate(phrases)))
     counted = chunks.select("id", "kind", once(tokens("text"), count).alias("__c")).select("id", "kind", "__c.*")
     n = F.count("*").cast("double")
-    return _scores(counted, counted.agg(n.alias("__n"), (F.sum("__len") / n).alias("__avg"), *_found_in(len(phrases))), len(phrases), kind)
+    return _scores(counted, counted.agg(n.alias("__n"), F.try_divide(F.sum("__len"), n).alias("__avg"), *_found_in(len(phrases))), len(phrases), kind)
 
 
 def _found_in(phrases: int) -> list[Column]:

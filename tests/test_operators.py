@@ -300,3 +300,10 @@ def test_texts_are_trimmed_once_a_document(spark, name, monkeypatch):
     monkeypatch.setattr(catalog, "_with_text", None)
     assert catalog.queries()[name](spark, DATA).columns
     assert not [label for label, columns in seen if label != "placed" and {"text", "accessibility_text", "ocr"} & set(columns)]
+
+
+def test_postings_are_made_without_a_shuffle(spark):
+    chunks = spark.createDataFrame([(k, "screen", f"a b{k} a") for k in range(50)], "id long, kind string, text string")
+    rows = search.postings_of(chunks).rows
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.token, r.id, r.positions) for r in rows.collect()) == sorted([("a", k, [0, 2]) for k in range(50)] + [(f"b{k}", k, [1]) for k in range(50)])
