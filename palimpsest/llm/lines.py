@@ -43,6 +43,8 @@ BYTES, LINES = 1 << 20, 100_000
 FREQUENT, PAIRED = 200_000, 128
 #: Runs of up to so many rows compare all their pairs at once.
 SMALL_RUN = 96
+#: Rows are sorted by sizes of up to so many words (12 bits beside the key); more count as so many there.
+LONGEST = (1 << 12) - 1
 #: Lines of more words have a bitmap of 128 bits, others of 64.
 WIDE = 48
 #: Sets of fewer words resemble none but equal ones.
@@ -76,7 +78,8 @@ def _pieces(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
 def _distinct(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lines of ``text`` that hold words: their numbers, where their words begin, and hashes of their distinct words."""
     words, starts = hashed(text)
-    line = np.searchsorted(np.flatnonzero(np.frombuffer(text, np.uint8) == 10), starts).astype(np.uint64)
+    before = np.searchsorted(starts, np.flatnonzero(np.frombuffer(text, np.uint8) == 10))  # words before each line's end
+    line = np.repeat(np.arange(len(before) + 1, dtype=np.uint64), np.diff(np.r_[0, before, len(starts)]))
     order = np.argsort(line << np.uint64(42) | words >> np.uint64(22))
     words, line = words[order], line[order]
     short = words >> np.uint64(22)
@@ -128,7 +131,7 @@ def frequencies(docs: DataFrame, text: str = "text", sets: Callable[[list[bytes]
         for batch in batches:
             for k in range(0, batch.num_rows, 1024):
                 for words in sets(raw(batch.column(0).slice(k, 1024))):
-                    np.add.at(cells, _cell(words), 1)
+                    np.add.at(cells, _cell(words), np.uint32(1))  # a number of another kind takes a slow way, ten times the time
         for k in range(0, CELLS, PART):
             used = np.flatnonzero(cells[k : k + PART])
             if len(used):
@@ -319,13 +322,21 @@ def _apart(folded: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class _Rows:
-    """Rows sorted by key, and which pairs of them may be similar."""
+    """Rows sorted by key and size, and which pairs of them may be similar.
+
+    52 mixed bits stand for a key: rows of two keys that share them meet too, and verification parts them.
+    """
 
     def __init__(self, c: list[np.ndarray]) -> None:
-        order = np.argsort(c[0])
-        same = c[0][order][1:] == c[0][order][:-1]
-        order = order[np.r_[False, same] | np.r_[same, False]] if len(order) else order  # a row alone meets none
-        self.key, self.bitmap, self.second, self.doc, self.number, self.id = (c[k][order] for k in (0, 3, 4, 5, 6, 7))
+        size_bits = np.uint64(LONGEST)
+        by = mix64(c[0]) & ~size_bits | np.minimum(c[2].astype(np.uint64), size_bits)
+        order = np.argsort(by)
+        by = by[order]
+        key = by >> np.uint64(12)
+        same = key[1:] == key[:-1]
+        some = np.r_[False, same] | np.r_[same, False] if len(order) else np.zeros(0, bool)  # a row alone meets none
+        order, self.key, self.least = order[some], key[some], (by[some] & size_bits).astype(np.int64)
+        self.bitmap, self.second, self.doc, self.number, self.id = (c[k][order] for k in (3, 4, 5, 6, 7))
         self.size = c[2][order]
         # Sets share at most the lesser ``room``, so that the other's size is limited by it.
         self.most = (9 * c[1][order].astype(np.int64) - 4 * self.size) // 4
@@ -336,8 +347,11 @@ class _Rows:
 
     def may_match(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Similar sets differ in a ninth of their words together at most, and so do their bitmaps."""
-        a, b = self.size[i], self.size[j]
-        return (a <= self.most[j]) & (b <= self.most[i]) & (self.apart(i, j) * np.int32(9) <= a + b)
+        out = (self.size[i] <= self.most[j]) & (self.size[j] <= self.most[i])
+        fit = np.flatnonzero(out)
+        i, j = i[fit], j[fit]
+        out[fit] = self.apart(i, j) * np.int32(9) <= self.size[i] + self.size[j]
+        return out
 
     def ordered(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Pairs with the earlier line first."""
@@ -346,13 +360,16 @@ class _Rows:
         return np.stack([np.where(early, i, j), np.where(early, j, i)], axis=1)
 
     def small(self, first: np.ndarray, runs: np.ndarray) -> Iterator[np.ndarray]:
-        """All pairs (earlier, later) of small runs."""
+        """All pairs (earlier, later) of small runs. A row is done with the first that is too large for it."""
         left = np.repeat(np.where(runs > SMALL_RUN, 0, runs), runs) - (np.arange(len(self.key)) - np.repeat(first, runs))
         at = np.arange(len(self.key))
         for step in range(1, SMALL_RUN):
             at = at[left[at] > step]
+            at = at[self.least[at + step] <= self.most[at]]
             keep = at[self.may_match(at, at + step)]
             yield self.ordered(keep, keep + step)
+            if not len(at):
+                break
 
     def large(self, a: int, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(pairs, later rows that have more) of one run: each row meets earlier rows of about its size."""
@@ -484,6 +501,19 @@ def _in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 
+def _picked(bits: np.ndarray, ids: np.ndarray, marks: np.ndarray, texts: list[bytes]) -> Iterator[tuple[int, list[int]]]:
+    """(row, numbers) of the lines whose place is in the bitmap, for rows that have such lines; about ``LINES`` lines are looked at at once."""
+    count = np.array([t.count(b"\n") + 1 for t in texts], np.int64)
+    cuts = np.flatnonzero(np.diff(np.cumsum(count) // LINES)) + 1
+    for rows in np.split(np.arange(len(texts)), cuts):
+        n = count[rows]
+        row, number = np.repeat(rows, n), np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        found = np.flatnonzero(_in_bitmap(bits, _named(ids[row], marks[row], number)))
+        row, number = row[found], number[found]
+        for at in np.split(np.arange(len(found)), np.flatnonzero(np.diff(row)) + 1) if len(found) else ():
+            yield int(row[at[0]]), number[at].tolist()
+
+
 PLACE = ["doc_id", "row", "number"]
 
 
@@ -507,13 +537,11 @@ def _word_sets(docs: DataFrame, asked: DataFrame, text: str) -> DataFrame:
                 ends = pa.array(np.r_[first, len(words)].astype(np.int32))
                 return pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(marks[rows]), pa.array(numbers), pa.ListArray.from_arrays(ends, pa.array(words.view(np.int64)))], names=[*PLACE, "words"])  # noqa: B023
 
-            for r, value in enumerate(raw(batch.column(2))):
-                number = np.arange(value.count(b"\n") + 1)
-                picked = np.flatnonzero(_in_bitmap(bits, _named(np.full(len(number), ids[r]), np.full(len(number), marks[r]), number))).tolist()
-                if picked:
-                    parts = value.split(b"\n")
-                    held += [(r, k, parts[k]) for k in picked]
-                    size += sum(len(parts[k]) for k in picked)
+            texts = raw(batch.column(2))
+            for r, picked in _picked(bits, ids, marks, texts):
+                parts = texts[r].split(b"\n")
+                held += [(r, k, parts[k]) for k in picked]
+                size += sum(len(parts[k]) for k in picked)
                 if size > BYTES:
                     yield sets()
                     held, size = [], 0
@@ -613,15 +641,16 @@ def dedup(docs: DataFrame, text: str = "text", frequent: int = FREQUENT) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts, drops = [], [], []
-            for value, gone_, copy in zip(batch.column(text), batch.column("__gone"), batch.column("__copy").to_pylist(), strict=True):
-                value = value.as_py()
-                parts = [] if value is None else value.split("\n")
-                worded = [bool(x.strip(" \t\n\v\f\r")) for x in parts]
-                out = {k for k, w in enumerate(worded) if w} if copy else set(gone_.as_py() or ())
-                texts.append(value if not out else "\n".join(x for k, x in enumerate(parts) if k not in out))
+            numbers = batch.column("__gone").flatten().to_pylist()
+            ends = np.cumsum(batch.column("__gone").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+            for value, begin, end, copy in zip(batch.column(text).cast(pa.binary()).to_pylist(), [0, *ends[:-1]], ends, batch.column("__copy").to_pylist(), strict=True):
+                parts = [] if value is None else value.split(b"\n")
+                worded = [bool(x.strip()) for x in parts]  # of bytes, ``strip`` takes the six ASCII spaces
+                out = {k for k, w in enumerate(worded) if w} if copy else set(numbers[begin:end])
+                texts.append(value if not out else b"\n".join(x for k, x in enumerate(parts) if k not in out))
                 counts.append(sum(worded))
                 drops.append(len(out))
-            new = {text: pa.array(texts, pa.string()), "n_lines": pa.array(counts, pa.int64()), "n_removed": pa.array(drops, pa.int64())}
+            new = {text: pa.array(texts, pa.binary()).cast(pa.string()), "n_lines": pa.array(counts, pa.int64()), "n_removed": pa.array(drops, pa.int64())}
             names = [*kept, "n_lines", "n_removed"]
             yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in names], names=names)
 

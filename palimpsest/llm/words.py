@@ -7,9 +7,7 @@ import pyarrow as pa
 
 from .common import mix64
 
-#: Which bytes are spaces, and the low bytes that a word of so many bytes takes of eight.
-SPACE = np.zeros(256, bool)
-SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: The low bytes that a word of so many bytes takes of eight.
 _MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 #: Words of more bytes are hashed one by one.
 LONG = 256
@@ -31,7 +29,7 @@ def hashed(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(text + b"\n\0\0\0\0\0\0\0\0", np.uint8)
     n = len(text)
     space = np.ones(n + 2, bool)
-    space[1:] = SPACE[raw[: n + 1]]
+    space[1:] = (raw[: n + 1] == 0x20) | (raw[: n + 1] - np.uint8(0x09) < 5)  # bytes below wrap around
     edges = np.flatnonzero(space[1:] != space[:-1])
     starts, size = edges[0::2], edges[1::2] - edges[0::2]
     eight = np.ndarray((n + 2,), "<u8", buffer=raw, strides=(1,))
