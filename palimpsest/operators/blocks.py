@@ -23,13 +23,14 @@ def usable_text(preferred: Column, fallback: Column) -> Column:
     return F.when(F.char_length(a) >= MIN_TEXT, a).when(F.char_length(b) >= MIN_TEXT, b)
 
 
-def islands(rows: DataFrame, stream: str = "stream_key", order: str = "id", size: int = ROWS, text: str = "text", length: str | None = None, distinct: bool = False) -> DataFrame:
+def islands(rows: DataFrame, stream: str = "stream_key", order: str = "id", size: int = ROWS, text: str = "text", length: str | None = None, distinct: bool = False, at: str | None = None) -> DataFrame:
     """Adds ``island``, counting up where app or window changes; nulls equal nulls. Rows alike in every column are one row.
 
-    With ``distinct`` rows whose text is the previous row's are left out first. ``text`` may be a key of the text, if ``length`` names its length.
+    With ``distinct`` rows whose text is the previous row's are left out first. ``text`` may be a key of the text, if ``length`` names its length;
+    ``at`` orders texts of one order and length.
     """
     whole = written(identified(rows), "rows")
-    narrow = numbered(whole, stream, order, text if text in rows.columns else order, CONTEXT, size, length)
+    narrow = numbered(whole, stream, order, text if text in rows.columns else order, CONTEXT, size, length, at)
     found = counted(changes(repeats(narrow, size) if distinct else narrow))
     return whole.dropDuplicates([*ROW]).join(found.select(*ROW, "island"), [*ROW]).drop(*ROW)
 
@@ -168,24 +169,24 @@ def session_blocks(rows: DataFrame, limit: int = CHUNK_LIMIT, distinct: bool = F
     return found.select(*_ABOUT, F.array_join(F.col("r")["text"], "\n").alias("text"), "src_hashes")
 
 
-def shared_blocks(rows: DataFrame, limit: int = CHUNK_LIMIT, distinct: bool = False, size: int = ROWS, group: int = GROUP) -> DataFrame:
+def shared_blocks(rows: DataFrame, limit: int = CHUNK_LIMIT, distinct: bool = False, size: int = ROWS, group: int = GROUP, at: str | None = None) -> DataFrame:
     """``session_blocks`` of rows with ``key`` and ``length`` in place of a text (see ``texts``): blocks have ``keys`` and ``sequence`` in place of theirs.
 
-    Written, as what is read of their texts meets them again.
+    ``at`` names a column that orders rows of one id and length. Written, as what is read of their texts meets them again.
     """
-    found = _folded(rows, ["key", "length"], limit, distinct, size, group)
+    found = _folded(rows, ["key", "length"], limit, distinct, size, group, at)
     return written(sequences(found.select(*_ABOUT, F.col("r")["key"].alias("keys"), "src_hashes")), "blocks")
 
 
 _ABOUT = ("stream_key", "app", "window", "url", "frame_start", "frame_end", "ts_start", "ts_end", "n_frames")
 
 
-def _folded(rows: DataFrame, text: list[str], limit: int, distinct: bool, size: int, group: int) -> DataFrame:
+def _folded(rows: DataFrame, text: list[str], limit: int, distinct: bool, size: int, group: int, at: str | None = None) -> DataFrame:
     """What is known of each block, and ``r``, its rows in order."""
     key = F.col("stream_key").cast("long").alias("stream_key")
-    needed = rows.select(key, "id", "timestamp", "app", "window", "url", *text, F.col("content_hash").cast("long").alias("content_hash"))
+    needed = rows.select(key, "id", "timestamp", "app", "window", "url", *text, F.col("content_hash").cast("long").alias("content_hash"), *([at] if at else []))
     whole = written(identified(needed), "rows")
-    narrow = numbered(whole, "stream_key", "id", text[0], CONTEXT, size, *text[1:])
+    narrow = numbered(whole, "stream_key", "id", text[0], CONTEXT, size, *text[1:], at=at)
     found = block_numbers(changes(repeats(narrow, size) if distinct else narrow), limit, group)
     met = whole.join(found, [*ROW]).groupBy("block").agg(
         F.first("stream_key").alias("stream_key"), F.sort_array(F.collect_set(F.struct("pos", *needed.columns[1:]))).alias("r")

@@ -19,14 +19,15 @@ def first_occurrence(rows: DataFrame, key: str = "content_hash", order: str | tu
     return keyed.unionByName(rows.where(F.col(key).isNull()))
 
 
-def drop_consecutive(rows: DataFrame, text: str = "text", stream: str = "stream_key", order: str = "id", size: int = ROWS, length: str | None = None) -> DataFrame:
+def drop_consecutive(rows: DataFrame, text: str = "text", stream: str = "stream_key", order: str = "id", size: int = ROWS, length: str | None = None, at: str | None = None) -> DataFrame:
     """Without rows whose text equals the previous row's, whatever else changes between them.
 
     A stream may be of any length: see ``ordered``. Rows alike in every column are one row; of one order the shorter text is first.
     ``text`` may be a key of the text (see ``texts``), if ``length`` names its length; then no text is written or shuffled.
+    ``at`` orders texts of one order and length.
     """
     whole = written(identified(rows), "rows")
-    kept = repeats(numbered(whole, stream, order, text, (), size, length), size).select(*ROW)
+    kept = repeats(numbered(whole, stream, order, text, (), size, length, at), size).select(*ROW)
     return whole.dropDuplicates([*ROW]).join(kept, [*ROW], "left_semi").drop(*ROW)
 
 

@@ -37,15 +37,16 @@ def identified(rows: DataFrame) -> DataFrame:
     return rows.withColumns(dict(zip(ROW, (h, g), strict=True)))
 
 
-def numbered(rows: DataFrame, stream: str, order: str, text: str, context: tuple[str, ...], size: int = ROWS, length: str | None = None) -> DataFrame:
+def numbered(rows: DataFrame, stream: str, order: str, text: str, context: tuple[str, ...], size: int = ROWS, length: str | None = None, at: str | None = None) -> DataFrame:
     """(stream, row, text and context hashes, length, pos, bucket) of distinct ``identified`` rows, in order; written.
 
-    ``text`` may be a key of the text, if ``length`` names its length.
+    ``text`` may be a key of the text, if ``length`` names its length. ``at`` orders rows of one order and length; without it their hashes do.
     """
     pair = lambda name, of: {f"__{name}{k}": c for k, c in enumerate(_hashes(of))}
     known = [c for c in context if c in rows.columns]
-    narrow = rows.select(F.col(stream).alias("__s"), F.col(order).alias("__o"), *ROW, F.coalesce(F.char_length(text) if length is None else F.col(length), F.lit(0)).alias("__len"), *(c.alias(n) for n, c in (pair("t", [text]) | pair("c", known or [text])).items()))
-    return dealt(narrow.dropDuplicates([*ROW]), ["__s", "__o", "__len", *ROW], size).drop("__o")
+    ties = {"__at": F.col(at)} if at else {}
+    narrow = rows.select(F.col(stream).alias("__s"), F.col(order).alias("__o"), *ROW, F.coalesce(F.char_length(text) if length is None else F.col(length), F.lit(0)).alias("__len"), *(c.alias(n) for n, c in (pair("t", [text]) | pair("c", known or [text]) | ties).items()))
+    return dealt(narrow.dropDuplicates([*ROW]), ["__s", "__o", "__len", *ties, *ROW], size).drop("__o", *ties)
 
 
 def dealt(rows: DataFrame, by: list[str], size: int = ROWS) -> DataFrame:

@@ -41,12 +41,18 @@ def screen_chunks(rows: DataFrame, seen: DataFrame) -> DataFrame:
 def shared_screen_chunks(rows: DataFrame, texts: DataFrame, seen: DataFrame) -> DataFrame:
     """``screen_chunks`` of frames with keys of their texts: key and length, ocr_key, ocr_length, and ocr_at, which sorts as the recognised texts do.
 
-    ``texts``: (key, text), see ``operators.texts``. Chunks come without their texts.
+    ``texts``: (key, text), see ``operators.texts``. Chunks come without their texts. Recognised texts of one frame and length are in
+    the order of ``ocr_at``, as they were when the first one was picked.
     """
     fresh = first_occurrence(not_seen(rows, seen, "content_hash"), order=("id", "ocr_at"))
-    usable = fresh.withColumns({c: F.coalesce(c, f"ocr_{c}") for c in ("key", "length")}).where("key IS NOT NULL")
-    named = usable.withColumnsRenamed({"app_name": "app", "window_name": "window", "browser_url": "url"})
-    return shared_chunks(shared_blocks(named, distinct=True), texts, "screen")
+    named = picked(fresh).withColumnsRenamed({"app_name": "app", "window_name": "window", "browser_url": "url"})
+    return shared_chunks(shared_blocks(named, distinct=True, at="at"), texts, "screen")
+
+
+def picked(rows: DataFrame) -> DataFrame:
+    """Rows with a usable text: its ``key`` and ``length``, the frame's own before the recognised one's, and ``at``, the place of a recognised one."""
+    own = {c: F.coalesce(c, f"ocr_{c}") for c in ("key", "length")}
+    return rows.withColumns(own | {"at": F.when(F.col("key").isNull(), F.col("ocr_at"))}).where("key IS NOT NULL")
 
 
 def typed_chunks(rows: DataFrame, remapped: tuple[str, ...] = ("text", "clipboard")) -> DataFrame:
